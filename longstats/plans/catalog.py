@@ -17,6 +17,7 @@ from longstats.operators.levels import LevelTables, clean_levels
 from longstats.operators.residual import residual_backfill, tidy_table
 from longstats.operators.scope import core_scope
 from longstats.plans.fixture import long_view
+from longstats.schemas import LONG_COLUMNS
 from longstats.session import scratch_path
 from longstats.sources.layout import write_table
 
@@ -34,7 +35,8 @@ def long_table(spark: SparkSession, sf_dir: str) -> DataFrame:
             path = scratch_path(spark, "long")
             write_table(long_view(spark, sf_dir), path)
             _landed[key] = path
-    return spark.read.parquet(path)
+    # partition columns come back last; restore the declared order
+    return spark.read.parquet(path).select(*LONG_COLUMNS)
 
 
 @dataclass

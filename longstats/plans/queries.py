@@ -32,6 +32,12 @@ from longstats.operators.trends import yield_trend
 from longstats.operators.units import classify_units
 from longstats.operators.windows import with_grand_total
 from longstats.plans import catalog
+from longstats.schemas import LONG_SCHEMA, TIDY_SCHEMA
+from longstats.session import scratch_path
+from longstats.sources.delimited import read_delimited, read_escaped, read_with_quarantine
+from longstats.sources.export import escape, export_check, export_delimited, export_manifest
+from longstats.sources.layout import write_table
+from longstats.streaming.landing import land_stream
 from longstats.plans import oracle_sql as o
 
 MIN_YEAR = o.MIN_YEAR
@@ -363,6 +369,99 @@ def q_ordered_profile(spark, sf):
     return pf.period_profile(_long(spark, sf), "state_name").orderBy(asc_ref("state_name"))
 
 
+
+# ----------------------------------------------------------------- sources & sinks
+# Each of these writes data Spark derives from the driver tables (the long view
+# or the tidy table) to a fresh folder under the shared checkpoint directory,
+# then reads it back through the operator under test.
+
+def _export(df: DataFrame, name: str, single_file: bool = False) -> str:
+    path = scratch_path(df.sparkSession, name)
+    export_delimited(df, path, single_file=single_file)
+    return path
+
+
+def _escaped_variant(long: DataFrame) -> DataFrame:
+    """Long rows with separators, backslashes, newlines and leading '#' in the text."""
+    return long.withColumns({
+        "short_desc": F.replace("short_desc", F.lit(" - "), F.lit("\t- \\")),
+        "county_name": F.replace("county_name", F.lit("COUNTY-"), F.lit("#COUNTY\n")),
+    })
+
+
+def q_scan_delimited(spark, sf):
+    return read_delimited(spark, _export(_long(spark, sf), "scan-delimited"), LONG_SCHEMA)
+
+
+def q_scan_trim(spark, sf):
+    padded = _long(spark, sf).withColumn("value", F.concat(F.lit("  "), F.col("value"), F.lit(" ")))
+    return read_delimited(spark, _export(padded, "scan-trim"), LONG_SCHEMA, trim=True)
+
+
+def q_scan_escaped(spark, sf):
+    path = _export(_escaped_variant(_long(spark, sf)), "scan-escaped")
+    return read_escaped(spark, path, LONG_SCHEMA)
+
+
+def q_scan_utf8(spark, sf):
+    return read_escaped(spark, _export(_long(spark, sf), "scan-utf8"), LONG_SCHEMA, validate_utf8=True)
+
+
+def _quarantine_input(spark, sf) -> str:
+    """Escaped lines without header; WATERSHED rows carry one extra field."""
+    long = _long(spark, sf)
+    fields = [F.coalesce(escape(F.col(c).cast("string")), F.lit("")) for c in long.columns]
+    line = F.concat_ws("\t", *fields)
+    line = F.when(F.col("agg_level_desc") == "WATERSHED", F.concat(line, F.lit("\textra"))).otherwise(line)
+    path = scratch_path(spark, "scan-quarantine")
+    long.select(line.alias("value")).write.mode("overwrite").text(path, compression="gzip")
+    return path
+
+
+def q_scan_quarantine(spark, sf):
+    good, _ = read_with_quarantine(spark, _quarantine_input(spark, sf), LONG_SCHEMA, header=False)
+    return good
+
+
+def q_scan_rejects(spark, sf):
+    _, bad = read_with_quarantine(spark, _quarantine_input(spark, sf), LONG_SCHEMA, header=False)
+    return bad.groupBy("reason").agg(F.count(F.lit(1)).alias("row_count"))
+
+
+def _tidy_export(spark, sf) -> tuple[DataFrame, str]:
+    tidy = _job(spark, sf).tidy
+    return tidy, _export(tidy, "export-tsv", single_file=True)
+
+
+def q_export_tsv(spark, sf):
+    _, path = _tidy_export(spark, sf)
+    return comparable(read_escaped(spark, path, TIDY_SCHEMA))
+
+
+def q_export_manifest(spark, sf):
+    _, path = _tidy_export(spark, sf)
+    return export_manifest(spark, path).filter(F.col("path").endswith(".gz"))
+
+
+def q_export_check(spark, sf):
+    tidy, path = _tidy_export(spark, sf)
+    return export_check(read_escaped(spark, path, TIDY_SCHEMA), tidy)
+
+
+def q_layout_write(spark, sf):
+    path = scratch_path(spark, "layout")
+    write_table(_long(spark, sf), path)
+    return spark.read.parquet(path)
+
+
+def q_stream_landing(spark, sf):
+    drops = scratch_path(spark, "drops")
+    export_delimited(_long(spark, sf), drops)
+    target = scratch_path(spark, "landed")
+    land_stream(spark, drops, LONG_SCHEMA, target)
+    return spark.read.parquet(target)
+
+
 QUERIES: dict[str, Query] = {
     name[2:]: fn for name, fn in sorted(globals().items()) if name.startswith("q_") and callable(fn)
 }
@@ -539,4 +638,18 @@ FROM scy GROUP BY state_name""",
         f"WHERE state_name IN ('{SPARSE_STATES[0]}', '{SPARSE_STATES[1]}') AND {o.CROP} AND source_desc = 'SURVEY' "
         "GROUP BY 1, 2, 3, 4, 5, 6"),
     "ordered_profile": o.WITH_LONG + "SELECT state_name, CAST(SUM(1) AS BIGINT) AS row_count FROM long GROUP BY 1",
+    "scan_delimited": o.WITH_LONG + "SELECT * FROM long",
+    "scan_trim": o.WITH_LONG + "SELECT * FROM long",
+    "scan_escaped": o.WITH_LONG + (
+        "SELECT * REPLACE (replace(short_desc, ' - ', chr(9) || '- \\') AS short_desc, "
+        "replace(county_name, 'COUNTY-', '#COUNTY' || chr(10)) AS county_name) FROM long"),
+    "scan_utf8": o.WITH_LONG + "SELECT * FROM long",
+    "scan_quarantine": o.WITH_LONG + "SELECT * FROM long WHERE agg_level_desc <> 'WATERSHED'",
+    "scan_rejects": o.WITH_LONG + ("SELECT 'field_count' AS reason, COUNT(*) AS row_count FROM long "
+                                   "WHERE agg_level_desc = 'WATERSHED'"),
+    "export_tsv": o.WITH_JOB + f"SELECT {o.TIDY_OUT} FROM clean_county",
+    "export_check": o.WITH_JOB + ("SELECT COUNT(*) AS exported_rows, COUNT(*) AS table_rows, TRUE AS rows_match "
+                                  "FROM clean_county"),
+    "layout_write": o.WITH_LONG + "SELECT * FROM long",
+    "stream_landing": o.WITH_LONG + "SELECT * FROM long",
 }

@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import (
+    DateType,
+    DecimalType,
+    DoubleType,
+    IntegerType,
+    StringType,
+    StructField,
+    StructType,
+)
 
 # Column order of the raw long statistics file (39 columns).
 RAW_COLUMNS = [
@@ -66,3 +74,10 @@ TIDY_COLUMNS = [
 ]
 
 MEASURES = ["area_planted", "area_harvested", "crop_production", "crop_yield"]
+
+_TIDY_TYPES = {
+    "year": IntegerType(), "calendar_date": DateType(), "production_unit_multiplier": DecimalType(5, 3),
+    "production_to_yield_multiplier": DoubleType(), **{m: DecimalType(38, 3) for m in MEASURES},
+}
+
+TIDY_SCHEMA = StructType([StructField(c, _TIDY_TYPES.get(c, StringType()), True) for c in TIDY_COLUMNS])

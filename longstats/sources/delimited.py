@@ -84,7 +84,8 @@ def _parse(lines: DataFrame, schema: StructType, sep: str, header: bool, trim: b
     """Raw lines -> fields + typed columns + ``_reason`` (NULL when the line is good)."""
     tokens = list(null_tokens)
     names = [f.name for f in schema.fields]
-    line = F.col("value")
+    lines = lines.withColumnRenamed("value", "_line")
+    line = F.col("_line")
     if header:
         header_text = sep.join(n.lower() for n in names)
         lines = lines.filter(F.lower(F.regexp_replace(line, "\r$", "")) != header_text)
@@ -94,7 +95,8 @@ def _parse(lines: DataFrame, schema: StructType, sep: str, header: bool, trim: b
     for i, f in enumerate(schema.fields):
         raw = F.get(fields, i)
         raw = F.trim(raw) if trim else raw
-        text = F.when(raw.isin(tokens), F.lit(None).cast(StringType())).otherwise(unescape(raw))
+        text = (F.when(raw.isin(tokens), F.lit(None).cast(StringType()))
+                 .when(raw.contains("\\"), unescape(raw)).otherwise(raw))
         if isinstance(f.dataType, StringType):
             typed = text
         else:
@@ -106,7 +108,7 @@ def _parse(lines: DataFrame, schema: StructType, sep: str, header: bool, trim: b
     reason = F.when(F.size(fields) != len(names), F.lit("field_count")).when(bad_type, F.lit("bad_value"))
     if validate_utf8:
         reason = F.when(~F.is_valid_utf8(line), F.lit("invalid_utf8")).otherwise(reason)
-    return parsed.select(F.col("value"), *cols, reason.alias("_reason"))
+    return parsed.select(line, *cols, reason.alias("_reason"))
 
 
 def read_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
@@ -132,7 +134,7 @@ def read_escaped(spark: SparkSession, path: str | Sequence[str], schema: StructT
     bad = F.col("_reason").isNotNull()
     if mode == "FAILFAST":
         check = F.when(bad, F.raise_error(F.concat(F.lit("malformed record ("), F.col("_reason"),
-                                                   F.lit("): "), F.col("value")))).otherwise(F.lit(True))
+                                                   F.lit("): "), F.col("_line")))).otherwise(F.lit(True))
         good = parsed.filter(check)
     else:
         good = parsed.filter(~bad)
@@ -143,14 +145,14 @@ def read_with_quarantine(spark: SparkSession, path: str | Sequence[str], schema:
                          sep: str = "\t", header: bool = True, trim: bool = True,
                          null_tokens: Iterable[str] = NULL_TOKENS,
                          validate_utf8: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(good rows under ``schema``, rejected lines with ``value`` and ``reason``).
+    """(good rows under ``schema``, rejected lines with ``line`` and ``reason``).
 
     Both come from one parse; write or persist the parsed frame first when both
     sides are consumed, to scan the input once.
     """
     parsed = _parse(read_lines(spark, path), schema, sep, header, trim, null_tokens, validate_utf8)
     good = parsed.filter(F.col("_reason").isNull()).select(*[f.name for f in schema.fields])
-    bad = parsed.filter(F.col("_reason").isNotNull()).select("value", F.col("_reason").alias("reason"))
+    bad = parsed.filter(F.col("_reason").isNotNull()).select(F.col("_line").alias("line"), F.col("_reason").alias("reason"))
     return good, bad
 
 
