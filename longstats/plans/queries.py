@@ -36,7 +36,7 @@ from longstats.schemas import LONG_SCHEMA, TIDY_SCHEMA
 from longstats.session import scratch_path
 from longstats.sources.delimited import read_delimited, read_escaped, read_with_quarantine
 from longstats.sources.export import escape, export_check, export_delimited, export_manifest
-from longstats.sources.layout import write_table
+from longstats.sources.layout import load_table, write_table
 from longstats.streaming.landing import land_stream
 from longstats.plans import oracle_sql as o
 
@@ -454,6 +454,15 @@ def q_layout_write(spark, sf):
     return spark.read.parquet(path)
 
 
+def q_load_table(spark, sf):
+    """Sample load, then truncate and full reload into the same table."""
+    long = _long(spark, sf)
+    target = scratch_path(spark, "loaded")
+    sample = _export(long.filter(F.col("year") == MIN_YEAR), "load-sample")
+    load_table(spark, sample, target, LONG_SCHEMA)
+    return load_table(spark, _export(long, "load-full"), target, LONG_SCHEMA)
+
+
 def q_stream_landing(spark, sf):
     drops = scratch_path(spark, "drops")
     export_delimited(_long(spark, sf), drops)
@@ -652,4 +661,5 @@ FROM scy GROUP BY state_name""",
                                   "FROM clean_county"),
     "layout_write": o.WITH_LONG + "SELECT * FROM long",
     "stream_landing": o.WITH_LONG + "SELECT * FROM long",
+    "load_table": o.WITH_LONG + "SELECT * FROM long",
 }

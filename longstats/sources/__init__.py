@@ -10,10 +10,10 @@ from longstats.sources.delimited import (
     unescape,
 )
 from longstats.sources.export import escape, export_check, export_delimited, export_manifest
-from longstats.sources.layout import write_table
+from longstats.sources.layout import load_table, write_table
 
 __all__ = [
-    "escape", "export_check", "export_delimited", "export_manifest", "read_delimited",
+    "escape", "export_check", "load_table", "export_delimited", "export_manifest", "read_delimited",
     "read_dimension", "read_escaped", "read_lines", "read_with_quarantine", "split_escaped",
     "unescape", "write_table",
 ]

@@ -4,25 +4,49 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 DEFAULT_CLUSTER = ("agg_level_desc", "state_name", "commodity_desc")
 
 
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ("year",),
-                cluster_by: Sequence[str] = DEFAULT_CLUSTER, mode: str = "overwrite") -> None:
-    """Write ``df`` as Parquet, ``partitionBy(partition_by)``, rows clustered by
-    ``cluster_by`` inside each file.
-
-    A range repartition on (partition keys, cluster keys) gives each writer task
-    a contiguous key range: few files per task, no hot task for a big year
-    (ranges split between adjacent cluster keys), and tight row-group min/max
-    stats so level/state/commodity filters skip row groups.  Year filters prune
-    whole directories.
+                cluster_by: Sequence[str] = DEFAULT_CLUSTER, mode: str = "overwrite",
+                buckets: int | None = None) -> None:
+    """Write ``df`` as Parquet, ``partitionBy(partition_by)``, rows sorted by
+    (partition keys, ``cluster_by``) inside each file.
+
+    One shuffle, hash-partitioned on the partition keys plus a bucket of a
+    deterministic row hash (``buckets`` values, default the shuffle partition
+    count).  Each writer task gets a few (year, bucket) cells, so it writes few
+    files; a hot year or a hot (level, state, commodity) group is spread over
+    up to ``buckets`` tasks; a retried task gets the same rows.  A range
+    repartition would give contiguous key ranges but needs a sampling pass
+    over the whole input first.  The sort keeps row-group min/max statistics
+    tight, so level/state/commodity filters skip row groups and year filters
+    prune whole directories.
     """
     keys = [c for c in (*partition_by, *cluster_by) if c in df.columns]
-    out = df.repartitionByRange(*keys).sortWithinPartitions(*keys) if keys else df
+    n = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(n))
+    parts = [F.col(c) for c in partition_by if c in df.columns]
+    out = df.repartition(n, *parts, spread)
+    if keys:
+        out = out.sortWithinPartitions(*keys)
     writer = out.write.mode(mode)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
+
+
+def load_table(spark: SparkSession, path: str, target: str, schema: StructType, escaped: bool = True,
+               partition_by: Sequence[str] = ("year",), cluster_by: Sequence[str] = DEFAULT_CLUSTER,
+               **read_options) -> DataFrame:
+    """Truncate-and-load: read delimited text under ``schema`` and replace the
+    Parquet table at ``target`` with it (idempotent: a rerun gives the same
+    table).  Returns the loaded table."""
+    from longstats.sources.delimited import read_delimited, read_escaped
+    reader = read_escaped if escaped else read_delimited
+    write_table(reader(spark, path, schema, **read_options), target, partition_by, cluster_by, mode="overwrite")
+    return spark.read.parquet(target).select(*[f.name for f in schema.fields])
