@@ -5,7 +5,7 @@ prints one JSON line.  Every query result is fully computed with the ``noop``
 sink (no driver collection).  ``value`` is the wall time of the end-to-end
 job: landing the long table, the materialised roll-up, and the headline
 queries over it.  One-pass and three-pass roll-ups are also timed from the
-same core table.  Before timing, the same pipeline runs once on sf0.001 to
+same core table.  Before timing, the same pipeline runs once on sf0.01 to
 warm the JVM (JIT, generated code); that time is reported as ``warmup_sec``.
 """
 
@@ -57,7 +57,7 @@ def pipeline(spark, sf_dir: str) -> dict[str, float]:
 
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
-    warm_dir = os.environ.get("BENCH_WARMUP_DIR", "/root/testdata/sf0.001")
+    warm_dir = os.environ.get("BENCH_WARMUP_DIR", "/root/testdata/sf0.01")
     spark = build_session()
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
 

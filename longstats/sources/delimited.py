@@ -79,16 +79,28 @@ def unescape(field: Column) -> Column:
     return F.array_join(F.transform(F.split(field, r"\\\\"), piece), "\\")
 
 
+def header_line(spark: SparkSession, paths: list[str]) -> str | None:
+    """The first line of the input, found the way Spark's CSV reader finds a
+    header (first line of the first file); reads one line, not the data."""
+    cols = (spark.read.option("header", True).option("sep", "\u0000").option("quote", "")
+            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+            .option("enforceSchema", False).csv(paths).columns)
+    return cols[0] if len(cols) == 1 else None
+
+
 def _parse(lines: DataFrame, schema: StructType, sep: str, header: bool, trim: bool,
-           null_tokens: Iterable[str], validate_utf8: bool) -> DataFrame:
+           null_tokens: Iterable[str], validate_utf8: bool, paths: list[str] | None = None) -> DataFrame:
     """Raw lines -> fields + typed columns + ``_reason`` (NULL when the line is good)."""
     tokens = list(null_tokens)
     names = [f.name for f in schema.fields]
     lines = lines.withColumnRenamed("value", "_line")
     line = F.col("_line")
     if header:
-        header_text = sep.join(n.lower() for n in names)
-        lines = lines.filter(F.lower(F.regexp_replace(line, "\r$", "")) != header_text)
+        header_text = header_line(lines.sparkSession, paths) if paths else None
+        if header_text is None:
+            header_text = sep.join(names)
+        # every line equal to the header is a header (files of one load share it)
+        lines = lines.filter(F.regexp_replace(line, "\r$", "") != header_text.rstrip("\r"))
     fields = F.col("_fields")
     parsed = lines.withColumn("_fields", split_escaped(F.regexp_replace(line, "\r$", ""), sep))
     cols, bad_type = [], F.lit(False)
@@ -130,7 +142,7 @@ def read_escaped(spark: SparkSession, path: str | Sequence[str], schema: StructT
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
     paths = _paths(path)
-    parsed = _parse(read_lines(spark, paths), schema, sep, header, trim, null_tokens, validate_utf8)
+    parsed = _parse(read_lines(spark, paths), schema, sep, header, trim, null_tokens, validate_utf8, paths)
     bad = F.col("_reason").isNotNull()
     if mode == "FAILFAST":
         check = F.when(bad, F.raise_error(F.concat(F.lit("malformed record ("), F.col("_reason"),
@@ -150,7 +162,7 @@ def read_with_quarantine(spark: SparkSession, path: str | Sequence[str], schema:
     Both come from one parse; write or persist the parsed frame first when both
     sides are consumed, to scan the input once.
     """
-    parsed = _parse(read_lines(spark, path), schema, sep, header, trim, null_tokens, validate_utf8)
+    parsed = _parse(read_lines(spark, path), schema, sep, header, trim, null_tokens, validate_utf8, _paths(path))
     good = parsed.filter(F.col("_reason").isNull()).select(*[f.name for f in schema.fields])
     bad = parsed.filter(F.col("_reason").isNotNull()).select(F.col("_line").alias("line"), F.col("_reason").alias("reason"))
     return good, bad
