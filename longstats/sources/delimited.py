@@ -65,7 +65,10 @@ def read_delimited(spark: SparkSession, path: str | Sequence[str], schema: Struc
 def split_escaped(line: Column, sep: str = "\t") -> Column:
     """Split a line on separators not escaped by a backslash; fields keep their escapes."""
     s = re.escape(sep)
-    return F.regexp_extract_all(F.concat(F.lit(sep), line), F.lit(rf"{s}((?:[^{s}\\]|\\[\s\S])*)"), 1)
+    # unrolled loop with possessive quantifiers: linear, no per-character
+    # backtracking or recursion, so long fields cannot overflow the stack
+    field = rf"[^{s}\\]*+(?:\\[\s\S][^{s}\\]*+)*+"
+    return F.regexp_extract_all(F.concat(F.lit(sep), line), F.lit(rf"{s}({field})"), 1)
 
 
 def unescape(field: Column) -> Column:
@@ -102,7 +105,11 @@ def _parse(lines: DataFrame, schema: StructType, sep: str, header: bool, trim: b
         # every line equal to the header is a header (files of one load share it)
         lines = lines.filter(F.regexp_replace(line, "\r$", "") != header_text.rstrip("\r"))
     fields = F.col("_fields")
-    parsed = lines.withColumn("_fields", split_escaped(F.regexp_replace(line, "\r$", ""), sep))
+    # The split goes through a one-element generator: filters cannot be pushed
+    # below a Generate, so the split regex runs once per line instead of being
+    # inlined into the row checks once per field.
+    split = F.struct(split_escaped(F.regexp_replace(line, "\r$", ""), sep).alias("_fields"))
+    parsed = lines.select(line, F.inline(F.array(split)))
     cols, bad_type = [], F.lit(False)
     for i, f in enumerate(schema.fields):
         raw = F.get(fields, i)
