@@ -32,9 +32,9 @@ from longstats.operators.trends import yield_trend
 from longstats.operators.units import classify_units
 from longstats.operators.windows import with_grand_total
 from longstats.plans import catalog
-from longstats.schemas import LONG_SCHEMA, TIDY_SCHEMA
+from longstats.schemas import DIMENSION_SCHEMA, LONG_SCHEMA, TIDY_SCHEMA
 from longstats.session import scratch_path
-from longstats.sources.delimited import read_delimited, read_escaped, read_with_quarantine
+from longstats.sources.delimited import read_delimited, read_dimension, read_escaped, read_with_quarantine
 from longstats.sources.export import escape, export_check, export_delimited, export_manifest
 from longstats.sources.layout import load_table, write_table
 from longstats.streaming.landing import land_stream
@@ -140,12 +140,9 @@ TITLE_SOURCES = ["class_desc", "county_name", "state_name", "commodity_desc", "s
 
 
 def q_title_case(spark, sf):
-    long = _long(spark, sf)
-    raw = None
-    for c in TITLE_SOURCES:
-        part = long.select(F.col(c).alias("raw")).distinct()
-        raw = part if raw is None else raw.union(part)
-    return raw.distinct().select("raw", title_case("raw").alias("titled"))
+    # one scan: every source column exploded into one value column, then distinct
+    raw = _long(spark, sf).select(F.explode(F.array(*TITLE_SOURCES)).alias("raw")).distinct()
+    return raw.select("raw", title_case("raw").alias("titled"))
 
 
 def q_county_id(spark, sf):
@@ -448,6 +445,24 @@ def q_export_check(spark, sf):
     return export_check(read_escaped(spark, path, TIDY_SCHEMA), tidy)
 
 
+def _county_dimension(long: DataFrame) -> DataFrame:
+    """A 45-column county dimension derived from the county rows: keys, row count,
+    distinct years, the other 40 measures NULL."""
+    counties = (long.filter(F.col("agg_level_desc") == "COUNTY")
+                .groupBy(county_id().alias("fipstxt"), F.col("state_alpha").alias("state"),
+                         F.col("county_name").alias("county"))
+                .agg(F.count(F.lit(1)).cast("double").alias("n"),
+                     F.count_distinct("year").cast("double").alias("y")))
+    names = [f.name for f in DIMENSION_SCHEMA.fields]
+    measures = [F.col("n"), F.col("y")] + [F.lit(None).cast("double")] * (len(names) - 5)
+    return counties.select("fipstxt", "state", "county", *[m.alias(n) for m, n in zip(measures, names[3:])])
+
+
+def q_scan_dimension(spark, sf):
+    path = _export(_county_dimension(_long(spark, sf)), "dimension")
+    return read_dimension(spark, path)
+
+
 def q_layout_write(spark, sf):
     path = scratch_path(spark, "layout")
     write_table(_long(spark, sf), path)
@@ -661,5 +676,11 @@ FROM scy GROUP BY state_name""",
                                   "FROM clean_county"),
     "layout_write": o.WITH_LONG + "SELECT * FROM long",
     "stream_landing": o.WITH_LONG + "SELECT * FROM long",
+    "scan_dimension": o.WITH_LONG + (
+        "SELECT state_fips_code || county_code AS fipstxt, state_alpha AS state, county_name AS county, "
+        "CAST(COUNT(*) AS DOUBLE) AS ruralurbancontinuumcode2013, "
+        "CAST(COUNT(DISTINCT year) AS DOUBLE) AS urbaninfluencecode2013, "
+        + ", ".join(f"CAST(NULL AS DOUBLE) AS {f.name}" for f in DIMENSION_SCHEMA.fields[5:])
+        + " FROM long WHERE agg_level_desc = 'COUNTY' GROUP BY 1, 2, 3"),
     "load_table": o.WITH_LONG + "SELECT * FROM long",
 }
