@@ -33,7 +33,9 @@ def long_table(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = _landed.get(key)
         if path is None:
             path = scratch_path(spark, "long")
-            write_table(long_view(spark, sf_dir), path)
+            # the view comes out of a hash shuffle on the order key (balanced
+            # partitions), so no second shuffle is needed before the write
+            write_table(long_view(spark, sf_dir), path, repartition=False)
             _landed[key] = path
     # partition columns come back last; restore the declared order
     return spark.read.parquet(path).select(*LONG_COLUMNS)

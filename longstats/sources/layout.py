@@ -13,7 +13,7 @@ DEFAULT_CLUSTER = ("agg_level_desc", "state_name", "commodity_desc")
 
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ("year",),
                 cluster_by: Sequence[str] = DEFAULT_CLUSTER, mode: str = "overwrite",
-                buckets: int | None = None) -> None:
+                buckets: int | None = None, repartition: bool = True) -> None:
     """Write ``df`` as Parquet, ``partitionBy(partition_by)``, rows sorted by
     (partition keys, ``cluster_by``) inside each file.
 
@@ -26,12 +26,16 @@ def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ("year",
     over the whole input first.  The sort keeps row-group min/max statistics
     tight, so level/state/commodity filters skip row groups and year filters
     prune whole directories.
+
+    ``repartition=False`` keeps the input partitioning, for input that is
+    already hash-partitioned into balanced partitions by an upstream shuffle:
+    each task then still writes at most one file per partition value.
     """
     keys = [c for c in (*partition_by, *cluster_by) if c in df.columns]
     n = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(n))
     parts = [F.col(c) for c in partition_by if c in df.columns]
-    out = df.repartition(n, *parts, spread)
+    out = df.repartition(n, *parts, spread) if repartition else df
     if keys:
         out = out.sortWithinPartitions(*keys)
     writer = out.write.mode(mode)
