@@ -427,7 +427,7 @@ def q_scan_rejects(spark, sf):
 
 def _tidy_export(spark, sf) -> tuple[DataFrame, str]:
     tidy = _job(spark, sf).tidy
-    return tidy, _export(tidy, "export-tsv", single_file=True)
+    return tidy, _export(tidy, "export-tsv")
 
 
 def q_export_tsv(spark, sf):

@@ -24,9 +24,11 @@ def export_delimited(df: DataFrame, path: str, sep: str = "\t", header: bool = T
                      mode: str = "overwrite") -> None:
     """Write ``df`` as escaped delimited text.
 
-    Sharded by default (one file per task, each with a header line).
-    ``single_file`` shuffles everything into one writer task; opt in only for
-    small outputs.  NULL is written as ``null_as`` (empty by default, the same
+    Sharded by default (one file per task, each with a header line; any
+    reader of the folder skips every file's header).  ``single_file`` gives the
+    reference's one-file output by shuffling everything into one writer task:
+    it serialises the write, so it is an opt-in for small outputs only and no
+    registered query uses it.  NULL is written as ``null_as`` (empty by default, the same
     as an empty string; pass ``\\N`` to keep them apart).  Spark's CSV writer
     is used after escaping, with quoting off and trimming off.
     """
