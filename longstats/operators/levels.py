@@ -117,16 +117,23 @@ def clean_levels(core: DataFrame, materialize: bool = True) -> LevelTables:
 
     The class filters are applied after aggregation: legal because commodity
     and class are group keys, so each group is kept or dropped whole.  The
-    multi-level roll-up is written once to the shared checkpoint folder
-    (``materialize``); otherwise Catalyst pushes each level filter below the
-    aggregate and the plan falls back to one scan per level.
+    redundant-total anti join runs once, on (level, commodity, class) with the
+    list tagged COUNTY, so state and national rows never match it.  The result
+    is written once to the shared checkpoint folder (``materialize``) and read by
+    all consumers (county table, residual sums, the known-class list for the
+    state and national semi joins).  Without it Catalyst pushes each level
+    filter below the aggregate and the plan falls back to one scan per level,
+    and the redundant-total list is recomputed for every consumer.
     """
-    rolled = rollup(core, LEVELS)
+    redundant = varied_commodities(core).withColumn("agg_level_desc", F.lit("COUNTY"))
+    kept = drop_redundant_totals(rollup(core, LEVELS), redundant,
+                                 on=("agg_level_desc", "commodity_desc", "class_desc"))
     if materialize:
         from longstats.session import materialize as write_back
-        rolled = write_back(rolled, "rollup_levels")
-    by_level = {lvl: rolled.filter(F.col("agg_level_desc") == lvl).drop("agg_level_desc") for lvl in LEVELS}
-    known_county = drop_redundant_totals(by_level["COUNTY"], varied_commodities(core))
+        # partitioned by level: every consumer's level filter prunes directories
+        kept = write_back(kept, "rollup_levels", partition_by=("agg_level_desc",))
+    by_level = {lvl: kept.filter(F.col("agg_level_desc") == lvl).drop("agg_level_desc") for lvl in LEVELS}
+    known_county = by_level["COUNTY"]
     return LevelTables(
         known_county=known_county,
         clean_state=keep_known_classes(by_level["STATE"], known_county),
