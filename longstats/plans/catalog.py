@@ -68,3 +68,12 @@ def clean_job(spark: SparkSession, sf_dir: str, min_year: int) -> CleanJob:
         with _lock:
             _jobs[key] = job
     return job
+
+
+def forget(spark: SparkSession, sf_dir: str) -> None:
+    """Drop this application's memo for ``sf_dir`` (the next call lands and builds again)."""
+    app = spark.sparkContext.applicationId
+    with _lock:
+        _landed.pop((app, sf_dir), None)
+        for key in [k for k in _jobs if k[0] == app and k[1] == sf_dir]:
+            del _jobs[key]
