@@ -91,13 +91,19 @@ def decorate(agg: DataFrame, keep_level: bool = False) -> DataFrame:
     return out.select(*cols)
 
 
-def rollup(core: DataFrame, levels: str | Iterable[str] = LEVELS) -> DataFrame:
+def rollup(core: DataFrame, levels: str | Iterable[str] = LEVELS, decorated: bool = True) -> DataFrame:
     """Pivot survey rows of one or more levels into the four measures, grouped by
-    level and the roll-up keys, in one scan and one shuffle."""
+    level and the roll-up keys, in one scan and one shuffle.
+
+    ``decorated=False`` returns only the keys and measures.  The derived columns
+    use ``transform`` (no generated code), so adding them directly above the
+    aggregate takes the final aggregation out of whole-stage codegen; derive
+    them later, where they are needed, with ``decorate``.
+    """
     levels = [levels] if isinstance(levels, str) else list(levels)
     keyed = _keyed(level_scope(core, levels))
     agg = conditional_pivot(keyed, ["agg_level_desc", *ROLLUP_KEYS], rollup_measures(F.col("num")))
-    return decorate(agg, keep_level=True)
+    return decorate(agg, keep_level=True) if decorated else agg
 
 
 def rollup_level(core: DataFrame, level: str) -> DataFrame:
@@ -123,15 +129,19 @@ def clean_levels(core: DataFrame, materialize: bool = True) -> LevelTables:
     all consumers (county table, residual sums, the known-class list for the
     state and national semi joins).  Without it Catalyst pushes each level
     filter below the aggregate and the plan falls back to one scan per level,
-    and the redundant-total list is recomputed for every consumer.
+    and the redundant-total list is recomputed for every consumer.  Only keys
+    and measures are stored; display names, dates and units are derived on
+    read (and pruned by consumers that do not use them).
     """
     redundant = varied_commodities(core).withColumn("agg_level_desc", F.lit("COUNTY"))
-    kept = drop_redundant_totals(rollup(core, LEVELS), redundant,
+    kept = drop_redundant_totals(rollup(core, LEVELS, decorated=False), redundant,
                                  on=("agg_level_desc", "commodity_desc", "class_desc"))
     if materialize:
         from longstats.session import materialize as write_back
         # partitioned by level: every consumer's level filter prunes directories
         kept = write_back(kept, "rollup_levels", partition_by=("agg_level_desc",))
+    # derived columns on read: a consumer that does not select them never computes them
+    kept = decorate(kept, keep_level=True)
     by_level = {lvl: kept.filter(F.col("agg_level_desc") == lvl).drop("agg_level_desc") for lvl in LEVELS}
     known_county = by_level["COUNTY"]
     return LevelTables(
