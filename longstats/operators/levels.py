@@ -60,14 +60,14 @@ def drop_redundant_totals(df: DataFrame, redundant: DataFrame,
                           on: Sequence[str] = ("commodity_desc", "class_desc")) -> DataFrame:
     """Anti join: drop rows whose (commodity, class) is a redundant total.
     Rows with a NULL key never match and are kept (NOT EXISTS semantics)."""
-    return df.join(redundant.select(*on), list(on), "left_anti")
+    return df.join(redundant.select(*on), list(on), "left_anti").select(*df.columns)
 
 
 def keep_known_classes(df: DataFrame, known: DataFrame,
                        on: Sequence[str] = ("commodity_desc", "class_desc")) -> DataFrame:
     """Semi join: keep rows whose raw (commodity, class) occurs in ``known``.
     NULL keys never match and are dropped (EXISTS semantics)."""
-    return df.join(known.select(*on).distinct(), list(on), "left_semi")
+    return df.join(known.select(*on).distinct(), list(on), "left_semi").select(*df.columns)
 
 
 def _keyed(scoped: DataFrame) -> DataFrame:
