@@ -36,6 +36,10 @@ def build_session(master: str | None = None, app_name: str = "longstats",
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "16g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # HotSpot does not JIT-compile methods over 8000 bytes of bytecode; a
+        # whole-stage-codegen method above that runs interpreted, so fall back
+        # to per-operator code instead (the value Spark documents for HotSpot)
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
     )
     for key, value in (extra or {}).items():
         builder = builder.config(key, value)

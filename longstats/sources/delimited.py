@@ -72,7 +72,13 @@ def split_escaped(line: Column, sep: str = "\t") -> Column:
 
 
 def unescape(field: Column) -> Column:
-    """Undo the backslash escapes of one field (see the module docstring)."""
+    """Undo the backslash escapes of one field (see the module docstring).
+
+    Pieces between escaped backslashes are unescaped separately and joined
+    with a single backslash.  (An equivalent chain of lookbehind
+    ``regexp_replace``s compiles to one generated method too large for the JIT
+    over 19 fields and ran 2.5x slower at sf0.1.)
+    """
     def piece(p: Column) -> Column:
         p = F.regexp_replace(p, r"\\t", "\t")
         p = F.regexp_replace(p, r"\\n", "\n")

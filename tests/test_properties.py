@@ -12,7 +12,7 @@ from longstats.functions import NUMBER_TEXT, parse_grouped_decimal, title_case
 from longstats.session import scratch_path
 from longstats.sources import export_delimited, read_escaped
 
-SETTINGS = settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
+SETTINGS = settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
 
 # Python model of the title-case rule: a character is upper-cased when it is
 # first or follows a delimiter; everything else is lower-cased.
@@ -70,7 +70,8 @@ def test_parse_matches_model(spark, values, scale):
 
 SCHEMA = StructType([StructField("name", StringType()), StructField("year", IntegerType(), False),
                      StructField("value", StringType())])
-RAW = st.text(alphabet=st.sampled_from(list("ab #\\\"'\t\n\r\x00N,|")), max_size=12)
+# letters of the escape sequences included, so text such as backslash + "t" is generated
+RAW = st.text(alphabet=st.sampled_from(list("ab #\\\"'\t\n\r\x00N,|tnr0")), max_size=12)
 
 
 @SETTINGS
