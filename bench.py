@@ -18,7 +18,6 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from pyspark.sql import functions as F  # noqa: E402
 
 from longstats.operators.levels import clean_levels, clean_levels_per_level  # noqa: E402
 from longstats.operators.residual import residual_backfill, tidy_table  # noqa: E402

@@ -1,7 +1,6 @@
 """Physical-plan properties: pushdown and pruning reach the scan, class lists are
 broadcast after AQE measures them, totals avoid single-partition windows."""
 
-import pytest
 
 from longstats.plans import catalog
 from longstats.plans.queries import QUERIES
