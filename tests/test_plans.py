@@ -45,3 +45,13 @@ def test_totals_use_aggregate_join_not_window(spark):
 def test_trend_shuffles_on_year_only(spark):
     plan = _plan(QUERIES["yield_trend"](spark, SF))
     assert "HashAggregate" in plan and "partial_sum" in plan
+
+
+def test_job_queries_never_funnel_into_one_partition(spark):
+    job_queries = ["classify_units", "effective_class", "drop_redundant_totals", "rollup_county", "rollup_state",
+                   "rollup_national", "rollup_level", "residual_full", "residual_left", "tidy_table", "tidy_union",
+                   "yield_trend", "yield_trend_converted", "reconcile_levels"]
+    for name in job_queries:
+        plan = _plan(QUERIES[name](spark, SF), executed=True)
+        assert "SinglePartition" not in plan, name
+        assert "Window" not in plan and "CartesianProduct" not in plan and "NestedLoopJoin" not in plan, name
