@@ -2,9 +2,11 @@
 
 Runs at $BENCH_SF_DIR (default /root/testdata/sf0.1) on local[$BENCH_CPUS] and
 prints one JSON line.  Every query result is fully computed with the ``noop``
-sink (no driver collection).  ``value`` is the wall time of the end-to-end
-job: landing the long table, the materialised roll-up, and the headline
-queries over it.  One-pass and three-pass roll-ups are also timed from the
+sink (no driver collection).  ``value`` is the wall time of the reference's
+clean script scope: landing the long table, the materialised roll-up
+(county/state/national tables), the tidy table with the residual counties,
+and the sharded export.  Every other headline query over the job is timed
+too (``queries``; their sum is ``all_headline_steps_sec``).  One-pass and three-pass roll-ups are also timed from the
 same core table.  Before timing, the same pipeline runs once on sf0.01 to
 warm the JVM (JIT, generated code); that time is reported as ``warmup_sec``.
 """
@@ -29,6 +31,7 @@ from longstats.schemas import LONG_SCHEMA  # noqa: E402
 from longstats.sources.export import export_delimited  # noqa: E402
 from longstats.sources.layout import load_table  # noqa: E402
 
+CLEAN_SCRIPT = ["land", "clean_job", "tidy_table", "export_tsv"]
 HEADLINE = ["rollup_county", "rollup_state", "rollup_national", "residual_left", "tidy_table", "yield_trend",
             "yield_trend_converted", "reconcile_levels", "source_stat_pivot", "state_profile",
             "partition_total", "grand_total"]
@@ -67,6 +70,8 @@ def main() -> None:
     warmup = round(sum(pipeline(spark, warm_dir).values()), 3) if os.path.isdir(warm_dir) else 0.0
 
     q = pipeline(spark, sf_dir)
+    # the reference's clean script: load, clean (roll-ups, residual), tidy table, export
+    script = round(sum(q[k] for k in CLEAN_SCRIPT), 3)
     total = round(sum(q.values()), 3)
     long = catalog.long_table(spark, sf_dir)
     rows = long.count()
@@ -89,9 +94,10 @@ def main() -> None:
         "tidy_one_pass_unmaterialized": timed(lambda: tidy_with(clean_levels(core, materialize=False))),
     }
     print(json.dumps({
-        "metric": "clean_job_end_to_end", "value": total, "unit": "sec",
+        "metric": "clean_script_end_to_end", "value": script, "unit": "sec",
         "queries": {**q, **extra}, "sf": sf, "rows": rows,
-        "rows_per_sec": round(rows / total, 1) if total else None,
+        "rows_per_sec": round(rows / script, 1) if script else None,
+        "all_headline_steps_sec": total,
         "warmup_sec": warmup, "warmup_dir": warm_dir, "cpus": os.environ.get("BENCH_CPUS", "8"),
     }))
     spark.stop()
