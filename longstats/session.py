@@ -49,16 +49,18 @@ def build_session(master: str | None = None, app_name: str = "longstats",
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the session; set a private one only if unset."""
+    """The shared checkpoint folder of the session (``spark.checkpoint.dir``, else
+    the context's checkpoint directory).  Only when neither is set (local runs
+    and tests) is a private folder created and registered as the context's
+    checkpoint directory."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        current = spark.sparkContext.getCheckpointDir()
-        if current:
-            return current
-        root = tempfile.mkdtemp(prefix="longstats-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    spark.sparkContext.setCheckpointDir(root)
-    return root
+    if root:
+        return root
+    current = spark.sparkContext.getCheckpointDir()
+    if current:
+        return current
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="longstats-ckpt-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
