@@ -168,14 +168,18 @@ def read_escaped(spark: SparkSession, path: str | Sequence[str], schema: StructT
 
 def read_with_quarantine(spark: SparkSession, path: str | Sequence[str], schema: StructType,
                          sep: str = "\t", header: bool = True, trim: bool = True,
-                         null_tokens: Iterable[str] = NULL_TOKENS,
-                         validate_utf8: bool = True) -> tuple[DataFrame, DataFrame]:
+                         null_tokens: Iterable[str] = NULL_TOKENS, validate_utf8: bool = True,
+                         materialize: bool = False) -> tuple[DataFrame, DataFrame]:
     """(good rows under ``schema``, rejected lines with ``line`` and ``reason``).
 
-    Both come from one parse; write or persist the parsed frame first when both
-    sides are consumed, to scan the input once.
+    Both sides are filters of one parse.  With ``materialize`` the parsed rows
+    are written once to the shared checkpoint folder, so consuming both sides
+    scans and parses the input once.
     """
     parsed = _parse(read_lines(spark, path), schema, sep, header, trim, null_tokens, validate_utf8, _paths(path))
+    if materialize:
+        from longstats.session import materialize as write_back
+        parsed = write_back(parsed, "quarantine-parse")
     good = parsed.filter(F.col("_reason").isNull()).select(*[f.name for f in schema.fields])
     bad = parsed.filter(F.col("_reason").isNotNull()).select(F.col("_line").alias("line"), F.col("_reason").alias("reason"))
     return good, bad

@@ -104,10 +104,11 @@ def test_quarantine_reasons(spark):
            b"\tNULL\t1\n"
            b"bad\xffutf\t2004\t1\n")
     _write(d, "a.txt", None, raw=raw)
-    good, bad = read_with_quarantine(spark, d, SMALL)
-    assert [tuple(r) for r in good.collect()] == [("good", 2001, "1")]
-    reasons = sorted(r.reason for r in bad.collect())
-    assert reasons == ["bad_value", "bad_value", "field_count", "field_count", "invalid_utf8"]
+    for materialize in (False, True):
+        good, bad = read_with_quarantine(spark, d, SMALL, materialize=materialize)
+        assert [tuple(r) for r in good.collect()] == [("good", 2001, "1")]
+        reasons = sorted(r.reason for r in bad.collect())
+        assert reasons == ["bad_value", "bad_value", "field_count", "field_count", "invalid_utf8"]
     with pytest.raises(Exception):
         read_escaped(spark, d, SMALL).collect()
     assert read_escaped(spark, d, SMALL, mode="DROPMALFORMED").count() == 1
