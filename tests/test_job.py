@@ -24,7 +24,7 @@ def _raw_line(**kv):
     return "\t".join(base[c] for c in RAW_COLUMNS)
 
 
-def test_raw_file_to_tidy_table(spark):
+def _raw_drops(spark):
     wheat = {"COMMODITY_DESC": "WHEAT", "CLASS_DESC": "SPRING, (EXCL DURUM)", "STATISTICCAT_DESC": "AREA HARVESTED",
              "UNIT_DESC": "ACRES", "YEAR": "2019"}
     lines = [
@@ -41,7 +41,11 @@ def test_raw_file_to_tidy_table(spark):
     os.makedirs(drops, exist_ok=True)
     with gzip.open(os.path.join(drops, "part-0.txt.gz"), "wt", encoding="utf-8") as fh:
         fh.write(header + "\n" + "\n".join(lines) + "\n")
+    return drops
+
 
+def test_raw_file_to_tidy_table(spark):
+    drops = _raw_drops(spark)
     raw = load_table(spark, drops, scratch_path(spark, "raw-table"), RAW_SCHEMA)
     assert raw.count() == 5 and raw.columns == [f.name for f in RAW_SCHEMA.fields]
     job = build_clean_job(core_scope(raw, min_year=1990))
@@ -64,3 +68,15 @@ def test_raw_file_to_tidy_table(spark):
     back = read_escaped(spark, out, TIDY_SCHEMA)
     assert sorted(map(tuple, back.collect()), key=str) == sorted(map(tuple, tidy.collect()), key=str)
     assert back.filter(F.col("fips_county_code").isNull()).count() == 1
+
+
+def test_run_job_writes_all_outputs(spark):
+    from longstats.plans.job import run_job
+    out = run_job(spark, _raw_drops(spark), scratch_path(spark, "job-out"))
+    tidy = spark.read.parquet(out.clean_county)
+    assert tidy.count() == 3
+    assert spark.read.parquet(out.known_county).count() == 2
+    assert spark.read.parquet(out.clean_state).count() == 1
+    back = read_escaped(spark, out.export, TIDY_SCHEMA)
+    assert sorted(map(tuple, back.collect()), key=str) == sorted(
+        map(tuple, tidy.select(*TIDY_COLUMNS).collect()), key=str)
