@@ -1,4 +1,4 @@
-"""The cleaning job as one runnable unit (``spark-submit -m`` style).
+"""The cleaning job as one runnable unit.
 
     python -m longstats.plans.job --input s3://bucket/drops/ --output s3://bucket/clean/ [--min-year 1990]
 
