@@ -3,12 +3,13 @@
 Runs at $BENCH_SF_DIR (default /root/testdata/sf0.1) on local[$BENCH_CPUS] and
 prints one JSON line.  Every query result is fully computed with the ``noop``
 sink (no driver collection).  ``value`` is the wall time of the reference's
-clean script scope: landing the long table, the materialised roll-up
+clean-script scope: landing the long table, the materialised roll-up
 (county/state/national tables), the tidy table with the residual counties,
 and the sharded export.  Every other headline query over the job is timed
-too (``queries``; their sum is ``all_headline_steps_sec``).  One-pass and three-pass roll-ups are also timed from the
-same core table.  Before timing, the same pipeline runs once on sf0.01 to
-warm the JVM (JIT, generated code); that time is reported as ``warmup_sec``.
+too (``queries``; their sum is ``all_headline_steps_sec``), as are the TSV
+load path and one-pass vs three-pass roll-ups from the same core table.
+Before timing, the same pipeline runs once on sf0.01 to warm the JVM (JIT,
+generated code); that time is reported as ``warmup_sec``.
 """
 
 from __future__ import annotations
@@ -20,7 +21,6 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-
 from longstats.operators.levels import clean_levels, clean_levels_per_level  # noqa: E402
 from longstats.operators.residual import residual_backfill, tidy_table  # noqa: E402
 from longstats.operators.scope import core_scope  # noqa: E402
