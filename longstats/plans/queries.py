@@ -332,6 +332,16 @@ def q_names_shared(spark, sf):
     return pf.names_shared(_long(spark, sf))
 
 
+# The derived view has no country column; as FIXTURES §4 suggests, the country
+# profile adds a constant one (every fixture row is domestic).
+FIXTURE_COUNTRY = "UNITED STATES"
+
+
+def q_country_profile(spark, sf):
+    with_country = _long(spark, sf).withColumn("country_name", F.lit(FIXTURE_COUNTRY))
+    return pf.distinct_combos(with_country, ["country_name"])
+
+
 def q_census_years(spark, sf):
     return (pf.distinct_combos(_long(spark, sf), ["year"], F.col("source_desc") == "CENSUS")
             .orderBy(asc_ref("year")))
@@ -640,6 +650,7 @@ FROM a FULL JOIN b ON a.year IS NOT DISTINCT FROM b.year AND a.commodity_name IS
     "names_shared": o.WITH_LONG + ("SELECT county_name, COUNT(DISTINCT state_name) AS state_count FROM long "
                                    "GROUP BY 1"),
     "census_years": o.WITH_LONG + "SELECT year FROM long WHERE source_desc = 'CENSUS' GROUP BY 1",
+    "country_profile": o.WITH_LONG + f"SELECT '{FIXTURE_COUNTRY}' AS country_name FROM long GROUP BY 1",
     "state_profile": o.WITH_LONG + f""",
 scy AS (SELECT state_name, year, commodity_desc, CAST(year AS VARCHAR) || '-' || commodity_desc AS yc FROM long
         WHERE year >= {MIN_YEAR} AND {o.CROP} GROUP BY 1, 2, 3)
