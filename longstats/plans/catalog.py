@@ -22,7 +22,7 @@ from longstats.session import scratch_path
 from longstats.sources.layout import write_table
 
 _lock = threading.Lock()
-_landed: dict[tuple[str, str], str] = {}
+_landed: dict[tuple[str, str], DataFrame] = {}
 _jobs: dict[tuple[str, str, int], "CleanJob"] = {}
 
 
@@ -30,15 +30,17 @@ def long_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The long statistics table of ``sf_dir``, landed once per application."""
     key = (spark.sparkContext.applicationId, sf_dir)
     with _lock:
-        path = _landed.get(key)
-        if path is None:
+        table = _landed.get(key)
+        if table is None:
             path = scratch_path(spark, "long")
             # the view comes out of a hash shuffle on the order key (balanced
             # partitions), so no second shuffle is needed before the write
             write_table(long_view(spark, sf_dir), path, repartition=False)
-            _landed[key] = path
-    # partition columns come back last; restore the declared order
-    return spark.read.parquet(path).select(*LONG_COLUMNS)
+            # partition columns come back last; restore the declared order.  The
+            # table is immutable, so its file listing is taken once and reused.
+            table = spark.read.parquet(path).select(*LONG_COLUMNS)
+            _landed[key] = table
+    return table
 
 
 @dataclass
