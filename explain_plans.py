@@ -19,7 +19,7 @@ HEADLINE = {
     "residual_left": "state minus county sums: aggregate + left join",
     "tidy_table": "known counties UNION ALL residual counties",
     "yield_trend": "flagship: trend over the tidy table",
-    "grand_total": "grand total as a one-row broadcast aggregate (no unpartitioned window)",
+    "grand_total": "grand total as a scalar subquery (no join, no unpartitioned window)",
     "partition_total": "partition totals as aggregate + join back (no hot-key window)",
     "state_profile": "coverage arrays over distinct (state, year, commodity) triples",
 }

@@ -1,11 +1,10 @@
-"""Totals beside groups: grand total and partition totals.
+"""Totals beside groups: grand total and partition totals, without windows.
 
-Both are written as an aggregate joined back instead of an un-ordered window.
 ``sum().over(Window.partitionBy())`` moves every row into a single partition,
 and ``sum().over(Window.partitionBy(k))`` puts all rows of a hot key into one
-task.  An aggregate combines map-side first, and the join back is either a
-broadcast of the (small, AQE-measured) totals or a sort-merge join whose
-skewed partitions AQE splits.
+task.  Instead, the grand total is a scalar subquery, and partition totals are
+an aggregate (combined map-side first) joined back: a broadcast of the small,
+AQE-measured totals, or a sort-merge join whose skewed partitions AQE splits.
 """
 
 from __future__ import annotations
@@ -15,17 +14,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_KEY = "__total_key"
-
 
 def with_grand_total(df: DataFrame, measure: str, name: str) -> DataFrame:
     """Append ``sum(measure)`` over all rows as column ``name``.
 
-    The total is a one-row aggregate, a proven size bound, so it is broadcast
-    and matched on a constant key.
+    The total is a scalar subquery (a partial-then-final aggregate that yields
+    one value); every row then reads that value, with no join and no window.
     """
-    total = df.agg(F.sum(measure).alias(name)).withColumn(_KEY, F.lit(0))
-    return df.withColumn(_KEY, F.lit(0)).join(F.broadcast(total), _KEY, "inner").drop(_KEY)
+    return df.withColumn(name, df.agg(F.sum(measure)).scalar())
 
 
 def with_partition_total(df: DataFrame, by: Sequence[str], measure: str, name: str) -> DataFrame:
