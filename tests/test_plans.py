@@ -55,3 +55,15 @@ def test_job_queries_never_funnel_into_one_partition(spark):
         plan = _plan(QUERIES[name](spark, SF), executed=True)
         assert "SinglePartition" not in plan, name
         assert "Window" not in plan and "CartesianProduct" not in plan and "NestedLoopJoin" not in plan, name
+
+
+def test_fixture_joins_lineitem_once_without_broadcasting_it(spark):
+    from longstats.plans.fixture import long_view
+    df = long_view(spark, SF)
+    df.collect()
+    tree = df._jdf.queryExecution().executedPlan().toString()
+    # lineitem streams through one shuffled hash join on the order key; only the
+    # customer and nation sides of the orders enrichment are broadcast
+    assert tree.count("ShuffledHashJoin") == 1
+    assert tree.count("BroadcastExchange") == 2
+    assert "hashpartitioning(l_orderkey" in tree and "hashpartitioning(o_orderkey" in tree
