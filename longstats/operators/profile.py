@@ -150,7 +150,9 @@ def source_stat_pivot(core: DataFrame, level: str = "COUNTY") -> DataFrame:
                        & F.col("statisticcat_desc").isin(list(ROLLUP_STATISTICS))
                        & (F.col("reference_period_desc") == ANNUAL_PERIOD)
                        & (F.col("unit_desc") == "ACRES"))
-    measures = source_stat_measures(parse_grouped_decimal("value", 38, 0))
+    # parse once per row; the eight measures all read the parsed value
+    rows = rows.withColumn("num", parse_grouped_decimal("value", 38, 0))
+    measures = source_stat_measures(F.col("num"))
     out = conditional_pivot(rows, SOURCE_STAT_KEYS, measures)
     return out.withColumn("year_date", year_date("year")).select(
         "year", "year_date", *SOURCE_STAT_KEYS[1:], *measures.keys())
