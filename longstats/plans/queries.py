@@ -176,10 +176,10 @@ def q_normalise_nulls(spark, sf):
 # ----------------------------------------------------------------- pivots & classes
 
 def q_conditional_pivot(spark, sf):
-    core = _core(spark, sf)
-    n = parse_grouped_decimal("value")
+    core = _core(spark, sf).withColumn("num", parse_grouped_decimal("value"))   # parsed once per row
     planted = (F.col("statisticcat_desc") == "AREA PLANTED") & (F.col("unit_desc") == "ACRES")
-    measures = {f"{lvl.lower()}_planted": (planted & (F.col("agg_level_desc") == lvl), n) for lvl in lv.LEVELS}
+    measures = {f"{lvl.lower()}_planted": (planted & (F.col("agg_level_desc") == lvl), F.col("num"))
+                for lvl in lv.LEVELS}
     return comparable(conditional_pivot(core, ["year", "commodity_desc"], measures))
 
 
