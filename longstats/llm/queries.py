@@ -6,9 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bloom_lm import score
 from .common import read_table
+from .decontaminate import contamination
 from .mixing import mixed
 from .oracles import ORACLES
+from .simhash import near_duplicates
+from .suffix_dedup import repeats
 from .url_rules import url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,9 +26,29 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(read_table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats(read_table(spark, sf_dir, "documents"))
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents"), shingle=4, distance=4)
+
+
+def op10_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_url_rules": op1_url_rules,
     "op2_mixing": op2_mixing,
+    "op5_suffix_dedup": op5_suffix_dedup,
+    "op7_decontaminate": op7_decontaminate,
+    "op9_simhash": op9_simhash,
+    "op10_bloom_lm": op10_bloom_lm,
 }
 
 __all__ = ["ORACLES", "QUERIES"]
