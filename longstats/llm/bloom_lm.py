@@ -50,7 +50,7 @@ PROBES = 4
 BITS_PER_ENTRY = 8
 GROWTH = 1.25
 FREQUENT = 1 << 20
-MU = 8.0
+MU = 16.0
 CHUNK_BYTES = 4 << 20
 WORD, PAIR, CONTEXT = 1, 2, 3
 END = np.uint64(0x9E3779B97F4A7C15)
