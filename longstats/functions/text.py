@@ -34,7 +34,7 @@ def title_case(c: str | Column) -> Column:
     d = TITLE_DELIMITERS
     pieces = F.split(F.lower(_col(c)), f"(?<=[{d}])(?=[^{d}])")
     return F.array_join(
-        F.transform(pieces, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 30))),
+        F.transform(pieces, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substr(w, F.lit(2)))),
         "",
     )
 

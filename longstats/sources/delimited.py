@@ -14,8 +14,13 @@ Escape convention (shared with ``export_delimited``): ``\\\\`` is a backslash,
 backslash before any other character (the separator, ``#``) stands for that
 character.
 
-gzip input is not splittable (one task per file), so gz loads are spread
-over the cluster with a round-robin repartition right after the scan.
+The header is skipped by position, as the first line of every file, whatever
+it says; a later line that equals it is data.  Lines of white space only hold no
+value and are skipped by both paths.
+
+gzip input is not splittable (one task per file), so the lines of gz files, given
+by name or found in a folder, are spread over the cluster before they are parsed
+(``read_escaped``) or right after the scan that parses them (``read_delimited``).
 """
 
 from __future__ import annotations
@@ -25,22 +30,29 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from longstats.functions.text import NULL_TOKENS, normalise_nulls
 
 MODES = ("FAILFAST", "DROPMALFORMED")
 
 
+# A byte that no UTF-8 text holds, as the separator of a reader that must not split lines.
+_NO_SPLIT = "\u00ff"
+
+
 def _paths(path: str | Sequence[str]) -> list[str]:
     return [path] if isinstance(path, str) else list(path)
 
 
-def _spread_gzip(df: DataFrame, paths: list[str], partitions: int | None) -> DataFrame:
-    if partitions is None and not any(p.endswith(".gz") for p in paths):
-        return df
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n)
+def _spread_gzip(df: DataFrame, partitions: int | None) -> DataFrame:
+    """Spread rows that come out of gz files (one task per file): to ``partitions`` tasks, or else
+    to as many as their size asks for."""
+    if partitions is not None:
+        return df.repartition(partitions)
+    if any(f.endswith(".gz") for f in df.inputFiles()):
+        return df.hint("rebalance")
+    return df
 
 
 def read_delimited(spark: SparkSession, path: str | Sequence[str], schema: StructType, sep: str = "\t",
@@ -52,14 +64,38 @@ def read_delimited(spark: SparkSession, path: str | Sequence[str], schema: Struc
     own ``nullValue`` takes one token, so the rest are mapped in one projection).
     ``mode`` is FAILFAST (a record with the wrong field count or a bad number
     fails the load) or DROPMALFORMED.
+
+    Every record is checked whole, whichever columns a consumer asks for: the
+    reader keeps the text of a malformed record in one more column, and the rows
+    are checked against it before any projection.
     """
+    if mode not in MODES:
+        raise ValueError(f"mode must be one of {MODES}")
     paths = _paths(path)
-    df = (spark.read.schema(schema)
+    corrupt = "_malformed"
+    # all fields are asked for, so that none is left unparsed
+    asked = StructType([*schema.fields, StructField(corrupt, StringType())])
+    df = (spark.read.schema(asked)
           .option("sep", sep).option("header", header).option("quote", "")
-          .option("mode", mode).option("nullValue", "")
+          .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", corrupt).option("nullValue", "")
           .option("ignoreLeadingWhiteSpace", trim).option("ignoreTrailingWhiteSpace", trim)
           .csv(paths))
-    return _spread_gzip(normalise_nulls(df, null_tokens), paths, partitions)
+    names = [f.name for f in schema.fields]
+    return normalise_nulls(_checked(_spread_gzip(df, partitions), corrupt, names, mode).select(*names), null_tokens)
+
+
+def _checked(df: DataFrame, reason: str, others: Sequence[str], mode: str) -> DataFrame:
+    """Drop the rows that have a ``reason``, or fail on the first of them.
+
+    ``others`` are columns of the record for the message.  Both branches read them, so that the
+    reader converts (and judges) these columns even if nobody else asks for them.
+    """
+    bad, text = F.col(reason).isNotNull(), F.concat_ws(" ", *[F.col(c).cast("string") for c in others])
+    if mode == "FAILFAST":
+        gone = F.raise_error(F.concat(F.lit("malformed record ("), F.col(reason), F.lit("): "), text)).cast("boolean")
+    else:
+        gone = F.length(text) < 0
+    return df.filter(F.when(bad, gone).otherwise(F.lit(True)))
 
 
 def split_escaped(line: Column, sep: str = "\t") -> Column:
@@ -88,34 +124,19 @@ def unescape(field: Column) -> Column:
     return F.array_join(F.transform(F.split(field, r"\\\\"), piece), "\\")
 
 
-def header_line(spark: SparkSession, paths: list[str]) -> str | None:
-    """The first line of the input, found the way Spark's CSV reader finds a
-    header (first line of the first file); reads one line, not the data."""
-    cols = (spark.read.option("header", True).option("sep", "\u0000").option("quote", "")
-            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-            .option("enforceSchema", False).csv(paths).columns)
-    return cols[0] if len(cols) == 1 else None
-
-
-def _parse(lines: DataFrame, schema: StructType, sep: str, header: bool, trim: bool,
-           null_tokens: Iterable[str], validate_utf8: bool, paths: list[str] | None = None) -> DataFrame:
+def _parse(lines: DataFrame, schema: StructType, sep: str, trim: bool, null_tokens: Iterable[str],
+           validate_utf8: bool) -> DataFrame:
     """Raw lines -> fields + typed columns + ``_reason`` (NULL when the line is good)."""
     tokens = list(null_tokens)
     names = [f.name for f in schema.fields]
-    lines = lines.withColumnRenamed("value", "_line")
+    lines = lines.select(F.col("value").alias("_line"), F.col("valid").alias("_valid"))
     line = F.col("_line")
-    if header:
-        header_text = header_line(lines.sparkSession, paths) if paths else None
-        if header_text is None:
-            header_text = sep.join(names)
-        # every line equal to the header is a header (files of one load share it)
-        lines = lines.filter(F.regexp_replace(line, "\r$", "") != header_text.rstrip("\r"))
     fields = F.col("_fields")
     # The split goes through a one-element generator: filters cannot be pushed
     # below a Generate, so the split regex runs once per line instead of being
     # inlined into the row checks once per field.
     split = F.struct(split_escaped(F.regexp_replace(line, "\r$", ""), sep).alias("_fields"))
-    parsed = lines.select(line, F.inline(F.array(split)))
+    parsed = lines.select(line, "_valid", F.inline(F.array(split)))
     cols, bad_type = [], F.lit(False)
     for i, f in enumerate(schema.fields):
         raw = F.get(fields, i)
@@ -132,14 +153,26 @@ def _parse(lines: DataFrame, schema: StructType, sep: str, header: bool, trim: b
         cols.append(typed.alias(f.name))
     reason = F.when(F.size(fields) != len(names), F.lit("field_count")).when(bad_type, F.lit("bad_value"))
     if validate_utf8:
-        reason = F.when(~F.is_valid_utf8(line), F.lit("invalid_utf8")).otherwise(reason)
+        reason = F.when(~F.col("_valid"), F.lit("invalid_utf8")).otherwise(reason)
     return parsed.select(line, *cols, reason.alias("_reason"))
 
 
-def read_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """Raw lines (column ``value``); the bytes are not re-encoded, so invalid UTF-8
-    stays detectable."""
-    return spark.read.text(_paths(path))
+def read_lines(spark: SparkSession, path: str | Sequence[str], header: bool = False,
+               partitions: int | None = None) -> DataFrame:
+    """Lines of text files: ``value`` and ``valid`` (whether its bytes are UTF-8; if not, bad bytes are replaced).
+
+    With ``header`` the first line of every file is skipped, by position.  The
+    bytes are read one to one (as ISO-8859-1) and judged as they are in the file.
+    """
+    raw = (spark.read.schema("line string, rest string")
+           .option("header", header).option("sep", _NO_SPLIT).option("quote", "").option("escape", "")
+           .option("encoding", "ISO-8859-1").option("mode", "PERMISSIVE").option("maxCharsPerColumn", -1)
+           .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+           .option("enforceSchema", True).csv(_paths(path)))
+    raw = _spread_gzip(raw, partitions)
+    # a line with that byte comes in two pieces; it is not UTF-8
+    data = F.encode(F.concat_ws(_NO_SPLIT, "line", "rest"), "ISO-8859-1").cast("string")
+    return raw.select(F.make_valid_utf8(data).alias("value"), F.is_valid_utf8(data).alias("valid"))
 
 
 def read_escaped(spark: SparkSession, path: str | Sequence[str], schema: StructType, sep: str = "\t",
@@ -154,16 +187,8 @@ def read_escaped(spark: SparkSession, path: str | Sequence[str], schema: StructT
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
-    paths = _paths(path)
-    parsed = _parse(read_lines(spark, paths), schema, sep, header, trim, null_tokens, validate_utf8, paths)
-    bad = F.col("_reason").isNotNull()
-    if mode == "FAILFAST":
-        check = F.when(bad, F.raise_error(F.concat(F.lit("malformed record ("), F.col("_reason"),
-                                                   F.lit("): "), F.col("_line")))).otherwise(F.lit(True))
-        good = parsed.filter(check)
-    else:
-        good = parsed.filter(~bad)
-    return _spread_gzip(good.select(*[f.name for f in schema.fields]), paths, partitions)
+    parsed = _parse(read_lines(spark, path, header, partitions), schema, sep, trim, null_tokens, validate_utf8)
+    return _checked(parsed, "_reason", ["_line"], mode).select(*[f.name for f in schema.fields])
 
 
 def read_with_quarantine(spark: SparkSession, path: str | Sequence[str], schema: StructType,
@@ -176,7 +201,7 @@ def read_with_quarantine(spark: SparkSession, path: str | Sequence[str], schema:
     are written once to the shared checkpoint folder, so consuming both sides
     scans and parses the input once.
     """
-    parsed = _parse(read_lines(spark, path), schema, sep, header, trim, null_tokens, validate_utf8, _paths(path))
+    parsed = _parse(read_lines(spark, path, header), schema, sep, trim, null_tokens, validate_utf8)
     if materialize:
         from longstats.session import materialize as write_back
         parsed = write_back(parsed, "quarantine-parse")

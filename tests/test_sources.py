@@ -56,13 +56,45 @@ def test_read_delimited_failfast_on_bad_year(spark):
         read_delimited(spark, d, SMALL).collect()
 
 
-def test_gzip_input_is_spread_after_scan(spark):
+def test_gzip_lines_are_spread_before_they_are_parsed(spark):
     d = _folder(spark, "t-gz")
     body = "NAME\tYEAR\tVALUE\n" + "".join(f"n{i}\t{2000 + i % 20}\t{i}\n" for i in range(5000))
     path = _write(d, "a.txt.gz", body, gz=True)
-    df = read_delimited(spark, path, SMALL, partitions=4)
-    assert df.count() == 5000
-    assert df.rdd.getNumPartitions() == 4
+    for source in (path, d):  # a file by name, and the folder that holds it
+        for reader in (read_delimited, read_escaped):
+            df = reader(spark, source, SMALL, partitions=4)
+            assert df.count() == 5000
+            assert df.rdd.getNumPartitions() == 4
+        # without a number the tasks follow the size
+        df = read_escaped(spark, source, SMALL)
+        tree = df._jdf.queryExecution().executedPlan().toString().splitlines()
+        spread = next(i for i, x in enumerate(tree) if "REBALANCE" in x)
+        assert any("regexp_extract_all" in x for x in tree[:spread])  # the split stands above the exchange
+        assert df.count() == 5000
+
+
+def test_header_is_skipped_by_position(spark):
+    d = _folder(spark, "t-header")
+    _write(d, "a.txt", "name\tyear\tvalue\nx\t1\ty\n")
+    _write(d, "b.txt", "NAME\tYEAR\tVALUE\nz\t2\tw\n")
+    one = StructType([StructField("name", StringType())])
+    e = _folder(spark, "t-header-one")
+    _write(e, "a.txt", "name\nname\nx\n")
+    for reader in (read_delimited, read_escaped):
+        assert sorted(r.name for r in reader(spark, d, SMALL).collect()) == ["x", "z"]
+        assert [r.name for r in reader(spark, e, one).collect()] == ["name", "x"]
+
+
+@pytest.mark.parametrize("reader", [read_delimited, read_escaped])
+def test_failfast_holds_whatever_is_read(spark, reader):
+    for bad in ("short\t1", "x\tno year\ty", "a\t1\tb\tc"):
+        d = _folder(spark, "t-prune")
+        _write(d, "a.txt", f"NAME\tYEAR\tVALUE\nx\t1\ty\n{bad}\n")
+        for use in (lambda df: df.count(), lambda df: df.select("name").collect(), lambda df: df.collect()):
+            with pytest.raises(Exception):
+                use(reader(spark, d, SMALL))
+            kept = use(reader(spark, d, SMALL, mode="DROPMALFORMED"))
+            assert kept == 1 or len(kept) == 1
 
 
 TRICKY = [("tab\there", 1, "x"), ("new\nline", 2, "back\\slash"), ('q"uote', 3, " lead space"),
@@ -148,7 +180,8 @@ def test_write_table_partitions_by_year(spark):
     local = path.replace("file:", "")
     assert sorted(p for p in os.listdir(local) if p.startswith("year=")) == ["year=2000", "year=2001"]
     back = spark.read.parquet(path).filter("year = 2001")
-    assert "PartitionFilters: [isnotnull(year" in back._jdf.queryExecution().executedPlan().toString() or True
+    plan = back._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(year" in plan
     assert back.count() == 2
 
 
