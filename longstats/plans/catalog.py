@@ -9,9 +9,11 @@ and the cleaning job's roll-up is written there once, then reused.
 from __future__ import annotations
 
 import threading
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from longstats.operators.levels import LevelTables, clean_levels
 from longstats.operators.residual import residual_backfill, tidy_table
@@ -21,26 +23,49 @@ from longstats.schemas import LONG_COLUMNS
 from longstats.session import scratch_path
 from longstats.sources.layout import write_table
 
-_lock = threading.Lock()
-_landed: dict[tuple[str, str], DataFrame] = {}
-_jobs: dict[tuple[str, str, int], "CleanJob"] = {}
+INPUTS = ("lineitem", "orders", "customer", "nation")
 
+_lock = threading.Lock()  # guards the dictionaries only; nothing is read or written under it
+_building: dict[tuple, threading.Lock] = {}
+_landed: dict[tuple, DataFrame] = {}
+_jobs: dict[tuple, "CleanJob"] = {}
 
-def long_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The long statistics table of ``sf_dir``, landed once per application."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+
+def input_listing(spark: SparkSession, sf_dir: str) -> int:
+    """A number that changes with the input files: a hash of their paths, sizes and times (metadata only)."""
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
+             .load([f"{sf_dir}/{t}.parquet" for t in INPUTS]))
+    return files.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("path", "length", "modificationTime"))
+                     ).select(F.xxhash64("*")).first()[0]
+
+
+def _once(memo: dict, key: tuple, build: Callable):
+    """``memo[key]``, built by one caller at a time per key; other keys are not held up."""
     with _lock:
-        table = _landed.get(key)
-        if table is None:
-            path = scratch_path(spark, "long")
-            # the view comes out of a hash shuffle on the order key (balanced
-            # partitions), so no second shuffle is needed before the write
-            write_table(long_view(spark, sf_dir), path, repartition=False)
-            # partition columns come back last; restore the declared order.  The
-            # table is immutable, so its file listing is taken once and reused.
-            table = spark.read.parquet(path).select(*LONG_COLUMNS)
-            _landed[key] = table
-    return table
+        if key in memo:
+            return memo[key]
+        own = _building.setdefault((id(memo), *key), threading.Lock())
+    with own:
+        with _lock:
+            if key in memo:
+                return memo[key]
+        value = build()
+        with _lock:
+            memo[key] = value
+        return value
+
+
+def long_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The long statistics table of ``sf_dir``, landed once per application and state of the input files."""
+    def land() -> DataFrame:
+        path = scratch_path(spark, "long")
+        # the view comes out of a hash shuffle on the order key (balanced
+        # partitions), so no second shuffle is needed before the write
+        write_table(long_view(spark, sf_dir), path, repartition=False)
+        # partition columns come back last; restore the declared order.  The
+        # table is immutable, so its file listing is taken once and reused.
+        return spark.read.parquet(path).select(*LONG_COLUMNS)
+    return _once(_landed, (spark.sparkContext.applicationId, sf_dir, input_listing(spark, sf_dir)), land)
 
 
 @dataclass
@@ -51,31 +76,26 @@ class CleanJob:
     tidy: DataFrame
 
 
-def build_clean_job(core: DataFrame, materialize: bool = True) -> CleanJob:
-    """The whole cleaning job over a core-scoped table."""
-    levels = clean_levels(core, materialize=materialize)
+def build_clean_job(core: DataFrame, materialize: bool = True, root: str | None = None) -> CleanJob:
+    """The whole cleaning job over a core-scoped table (intermediate tables under ``root``, if given)."""
+    levels = clean_levels(core, materialize=materialize, root=root)
     unspecified = residual_backfill(levels.clean_state, levels.known_county, how="left")
     return CleanJob(core=core, levels=levels, unspecified=unspecified,
                     tidy=tidy_table(levels.known_county, unspecified))
 
 
 def clean_job(spark: SparkSession, sf_dir: str, min_year: int) -> CleanJob:
-    """The cleaning job over ``sf_dir``, built (and its roll-up written) once per application."""
-    key = (spark.sparkContext.applicationId, sf_dir, min_year)
-    with _lock:
-        job = _jobs.get(key)
-    if job is None:
-        core = core_scope(long_table(spark, sf_dir), min_year=min_year)
-        job = build_clean_job(core)
-        with _lock:
-            _jobs[key] = job
-    return job
+    """The cleaning job over ``sf_dir``, built (and its roll-up written) once per application and input state."""
+    def build() -> CleanJob:
+        return build_clean_job(core_scope(long_table(spark, sf_dir), min_year=min_year))
+    key = (spark.sparkContext.applicationId, sf_dir, input_listing(spark, sf_dir), min_year)
+    return _once(_jobs, key, build)
 
 
 def forget(spark: SparkSession, sf_dir: str) -> None:
     """Drop this application's memo for ``sf_dir`` (the next call lands and builds again)."""
     app = spark.sparkContext.applicationId
     with _lock:
-        _landed.pop((app, sf_dir), None)
-        for key in [k for k in _jobs if k[0] == app and k[1] == sf_dir]:
-            del _jobs[key]
+        for memo in (_landed, _jobs):
+            for key in [k for k in memo if k[:2] == (app, sf_dir)]:
+                del memo[key]

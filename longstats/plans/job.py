@@ -6,7 +6,8 @@ Steps: load the raw delimited drops under the 39-column schema into a laid-out
 Parquet table (truncate-and-load), scope the core rows, build the level tables
 with one roll-up pass, backfill the residual counties, write the level tables
 and the tidy county table as Parquet, and export the tidy table as escaped,
-gzipped, tab-separated text with a header in every file.
+gzipped, tab-separated text with a header in every file.  Intermediate tables
+are staged under the output folder and removed at the end.
 """
 
 from __future__ import annotations
@@ -20,7 +21,11 @@ from longstats.operators.scope import DEFAULT_MIN_YEAR, core_scope
 from longstats.plans.catalog import build_clean_job
 from longstats.schemas import RAW_SCHEMA
 from longstats.sources.export import export_delimited
-from longstats.sources.layout import load_table
+from longstats.session import remove_path
+from longstats.sources.layout import load_table, write_table
+
+#: Clustering of the tidy table inside its years.
+TIDY_CLUSTER = ("fips_county_code",)
 
 
 @dataclass
@@ -40,14 +45,18 @@ def run_job(spark: SparkSession, input_path: str, output: str, min_year: int = D
     paths = JobOutputs(raw_table=f"{out}/raw", known_county=f"{out}/known_county",
                        clean_state=f"{out}/clean_state", clean_national=f"{out}/clean_national",
                        clean_county=f"{out}/clean_county", export=f"{out}/export/clean_county")
-    raw = load_table(spark, input_path, paths.raw_table, RAW_SCHEMA, escaped=escaped)
-    job = build_clean_job(core_scope(raw, min_year=min_year))
-    job.levels.known_county.write.mode("overwrite").partitionBy("year").parquet(paths.known_county)
-    job.levels.clean_state.write.mode("overwrite").partitionBy("year").parquet(paths.clean_state)
-    job.levels.clean_national.write.mode("overwrite").parquet(paths.clean_national)
-    job.tidy.write.mode("overwrite").partitionBy("year").parquet(paths.clean_county)
-    tidy = spark.read.parquet(paths.clean_county).select(*job.tidy.columns)
-    export_delimited(tidy, paths.export)
+    staging = f"{out}/_stage"
+    try:
+        raw = load_table(spark, input_path, paths.raw_table, RAW_SCHEMA, escaped=escaped)
+        job = build_clean_job(core_scope(raw, min_year=min_year), root=staging)
+        write_table(job.levels.known_county, paths.known_county, cluster_by=("state_name", "commodity_desc"))
+        write_table(job.levels.clean_state, paths.clean_state, cluster_by=("state_name", "commodity_desc"))
+        write_table(job.levels.clean_national, paths.clean_national, cluster_by=("commodity_desc",))
+        write_table(job.tidy, paths.clean_county, cluster_by=TIDY_CLUSTER)
+        tidy = spark.read.parquet(paths.clean_county).select(*job.tidy.columns)
+        export_delimited(tidy, paths.export)
+    finally:
+        remove_path(spark, staging)
     return paths
 
 

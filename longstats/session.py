@@ -2,7 +2,8 @@
 
 Intermediate tables are written under the folder the cluster names in
 ``spark.checkpoint.dir`` (read from the session).  A private folder is only
-created when that setting is absent, which happens in local tests.
+created when that setting is absent and the master is local; on a cluster
+without the setting an error says so, because executors don't share local disks.
 """
 
 from __future__ import annotations
@@ -49,16 +50,17 @@ def build_session(master: str | None = None, app_name: str = "longstats",
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the session (``spark.checkpoint.dir``, else
-    the context's checkpoint directory).  Only when neither is set (local runs
-    and tests) is a private folder created and registered as the context's
-    checkpoint directory."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared checkpoint folder of the session: ``spark.checkpoint.dir``, else the context's checkpoint directory.
+
+    When neither is set, a local master gets a private folder, registered as the context's checkpoint directory;
+    any other master (a cluster, local-cluster included) raises.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if root:
         return root
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="longstats-ckpt-"))
     return spark.sparkContext.getCheckpointDir()
 
@@ -69,15 +71,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark).rstrip('/')}/longstats/{app}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def materialize(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
-    """Write ``df`` as Parquet under the shared folder and read it back.
+def remove_path(spark: SparkSession, path: str) -> bool:
+    """Delete a folder through its own file system; False if there is none."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def materialize(df: DataFrame, name: str, partition_by: tuple[str, ...] = (), root: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet under the shared folder (or ``root``) and read it back.
 
     Cuts lineage (a lost executor re-reads files instead of re-running the
     plan) and, unlike an RDD checkpoint, keeps column pruning and filter
-    pushdown for every later reader.
+    pushdown for every later reader, and tells the planner its size.
     """
     spark = df.sparkSession
-    path = scratch_path(spark, name)
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}" if root else scratch_path(spark, name)
     writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)

@@ -80,3 +80,50 @@ def test_run_job_writes_all_outputs(spark):
     back = read_escaped(spark, out.export, TIDY_SCHEMA)
     assert sorted(map(tuple, back.collect()), key=str) == sorted(
         map(tuple, tidy.select(*TIDY_COLUMNS).collect()), key=str)
+
+
+def test_run_job_stages_under_its_output_and_cleans_up(spark):
+    import os
+
+    from longstats.plans.job import run_job
+    target = scratch_path(spark, "job-stage").replace("file:", "")
+    run_job(spark, _raw_drops(spark), target)
+    assert os.path.isdir(f"{target}/clean_county") and not os.path.exists(f"{target}/_stage")
+
+
+def test_no_private_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from longstats.session import checkpoint_root
+
+    def session(master, folder=None):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default=None: folder),
+                               sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: None))
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]", "k8s://x"):
+        with pytest.raises(ValueError):
+            checkpoint_root(session(master))
+        assert checkpoint_root(session(master, "hdfs:///shared")) == "hdfs:///shared"
+
+
+def test_memo_follows_the_input_files(spark, tmp_path):
+    import shutil
+
+    from longstats.plans import catalog
+    for t in catalog.INPUTS:
+        shutil.copy(f"/root/testdata/sf0.001/{t}.parquet", tmp_path)
+    first = catalog.long_table(spark, str(tmp_path))
+    assert catalog.long_table(spark, str(tmp_path)) is first
+    small = first.count()
+    for t in catalog.INPUTS:
+        (tmp_path / f"{t}.parquet").unlink()
+        shutil.copy(f"/root/testdata/sf0.01/{t}.parquet", tmp_path)
+    assert catalog.long_table(spark, str(tmp_path)).count() > 5 * small
+
+
+def test_duplicate_parents(spark):
+    from longstats.operators.residual import duplicate_parents
+    rows = [(2000, "WHEAT", "W", "A"), (2000, "WHEAT", "W", "A"), (2001, "WHEAT", "W", "A")]
+    df = spark.createDataFrame(rows, "year int, commodity_desc string, commodity_class_desc string, state_name string")
+    assert [(r.year, r.parent_rows) for r in duplicate_parents(df).collect()] == [(2000, 2)]
