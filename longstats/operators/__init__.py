@@ -6,6 +6,7 @@ from longstats.operators.levels import (
     clean_levels_per_level,
     drop_redundant_totals,
     keep_known_classes,
+    known_classes,
     rollup,
     rollup_level,
     varied_commodities,
@@ -28,6 +29,7 @@ from longstats.operators.profile import (
     variety_from_label,
 )
 from longstats.operators.residual import (
+    duplicate_parents,
     reconcile_levels,
     residual_backfill,
     rollup_measures,

@@ -2,9 +2,10 @@
 
 One parameterised operator replaces the reference's three copies of the same
 126-line projection.  The redundant-total list (anti join) and the known-class
-list (semi join) are both tiny aggregates; they are not hinted for broadcast:
-AQE measures them at runtime and broadcasts them when they are under the
-broadcast threshold, and keeps a sort-merge join otherwise.
+list (semi join) are aggregates bounded by the distinct (commodity, class)
+pairs.  The job writes them first: the planner then knows their exact size and
+broadcasts them if it is under the broadcast threshold (a sort-merge join
+otherwise), before any row of the large side is shuffled.
 """
 
 from __future__ import annotations
@@ -63,11 +64,17 @@ def drop_redundant_totals(df: DataFrame, redundant: DataFrame,
     return df.join(redundant.select(*on), list(on), "left_anti").select(*df.columns)
 
 
+def known_classes(df: DataFrame, on: Sequence[str] = ("commodity_desc", "class_desc")) -> DataFrame:
+    """The distinct (commodity, class) pairs of ``df``."""
+    return df.select(*on).distinct()
+
+
 def keep_known_classes(df: DataFrame, known: DataFrame,
                        on: Sequence[str] = ("commodity_desc", "class_desc")) -> DataFrame:
-    """Semi join: keep rows whose raw (commodity, class) occurs in ``known``.
+    """Semi join: keep rows whose raw (commodity, class) occurs in ``known``
+    (a class list: materialise it first where ``df`` is large).
     NULL keys never match and are dropped (EXISTS semantics)."""
-    return df.join(known.select(*on).distinct(), list(on), "left_semi").select(*df.columns)
+    return df.join(known.select(*on), list(on), "left_semi").select(*df.columns)
 
 
 def _keyed(scoped: DataFrame) -> DataFrame:
@@ -86,11 +93,18 @@ def decorate(agg: DataFrame, keep_level: bool = False) -> DataFrame:
         "commodity_class_variety": title_case("commodity_class_desc"),
         **unit_columns("commodity_desc", "commodity_class_desc"),
     }
-    out = agg.withColumns(derived)
+    # names that the rows already carry stay as they are (and stay plain columns for filters)
+    out = agg.withColumns({name: c for name, c in derived.items() if name not in agg.columns})
     cols = (["agg_level_desc"] if keep_level else []) + LEVEL_COLUMNS
     return out.select(*cols)
 
 
+def with_display_names(agg: DataFrame) -> DataFrame:
+    """The two display names that consumers filter on."""
+    return agg.withColumns({"commodity_name": title_case("commodity_desc"),
+                            "commodity_class_variety": title_case("commodity_class_desc")})
+
+
 def rollup(core: DataFrame, levels: str | Iterable[str] = LEVELS, decorated: bool = True) -> DataFrame:
     """Pivot survey rows of one or more levels into the four measures, grouped by
     level and the roll-up keys, in one scan and one shuffle.
@@ -118,36 +132,43 @@ class LevelTables:
     clean_national: DataFrame
 
 
-def clean_levels(core: DataFrame, materialize: bool = True) -> LevelTables:
+def clean_levels(core: DataFrame, materialize: bool = True, root: str | None = None) -> LevelTables:
     """known_county, clean_state and clean_national from one roll-up pass.
 
-    The class filters are applied after aggregation: legal because commodity
-    and class are group keys, so each group is kept or dropped whole.  The
-    redundant-total anti join runs once, on (level, commodity, class) with the
-    list tagged COUNTY, so state and national rows never match it.  The result
-    is written once to the shared checkpoint folder (``materialize``) and read by
-    all consumers (county table, residual sums, the known-class list for the
-    state and national semi joins).  Without it Catalyst pushes each level
-    filter below the aggregate and the plan falls back to one scan per level,
-    and the redundant-total list is recomputed for every consumer.  Only keys
-    and measures are stored; display names, dates and units are derived on
-    read (and pruned by consumers that do not use them).
+    Commodity and class are group keys, so the class filters keep or drop whole
+    groups and may run on either side of the aggregation.  The redundant-total
+    anti join is on (level, commodity, class) with the list tagged COUNTY, so
+    state and national rows never match it.  With ``materialize`` three tables
+    are written (to the shared checkpoint folder, or under ``root``): the
+    redundant totals and the known classes, both bounded by the distinct
+    (commodity, class) pairs, and the roll-up, which all consumers read.  Because the
+    lists' sizes are known before the joins are planned, neither join shuffles
+    its large side while the list is under the broadcast threshold.  The roll-up
+    holds keys, measures and the two display names, sorted by year, so a
+    filter on a name or a year reaches the files; dates and units are derived on read (and pruned by
+    consumers that do not use them).  Without ``materialize`` Catalyst pushes
+    each level filter below the aggregate: one scan per level, lists recomputed.
     """
+    from longstats.session import materialize as write_back
     redundant = varied_commodities(core).withColumn("agg_level_desc", F.lit("COUNTY"))
-    kept = drop_redundant_totals(rollup(core, LEVELS, decorated=False), redundant,
-                                 on=("agg_level_desc", "commodity_desc", "class_desc"))
     if materialize:
-        from longstats.session import materialize as write_back
+        redundant = write_back(redundant, "redundant_totals", root=root)
+    kept = with_display_names(drop_redundant_totals(rollup(core, LEVELS, decorated=False), redundant,
+                                                    on=("agg_level_desc", "commodity_desc", "class_desc")))
+    if materialize:
         # partitioned by level: every consumer's level filter prunes directories
-        kept = write_back(kept, "rollup_levels", partition_by=("agg_level_desc",))
+        kept = write_back(kept.sortWithinPartitions("agg_level_desc", "year", "commodity_desc"), "rollup_levels",
+                          partition_by=("agg_level_desc",), root=root)
+    known = known_classes(kept.filter(F.col("agg_level_desc") == "COUNTY"))
+    if materialize:
+        known = write_back(known, "known_classes", root=root)
     # derived columns on read: a consumer that does not select them never computes them
     kept = decorate(kept, keep_level=True)
     by_level = {lvl: kept.filter(F.col("agg_level_desc") == lvl).drop("agg_level_desc") for lvl in LEVELS}
-    known_county = by_level["COUNTY"]
     return LevelTables(
-        known_county=known_county,
-        clean_state=keep_known_classes(by_level["STATE"], known_county),
-        clean_national=keep_known_classes(by_level["NATIONAL"], known_county),
+        known_county=by_level["COUNTY"],
+        clean_state=keep_known_classes(by_level["STATE"], known),
+        clean_national=keep_known_classes(by_level["NATIONAL"], known),
     )
 
 
@@ -157,6 +178,6 @@ def clean_levels_per_level(core: DataFrame) -> LevelTables:
     known_county = drop_redundant_totals(rollup_level(core, "COUNTY"), varied_commodities(core))
     return LevelTables(
         known_county=known_county,
-        clean_state=keep_known_classes(rollup_level(core, "STATE"), known_county),
-        clean_national=keep_known_classes(rollup_level(core, "NATIONAL"), known_county),
+        clean_state=keep_known_classes(rollup_level(core, "STATE"), known_classes(known_county)),
+        clean_national=keep_known_classes(rollup_level(core, "NATIONAL"), known_classes(known_county)),
     )

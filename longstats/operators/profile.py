@@ -132,11 +132,13 @@ def label_breakdown(df: DataFrame, level: str, year: int, practice: str | None =
 
 
 def varied_classes(core: DataFrame, group: str = "commodity_desc", cls: str = "class_desc") -> DataFrame:
-    """All (group, class) pairs of groups that report more than one class."""
-    varied = (core.groupBy(group).agg(F.count_distinct(cls).alias("n"))
-              .filter(F.col("n") > 1).select(group))
-    return (core.join(varied, group, "left_semi").select(group, cls).distinct()
-            .orderBy(group, cls))
+    """All (group, class) pairs of groups that report more than one class.
+
+    Both sides come from one distinct aggregate of the pairs, so only pairs are joined.
+    """
+    pairs = core.select(group, cls).distinct()
+    varied = pairs.groupBy(group).agg(F.count(cls).alias("n")).filter(F.col("n") > 1).select(group)
+    return pairs.join(varied, group, "left_semi").select(group, cls).orderBy(group, cls)
 
 
 SOURCE_STAT_KEYS = ["year", "commodity_desc", "class_desc", "prodn_practice_desc", "util_practice_desc",

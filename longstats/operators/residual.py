@@ -57,6 +57,16 @@ def residual_backfill(parent: DataFrame, children: DataFrame, how: str = "left",
         *[F.col(f"p.{c}").alias(c) for c in UNIT_COLUMNS], *residuals)
 
 
+def duplicate_parents(parent: DataFrame, keys: Sequence[str] = RESIDUAL_KEYS) -> DataFrame:
+    """Keys that several parent rows share, with their number.
+
+    ``residual_backfill`` subtracts the children's sum from each such row, so their residuals overlap; this
+    reports them.
+    """
+    return (parent.groupBy(*keys).agg(F.count(F.lit(1)).alias("parent_rows"))
+            .filter(F.col("parent_rows") > 1))
+
+
 def union_aligned(*frames: DataFrame) -> DataFrame:
     """UNION ALL by column name; a column missing from a frame is a typed NULL."""
     names: list[str] = []

@@ -44,11 +44,9 @@ def long_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     order_place = (od.join(cu, od.o_custkey == cu.c_custkey)
                    .join(na, cu.c_nationkey == na.n_nationkey)
                    .select("o_orderkey", "c_custkey", "n_nationkey", "n_name"))
-    # A shuffled hash join on the order key, built on the orders side (unique
-    # keys, so every partition's hash table is bounded by orders / partitions):
-    # lineitem is never broadcast, whatever its pruned size estimate, and streams
-    # through with the order-key partitioning it already has.
-    j = li.join(order_place.hint("shuffle_hash"), li.l_orderkey == order_place.o_orderkey)
+    # No hint: small orders are broadcast by their checked size, large ones meet
+    # lineitem in a sort-merge join, which spills and splits skewed partitions.
+    j = li.join(order_place, li.l_orderkey == order_place.o_orderkey)
 
     ok, pk, sk = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_suppkey")
     crop_no = pk % 8

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 DEFAULT_CLUSTER = ("agg_level_desc", "state_name", "commodity_desc")
@@ -13,29 +12,24 @@ DEFAULT_CLUSTER = ("agg_level_desc", "state_name", "commodity_desc")
 
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ("year",),
                 cluster_by: Sequence[str] = DEFAULT_CLUSTER, mode: str = "overwrite",
-                buckets: int | None = None, repartition: bool = True) -> None:
+                repartition: bool = True) -> None:
     """Write ``df`` as Parquet, ``partitionBy(partition_by)``, rows sorted by
     (partition keys, ``cluster_by``) inside each file.
 
-    One shuffle, hash-partitioned on the partition keys plus a bucket of a
-    deterministic row hash (``buckets`` values, default the shuffle partition
-    count).  Each writer task gets a few (year, bucket) cells, so it writes few
-    files; a hot year or a hot (level, state, commodity) group is spread over
-    up to ``buckets`` tasks; a retried task gets the same rows.  A range
-    repartition would give contiguous key ranges but needs a sampling pass
-    over the whole input first.  The sort keeps row-group min/max statistics
-    tight, so level/state/commodity filters skip row groups and year filters
-    prune whole directories.
+    One shuffle, a rebalance on the partition keys: tasks are sized by
+    ``spark.sql.adaptive.advisoryPartitionSizeInBytes``, small ones are merged
+    and a hot year is split, so file count follows the data and not a setting
+    for all sizes.  The sort keeps row-group min/max statistics tight, so
+    level/state/commodity filters skip row groups and year filters prune whole
+    directories.
 
     ``repartition=False`` keeps the input partitioning, for input that is
     already hash-partitioned into balanced partitions by an upstream shuffle:
     each task then still writes at most one file per partition value.
     """
     keys = [c for c in (*partition_by, *cluster_by) if c in df.columns]
-    n = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(n))
-    parts = [F.col(c) for c in partition_by if c in df.columns]
-    out = df.repartition(n, *parts, spread) if repartition else df
+    parts = [c for c in partition_by if c in df.columns]
+    out = df.hint("rebalance", *parts) if repartition else df
     if keys:
         out = out.sortWithinPartitions(*keys)
     writer = out.write.mode(mode)

@@ -20,9 +20,18 @@ def _skewed(spark, n=3000):
 
 
 def test_write_table_spreads_a_hot_group_over_tasks(spark):
-    df = _skewed(spark)
+    df = _skewed(spark).repartition(16)
     path = scratch_path(spark, "skew-layout")
-    write_table(df, path, buckets=8)
+    keys = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k",
+            "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k"}
+    before = {k: spark.conf.get(k) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    try:
+        write_table(df, path)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
     back = spark.read.parquet(path)
     assert back.count() == df.count()
     hot = back.filter((F.col("year") == 2000) & (F.col("state_name") == "IOWA"))
