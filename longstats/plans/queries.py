@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType, DecimalType
+from pyspark.sql.types import DateType, DecimalType, StructType
 
 from longstats.functions.collections import asc_ref
 from longstats.functions.numbers import parse_grouped_decimal, year_date
@@ -22,6 +22,7 @@ from longstats.operators import profile as pf
 from longstats.operators.pivot import conditional_pivot
 from longstats.operators.residual import (
     RESIDUAL_KEYS,
+    duplicate_parents,
     reconcile_levels,
     residual_backfill,
     rollup_measures,
@@ -32,8 +33,9 @@ from longstats.operators.trends import yield_trend
 from longstats.operators.units import classify_units
 from longstats.operators.windows import with_grand_total
 from longstats.plans import catalog
+from longstats.plans.job import TIDY_CLUSTER
 from longstats.schemas import DIMENSION_SCHEMA, LONG_SCHEMA, TIDY_SCHEMA
-from longstats.session import scratch_path
+from longstats.session import materialize, scratch_path
 from longstats.sources.delimited import read_delimited, read_dimension, read_escaped, read_with_quarantine
 from longstats.sources.export import escape, export_check, export_delimited, export_manifest
 from longstats.sources.layout import load_table, write_table
@@ -44,6 +46,7 @@ MIN_YEAR = o.MIN_YEAR
 TREND_CROP = "Soybeans"
 CONVERTED_TREND_CROP = "Corn"
 LABEL_YEAR = 1998
+HOME_COUNTRY = "AMERICA"
 SPARSE_STATES = ("NATION_3", "NATION_7")
 PROBE = {
     "class_desc": ("SPRING, (EXCL DURUM)", "WINTER"),
@@ -168,6 +171,7 @@ def q_normalise_nulls(spark, sf):
     tokened = _long(spark, sf).select(
         "agg_level_desc", "year",
         F.coalesce("county_name", F.lit("")).alias("county_name"),
+        F.when(F.col("state_name") == SPARSE_STATES[0], F.lit("NULL")).otherwise(F.col("state_name")).alias("state_name"),
         F.when(F.col("value").isNull(), F.lit("\\N")).when(F.col("value") == "(D)", F.lit(" null "))
          .otherwise(F.col("value")).alias("value"))
     return normalise_nulls(tokened)
@@ -206,13 +210,16 @@ def q_classes_of_varied(spark, sf):
 
 def q_drop_redundant_totals(spark, sf):
     core = _core(spark, sf)
-    kept = lv.drop_redundant_totals(level_scope(core, "COUNTY"), lv.varied_commodities(core))
+    # the list first: its size is known when the join is planned
+    redundant = materialize(lv.varied_commodities(core), "redundant_totals")
+    kept = lv.drop_redundant_totals(level_scope(core, "COUNTY"), redundant)
     return kept.groupBy("commodity_desc", "class_desc").agg(F.count(F.lit(1)).alias("row_count"))
 
 
 def q_keep_known_classes(spark, sf):
     job = _job(spark, sf)
-    kept = lv.keep_known_classes(level_scope(job.core, "STATE"), job.levels.known_county)
+    known = materialize(lv.known_classes(job.levels.known_county), "known_classes")
+    kept = lv.keep_known_classes(level_scope(job.core, "STATE"), known)
     return kept.groupBy("commodity_desc", "class_desc").agg(F.count(F.lit(1)).alias("row_count"))
 
 
@@ -332,14 +339,28 @@ def q_names_shared(spark, sf):
     return pf.names_shared(_long(spark, sf))
 
 
-# The derived view has no country column; as FIXTURES §4 suggests, the country
-# profile adds a constant one (every fixture row is domestic).
-FIXTURE_COUNTRY = "UNITED STATES"
+def _with_country(spark, sf) -> DataFrame:
+    """The long rows with the region of their state (through nation) as the country; NULL above the states."""
+    places = (spark.read.parquet(f"{sf}/nation.parquet").select("n_name", "n_regionkey")
+              .join(spark.read.parquet(f"{sf}/region.parquet"), F.col("n_regionkey") == F.col("r_regionkey"))
+              .select("n_name", F.col("r_name").alias("country_name")))
+    return _long(spark, sf).join(places, F.col("state_name") == F.col("n_name"), "left").drop("n_name")
 
 
 def q_country_profile(spark, sf):
-    with_country = _long(spark, sf).withColumn("country_name", F.lit(FIXTURE_COUNTRY))
-    return pf.distinct_combos(with_country, ["country_name"])
+    return pf.distinct_combos(_with_country(spark, sf), ["country_name"])
+
+
+def q_country_rows(spark, sf):
+    """The rows of the countries that are not the profile's first: the reference lists what lies outside one country."""
+    rows = _with_country(spark, sf)
+    return rows.filter((F.col("country_name") != HOME_COUNTRY) & (F.col("agg_level_desc") == "STATE")
+                       & (F.col("year") == LABEL_YEAR))
+
+
+def q_duplicate_parents(spark, sf):
+    """Parent rows that share the residual's keys: each of them has the children's whole sum subtracted."""
+    return duplicate_parents(_job(spark, sf).levels.clean_state)
 
 
 def q_census_years(spark, sf):
@@ -369,7 +390,9 @@ def q_distinct_combos(spark, sf):
     cond = F.col("state_name").isin(list(SPARSE_STATES)) & crop_filter() & (F.col("source_desc") == "SURVEY")
     return (pf.distinct_combos(_long(spark, sf), ["state_name", "source_desc", "statisticcat_desc",
                                                   "commodity_desc", "unit_desc", "value"], cond)
-            .orderBy(asc_ref("state_name"), asc_ref("source_desc")))
+            # the other columns refine the order, so that the range partitioner can split a state
+            .orderBy(*[asc_ref(c) for c in ("state_name", "source_desc", "statisticcat_desc", "commodity_desc",
+                                            "unit_desc", "value")]))
 
 
 def q_ordered_profile(spark, sf):
@@ -396,8 +419,66 @@ def _escaped_variant(long: DataFrame) -> DataFrame:
     })
 
 
+def _plain_export(df: DataFrame, name: str) -> str:
+    """Tab-separated text without any escape, header per file (the data must hold no tab or line break)."""
+    path = scratch_path(df.sparkSession, name)
+    (df.select(*[F.col(c).cast("string").alias(c) for c in df.columns]).write.mode("overwrite")
+     .option("sep", "\t").option("header", True).option("quote", "").option("escapeQuotes", False)
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option("emptyValue", "")
+     .option("compression", "gzip").csv(path))
+    return path
+
+
+def _backslashed(long: DataFrame) -> DataFrame:
+    """Long rows whose labels hold backslashes: data for a reader without escapes."""
+    return long.withColumn("short_desc", F.replace("short_desc", F.lit(" - "), F.lit(" \\t ")))
+
+
 def q_scan_delimited(spark, sf):
-    return read_delimited(spark, _export(_long(spark, sf), "scan-delimited"), LONG_SCHEMA)
+    return read_delimited(spark, _plain_export(_backslashed(_long(spark, sf)), "scan-delimited"), LONG_SCHEMA)
+
+
+def _lines(df: DataFrame, header: str | None, path: str, mode: str = "append") -> None:
+    """Append a one-file text drop: its header line, then the given lines."""
+    lines = df.select(F.lit(1).alias("k"), "value")
+    if header is not None:
+        lines = lines.unionByName(df.sparkSession.createDataFrame([(0, header)], "k int, value string"))
+    lines.coalesce(1).sortWithinPartitions("k").select("value").write.mode(mode).text(path, compression="gzip")
+
+
+HEADER_COLUMNS = ["state_name", "commodity_desc", "value"]
+
+
+def _header_rows(spark, sf) -> DataFrame:
+    """Census rows of one year, all text; corn rows are given the header's own words as their data."""
+    rows = _long(spark, sf).filter((F.col("source_desc") == "CENSUS") & (F.col("year") == LABEL_YEAR))
+    return rows.select(*[F.when(F.col("commodity_desc") == "CORN", F.lit(c)).otherwise(F.col(c)).alias(c)
+                         for c in HEADER_COLUMNS])
+
+
+def _text_schema() -> StructType:
+    return StructType([LONG_SCHEMA[c] for c in HEADER_COLUMNS])
+
+
+def _as_lines(rows: DataFrame) -> DataFrame:
+    return rows.select(F.concat_ws("\t", *[F.coalesce(c, F.lit("")) for c in HEADER_COLUMNS]).alias("value"))
+
+
+def q_scan_header_like_rows(spark, sf):
+    """Rows that equal the header survive: only the first line of the file is skipped."""
+    path = scratch_path(spark, "header-like")
+    _lines(_as_lines(_header_rows(spark, sf)), "\t".join(HEADER_COLUMNS), path)
+    return read_escaped(spark, path, _text_schema())
+
+
+def q_scan_mixed_headers(spark, sf):
+    """Two files of one folder with differently written headers."""
+    path = scratch_path(spark, "mixed-headers")
+    rows = _header_rows(spark, sf)
+    corn = F.col("commodity_desc") == "commodity_desc"
+    _lines(_as_lines(rows.filter(corn)), "\t".join(HEADER_COLUMNS), path)
+    _lines(_as_lines(rows.filter(~corn)), "\t".join(HEADER_COLUMNS).upper(), path)
+    return read_escaped(spark, path, _text_schema())
 
 
 def q_scan_trim(spark, sf):
@@ -410,18 +491,38 @@ def q_scan_escaped(spark, sf):
     return read_escaped(spark, path, LONG_SCHEMA)
 
 
+def _raw_line() -> F.Column:
+    """The escaped line of a long row."""
+    fields = [F.coalesce(escape(F.col(c).cast("string")), F.lit("")) for c in LONG_SCHEMA.fieldNames()]
+    return F.concat_ws("\t", *fields)
+
+
+def _broken(line: F.Column) -> F.Column:
+    """The line with a byte in front that UTF-8 doesn't allow there."""
+    return F.concat(F.unhex(F.lit("C3")), F.encode(line, "UTF-8")).cast("string")
+
+
 def q_scan_utf8(spark, sf):
-    return read_escaped(spark, _export(_long(spark, sf), "scan-utf8"), LONG_SCHEMA, validate_utf8=True)
+    """National rows carry an invalid byte; the load drops them."""
+    long = _long(spark, sf)
+    line = _raw_line()
+    path = scratch_path(spark, "scan-utf8")
+    long.select(F.when(F.col("agg_level_desc") == "NATIONAL", _broken(line)).otherwise(line).alias("value")
+                ).write.mode("overwrite").text(path, compression="gzip")
+    return read_escaped(spark, path, LONG_SCHEMA, header=False, validate_utf8=True, mode="DROPMALFORMED")
 
 
 def _quarantine_input(spark, sf) -> str:
-    """Escaped lines without header; WATERSHED rows carry one extra field."""
+    """Escaped lines without header; WATERSHED rows carry one extra field, NATIONAL rows an invalid byte, and
+    irrigated rows a year that is no number."""
     long = _long(spark, sf)
-    fields = [F.coalesce(escape(F.col(c).cast("string")), F.lit("")) for c in long.columns]
-    line = F.concat_ws("\t", *fields)
-    line = F.when(F.col("agg_level_desc") == "WATERSHED", F.concat(line, F.lit("\textra"))).otherwise(line)
+    line = _raw_line()
+    bad_year = F.replace(line, F.concat(F.lit("\t"), F.col("year").cast("string"), F.lit("\tANNUAL")), F.lit("\tn/a\tANNUAL"))
+    level = F.col("agg_level_desc")
+    text = (F.when(level == "WATERSHED", F.concat(line, F.lit("\textra"))).when(level == "NATIONAL", _broken(line))
+            .when(F.col("prodn_practice_desc") == "IRRIGATED", bad_year).otherwise(line))
     path = scratch_path(spark, "scan-quarantine")
-    long.select(line.alias("value")).write.mode("overwrite").text(path, compression="gzip")
+    long.select(text.alias("value")).write.mode("overwrite").text(path, compression="gzip")
     return path
 
 
@@ -446,8 +547,14 @@ def q_export_tsv(spark, sf):
 
 
 def q_export_manifest(spark, sf):
+    """One row: every listed file holds bytes, and the files' rows add up to the table's."""
     _, path = _tidy_export(spark, sf)
-    return export_manifest(spark, path).filter(F.col("path").endswith(".gz"))
+    listed = export_manifest(spark, path).filter(F.col("path").endswith(".gz"))
+    per_file = (spark.read.text(path).groupBy(F.input_file_name().alias("path"))
+                .agg((F.count(F.lit(1)) - 1).alias("file_rows")))  # without the header line
+    return (listed.agg(F.count(F.lit(1)).alias("files"), F.min("length").alias("least"))
+            .select((F.col("files") > 0).alias("has_files"), (F.col("least") > 0).alias("all_hold_bytes"),
+                    per_file.agg(F.sum("file_rows")).select(F.col("sum(file_rows)")).scalar().alias("exported_rows")))
 
 
 def q_export_check(spark, sf):
@@ -457,14 +564,14 @@ def q_export_check(spark, sf):
 
 def _county_dimension(long: DataFrame) -> DataFrame:
     """A 45-column county dimension derived from the county rows: keys, row count,
-    distinct years, the other 40 measures NULL."""
+    distinct years, and 40 measures computed from those two."""
     counties = (long.filter(F.col("agg_level_desc") == "COUNTY")
                 .groupBy(county_id().alias("fipstxt"), F.col("state_alpha").alias("state"),
                          F.col("county_name").alias("county"))
                 .agg(F.count(F.lit(1)).cast("double").alias("n"),
                      F.count_distinct("year").cast("double").alias("y")))
     names = [f.name for f in DIMENSION_SCHEMA.fields]
-    measures = [F.col("n"), F.col("y")] + [F.lit(None).cast("double")] * (len(names) - 5)
+    measures = [F.col("n"), F.col("y")] + [F.col("n") * k + F.col("y") for k in range(2, len(names) - 3)]
     return counties.select("fipstxt", "state", "county", *[m.alias(n) for m, n in zip(measures, names[3:])])
 
 
@@ -479,6 +586,14 @@ def q_layout_write(spark, sf):
     return spark.read.parquet(path)
 
 
+def q_layout_tidy(spark, sf):
+    """The tidy table by year, clustered by county id."""
+    path = scratch_path(spark, "layout-tidy")
+    tidy = _job(spark, sf).tidy
+    write_table(tidy, path, cluster_by=TIDY_CLUSTER)
+    return comparable(spark.read.parquet(path).select(*tidy.columns))
+
+
 def q_load_table(spark, sf):
     """Sample load, then truncate and full reload into the same table."""
     long = _long(spark, sf)
@@ -489,8 +604,7 @@ def q_load_table(spark, sf):
 
 
 def q_stream_landing(spark, sf):
-    drops = scratch_path(spark, "drops")
-    export_delimited(_long(spark, sf), drops)
+    drops = _plain_export(_backslashed(_long(spark, sf)), "drops")
     target = scratch_path(spark, "landed")
     land_stream(spark, drops, LONG_SCHEMA, target)
     return spark.read.parquet(target)
@@ -504,6 +618,11 @@ QUERIES: dict[str, Query] = {
 
 _PARSE = "SELECT value, CAST({num} AS DOUBLE) AS number FROM (SELECT DISTINCT value FROM long) v"
 _TITLE_UNION = " UNION ".join(f"SELECT {c} AS raw FROM long" for c in TITLE_SOURCES)
+_COUNTRY = ("SELECT l.*, r_name AS country_name FROM long l LEFT JOIN (SELECT n_name, r_name FROM nation "
+            "JOIN region ON r_regionkey = n_regionkey) p ON p.n_name = l.state_name")
+_BACKSLASHED = "SELECT * REPLACE (replace(short_desc, ' - ', ' \\t ') AS short_desc) FROM long"
+_HEADER_ROWS = ("SELECT " + ", ".join(f"CASE WHEN commodity_desc = 'CORN' THEN '{c}' ELSE {c} END AS {c}" for c in HEADER_COLUMNS)
+                + f" FROM long WHERE source_desc = 'CENSUS' AND year = {LABEL_YEAR}")
 _PLANTED = "statisticcat_desc = 'AREA PLANTED' AND unit_desc = 'ACRES'"
 _SOURCE_STAT = f"""
 SELECT year, CAST(make_date(year, 1, 1) AS VARCHAR) AS year_date, commodity_desc, class_desc, prodn_practice_desc,
@@ -564,6 +683,7 @@ ORACLES: dict[str, str] = {
     "year_date": o.WITH_LONG + ("SELECT year, CAST(make_date(year, 1, 1) AS VARCHAR) AS calendar_date "
                                 "FROM (SELECT DISTINCT year FROM long) y"),
     "normalise_nulls": o.WITH_LONG + ("SELECT agg_level_desc, year, county_name, "
+                                      f"NULLIF(state_name, '{SPARSE_STATES[0]}') AS state_name, "
                                       "CASE WHEN value = '(D)' THEN NULL ELSE value END AS value FROM long"),
     "conditional_pivot": o.WITH_CORE + "SELECT year, commodity_desc, " + ", ".join(
         f"CAST(SUM(CASE WHEN {_PLANTED} AND agg_level_desc = '{lvl}' THEN {o.num('value')} END) AS DOUBLE) "
@@ -593,14 +713,14 @@ ORACLES: dict[str, str] = {
         "CAST(area_harvested AS DOUBLE) AS area_harvested, CAST(crop_production AS DOUBLE) AS crop_production, "
         "CAST(crop_yield AS DOUBLE) AS crop_yield FROM kc"),
     "residual_full": o.WITH_JOB + f"SELECT {o.RESIDUAL_OUT} FROM unspecified",
-    "residual_left": o.WITH_JOB + f"SELECT {o.RESIDUAL_OUT} FROM ({o.residual_sql('LEFT')}) r",
+    "residual_left": o.WITH_JOB + f"SELECT {o.RESIDUAL_OUT} FROM ({o.residual_sql(with_child_only=False)}) r",
     "tidy_table": o.WITH_JOB + f"SELECT {o.TIDY_OUT} FROM clean_county",
     "tidy_union": o.WITH_JOB + (
         f"SELECT {o.LEVEL_OUT}, CAST(NULL AS VARCHAR) AS county_state_name FROM known_county UNION ALL "
         "SELECT year, NULL, NULL, state_alpha, state_name, county_name, commodity_desc, NULL, commodity_class_desc, "
         "NULL, NULL, production_unit, production_unit_conversion, CAST(production_unit_multiplier AS DOUBLE), "
         "yield_unit, production_to_yield_multiplier, CAST(area_planted AS DOUBLE), CAST(area_harvested AS DOUBLE), "
-        f"CAST(crop_production AS DOUBLE), NULL, county_state_name FROM ({o.residual_sql('LEFT')}) r"),
+        f"CAST(crop_production AS DOUBLE), NULL, county_state_name FROM ({o.residual_sql(with_child_only=False)}) r"),
     "yield_trend": o.WITH_JOB + (
         "SELECT year, CAST(SUM(area_harvested) AS DOUBLE) AS harvested, CAST(SUM(area_planted) AS DOUBLE) AS planted, "
         "CAST(SUM(crop_production) AS DOUBLE) AS production, "
@@ -650,7 +770,12 @@ FROM a FULL JOIN b ON a.year IS NOT DISTINCT FROM b.year AND a.commodity_name IS
     "names_shared": o.WITH_LONG + ("SELECT county_name, COUNT(DISTINCT state_name) AS state_count FROM long "
                                    "GROUP BY 1"),
     "census_years": o.WITH_LONG + "SELECT year FROM long WHERE source_desc = 'CENSUS' GROUP BY 1",
-    "country_profile": o.WITH_LONG + f"SELECT '{FIXTURE_COUNTRY}' AS country_name FROM long GROUP BY 1",
+    "country_profile": o.WITH_LONG + f"SELECT country_name FROM ({_COUNTRY}) c GROUP BY 1",
+    "country_rows": o.WITH_LONG + (f"SELECT * FROM ({_COUNTRY}) c WHERE country_name <> '{HOME_COUNTRY}' "
+                                   f"AND agg_level_desc = 'STATE' AND year = {LABEL_YEAR}"),
+    "duplicate_parents": o.WITH_JOB + (
+        "SELECT year, commodity_desc, commodity_class_desc, state_name, COUNT(*) AS parent_rows FROM clean_state "
+        "GROUP BY ALL HAVING COUNT(*) > 1"),
     "state_profile": o.WITH_LONG + f""",
 scy AS (SELECT state_name, year, commodity_desc, CAST(year AS VARCHAR) || '-' || commodity_desc AS yc FROM long
         WHERE year >= {MIN_YEAR} AND {o.CROP} GROUP BY 1, 2, 3)
@@ -673,25 +798,34 @@ FROM scy GROUP BY state_name""",
         f"WHERE state_name IN ('{SPARSE_STATES[0]}', '{SPARSE_STATES[1]}') AND {o.CROP} AND source_desc = 'SURVEY' "
         "GROUP BY 1, 2, 3, 4, 5, 6"),
     "ordered_profile": o.WITH_LONG + "SELECT state_name, CAST(SUM(1) AS BIGINT) AS row_count FROM long GROUP BY 1",
-    "scan_delimited": o.WITH_LONG + "SELECT * FROM long",
+    "scan_delimited": o.WITH_LONG + _BACKSLASHED,
+    "scan_header_like_rows": o.WITH_LONG + _HEADER_ROWS,
+    "scan_mixed_headers": o.WITH_LONG + _HEADER_ROWS,
     "scan_trim": o.WITH_LONG + "SELECT * FROM long",
     "scan_escaped": o.WITH_LONG + (
         "SELECT * REPLACE (replace(short_desc, ' - ', chr(9) || '- \\') AS short_desc, "
         "replace(county_name, 'COUNTY-', '#COUNTY' || chr(10)) AS county_name) FROM long"),
-    "scan_utf8": o.WITH_LONG + "SELECT * FROM long",
-    "scan_quarantine": o.WITH_LONG + "SELECT * FROM long WHERE agg_level_desc <> 'WATERSHED'",
-    "scan_rejects": o.WITH_LONG + ("SELECT 'field_count' AS reason, COUNT(*) AS row_count FROM long "
-                                   "WHERE agg_level_desc = 'WATERSHED'"),
+    "scan_utf8": o.WITH_LONG + "SELECT * FROM long WHERE agg_level_desc <> 'NATIONAL'",
+    "scan_quarantine": o.WITH_LONG + ("SELECT * FROM long WHERE agg_level_desc NOT IN ('WATERSHED', 'NATIONAL') "
+                                      "AND prodn_practice_desc <> 'IRRIGATED'"),
+    "scan_rejects": o.WITH_LONG + (
+        "SELECT CASE agg_level_desc WHEN 'WATERSHED' THEN 'field_count' WHEN 'NATIONAL' THEN 'invalid_utf8' "
+        "ELSE 'bad_value' END AS reason, COUNT(*) AS row_count FROM long "
+        "WHERE agg_level_desc IN ('WATERSHED', 'NATIONAL') OR prodn_practice_desc = 'IRRIGATED' GROUP BY 1"),
     "export_tsv": o.WITH_JOB + f"SELECT {o.TIDY_OUT} FROM clean_county",
+    "export_manifest": o.WITH_JOB + ("SELECT TRUE AS has_files, TRUE AS all_hold_bytes, COUNT(*) AS exported_rows "
+                                     "FROM clean_county"),
     "export_check": o.WITH_JOB + ("SELECT COUNT(*) AS exported_rows, COUNT(*) AS table_rows, TRUE AS rows_match "
                                   "FROM clean_county"),
     "layout_write": o.WITH_LONG + "SELECT * FROM long",
-    "stream_landing": o.WITH_LONG + "SELECT * FROM long",
+    "layout_tidy": o.WITH_JOB + f"SELECT {o.TIDY_OUT} FROM clean_county",
+    "stream_landing": o.WITH_LONG + _BACKSLASHED,
     "scan_dimension": o.WITH_LONG + (
         "SELECT state_fips_code || county_code AS fipstxt, state_alpha AS state, county_name AS county, "
         "CAST(COUNT(*) AS DOUBLE) AS ruralurbancontinuumcode2013, "
         "CAST(COUNT(DISTINCT year) AS DOUBLE) AS urbaninfluencecode2013, "
-        + ", ".join(f"CAST(NULL AS DOUBLE) AS {f.name}" for f in DIMENSION_SCHEMA.fields[5:])
+        + ", ".join(f"CAST(COUNT(*) * {k} + COUNT(DISTINCT year) AS DOUBLE) AS {f.name}"
+                    for k, f in enumerate(DIMENSION_SCHEMA.fields[5:], 2))
         + " FROM long WHERE agg_level_desc = 'COUNTY' GROUP BY 1, 2, 3"),
     "load_table": o.WITH_LONG + "SELECT * FROM long",
 }

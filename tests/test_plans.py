@@ -1,6 +1,7 @@
 """Physical-plan properties: pushdown and pruning reach the scan, class lists are
 broadcast after AQE measures them, totals avoid single-partition windows."""
 
+import pytest
 
 from longstats.plans import catalog
 from longstats.plans.queries import QUERIES
@@ -23,19 +24,44 @@ def test_core_scan_prunes_partitions_and_columns(spark):
     assert "freq_desc" not in plan.split("ReadSchema:")[1].split("\n")[0]
 
 
-def test_class_lists_broadcast_at_runtime(spark):
+def test_class_lists_are_broadcast_by_their_size(spark):
     from longstats.operators import clean_levels, core_scope
     core = core_scope(catalog.long_table(spark, SF), min_year=1996)
-    county = _plan(clean_levels(core, materialize=False).known_county, executed=True)
-    assert "BroadcastHashJoin LeftAnti" in county
-    job = catalog.clean_job(spark, SF, 1996)
+    job = clean_levels(core)
     # the materialised roll-up already holds the anti join; consumers only scan it
-    assert "Join" not in _plan(job.levels.known_county, executed=True)
-    state = _plan(job.levels.clean_state, executed=True)
+    assert "Join" not in _plan(job.known_county, executed=True)
+    state = _plan(job.clean_state)
     assert "BroadcastHashJoin LeftSemi" in state
     assert "PartitionFilters: [isnotnull(agg_level_desc" in state
 
 
+@pytest.mark.parametrize("name", ["drop_redundant_totals", "keep_known_classes", "classes_of_varied", "rollup_state"])
+def test_no_raw_rows_are_shuffled_by_class(spark, name):
+    """With the threshold below every unwritten aggregate's estimate (the situation at scale), the raw rows still
+    cross no exchange on commodity or class before the join: the lists' real sizes are known."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    catalog.clean_job(spark, SF, 1996)
+    spark.conf.set(key, "20000")
+    try:
+        df = QUERIES[name](spark, SF)
+        tree = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(key, before)
+    lines = tree.splitlines()
+    for i, line in enumerate(lines):
+        if "Exchange hashpartitioning" not in line:
+            continue
+        # what is exchanged is the output of a partial aggregate
+        below = next(x for x in lines[i + 1:] if "AQEShuffleRead" not in x and "InputAdapter" not in x and "WholeStage" not in x)
+        assert "partial_" in below or "HashAggregate" in below, (name, line, below)
+
+
+def test_trend_filter_reaches_the_scan(spark):
+    plan = _plan(QUERIES["yield_trend"](spark, SF))
+    assert "EqualTo(commodity_name,Soybeans)" in plan
+
+
 def test_totals_use_aggregate_join_not_window(spark):
     for name in ("grand_total", "partition_total", "partition_total_state"):
         plan = _plan(QUERIES[name](spark, SF))
@@ -44,7 +70,15 @@ def test_totals_use_aggregate_join_not_window(spark):
 
 def test_trend_shuffles_on_year_only(spark):
     plan = _plan(QUERIES["yield_trend"](spark, SF))
-    assert "HashAggregate" in plan and "partial_sum" in plan
+    assert "partial_sum" in plan
+    tree = QUERIES["yield_trend"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    top = [x for x in tree.splitlines() if "Exchange" in x and "Broadcast" not in x][:2]
+    assert "rangepartitioning(year" in top[0] and "hashpartitioning(year" in top[1]
+
+
+def test_sparse_listing_is_split_by_all_columns(spark):
+    tree = QUERIES["distinct_combos"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "value" in next(x for x in tree.splitlines() if "rangepartitioning" in x)
 
 
 def test_job_queries_never_funnel_into_one_partition(spark):
@@ -57,13 +91,14 @@ def test_job_queries_never_funnel_into_one_partition(spark):
         assert "Window" not in plan and "CartesianProduct" not in plan and "NestedLoopJoin" not in plan, name
 
 
-def test_fixture_joins_lineitem_once_without_broadcasting_it(spark):
+def test_fixture_shuffles_lineitem_once_on_the_order_key(spark):
     from longstats.plans.fixture import long_view
-    df = long_view(spark, SF)
-    df.collect()
-    tree = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
-    # lineitem streams through one shuffled hash join on the order key; only the
-    # customer and nation sides of the orders enrichment are broadcast
-    assert tree.count("ShuffledHashJoin") == 1
-    assert tree.count("BroadcastExchange") == 2
-    assert "hashpartitioning(l_orderkey" in tree and "hashpartitioning(o_orderkey" in tree
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")  # as with orders too large to broadcast
+    try:
+        tree = long_view(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(key, before)
+    # lineitem meets orders in a join that spills; no hash table is forced
+    assert "ShuffledHashJoin" not in tree and tree.count("Exchange hashpartitioning(l_orderkey") == 1
