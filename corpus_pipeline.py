@@ -15,15 +15,14 @@ from pyspark.sql import functions as F
 from longstats.llm.common import read_table, stage
 from longstats.llm.decontaminate import remove_contamination
 from longstats.llm.mixing import mixed
-from longstats.llm.quality import judged
+from longstats.llm.quality import keep_good
 from longstats.llm.simhash import keep_one
 from longstats.llm.suffix_dedup import remove_repeats
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
-    found = judged(docs, read_table(spark, sf_dir, "labels"), host=F.col("source"), path=F.col("lang"), keep=docs.columns)
-    return found.where("kept").select(*docs.columns)
+    return keep_good(docs, read_table(spark, sf_dir, "labels"), host=F.col("source"), path=F.col("lang"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

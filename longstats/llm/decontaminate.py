@@ -307,21 +307,23 @@ def cut_words(text: str, spans: list) -> str:
 
 def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, **options) -> DataFrame:
     """The documents, all columns, with the hit spans cut out of ``text``."""
-    found = search_benchmark(docs, benchmark, window, **options)
-    schema = T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema.fields])
+    found = search_benchmark(docs.select(F.struct(*docs.columns).alias("row"), "text"), benchmark, window, **options)
+    if "__spans" not in found.columns:  # no benchmark item at all
+        return docs
+    schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             spans = batch.column(batch.schema.get_field_index("__spans")).to_pylist()
-            columns = []
-            for f in schema.fields:
-                c = batch.column(batch.schema.get_field_index(f.name))
+            row, columns = batch.column(batch.schema.get_field_index("row")), []
+            for i, f in enumerate(schema.fields):
+                c = row.field(i)
                 if f.name == "text" and any(spans):
                     c = pa.array([cut_words(t, s) if s else t for t, s in zip(c.to_pylist(), spans)], c.type)
                 columns.append(c)
             yield pa.RecordBatch.from_arrays(columns, names=schema.fieldNames())
 
-    return found.mapInArrow(run, schema)
+    return found.select("row", "__spans").mapInArrow(run, schema)
 
 
 __all__ = ["FMIndex", "Phrases", "WaveletTree", "contamination", "cut_words", "remove_contamination",

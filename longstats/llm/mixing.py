@@ -64,7 +64,7 @@ def inverse_demand(share: Column, knots: Knots) -> Column:
         slope = (w1 - w0) / (t1 - t0)
         root = F.sqrt(F.greatest(F.lit(w0 * w0) + F.lit(2 * slope) * rest, F.lit(0.0)))
         # 2c / (b + sqrt(b^2 + 2ac)) holds for rising, flat and falling segments
-        step = F.when(root + F.lit(w0) > 0, F.lit(2.0) * rest / (root + F.lit(w0))).otherwise(F.lit(t1 - t0))
+        step = F.when(root + F.lit(w0) > 0, F.lit(2.0) * rest / (root + F.lit(w0))).otherwise(F.lit(0.0))
         out = (F if out is None else out).when(area >= F.lit(begin), F.least(F.lit(t0) + step, F.lit(t1)))
     return out
 

@@ -26,8 +26,6 @@ documents each get a row; an empty table gives an empty result.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
-
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -94,7 +92,7 @@ def evidence(docs: DataFrame, labels: DataFrame, text: str = "text", sample_rows
         F.min("quality").alias("quality"))
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     named = features(F.col(text))
-    rows = (docs.join(picked, "doc_id").select("quality", *[c.alias(k) for k, c in named.items()])).toPandas()
+    rows = (docs.select("doc_id", text).join(picked, "doc_id").select("quality", *[c.alias(k) for k, c in named.items()])).toPandas()
     y = rows["quality"].to_numpy(float) if len(rows) else np.zeros(0)
     if len(set(y)) < 2:
         return None
@@ -142,21 +140,22 @@ def site_priors(sites: DataFrame) -> DataFrame:
 
 
 def judged(docs: DataFrame, labels: DataFrame, host: Column, path: Column, threshold: float = THRESHOLD,
-           keep: Sequence[str] = ("doc_id",), sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The ``keep`` columns with ``evidence``, ``prior``, ``score`` (posterior of good) and ``kept`` (score at or above)."""
+           sample_rows: int = SAMPLE_ROWS, keep: Column | None = None) -> DataFrame:
+    """doc_id (or the column to keep), ``evidence``, ``prior``, ``score`` (posterior of good), ``kept`` (score at or above)."""
     found = evidence(docs, labels, sample_rows=sample_rows)
+    own = F.col("doc_id") if keep is None else keep
     if found is None:
-        return docs.select(*keep, F.lit(0.0).alias("evidence"), F.lit(0.5).alias("prior"), F.lit(0.5).alias("score"),
+        return docs.select(own, F.lit(0.0).alias("evidence"), F.lit(0.5).alias("prior"), F.lit(0.5).alias("score"),
                            F.lit(True).alias("kept"))
     log_odds, balance = found
-    scored = docs.select(F.struct(*keep).alias("row"), F.col("doc_id").alias("l_doc"), host.alias("host"),
+    scored = docs.select(F.struct(own).alias("row"), F.col("doc_id").alias("l_doc"), host.alias("host"),
                          path.alias("path"), log_odds.alias("log_odds"))
     soft = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("log_odds")))
     told = (labels.where(F.col("quality").isNotNull()).groupBy("doc_id")
             .agg(F.min("quality").cast("double").alias("told")).withColumnRenamed("doc_id", "t_doc"))
-    # the texts are read once: what follows needs one narrow row per document
+    # the features are computed once: what follows reads one row per document
     scored = stage(scored, "quality-evidence")
-    sites = (scored.join(told, F.col("l_doc") == F.col("t_doc"), "left")
+    sites = (scored.select("l_doc", "host", "path", "log_odds").join(told, F.col("l_doc") == F.col("t_doc"), "left")
              .groupBy("host", "path").agg(F.count(F.lit(1)).cast("double").alias("n"),
                                           F.sum(F.round(F.coalesce("told", soft), 6).cast("decimal(20,6)")).alias("good"))
              .withColumn("good", F.col("good").cast("double")))
@@ -168,4 +167,10 @@ def judged(docs: DataFrame, labels: DataFrame, host: Column, path: Column, thres
             .withColumn("kept", F.col("score") >= threshold))
 
 
-__all__ = ["evidence", "features", "fit", "judged", "site_priors"]
+def keep_good(docs: DataFrame, labels: DataFrame, host: Column, path: Column, **options) -> DataFrame:
+    """The documents that the classifier keeps, all columns."""
+    found = judged(docs, labels, host, path, keep=F.struct(*docs.columns).alias("doc"), **options)
+    return found.where("kept").select("doc.*")
+
+
+__all__ = ["evidence", "features", "fit", "judged", "keep_good", "site_priors"]

@@ -44,6 +44,8 @@ SAMPLE_ROWS = 20_000
 LEXICON = 5_000
 THRESHOLD = 0.3
 PREFIXES = (4, 5, 6, 7)
+ROUNDS = 3
+ANY = ""  # a feature that every document has
 
 # fixed values: word lists in English, German, French and Spanish
 NEGATION = frozenset("not never no without isn't aren't wasn't don't doesn't didn't won't can't cannot "
@@ -162,14 +164,18 @@ def word_features(text: str) -> set[str]:
     return out
 
 
-def learn_lexicon(counts: list[tuple[str, int, int]], toxic: int, clean: int) -> dict[str, float]:
+def least_documents(toxic: int) -> int:
+    """Toxic documents that a feature must be in: one in a hundred, four at least."""
+    return max(4, toxic // 100)
+
+
+def learn_lexicon(counts: list[tuple[str, int, int]], toxic: int, clean: int, least: int) -> dict[str, float]:
     """(feature, toxic documents, clean documents) -> weights of the features that surely mark toxic documents.
 
     The weight is a lower bound of the log odds ratio; a feature needs a share of the toxic documents, so that words
     of one copied text don't enter.
     """
     out = {}
-    least = max(3, toxic // 100)
     for feature, a, b in counts:
         if a < least:
             continue
@@ -240,35 +246,50 @@ def fit_curve(strengths: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
-def train(docs: DataFrame, labels: DataFrame, folds: int = 4, fold: int = 2, sample_rows: int = SAMPLE_ROWS) -> Scorer:
-    told = (labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (doc_crc(F.col("doc_id"), folds) != fold))
-            .groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
-    picked = told.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    sample = docs.select("doc_id", "text").join(picked, "doc_id").select("doc_id", "text", "toxic")
-    sample = stage(sample, "toxicity-sample")
+def _feature_counts(sample: DataFrame, lexicon: dict[str, float], least: int) -> tuple[list, int, int]:
+    """(feature, toxic, clean documents) of the sample's documents in which the lexicon finds nothing, and their numbers."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Scorer(lexicon)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 seen = {0: Counter(), 1: Counter()}
                 for text, toxic in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
-                    seen[int(toxic > 0)].update(word_features(text or ""))
+                    if not lexicon or own.strength(text) == 0:
+                        seen[int(toxic > 0)].update(word_features(text or "") | {ANY})
                 names = list(seen[0].keys() | seen[1].keys())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(names, pa.string()), pa.array([seen[1][x] for x in names], pa.int64()),
                      pa.array([seen[0][x] for x in names], pa.int64())], names=["feature", "toxic", "clean"])
 
-    sizes = sample.groupBy((F.col("toxic") > 0).alias("toxic")).count().collect()
-    toxic = sum(r["count"] for r in sizes if r["toxic"])
-    clean = sum(r["count"] for r in sizes if not r["toxic"])
-    if not toxic or not clean:
-        return Scorer({}, 1.0, -3.0)
     counts = (sample.mapInArrow(count, "feature string, toxic long, clean long")
               .groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-              .where((F.col("toxic") >= max(3, toxic // 100)) & (F.col("toxic") >= 4 * F.col("clean"))))
-    scorer = Scorer(learn_lexicon([tuple(r) for r in counts.collect()], toxic, clean))
-    lexicon = scorer.lexicon
+              .where((F.col("feature") == ANY) | (F.col("toxic") >= least) & (F.col("toxic") >= 4 * F.col("clean"))))
+    rows = [tuple(r) for r in counts.collect()]
+    toxic, clean = next(((a, b) for f, a, b in rows if f == ANY), (0, 0))
+    return [r for r in rows if r[0] != ANY], toxic, clean
+
+
+def train(docs: DataFrame, labels: DataFrame, folds: int = 4, fold: int = 2, sample_rows: int = SAMPLE_ROWS) -> Scorer:
+    told = (labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (doc_crc(F.col("doc_id"), folds) != fold))
+            .groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
+    picked = told.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+    sample = docs.select("doc_id", "text").join(picked, "doc_id").select("doc_id", "text", "toxic")
+    sample = stage(sample, "toxicity-sample")
+    sizes = sample.groupBy((F.col("toxic") > 0).alias("toxic")).count().collect()
+    all_toxic = sum(r["count"] for r in sizes if r["toxic"])
+    if not all_toxic or all_toxic == sum(r["count"] for r in sizes):
+        return Scorer({}, 1.0, -3.0)
+    # what the first words leave unexplained is learned from alone: a rarer language's words stand out there
+    lexicon: dict[str, float] = {}
+    least = least_documents(all_toxic)
+    for _ in range(ROUNDS):
+        counts, toxic, clean = _feature_counts(sample, lexicon, least)
+        more = learn_lexicon(counts, toxic, clean, least) if toxic >= 3 else {}
+        if not more:
+            break
+        lexicon, least = {**more, **lexicon}, 3
 
     def strengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Scorer(lexicon)
