@@ -16,7 +16,15 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 __all__ = ["SPACE_CLASS", "WORD", "ascii_lower", "read_table", "stage", "word_count", "doc_crc", "text_chunks"]
 
 
+#: Rows per Arrow batch: rows here are whole texts, and a task holds a few batches at a time.
+ROWS_PER_BATCH = 2000
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the given folder; also sizes the session's Arrow batches for rows of whole texts."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ROWS_PER_BATCH:
+        spark.conf.set(key, str(ROWS_PER_BATCH))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

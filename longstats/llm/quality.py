@@ -90,7 +90,8 @@ def evidence(docs: DataFrame, labels: DataFrame, text: str = "text", sample_rows
     """A column with the log odds of a good document from its features, and the fit's log prior odds; None if unfit."""
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
         F.min("quality").alias("quality"))
-    picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+    # written first: with its size known it is broadcast, and the texts stay where they are
+    picked = stage(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows), "quality-sample")
     named = features(F.col(text))
     rows = (docs.select("doc_id", text).join(picked, "doc_id").select("quality", *[c.alias(k) for k, c in named.items()])).toPandas()
     y = rows["quality"].to_numpy(float) if len(rows) else np.zeros(0)

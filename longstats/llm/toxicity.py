@@ -274,7 +274,8 @@ def _feature_counts(sample: DataFrame, lexicon: dict[str, float], least: int) ->
 def train(docs: DataFrame, labels: DataFrame, folds: int = 4, fold: int = 2, sample_rows: int = SAMPLE_ROWS) -> Scorer:
     told = (labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (doc_crc(F.col("doc_id"), folds) != fold))
             .groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
-    picked = told.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+    # written first: with its size known it is broadcast, and the texts stay where they are
+    picked = stage(told.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows), "toxicity-labels")
     sample = docs.select("doc_id", "text").join(picked, "doc_id").select("doc_id", "text", "toxic")
     sample = stage(sample, "toxicity-sample")
     sizes = sample.groupBy((F.col("toxic") > 0).alias("toxic")).count().collect()
