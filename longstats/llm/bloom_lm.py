@@ -37,6 +37,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -51,7 +52,7 @@ BITS_PER_ENTRY = 8
 GROWTH = 1.25
 FREQUENT = 1 << 20
 MU = 16.0
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 WORD, PAIR, CONTEXT = 1, 2, 3
 END = np.uint64(0x9E3779B97F4A7C15)
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -102,25 +103,21 @@ def contexts_of(pairs: np.ndarray) -> np.ndarray:
     return pairs >> np.uint64(32)
 
 
-def tokens_of(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes, hashes of the tokens before them, length per text) of several texts."""
+def tokens_of(texts: list) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all tokens, number per text) of several texts."""
     parts = [word_hashes(t) for t in texts]
-    lengths = np.array([len(p) for p in parts], np.int64)
-    words = np.concatenate(parts)
-    before = np.concatenate([[END], words[:-1]])
-    before[np.concatenate([[0], np.cumsum(lengths)[:-1]])] = END
-    return words, before, lengths
+    return np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
 
 
 def bit_positions(kind: int, keys: np.ndarray, level: np.ndarray, bits: int, segments: int) -> tuple:
-    """(segment, positions in it) of entries; the segment depends on the key alone."""
+    """(segment, positions in it) of entries; the segment depends on the key alone.  Sizes are powers of two."""
     with np.errstate(over="ignore"):
         base = mix(keys + np.uint64(kind) * np.uint64(0x632BE59BD9B4E019))
         h = mix(base + level.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
         step = mix(h) | np.uint64(1)
-        size = np.uint64(bits // segments)
-        places = [(h + np.uint64(i) * step) % size for i in range(PROBES)]
-    return (base % np.uint64(segments)).astype(np.int64), places
+        size = np.uint64(bits // segments - 1)
+        places = [(h + np.uint64(i) * step) & size for i in range(PROBES)]
+    return (base & np.uint64(segments - 1)).astype(np.int64), places
 
 
 class Filter:
@@ -132,10 +129,11 @@ class Filter:
     def has(self, kind: int, keys: np.ndarray, level: np.ndarray) -> np.ndarray:
         segment, places = bit_positions(kind, keys, level, self.bits, self.segments)
         begin = segment * (self.bits // self.segments)
-        out = np.ones(len(keys), bool)
-        for p in places:
-            at = begin + p.astype(np.int64)
-            out &= (self.data[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+        out, live = np.zeros(len(keys), bool), np.arange(len(keys))
+        for p in places:  # most absent keys go at the first bit
+            at = begin[live] + p[live].astype(np.int64)
+            live = live[(self.data[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)]
+        out[live] = True
         return out
 
     def count(self, kind: int, keys: np.ndarray) -> np.ndarray:
@@ -160,6 +158,32 @@ def fill_segment(entries: list[tuple[int, np.ndarray, np.ndarray]], bits: int, s
     return data.tobytes()
 
 
+def build_filter(entries: DataFrame, bits: int, segments: int = SEGMENTS) -> np.ndarray:
+    """The filter's bytes from ``(kind tinyint, key long, n long)``: every segment is filled by a task of its own."""
+
+    def segmented(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kinds, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
+            segment = np.zeros(len(keys), np.int32)
+            for kind in np.unique(kinds):
+                of = kinds == kind
+                segment[of] = bit_positions(int(kind), keys[of], np.ones(int(of.sum())), bits, segments)[0]
+            yield pa.RecordBatch.from_arrays([pa.array(segment), *batch.columns], names=["segment", "kind", "key", "n"])
+
+    def fill(key, table):
+        kinds, keys, n = (table.column(c).to_numpy() for c in ("kind", "key", "n"))
+        parts = [(int(k), keys[kinds == k].view(np.uint64), n[kinds == k]) for k in np.unique(kinds)]
+        return pa.table({"segment": pa.array([key[0].as_py()], pa.int32()),
+                         "bits": pa.array([fill_segment(parts, bits, segments)], pa.binary())})
+
+    filled = (entries.select("kind", "key", "n").mapInArrow(segmented, "segment int, kind tinyint, key long, n long")
+              .groupBy("segment").applyInArrow(fill, "segment int, bits binary"))
+    data = np.zeros((segments, bits // segments // 8), np.uint8)
+    for row in filled.toLocalIterator():
+        data[row["segment"]] = np.frombuffer(row["bits"], np.uint8)
+    return data.reshape(-1)
+
+
 def is_part(doc_id, folds: int, fold: int) -> bool:
     return zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % folds == fold
 
@@ -175,7 +199,9 @@ def count_rows(docs: DataFrame, folds: int, fold: int) -> DataFrame:
                 train = [t for i, t in zip(ids[a:b], texts) if not is_part(i, folds, fold)]
                 if not train:
                     continue
-                words, before, _ = tokens_of(train)
+                words, lengths = tokens_of(train)
+                before = np.concatenate([words[-1:], words[:-1]])  # the end stands before the first word
+                before[np.concatenate([[0], np.cumsum(lengths)[:-1]])] = END
                 for kind, keys in ((WORD, words), (PAIR, pair_keys(before, words))):
                     keys, n = np.unique(keys, return_counts=True)
                     for at in range(0, len(keys), 1 << 17):
@@ -205,37 +231,65 @@ def smallest_counts(histogram: list[tuple[int, int, int]], entries: int) -> dict
 
 
 class Model:
-    """Everything a scoring task needs; its size is bounded by ``bits`` and ``FREQUENT``."""
+    """Everything a scoring task needs; its size is bounded by ``bits`` and ``FREQUENT``.
+
+    ``memo`` holds what the filter said of the frequent words so far (NaN: not asked yet), as word and as context: a
+    worker probes each of them once, not once per chunk of text.
+    """
 
     def __init__(self, bits: np.ndarray, segments: int, tokens: int, distinct: int, keys: np.ndarray,
-                 counts: np.ndarray, mu: float = MU):
+                 counts: np.ndarray, mu: float = MU, memo: np.ndarray | None = None):
         self.filter = Filter(bits, segments)
         self.tokens, self.distinct, self.mu = tokens, distinct, mu
         self.keys, self.counts = keys, counts
+        self.memo = np.full((2, len(keys)), np.nan) if memo is None else memo
         self.denominator = tokens + 0.5 * (distinct + 1)
 
     def parts(self) -> tuple:
         """Plain arrays and numbers to build it again from."""
-        return (self.filter.data, self.filter.segments, self.tokens, self.distinct, self.keys, self.counts, self.mu)
+        return (self.filter.data, self.filter.segments, self.tokens, self.distinct, self.keys, self.counts, self.mu,
+                self.memo)
 
-    def exact(self, words: np.ndarray) -> np.ndarray:
-        """Counts of the frequent words, -1 for others."""
+    def places(self, words: np.ndarray) -> np.ndarray:
+        """Where the words stand among the frequent ones; -1 for others."""
         if not len(self.keys):
             return np.full(len(words), -1, np.int64)
-        at = np.minimum(np.searchsorted(self.keys, words), len(self.keys) - 1)
-        return np.where(self.keys[at] == words, self.counts[at], -1)
-
-    def log10_probability(self, words: np.ndarray, before: np.ndarray) -> np.ndarray:
-        word, back = np.unique(words, return_inverse=True)
-        known = self.filter.count(WORD, word)
-        p1 = ((known + 0.5) / self.denominator)[back]
-        pair, of = np.unique(pair_keys(before, words), return_inverse=True)
-        with_pair = self.filter.count(PAIR, pair)
-        context, of_pair = np.unique(contexts_of(pair), return_inverse=True)
+        order = np.argsort(words)  # neighbouring searches touch neighbouring memory
+        at = np.empty(len(words), np.int64)
+        at[order] = np.minimum(np.searchsorted(self.keys, words[order]), len(self.keys) - 1)
+        return np.where(self.keys[at] == words, at, -1)
+
+    def exact(self, places: np.ndarray) -> np.ndarray:
+        """Counts of the frequent words, -1 for others."""
+        return np.where(places >= 0, self.counts[places], -1) if len(self.counts) else places
+
+    def probed(self, words: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """The filter's counts of distinct words, as words and as contexts."""
+        out = np.empty((2, len(words)))
+        new = np.flatnonzero(places < 0)
+        often = places[places >= 0]
+        if len(often):
+            asked = np.flatnonzero(places >= 0)
+            fresh = asked[np.isnan(self.memo[0, often])]
+            self.memo[0, places[fresh]] = self.filter.count(WORD, words[fresh])
+            self.memo[1, places[fresh]] = self.filter.count(CONTEXT, contexts_of(words[fresh]))
+            out[:, asked] = self.memo[:, often]
+        out[0, new] = self.filter.count(WORD, words[new])
+        out[1, new] = self.filter.count(CONTEXT, contexts_of(words[new]))
+        return out
+
+    def log10_probability(self, word: np.ndarray, code: np.ndarray, code_before: np.ndarray,
+                          places: np.ndarray | None = None) -> np.ndarray:
+        """Of tokens given as places in an array of distinct words."""
+        known, kept = self.probed(word, self.places(word) if places is None else places)
+        p1 = ((known + 0.5) / self.denominator)[code]
+        # common pairs have many levels: each distinct pair is probed once
+        of, pair = pd.factorize(pair_keys(word[code_before], word[code]))
+        with_pair = self.filter.count(PAIR, pair)[of]
         # levels stand for a range of counts: keep pair <= context <= word
-        kept = np.maximum(self.filter.count(CONTEXT, context)[of_pair], with_pair)[of]
-        total = np.maximum(known[np.searchsorted(word, before)], kept)
-        return np.log10((with_pair[of] + (total - kept + self.mu) * p1) / (total + self.mu))
+        kept = np.maximum(kept[code_before], with_pair)
+        total = np.maximum(known[code_before], kept)
+        return np.log10((with_pair + (total - kept + self.mu) * p1) / (total + self.mu))
 
 
 def train(docs: DataFrame, folds: int = 5, fold: int = 1, bits: int = BITS, segments: int = SEGMENTS,
@@ -258,26 +312,7 @@ def train(docs: DataFrame, folds: int = 5, fold: int = 1, bits: int = BITS, segm
     entries = (counts.where((F.col("kind") == WORD) & (F.col("n") >= least[WORD])).select("kind", "key", "n")
                .unionByName(pairs).unionByName(contexts))
 
-    def segmented(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kinds, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
-            segment = np.zeros(len(keys), np.int32)
-            for kind in (WORD, PAIR, CONTEXT):
-                of = kinds == kind
-                segment[of] = bit_positions(kind, keys[of], np.ones(int(of.sum())), bits, segments)[0]
-            yield pa.RecordBatch.from_arrays([pa.array(segment), *batch.columns], names=["segment", "kind", "key", "n"])
-
-    def fill(key, table):
-        kinds, keys, n = (table.column(c).to_numpy() for c in ("kind", "key", "n"))
-        parts = [(k, keys[kinds == k].view(np.uint64), n[kinds == k]) for k in (WORD, PAIR, CONTEXT)]
-        return pa.table({"segment": pa.array([key[0].as_py()], pa.int32()),
-                         "bits": pa.array([fill_segment(parts, bits, segments)], pa.binary())})
-
-    filled = (entries.mapInArrow(segmented, "segment int, kind tinyint, key long, n long")
-              .groupBy("segment").applyInArrow(fill, "segment int, bits binary"))
-    data = np.zeros((segments, bits // segments // 8), np.uint8)
-    for row in filled.toLocalIterator():
-        data[row["segment"]] = np.frombuffer(row["bits"], np.uint8)
+    data = build_filter(entries, bits, segments)
     # the words that the most tokens have: as many whole levels as fit
     cut, number = 1 << 62, 0
     for c, m in sorted(((c, m) for k, c, m in histogram if k == WORD), reverse=True):
@@ -288,7 +323,7 @@ def train(docs: DataFrame, folds: int = 5, fold: int = 1, bits: int = BITS, segm
     keys = common.column("key").to_numpy().view(np.uint64) if number else np.zeros(0, np.uint64)
     order = np.argsort(keys)
     n = common.column("n").to_numpy()[order] if number else np.zeros(0, np.int64)
-    return Model(data.reshape(-1), segments, int(tokens), int(distinct), keys[order], n, mu), words
+    return Model(data, segments, int(tokens), int(distinct), keys[order], n, mu), words
 
 
 def score(docs: DataFrame, folds: int = 5, fold: int = 1, **options) -> DataFrame:
@@ -301,19 +336,22 @@ def score(docs: DataFrame, folds: int = 5, fold: int = 1, **options) -> DataFram
         for batch in batches:
             ids = batch.column(0).to_pylist()
             for a, b in text_chunks(batch.column(1), CHUNK_BYTES):
-                tokens, before, lengths = tokens_of(batch.column(1).slice(a, b - a).to_pylist())
+                tokens, lengths = tokens_of(batch.column(1).slice(a, b - a).to_pylist())
                 starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-                word, back = np.unique(tokens, return_inverse=True)
-                exact = m.exact(word)
-                logs = np.where(exact >= 0, np.log10((np.maximum(exact, 0) + 0.5) / m.denominator), 0.0)[back]
-                rare = (exact < 0)[back]
+                code, word = pd.factorize(tokens)
+                code_before = np.concatenate([code[-1:], code[:-1]])  # the end stands before the first word
+                code_before[starts] = code[-1]
+                places = m.places(word)
+                exact = m.exact(places)
+                logs = np.where(exact >= 0, np.log10((np.maximum(exact, 0) + 0.5) / m.denominator), 0.0)[code]
+                rare = (exact < 0)[code]
                 ends = starts + lengths
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids[a:b], batch.column(0).type),
                      pa.array([is_part(i, folds, fold) for i in ids[a:b]]),
                      pa.array(lengths), pa.array(np.add.reduceat((~rare).astype(np.int64), starts)),
                      pa.array(np.add.reduceat(logs, starts)),
-                     pa.array(np.add.reduceat(m.log10_probability(tokens, before), starts)),
+                     pa.array(np.add.reduceat(m.log10_probability(word, code, code_before, places), starts)),
                      pa.array([tokens[s:e][rare[s:e]].view(np.int64) for s, e in zip(starts, ends)],
                               pa.list_(pa.int64()))],
                     names=["doc_id", "held_out", "n_tokens", "known", "base", "score", "rare"])
