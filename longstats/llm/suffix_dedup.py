@@ -9,20 +9,24 @@ corpus (smaller doc_id, or the same document and an earlier start) is removed.
    equal anchors at equal places, so windows need comparing only within an
    anchor's hash.
 2. Runs with equal bytes (by 64-bit hash of the run's bytes, beside the
-   anchor's) are one class.  Within a task they are merged before the shuffle.
-   All but the first run of a class are repeats as a whole.
-3. First runs whose anchor also has other classes may share some windows.  Their
-   bytes go, by anchor, to tasks that build a suffix array in two stages: suffixes
-   smaller than their successor are sorted directly, the others are induced by a
-   scan over the buckets of first bytes.  Adjacent common prefixes of at least
-   ``length`` bytes mark equal windows; all but the earliest are repeats.
-   An anchor with more than ``BIG`` classes (a very common phrase in many
+   anchor's) are one class; within a chunk of text they are merged before the
+   shuffle.  All but the first run of a class are repeats as a whole.
+3. First runs whose anchor has other classes too may share some windows.  A
+   window holds, beside the anchor, at least half of the other bytes on its left
+   or on its right, so its run is filed under the anchor with that half.  The
+   bytes of runs filed under one key meet in a task that builds a suffix array in
+   two stages: suffixes smaller than their successor are sorted directly, the
+   others are induced by a scan over the buckets of first bytes.  Adjacent common
+   prefixes of at least ``length`` bytes mark equal windows; all but the earliest
+   are repeats.  A key with more than ``BIG`` runs (a very common phrase in many
    surroundings) is split instead: its windows go by their own 128-bit hash, so
    no task gets all of them.
 4. The repeats' spans go to their documents and are merged there.
 
-Texts are moved once (by document, for steps 3 and 4); besides, one narrow row
-per run.  Nothing is gathered by a key that grows with the corpus.
+The texts are read twice before step 4.  The second reading must know which runs
+matter; it asks a Bloom filter of ``FILTER_BITS`` bits (that is the size of what is
+broadcast).  A false hit costs a row and changes nothing: whole repeats are
+joined exactly, and a suffix array only ever marks windows that do repeat.
 
 Defined results: NULL texts have 0 bytes; texts shorter than ``length`` keep
 everything; documents with a NULL id come after all others; rows with the same
@@ -43,13 +47,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .bloom_lm import SEGMENTS, Filter, build_filter
 from .common import stage
 
 LENGTH = 100
 GRAM = 24
-BIG = 1000
-CHUNK_BYTES = 2 << 20
-BATCH_BYTES = 1 << 20
+BIG = 5000
+CHUNK_BYTES = 1 << 20
+BATCH_BYTES = 1 << 19
+FILTER_BITS = 1 << 27
+CLASS, FIRST = 1, 2
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 #: A random-looking 64-bit value per byte.
 with np.errstate(over="ignore"):
@@ -111,70 +118,77 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 def window_runs(data: np.ndarray, starts: np.ndarray, length: int = LENGTH, gram: int = GRAM):
     """Runs of windows with the same anchor, over concatenated documents.
 
-    Returns (document number, first window, last window, anchor hash, hash of the run's bytes) with windows as
-    positions in ``data``.
+    Returns (document number, first window, last window, anchor's place, anchor's hash, hash of the run's bytes) with
+    windows and places as positions in ``data``.
     """
     if len(data) < length:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64))
     grams = gram_hashes(data, gram)
     half = np.uint64(32)
     key = (_mix(grams) >> half << half) | np.arange(len(grams), dtype=np.uint64)
     best = _sliding_min(key, length - gram + 1)  # the smallest hash (its upper half), then the leftmost
     anchor = (best & np.uint64(0xFFFFFFFF)).astype(np.int64)
     n = len(anchor)
-    doc = np.searchsorted(starts, np.arange(n), side="right") - 1
-    inside = np.arange(n) + length <= starts[doc + 1]
-    new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])])
-    first = np.flatnonzero(new)
-    last = np.concatenate([first[1:], [n]]) - 1
-    # windows that reach over the document's end stand at the end of its last runs
-    last = np.minimum(last, starts[doc[first] + 1] - length)
-    ok = inside[first] & (last >= first)
-    first, last = first[ok], last[ok]
-    return doc[first], first, last, _mix(grams[anchor[first]]), range_hashes(data, first, last + length)
-
-
-def two_stage_suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
-    """Suffix order (ties beyond ``depth`` bytes in any order).
-
-    Suffixes smaller than their successor are sorted directly, by their first ``depth`` bytes.  A suffix larger than
-    its successor follows from it: buckets of first bytes are scanned upward, and each entry puts the suffix before
-    it, if that is of the larger kind, next into the front part of its own bucket.
+    # windows that reach over a document's end are left out
+    doc = np.repeat(np.arange(len(starts) - 1), np.diff(starts))[:n]
+    first = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])]))
+    doc = doc[first]
+    last = np.minimum(np.concatenate([first[1:], [n]]) - 1, starts[doc + 1] - length)
+    ok = last >= first
+    doc, first, last = doc[ok], first[ok], last[ok]
+    place = anchor[first]
+    return doc, first, last, place, _mix(grams[place]), range_hashes(data, first, last + length)
+
+
+def two_stage_suffix_array(text: np.ndarray, depth: int, wanted: np.ndarray | None = None) -> np.ndarray:
+    """Order of the wanted suffixes (all if not given), by their first ``depth`` bytes at least (equal ones in any order).
+
+    Suffixes smaller than their successor are sorted directly.  A suffix larger than its successor follows from it:
+    buckets of first bytes are scanned upward, and each entry puts the suffix before it, if that is of the larger kind,
+    next into the front part of its own bucket.  What is wanted therefore needs, beside itself, the suffixes after it
+    up to the first of the smaller kind.
     """
     n = len(text)
     if n == 0:
         return np.zeros(0, np.int64)
     # smaller than the successor: by the next differing byte; the end counts as smaller than everything
     differs = np.flatnonzero(text[1:] != text[:-1])
-    next_diff = np.searchsorted(differs, np.arange(n))
+    rises = text[differs] < text[differs + 1]
     up = np.zeros(n, bool)
-    within = next_diff < len(differs)
-    at = differs[next_diff[within]]
-    up[within] = text[at] < text[at + 1]
-    direct = np.flatnonzero(up)
+    up[: differs[-1] + 1 if len(differs) else 0] = np.repeat(rises, np.diff(differs, prepend=-1))
+    needed = np.ones(n, bool)
+    if wanted is not None:
+        last_wanted = np.maximum.accumulate(np.where(wanted, np.arange(n), -1))
+        smaller_before = np.concatenate([[0], np.cumsum(up)])
+        # between the last wanted suffix and here there is none of the smaller kind
+        needed = wanted | (last_wanted >= 0) & (smaller_before[:-1] == smaller_before[np.maximum(last_wanted, 0)])
+    direct = np.flatnonzero(up & needed)
     padded = np.concatenate([text, np.zeros(depth, np.uint8)])
     rows = np.lib.stride_tricks.sliding_window_view(padded, depth)
-    # zero bytes pad the end; a fixed-width comparison of whole rows as big-endian words keeps them in order
+    # zero bytes pad the end; whole rows are compared as big-endian words
     words = -(-depth // 8)
     block = np.zeros((len(direct), words * 8), np.uint8)
     block[:, :depth] = rows[direct]
-    columns = block.view(">u8").astype(np.uint64)
     room = np.minimum(n - direct, depth)  # among equal rows the one that the text's end cuts off is smaller
-    order = direct[np.lexsort((room, *(columns[:, i] for i in reversed(range(words)))))]
+    order = direct[np.lexsort((room, block.view(f"S{words * 8}").ravel()))]
+    del block
+    down = ~up & needed
     down_parts: list[list[np.ndarray]] = [[] for _ in range(256)]
-    bucket_of = text[order]
-    edges = np.searchsorted(bucket_of, np.arange(257))
-    if not up[n - 1]:
+    edges = np.searchsorted(text[order], np.arange(257))
+    if down[n - 1]:
         down_parts[int(text[n - 1])].append(np.array([n - 1]))
 
     def induce(entries: np.ndarray) -> None:
         before = entries[entries > 0] - 1
-        before = before[~up[before]]
+        before = before[down[before]]
         letters = text[before]
-        for c in np.unique(letters):
-            down_parts[int(c)].append(before[letters == c])
+        order = np.argsort(letters, kind="stable")
+        cuts = np.flatnonzero(np.diff(letters[order])) + 1
+        for part in np.split(before[order], cuts):
+            if len(part):
+                down_parts[int(text[part[0]])].append(part)
 
-    out: list[np.ndarray] = []
+    out: list[np.ndarray] = [np.zeros(0, np.int64)]
     for c in range(256):
         at = 0
         while at < len(down_parts[c]):  # grows while runs of the same byte induce each other
@@ -186,7 +200,8 @@ def two_stage_suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
         if len(entries):
             out.append(entries)
             induce(entries)
-    return np.concatenate(out)
+    sa = np.concatenate(out)
+    return sa if wanted is None else sa[wanted[sa]]
 
 
 def common_prefixes(text: np.ndarray, sa: np.ndarray, limit: int) -> np.ndarray:
@@ -208,15 +223,13 @@ def repeated_windows(contexts: list[bytes], length: int) -> list[np.ndarray]:
     sizes = np.array([len(c) for c in contexts])
     begins = np.concatenate([[0], np.cumsum(sizes)])
     text = np.frombuffer(b"".join(contexts), np.uint8)
-    sa = two_stage_suffix_array(text, length)
-    prefix = common_prefixes(text, sa, length)
-    owner = np.searchsorted(begins, sa, side="right") - 1
-    whole = sa + length <= begins[owner + 1]
-    # equal suffixes to this depth stand together; windows that cross into the next string don't count
-    group = np.cumsum(prefix < length)
-    keep = np.flatnonzero(whole)
-    order = keep[np.lexsort((sa[keep], group[keep]))]
-    again = order[1:][group[order[1:]] == group[order[:-1]]]
+    # windows that cross into the next string don't count
+    room = np.repeat(begins[1:], sizes) - np.arange(len(text))
+    sa = two_stage_suffix_array(text, length, room >= length)
+    group = np.cumsum(common_prefixes(text, sa, length) < length)  # equal windows stand together
+    order = np.lexsort((sa, group))
+    same = group[order[1:]] == group[order[:-1]]
+    again = order[1:][same]
     found = np.sort(sa[again])
     cut = np.searchsorted(found, begins)
     return [found[cut[i]: cut[i + 1]] - begins[i] for i in range(len(contexts))]
@@ -273,59 +286,111 @@ def _pieces(column: pa.Array, overlap: int) -> Iterator[tuple[np.ndarray, np.nda
         yield out()
 
 
-def runs(texts: DataFrame, length: int, merge: bool) -> DataFrame:
-    """``(uid, text)`` -> rows (anchor, content, uid, a, b): windows a to b-length of the document are one run.
+def class_rows(texts: DataFrame, length: int) -> DataFrame:
+    """``(uid, text)`` -> (anchor, content, uid, at, n): of each class in a chunk of text the first run and their number.
 
-    With ``merge``, only the first run of each class within a chunk of text is returned, with their number.
+    ``at`` is the run's first byte and, in the last 8 bits, its length beyond ``length``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             uid = batch.column(0).to_numpy(zero_copy_only=False)
             for data, starts, rows, offsets in _pieces(batch.column(1), length - 1):
-                piece, first, last, anchor, content = window_runs(data, starts, length)
-                a = first - starts[piece] + offsets[piece]
-                b = last + length - starts[piece] + offsets[piece]
-                doc, number = uid[rows[piece]], np.ones(len(piece), np.int32)
-                if merge and len(doc):
-                    # in the order of documents and places, so that a class's first run is the one that stays
-                    order = np.lexsort((a, doc, content, anchor))
-                    doc, a, b, anchor, content = (v[order] for v in (doc, a, b, anchor, content))
-                    new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1])])
-                    keep = np.flatnonzero(new)
-                    number = np.diff(np.concatenate([keep, [len(doc)]])).astype(np.int32)
-                    doc, a, b, anchor, content = (v[keep] for v in (doc, a, b, anchor, content))
-                for s in range(0, len(doc), 1 << 16):
-                    e = slice(s, s + (1 << 16))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(anchor[e].view(np.int64)), pa.array(content[e].view(np.int64)), pa.array(doc[e]),
-                         pa.array(a[e].astype(np.int32)), pa.array(b[e].astype(np.int32)), pa.array(number[e])],
-                        names=["anchor", "content", "uid", "a", "b", "n"])
+                piece, first, last, _, anchor, content = window_runs(data, starts, length)
+                if not len(piece):
+                    continue
+                doc, a = uid[rows[piece]], first - starts[piece] + offsets[piece]
+                # in the order of documents and places, so that a class's first run is the one that stays
+                order = np.lexsort((a, doc, content, anchor))
+                anchor, content = anchor[order], content[order]
+                keep = np.flatnonzero(np.concatenate(
+                    [[True], (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1])]))
+                at = (a << 8 | last - first)[order][keep]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(anchor[keep].view(np.int64)), pa.array(content[keep].view(np.int64)),
+                     pa.array(doc[order][keep]), pa.array(at),
+                     pa.array(np.diff(np.concatenate([keep, [len(order)]])).astype(np.int32))],
+                    names=["anchor", "content", "uid", "at", "n"])
+
+    return texts.select("uid", "text").mapInArrow(run, "anchor long, content long, uid long, at long, n int")
+
+
+def class_keys(anchor: np.ndarray, content: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return _mix(anchor * np.uint64(0x9E3779B97F4A7C15) + content)
+
 
-    return texts.select("uid", "text").mapInArrow(run, "anchor long, content long, uid long, a int, b int, n int")
+def place_keys(anchor: np.ndarray, uid: np.ndarray, at: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return _mix(_mix(anchor + uid.astype(np.uint64)) + at.astype(np.uint64))
 
 
-def _contexts(asked: DataFrame) -> DataFrame:
-    """``(text, wants array<struct<anchor, a, b>>)`` -> the bytes of each wanted run."""
+def _filter_entries(known: DataFrame) -> DataFrame:
+    """Filter keys: the classes of several runs, and the first runs of anchors with several classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            uid = batch.column(0).to_pylist()
-            for i, (text, wants) in enumerate(zip(batch.column(1), batch.column(2))):
-                raw = text.as_py().encode("utf-8", "surrogatepass")
-                wants = wants.as_py()
+            anchor, content, uid, at, n, classes = (batch.column(i).to_numpy() for i in range(6))
+            anchor, content = anchor.view(np.uint64), content.view(np.uint64)
+            several, first = n > 1, classes > 1
+            keys = np.concatenate([class_keys(anchor, content)[several], place_keys(anchor, uid, at)[first]])
+            kinds = np.repeat(np.array([CLASS, FIRST], np.int8), [several.sum(), first.sum()])
+            yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(keys.view(np.int64)),
+                                              pa.array(np.ones(len(keys), np.int64))], names=["kind", "key", "n"])
+
+    return known.select("anchor", "content", "uid", "at", "n", "classes").mapInArrow(
+        run, "kind tinyint, key long, n long")
+
+
+def _candidates(texts: DataFrame, length: int, bits, gram: int = GRAM) -> DataFrame:
+    """The second reading: runs of classes that the filter holds (``bytes`` NULL), and the bytes of first runs.
+
+    Rows are (k1, k2, uid, a, b, bytes): anchor and content for a run, the filing key for bytes.
+    """
+    half = (length - gram) // 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = Filter(bits.value, SEGMENTS)
+        for batch in batches:
+            uid = batch.column(0).to_numpy(zero_copy_only=False)
+            for data, starts, rows, offsets in _pieces(batch.column(1), length - 1):
+                piece, first, last, place, anchor, content = window_runs(data, starts, length)
+                if not len(piece):
+                    continue
+                doc, moved = uid[rows[piece]], offsets[piece] - starts[piece]
+                a, one = first + moved, np.ones(len(piece), np.int64)
+                some = np.flatnonzero(found.has(CLASS, class_keys(anchor, content), one))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([w["anchor"] for w in wants], pa.int64()), pa.array([uid[i]] * len(wants), pa.int64()),
-                     pa.array([w["a"] for w in wants], pa.int32()), pa.array([w["big"] for w in wants], pa.bool_()),
-                     pa.array([raw[w["a"]: w["b"]] for w in wants], pa.binary())],
-                    names=["anchor", "uid", "a", "big", "bytes"])
+                    [pa.array(anchor[some].view(np.int64)), pa.array(content[some].view(np.int64)),
+                     pa.array(doc[some]), pa.array(a[some].astype(np.int32)),
+                     pa.array((last + length + moved)[some].astype(np.int32)), pa.nulls(len(some), pa.binary())],
+                    names=["k1", "k2", "uid", "a", "b", "bytes"])
+                some = np.flatnonzero(found.has(FIRST, place_keys(anchor, doc, a << 8 | last - first), one))
+                doc, first, last, place, anchor, moved = (v[some] for v in (doc, first, last, place, anchor, moved))
+                raw = data.tobytes()
+                for side in (0, 1):
+                    # windows with at least half of the other bytes to the anchor's left; then the others
+                    lo = first if side == 0 else np.maximum(first, place - half + 1)
+                    hi = np.minimum(last, place - half) if side == 0 else last
+                    of = np.flatnonzero(lo <= hi)
+                    if not len(of):
+                        continue
+                    lo, hi, p = lo[of], hi[of], place[of]
+                    begin = p - half if side == 0 else p + gram
+                    with np.errstate(over="ignore"):
+                        key = _mix(anchor[of] * np.uint64(2 * side + 3) + range_hashes(data, begin, begin + half))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(key.view(np.int64)), pa.array(np.zeros(len(of), np.int64)), pa.array(doc[of]),
+                         pa.array((lo + moved[of]).astype(np.int32)),
+                         pa.array((hi + length + moved[of]).astype(np.int32)),
+                         pa.array([raw[x: y + length] for x, y in zip(lo.tolist(), hi.tolist())], pa.binary())],
+                        names=["k1", "k2", "uid", "a", "b", "bytes"])
 
-    return asked.select("uid", "text", "wants").mapInArrow(
-        run, "anchor long, uid long, a int, big boolean, bytes binary")
+    return texts.select("uid", "text").mapInArrow(run, "k1 long, k2 long, uid long, a int, b int, bytes binary")
 
 
 def _sorted_repeats(contexts: DataFrame, length: int) -> DataFrame:
-    """(uid, a, b) of repeats among the runs of each anchor, by suffix arrays over many anchors at once."""
+    """(uid, a, b) of repeats among the runs filed under each key, by suffix arrays over many keys at once."""
 
     def solve(held: list[tuple]) -> pa.RecordBatch:
         held.sort(key=lambda r: (r[1], r[2]))  # corpus order
@@ -337,18 +402,24 @@ def _sorted_repeats(contexts: DataFrame, length: int) -> DataFrame:
              pa.array([r[2] for r in out], pa.int32())], names=["uid", "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, last = [], 0, None
+        held, group, size = [], [], 0
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if row[0] != last and size > BATCH_BYTES:  # an anchor's runs stay together
-                    yield solve(held)
-                    held, size = [], 0
-                held.append(row)
-                size, last = size + len(row[3]), row[0]
+                if group and row[0] != group[0][0]:
+                    if len(group) > 1:  # a key's runs stay together; a run alone has nothing to equal
+                        held += group
+                        size += sum(len(r[3]) for r in group)
+                        if size > BATCH_BYTES:
+                            yield solve(held)
+                            held, size = [], 0
+                    group = []
+                group.append(row)
+        if len(group) > 1:
+            held += group
         if held:
             yield solve(held)
 
-    return (contexts.select("anchor", "uid", "a", "bytes").repartition("anchor").sortWithinPartitions("anchor")
+    return (contexts.select("k1", "uid", "a", "bytes").repartition("k1").sortWithinPartitions("k1")
             .mapInArrow(run, "uid long, a int, b int"))
 
 
@@ -391,28 +462,27 @@ def numbered(docs: DataFrame) -> DataFrame:
 
 def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``(uid, text, ...)`` -> also ``ranges``: the byte ranges to remove, in no order, possibly overlapping (NULL: none)."""
-    texts = docs.select("uid", "text")
-    # classes of runs: the first place of each, and how many runs its anchor has in all
-    merged = runs(texts, length, merge=True).repartition("anchor")
-    classes = (merged.groupBy("anchor", "content")
-               .agg(F.min(F.struct("uid", "a", "b")).alias("first"), F.sum("n").alias("n")))
+    spark, texts = docs.sparkSession, docs.select("uid", "text")
+    # classes of runs: the first place of each, and how many runs and classes its anchor has
+    classes = (class_rows(texts, length).repartition("anchor").groupBy("anchor", "content")
+               .agg(F.min(F.struct("uid", "at")).alias("first"), F.sum("n").alias("n")))
     anchors = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("classes"), F.sum("n").alias("all"))
-    known = stage(classes.join(anchors.where(F.col("all") > 1), "anchor")
+    known = stage(classes.join(anchors.where(F.col("all") > 1).drop("all"), "anchor")
                   .select("anchor", "content", "first.*", "n", "classes"), "repeat-classes")
+    bits = spark.sparkContext.broadcast(build_filter(_filter_entries(known), FILTER_BITS))
+    candidates = stage(_candidates(texts, length, bits), "repeat-candidates")
     # whole runs that repeat
-    firsts = known.where("n > 1").select(F.col("anchor").alias("f_anchor"), F.col("content").alias("f_content"),
-                                         F.struct("uid", "a").alias("first"))
-    whole = (runs(texts, length, merge=False).drop("n")
-             .join(firsts, (F.col("anchor") == F.col("f_anchor")) & (F.col("content") == F.col("f_content")))
-             .where(F.struct("uid", "a") != F.col("first"))
+    firsts = known.where("n > 1").select("anchor", "content", F.col("uid").alias("f_uid"),
+                                         F.shiftright("at", 8).alias("f_a"))
+    whole = (candidates.where("bytes is null")
+             .join(firsts, (F.col("k1") == F.col("anchor")) & (F.col("k2") == F.col("content")))
+             .where((F.col("uid") != F.col("f_uid")) | (F.col("a") != F.col("f_a")))
              .select("uid", "a", "b"))
-    # first runs whose anchor has several classes
-    wants = (known.where("classes > 1").groupBy("uid")
-             .agg(F.collect_list(F.struct("anchor", "a", "b", (F.col("classes") > BIG).alias("big"))).alias("wants"))
-             .withColumnRenamed("uid", "w_uid"))
-    contexts = stage(_contexts(texts.join(wants, F.col("uid") == F.col("w_uid"))), "contexts")
-    some = (_sorted_repeats(contexts.where("not big"), length)
-            .unionByName(_hashed_repeats(contexts.where("big"), length)))
+    # parts of first runs
+    contexts = candidates.where("bytes is not null").select("k1", "uid", "a", "bytes")
+    big = stage(contexts.groupBy("k1").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BIG).select("k1"), "big-keys")
+    some = (_sorted_repeats(contexts.join(big, "k1", "left_anti"), length)
+            .unionByName(_hashed_repeats(contexts.join(big, "k1", "left_semi"), length)))
     found = (whole.unionByName(some).groupBy("uid").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
              .withColumnRenamed("uid", "r_uid"))
     return docs.join(found, F.col("uid") == F.col("r_uid"), "left").drop("r_uid")
