@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 
 from .common import stage, text_chunks
 
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 BLOCK_BYTES = 4 << 20
 SAMPLE = 8
 
@@ -242,27 +242,44 @@ def benchmark_blocks(benchmark: DataFrame, limit: int = BLOCK_BYTES) -> list[lis
 
 
 
-def _search_block(docs: DataFrame, items: list, window: int, text: str, first: bool) -> DataFrame:
-    """One pass over the documents with one block: appends to the spans and items found so far."""
+def _search_block(docs: DataFrame, items: list, window: int, text: str, first: bool,
+                  cut: T.StructType | None = None) -> DataFrame:
+    """One pass over the documents with one block: appends to the spans and items found so far.
+
+    With ``cut`` the documents (the struct column ``row``, of that schema) come back with the spans cut out instead.
+    """
     keep = [f for f in docs.schema.fields if first or f.name not in ("__n_words", "__spans", "__items")]
-    schema = T.StructType([T.StructField(f.name, f.dataType) for f in keep]
-                          + [T.StructField("__n_words", T.LongType()),
-                             T.StructField("__spans", T.ArrayType(T.ArrayType(T.IntegerType()))),
-                             T.StructField("__items", T.ArrayType(T.StringType()))])
+    schema = cut or T.StructType([T.StructField(f.name, f.dataType) for f in keep]
+                                 + [T.StructField("__n_words", T.LongType()),
+                                    T.StructField("__spans", T.ArrayType(T.ArrayType(T.IntegerType()))),
+                                    T.StructField("__items", T.ArrayType(T.StringType()))])
+
+    def cleaned(part: pa.RecordBatch, spans: list) -> pa.RecordBatch:
+        row, columns = part.column(part.schema.get_field_index("row")), []
+        for i, f in enumerate(cut.fields):
+            c = row.field(i)
+            if f.name == text and any(spans):
+                c = pa.array([cut_words(t, s) if s else t for t, s in zip(c.to_pylist(), spans)], c.type)
+            columns.append(c)
+        return pa.RecordBatch.from_arrays(columns, names=cut.fieldNames())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases = Phrases(items, window)
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text))
             for a, b in text_chunks(column, SHARD_BYTES):
-                part = batch.slice(a, b - a)
+                # a copy of the rows, not a slice: a struct's fields would come back whole
+                part = batch.take(pa.array(range(a, b), pa.int64()))
                 docs_words = [words_of(t) for t in column.slice(a, b - a).to_pylist()]
                 found = phrases.search(docs_words)
                 spans, names = [f[0] for f in found], [f[1] for f in found]
                 if not first:
-                    old = part.to_pydict()
-                    spans = [merged([*map(tuple, x), *y]) for x, y in zip(old["__spans"], spans)]
-                    names = [x + y for x, y in zip(old["__items"], names)]
+                    held = [part.column(part.schema.get_field_index(x)).to_pylist() for x in ("__spans", "__items")]
+                    spans = [merged([*map(tuple, x), *y]) for x, y in zip(held[0], spans)]
+                    names = [x + y for x, y in zip(held[1], names)]
+                if cut:
+                    yield cleaned(part, spans)
+                    continue
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(part.schema.get_field_index(f.name)) for f in keep),
                      pa.array([len(d) for d in docs_words], pa.int64()),
@@ -274,12 +291,12 @@ def _search_block(docs: DataFrame, items: list, window: int, text: str, first: b
 
 
 def search_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "text",
-                     block_bytes: int = BLOCK_BYTES) -> DataFrame:
+                     block_bytes: int = BLOCK_BYTES, cut: T.StructType | None = None) -> DataFrame:
     """The documents with ``__n_words``, ``__spans`` (word ranges [from, to)) and ``__items`` (sorted ids)."""
-    out, first = docs, True
-    for items in benchmark_blocks(benchmark, block_bytes):
-        out = _search_block(out if first else stage(out, "decontaminate"), items, window, text, first)
-        first = False
+    out, blocks = docs, benchmark_blocks(benchmark, block_bytes)
+    for i, items in enumerate(blocks):
+        last = i == len(blocks) - 1
+        out = _search_block(stage(out, "decontaminate") if i else out, items, window, text, i == 0, cut if last else None)
     return out
 
 
@@ -307,23 +324,8 @@ def cut_words(text: str, spans: list) -> str:
 
 def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, **options) -> DataFrame:
     """The documents, all columns, with the hit spans cut out of ``text``."""
-    found = search_benchmark(docs.select(F.struct(*docs.columns).alias("row"), "text"), benchmark, window, **options)
-    if "__spans" not in found.columns:  # no benchmark item at all
-        return docs
-    schema = docs.schema
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            spans = batch.column(batch.schema.get_field_index("__spans")).to_pylist()
-            row, columns = batch.column(batch.schema.get_field_index("row")), []
-            for i, f in enumerate(schema.fields):
-                c = row.field(i)
-                if f.name == "text" and any(spans):
-                    c = pa.array([cut_words(t, s) if s else t for t, s in zip(c.to_pylist(), spans)], c.type)
-                columns.append(c)
-            yield pa.RecordBatch.from_arrays(columns, names=schema.fieldNames())
-
-    return found.select("row", "__spans").mapInArrow(run, schema)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    return search_benchmark(rows, benchmark, window, cut=docs.schema, **options)
 
 
 __all__ = ["FMIndex", "Phrases", "WaveletTree", "contamination", "cut_words", "remove_contamination",

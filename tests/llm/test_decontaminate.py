@@ -56,10 +56,13 @@ def test_removal(spark):
     docs = spark.createDataFrame([(1, "Before. One, two three four five six seven eight nine TEN eleven! After", "a"),
                                   (2, "one two three four five six seven eight nine", "b"), (3, None, "c")],
                                  "doc_id long, text string, __items string")
-    got = remove_contamination(docs, bench)
-    assert got.columns == docs.columns
-    assert {r["doc_id"]: r["text"] for r in got.collect()} == {
-        1: "Before. ! After", 2: "one two three four five six seven eight nine", 3: None}
+    more = bench.unionByName(spark.createDataFrame([(2, "Before one")], "item_id long, text string"))
+    for items, first in ((bench, "Before. ! After"), (more, "! After")):
+        for block in (1 << 20, 30):
+            got = remove_contamination(docs, items, block_bytes=block)
+            assert got.columns == docs.columns
+            assert {r["doc_id"]: r["text"] for r in got.collect()} == {
+                1: first, 2: "one two three four five six seven eight nine", 3: None}
 
 
 def test_cut_words():
