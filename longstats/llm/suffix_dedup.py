@@ -54,6 +54,7 @@ LENGTH = 100
 GRAM = 24
 BIG = 5000
 CHUNK_BYTES = 1 << 20
+CACHE_BYTES = 1 << 16
 BATCH_BYTES = 1 << 19
 FILTER_BITS = 1 << 27
 CLASS, FIRST = 1, 2
@@ -140,6 +141,17 @@ def window_runs(data: np.ndarray, starts: np.ndarray, length: int = LENGTH, gram
     return doc, first, last, place, _mix(grams[place]), range_hashes(data, first, last + length)
 
 
+def chunk_runs(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """``window_runs`` of a chunk, some documents at a time, so that its arrays stay in the processor's cache."""
+    parts, i = [], 0
+    while i < len(starts) - 1:
+        j = max(i + 1, int(np.searchsorted(starts, starts[i] + CACHE_BYTES, side="right")) - 1)
+        doc, first, last, place, anchor, content = window_runs(data[starts[i]: starts[j]], starts[i: j + 1] - starts[i], length)
+        parts.append((doc + i, first + starts[i], last + starts[i], place + starts[i], anchor, content))
+        i = j
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
 def two_stage_suffix_array(text: np.ndarray, depth: int, wanted: np.ndarray | None = None) -> np.ndarray:
     """Order of the wanted suffixes (all if not given), by their first ``depth`` bytes at least (equal ones in any order).
 
@@ -296,7 +308,7 @@ def class_rows(texts: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             uid = batch.column(0).to_numpy(zero_copy_only=False)
             for data, starts, rows, offsets in _pieces(batch.column(1), length - 1):
-                piece, first, last, _, anchor, content = window_runs(data, starts, length)
+                piece, first, last, _, anchor, content = chunk_runs(data, starts, length)
                 if not len(piece):
                     continue
                 doc, a = uid[rows[piece]], first - starts[piece] + offsets[piece]
@@ -354,7 +366,7 @@ def _candidates(texts: DataFrame, length: int, bits, gram: int = GRAM) -> DataFr
         for batch in batches:
             uid = batch.column(0).to_numpy(zero_copy_only=False)
             for data, starts, rows, offsets in _pieces(batch.column(1), length - 1):
-                piece, first, last, place, anchor, content = window_runs(data, starts, length)
+                piece, first, last, place, anchor, content = chunk_runs(data, starts, length)
                 if not len(piece):
                     continue
                 doc, moved = uid[rows[piece]], offsets[piece] - starts[piece]
