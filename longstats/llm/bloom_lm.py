@@ -3,22 +3,25 @@
 Training documents give exact counts of words and of word pairs (the end of a
 document counts as a word, and stands before the first one).  A count is
 quantised to a level, the number of thresholds 1, 2, 3, ... (growing by
-``GROWTH``) that it reaches; a word, pair or context of level L is put into the
+``GROWTH``) that it reaches; a word or pair of level L is put into the
 filter L times, once for each level.  A reader probes level after level until a
 probe misses, and takes the middle of the last level's counts.
 
-The filter has ``bits`` bits, whatever the input, cut into segments that are
-built by separate tasks; that is the proven size of what is broadcast.  From a
-histogram of all counts the smallest count is chosen for which the entries fit
-at ``BITS_PER_ENTRY``; words first, then pairs (pairs from a count of 2 up).
+The filter holds every word and every pair.  It has ``bits`` bits, or more if a
+histogram of all counts says so (``BITS_PER_ENTRY`` for every entry, up to a power
+of two), and is cut into segments by key, built by separate tasks.  One of
+``bits`` bits is broadcast.  A larger one stays cut up: each segment is built and
+asked by one task, for the distinct words and pairs of all documents, and the
+answers are joined to the documents' pairs.  Only answers for words and pairs at
+or above a count that at most ``frequent`` of them reach are broadcast then.  Both
+ways ask the same bits and give the same score.
 
 The score of a text is the sum of log10 P(w | u) with Dirichlet smoothing:
 
-    P(w | u) = (pair(u, w) + (word(u) - context(u) + mu) * P1(w)) / (word(u) + mu)
+    P(w | u) = (pair(u, w) + mu * P1(w)) / (word(u) + mu)
     P1(w)    = (word(w) + 0.5) / (N + 0.5 * (V + 1))
 
-where context(u) is the sum of u's pairs in the filter; what u's other pairs
-would take goes to all words by P1.
+Every token stands before exactly one other, so u's pairs add up to word(u).
 
 The base score needs exact counts: the words at or above a count that at most
 ``FREQUENT`` words reach are broadcast (16 bytes each), the others are joined.
@@ -45,7 +48,7 @@ from pyspark.sql import functions as F
 
 from .common import stage, text_chunks
 
-BITS = 1 << 28
+BITS = 1 << 28  # of the filter that is broadcast; a larger one is not
 SEGMENTS = 64
 PROBES = 4
 BITS_PER_ENTRY = 8
@@ -53,7 +56,10 @@ GROWTH = 1.25
 FREQUENT = 1 << 20
 MU = 16.0
 CHUNK_BYTES = 2 << 20
-WORD, PAIR, CONTEXT = 1, 2, 3
+WORD, PAIR = 1, 2
+#: A pair that a task could not score: its key, its words, their counts if frequent, its number in the text.
+OPEN_PAIR = [("p", pa.int64()), ("b", pa.int64()), ("w", pa.int64()), ("cb", pa.float64()), ("cw", pa.float64()),
+             ("tf", pa.int64())]
 END = np.uint64(0x9E3779B97F4A7C15)
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -93,16 +99,12 @@ def word_hashes(text: str | None) -> np.ndarray:
 
 
 def pair_keys(before: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """The context's hash in the upper 32 bits, the pair's in the lower, so the context can be read off the pair."""
+    """The first word's hash in the upper 32 bits, the pair's in the lower."""
     with np.errstate(over="ignore"):
         low = mix(before * np.uint64(3) + word) & np.uint64(0xFFFFFFFF)
     return (before & ~np.uint64(0xFFFFFFFF)) | low
 
 
-def contexts_of(pairs: np.ndarray) -> np.ndarray:
-    return pairs >> np.uint64(32)
-
-
 def tokens_of(texts: list) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of all tokens, number per text) of several texts."""
     parts = [word_hashes(t) for t in texts]
@@ -147,21 +149,28 @@ class Filter:
 
 def fill_segment(entries: list[tuple[int, np.ndarray, np.ndarray]], bits: int, segments: int) -> bytes:
     """The bits of one segment from its (kind, keys, counts)."""
-    data = np.zeros(bits // segments // 8, np.uint8)
+    data = np.zeros(bits // segments, bool)
     for kind, keys, counts in entries:
         top = level_of(counts)
         for level in range(1, int(top.max(initial=0)) + 1):
             at = keys[top >= level]
             _, places = bit_positions(kind, at, np.full(len(at), level), bits, segments)
             for p in places:
-                np.bitwise_or.at(data, (p >> np.uint64(3)).astype(np.int64), (1 << (p & np.uint64(7))).astype(np.uint8))
-    return data.tobytes()
+                data[p.astype(np.int64)] = True
+    return np.packbits(data, bitorder="little").tobytes()
 
 
-def build_filter(entries: DataFrame, bits: int, segments: int = SEGMENTS) -> np.ndarray:
-    """The filter's bytes from ``(kind tinyint, key long, n long)``: every segment is filled by a task of its own."""
+def segment_counts(asked: list[tuple[int, np.ndarray]], data: bytes, bits: int, segments: int) -> list[np.ndarray]:
+    """What one segment says of its (kind, keys): the counts that a Filter of all segments would give."""
+    # a filter of this segment alone: the positions in it are the same
+    one = Filter(np.frombuffer(data, np.uint8), 1)
+    return [one.count(kind, keys) for kind, keys in asked]
 
-    def segmented(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _segmented(rows: DataFrame, bits: int, segments: int) -> DataFrame:
+    """``(kind tinyint, key long, n long)`` with the segment of the key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kinds, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
             segment = np.zeros(len(keys), np.int32)
@@ -170,33 +179,62 @@ def build_filter(entries: DataFrame, bits: int, segments: int = SEGMENTS) -> np.
                 segment[of] = bit_positions(int(kind), keys[of], np.ones(int(of.sum())), bits, segments)[0]
             yield pa.RecordBatch.from_arrays([pa.array(segment), *batch.columns], names=["segment", "kind", "key", "n"])
 
+    return rows.select("kind", "key", "n").mapInArrow(run, "segment int, kind tinyint, key long, n long")
+
+
+def _by_kind(table: pa.Table) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    kinds, keys, n = (table.column(c).to_numpy() for c in ("kind", "key", "n"))
+    return [(int(k), keys[kinds == k].view(np.uint64), n[kinds == k]) for k in np.unique(kinds)]
+
+
+def build_filter(entries: DataFrame, bits: int, segments: int = SEGMENTS) -> np.ndarray:
+    """The filter's bytes from ``(kind tinyint, key long, n long)``: every segment is filled by a task of its own."""
+
     def fill(key, table):
-        kinds, keys, n = (table.column(c).to_numpy() for c in ("kind", "key", "n"))
-        parts = [(int(k), keys[kinds == k].view(np.uint64), n[kinds == k]) for k in np.unique(kinds)]
         return pa.table({"segment": pa.array([key[0].as_py()], pa.int32()),
-                         "bits": pa.array([fill_segment(parts, bits, segments)], pa.binary())})
+                         "bits": pa.array([fill_segment(_by_kind(table), bits, segments)], pa.binary())})
 
-    filled = (entries.select("kind", "key", "n").mapInArrow(segmented, "segment int, kind tinyint, key long, n long")
-              .groupBy("segment").applyInArrow(fill, "segment int, bits binary"))
+    filled = _segmented(entries, bits, segments).groupBy("segment").applyInArrow(fill, "segment int, bits binary")
     data = np.zeros((segments, bits // segments // 8), np.uint8)
     for row in filled.toLocalIterator():
         data[row["segment"]] = np.frombuffer(row["bits"], np.uint8)
     return data.reshape(-1)
 
 
+def filter_answers(entries: DataFrame, probes: DataFrame, bits: int, segments: int) -> DataFrame:
+    """(kind, key, c): the filter's counts of all entries, and of the probes where not 0; no task holds more than a segment."""
+
+    def ask(entries: pa.Table, probes: pa.Table) -> pa.Table:
+        held, more = _by_kind(entries), {kind: keys for kind, keys, _ in _by_kind(probes)}
+        data = fill_segment(held, bits, segments)
+        held = {kind: keys for kind, keys, _ in held}
+        none = np.zeros(0, np.uint64)
+        asked = [(kind, np.union1d(held.get(kind, none), more.get(kind, none))) for kind in (WORD, PAIR)]
+        found = segment_counts(asked, data, bits, segments)
+        kinds = [np.full(len(keys), kind, np.int8) for kind, keys in asked]
+        out = pa.table({"kind": np.concatenate([np.zeros(0, np.int8), *kinds]),
+                        "key": np.concatenate([np.zeros(0, np.uint64), *(k for _, k in asked)]).view(np.int64),
+                        "c": np.concatenate([np.zeros(0), *found])})
+        return out.filter(pa.array(out.column("c").to_numpy() > 0))
+
+    return (_segmented(entries, bits, segments).groupBy("segment")
+            .cogroup(_segmented(probes, bits, segments).groupBy("segment"))
+            .applyInArrow(ask, "kind tinyint, key long, c double"))
+
+
 def is_part(doc_id, folds: int, fold: int) -> bool:
     return zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % folds == fold
 
 
-def count_rows(docs: DataFrame, folds: int, fold: int) -> DataFrame:
-    """(kind, key, n): counts of words and pairs in training documents, summed within a chunk of text already."""
+def count_rows(docs: DataFrame, folds: int, fold: int, held_out: bool = False) -> DataFrame:
+    """(kind, key, n): counts of words and pairs in training (or held-out) documents, summed within a chunk of text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_pylist()
             for a, b in text_chunks(batch.column(1), CHUNK_BYTES):
                 texts = batch.column(1).slice(a, b - a).to_pylist()
-                train = [t for i, t in zip(ids[a:b], texts) if not is_part(i, folds, fold)]
+                train = [t for i, t in zip(ids[a:b], texts) if is_part(i, folds, fold) == held_out]
                 if not train:
                     continue
                 words, lengths = tokens_of(train)
@@ -213,10 +251,22 @@ def count_rows(docs: DataFrame, folds: int, fold: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "kind tinyint, key long, n long")
 
 
+def filter_bits(histogram: list[tuple[int, int, int]]) -> int:
+    """Bits of a filter that holds all of (kind, count of its level, number)."""
+    entries = sum(number * int(level_of(np.array([count]))[0]) for _, count, number in histogram)
+    return 1 << (entries * BITS_PER_ENTRY - 1).bit_length() if entries else 0
+
+
+def filter_segments(bits: int) -> int:
+    """As many as keep a segment at the size that those of the largest broadcast filter have."""
+    return max(SEGMENTS, bits // (BITS // SEGMENTS))
+
+
 def smallest_counts(histogram: list[tuple[int, int, int]], entries: int) -> dict[int, int]:
-    """Per kind the smallest count whose entries fit: (kind, count of its level, number) -> {kind: count}.
+    """Per kind the smallest count from which words and pairs are broadcast beside a filter that is not.
 
-    Words come first and take at most half; pairs and their contexts get the rest, from a count of 2 up.
+    (kind, count of its level, number) -> {kind: count}, such that their entries fit.  Words come first and take at
+    most half; pairs get the rest, from a count of 2 up.
     """
     out, room = {}, entries
     for kind, share, least in ((WORD, entries // 2, 1), (PAIR, None, 2)):
@@ -230,74 +280,110 @@ def smallest_counts(histogram: list[tuple[int, int, int]], entries: int) -> dict
     return out
 
 
+def _sorted_places(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Where the wanted keys stand in the sorted ``keys``; -1 for others."""
+    if not len(keys):
+        return np.full(len(wanted), -1, np.int64)
+    order = np.argsort(wanted)  # neighbouring searches touch neighbouring memory
+    at = np.empty(len(wanted), np.int64)
+    at[order] = np.minimum(np.searchsorted(keys, wanted[order]), len(keys) - 1)
+    return np.where(keys[at] == wanted, at, -1)
+
+
 class Model:
-    """Everything a scoring task needs; its size is bounded by ``bits`` and ``FREQUENT``.
+    """Everything a scoring task needs; its size is bounded by ``bits`` and ``frequent``.
 
-    ``memo`` holds what the filter said of the frequent words so far (NaN: not asked yet), as word and as context: a
-    worker probes each of them once, not once per chunk of text.
+    ``memo`` holds what the filter said of the frequent words so far (NaN: not asked yet): a worker probes each of
+    them once, not once per chunk of text.  Without bits, ``common`` holds per kind the sorted keys of frequent words
+    and pairs and what the filter says of them.
     """
 
-    def __init__(self, bits: np.ndarray, segments: int, tokens: int, distinct: int, keys: np.ndarray,
-                 counts: np.ndarray, mu: float = MU, memo: np.ndarray | None = None):
-        self.filter = Filter(bits, segments)
+    def __init__(self, bits: np.ndarray | None, segments: int, tokens: int, distinct: int, keys: np.ndarray,
+                 counts: np.ndarray, mu: float = MU, memo: np.ndarray | None = None,
+                 common: dict[int, tuple[np.ndarray, np.ndarray]] | None = None):
+        self.filter = None if bits is None else Filter(bits, segments)
+        self.segments, self.common = segments, common
         self.tokens, self.distinct, self.mu = tokens, distinct, mu
         self.keys, self.counts = keys, counts
-        self.memo = np.full((2, len(keys)), np.nan) if memo is None else memo
+        self.memo = np.full(len(keys), np.nan) if memo is None else memo
         self.denominator = tokens + 0.5 * (distinct + 1)
 
     def parts(self) -> tuple:
         """Plain arrays and numbers to build it again from."""
-        return (self.filter.data, self.filter.segments, self.tokens, self.distinct, self.keys, self.counts, self.mu,
-                self.memo)
+        return (None if self.filter is None else self.filter.data, self.segments, self.tokens, self.distinct,
+                self.keys, self.counts, self.mu, self.memo, self.common)
 
     def places(self, words: np.ndarray) -> np.ndarray:
         """Where the words stand among the frequent ones; -1 for others."""
-        if not len(self.keys):
-            return np.full(len(words), -1, np.int64)
-        order = np.argsort(words)  # neighbouring searches touch neighbouring memory
-        at = np.empty(len(words), np.int64)
-        at[order] = np.minimum(np.searchsorted(self.keys, words[order]), len(self.keys) - 1)
-        return np.where(self.keys[at] == words, at, -1)
+        return _sorted_places(self.keys, words)
 
     def exact(self, places: np.ndarray) -> np.ndarray:
         """Counts of the frequent words, -1 for others."""
         return np.where(places >= 0, self.counts[places], -1) if len(self.counts) else places
 
     def probed(self, words: np.ndarray, places: np.ndarray) -> np.ndarray:
-        """The filter's counts of distinct words, as words and as contexts."""
-        out = np.empty((2, len(words)))
+        """The filter's counts of distinct words."""
+        out = np.empty(len(words))
         new = np.flatnonzero(places < 0)
         often = places[places >= 0]
         if len(often):
             asked = np.flatnonzero(places >= 0)
-            fresh = asked[np.isnan(self.memo[0, often])]
-            self.memo[0, places[fresh]] = self.filter.count(WORD, words[fresh])
-            self.memo[1, places[fresh]] = self.filter.count(CONTEXT, contexts_of(words[fresh]))
-            out[:, asked] = self.memo[:, often]
-        out[0, new] = self.filter.count(WORD, words[new])
-        out[1, new] = self.filter.count(CONTEXT, contexts_of(words[new]))
+            fresh = asked[np.isnan(self.memo[often])]
+            self.memo[places[fresh]] = self.filter.count(WORD, words[fresh])
+            out[asked] = self.memo[often]
+        out[new] = self.filter.count(WORD, words[new])
         return out
 
+    def log10_of(self, with_pair: np.ndarray, before: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Of the filter's counts of the pair and its two words."""
+        # levels stand for a range of counts: keep pair <= word
+        return np.log10((with_pair + self.mu * (word + 0.5) / self.denominator) / (np.maximum(before, with_pair) + self.mu))
+
     def log10_probability(self, word: np.ndarray, code: np.ndarray, code_before: np.ndarray,
                           places: np.ndarray | None = None) -> np.ndarray:
         """Of tokens given as places in an array of distinct words."""
-        known, kept = self.probed(word, self.places(word) if places is None else places)
-        p1 = ((known + 0.5) / self.denominator)[code]
+        known = self.probed(word, self.places(word) if places is None else places)
         # common pairs have many levels: each distinct pair is probed once
         of, pair = pd.factorize(pair_keys(word[code_before], word[code]))
         with_pair = self.filter.count(PAIR, pair)[of]
-        # levels stand for a range of counts: keep pair <= context <= word
-        kept = np.maximum(kept[code_before], with_pair)
-        total = np.maximum(known[code_before], kept)
-        return np.log10((with_pair + (total - kept + self.mu) * p1) / (total + self.mu))
+        return self.log10_of(with_pair, known[code_before], known[code])
+
+    def commonly(self, kind: int, keys: np.ndarray) -> np.ndarray:
+        """The filter's counts of frequent words or pairs, NaN for others."""
+        known, counts = self.common[kind]
+        at = _sorted_places(known, keys)
+        return np.where(at >= 0, counts[at], np.nan) if len(known) else np.full(len(keys), np.nan)
+
+    def without_filter(self, word: np.ndarray, code: np.ndarray, code_before: np.ndarray,
+                       lengths: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+        """Per text the sum over pairs that are frequent in all parts, and its other distinct pairs."""
+        n, v = len(lengths), len(word)
+        distinct, tf = np.unique((np.repeat(np.arange(n), lengths) * v + code_before) * v + code, return_counts=True)
+        text, before, after = distinct // (v * v), distinct // v % v, distinct % v
+        known = self.commonly(WORD, word)
+        pair = pair_keys(word[before], word[after])
+        logs = self.log10_of(self.commonly(PAIR, pair), known[before], known[after])
+        rest = np.flatnonzero(np.isnan(logs))
+        fields = {"p": pa.array(pair[rest].view(np.int64)), "b": pa.array(word[before[rest]].view(np.int64)),
+                  "w": pa.array(word[after[rest]].view(np.int64)), "cb": pa.array(known[before[rest]], from_pandas=True),
+                  "cw": pa.array(known[after[rest]], from_pandas=True), "tf": pa.array(tf[rest])}
+        offsets = np.concatenate([[0], np.cumsum(np.bincount(text[rest], minlength=n))])
+        return (np.bincount(text, weights=np.where(np.isnan(logs), 0.0, tf * logs), minlength=n),
+                pa.ListArray.from_arrays(pa.array(offsets, pa.int32()),
+                                         pa.StructArray.from_arrays(list(fields.values()), list(fields))))
+
+
+def train(docs: DataFrame, folds: int = 5, fold: int = 1, bits: int = BITS, frequent: int = FREQUENT,
+          mu: float = MU) -> tuple[Model, DataFrame]:
+    """The model, and the table of all word counts (key, n)."""
+    model, words, _ = _train(docs, folds, fold, bits, frequent, mu)
+    return model, words
 
 
-def train(docs: DataFrame, folds: int = 5, fold: int = 1, bits: int = BITS, segments: int = SEGMENTS,
-          frequent: int = FREQUENT, mu: float = MU) -> tuple[Model, DataFrame]:
-    """The model, and the table of all word counts (key, n)."""
-    counts = count_rows(docs, folds, fold).groupBy("kind", "key").agg(F.sum("n").alias("n"))
-    # pairs seen once never enter the filter
-    counts = stage(counts.where((F.col("kind") == WORD) | (F.col("n") > 1)), "ngram-counts")
+def _train(docs: DataFrame, folds: int, fold: int, bits: int = BITS, frequent: int = FREQUENT,
+           mu: float = MU) -> tuple[Model, DataFrame, DataFrame | None]:
+    """Also the filter's answers, if the filter is larger than ``bits``."""
+    counts = stage(count_rows(docs, folds, fold).groupBy("kind", "key").agg(F.sum("n").alias("n")), "ngram-counts")
     words = counts.where(F.col("kind") == WORD).select("key", "n")
     tokens, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     # first by exact count, then by level: few rows reach the array expression, kinds x levels the driver
@@ -305,30 +391,58 @@ def train(docs: DataFrame, folds: int = 5, fold: int = 1, bits: int = BITS, segm
     rows = (counts.groupBy("kind", "n").agg(F.count(F.lit(1)).alias("m"))
             .groupBy("kind", level.alias("c")).agg(F.sum("m").alias("m")).collect())
     histogram = [(r["kind"], r["c"], r["m"]) for r in rows]
-    least = smallest_counts(histogram, bits // BITS_PER_ENTRY)
-    pairs = counts.where((F.col("kind") == PAIR) & (F.col("n") >= least[PAIR])).select("kind", "key", "n")
-    contexts = (pairs.groupBy(F.shiftrightunsigned("key", 32).alias("key")).agg(F.sum("n").alias("n"))
-                .select(F.lit(CONTEXT).cast("byte").alias("kind"), "key", "n"))
-    entries = (counts.where((F.col("kind") == WORD) & (F.col("n") >= least[WORD])).select("kind", "key", "n")
-               .unionByName(pairs).unionByName(contexts))
-
-    data = build_filter(entries, bits, segments)
+    size = max(bits, filter_bits(histogram))
+    segments = filter_segments(size)
+    data = answers = common = None
+    if size <= bits:
+        data = build_filter(counts, size, segments)
+    else:
+        probes = count_rows(docs, folds, fold, held_out=True).groupBy("kind", "key").agg(F.sum("n").alias("n"))
+        answers = stage(filter_answers(counts, probes, size, segments), "lm-answers")
+        common = {}
+        for kind, least in smallest_counts(histogram, frequent).items():
+            of = counts.where((F.col("kind") == kind) & (F.col("n") >= least)).select("kind", "key")
+            found = answers.join(of, ["kind", "key"]).select("key", "c").toArrow()
+            keys = found.column("key").to_numpy().view(np.uint64)
+            order = np.argsort(keys)
+            common[kind] = keys[order], found.column("c").to_numpy()[order]
+
     # the words that the most tokens have: as many whole levels as fit
     cut, number = 1 << 62, 0
     for c, m in sorted(((c, m) for k, c, m in histogram if k == WORD), reverse=True):
         if number + m > frequent:
             break
         cut, number = c, number + m
-    common = words.where(F.col("n") >= cut).toArrow() if number else None
-    keys = common.column("key").to_numpy().view(np.uint64) if number else np.zeros(0, np.uint64)
+    often = words.where(F.col("n") >= cut).toArrow() if number else None
+    keys = often.column("key").to_numpy().view(np.uint64) if number else np.zeros(0, np.uint64)
     order = np.argsort(keys)
-    n = common.column("n").to_numpy()[order] if number else np.zeros(0, np.int64)
-    return Model(data, segments, int(tokens), int(distinct), keys[order], n, mu), words
+    n = often.column("n").to_numpy()[order] if number else np.zeros(0, np.int64)
+    return Model(data, segments, int(tokens), int(distinct), keys[order], n, mu, common=common), words, answers
+
+
+def _joined_scores(scored: DataFrame, answers: DataFrame, model: Model) -> DataFrame:
+    """(row, log): what the pairs that no task could score add to their texts."""
+    open_pairs = scored.select("row", F.inline("open"))
+    distinct = open_pairs.groupBy("p", "b", "w").agg(F.max("cb").alias("cb"), F.max("cw").alias("cw"))
+    of = {kind: answers.where(F.col("kind") == kind) for kind in (WORD, PAIR)}
+    distinct = distinct.join(of[PAIR].select(F.col("key").alias("p"), F.col("c").alias("c_p")), "p", "left")
+    for side, known in (("b", "cb"), ("w", "cw")):
+        # a frequent word's count is known: its many pairs are dealt by the pair, and what they meet is not used
+        dealt = F.when(F.col(known).isNull(), F.col(side)).otherwise(F.col("p"))
+        distinct = (distinct.withColumn("dealt", dealt)
+                    .join(of[WORD].select(F.col("key").alias("dealt"), F.col("c").alias("found")), "dealt", "left")
+                    .withColumn(known, F.coalesce(known, "found", F.lit(0.0))).drop("dealt", "found"))
+    pair = F.coalesce("c_p", F.lit(0.0))
+    log = F.log10((pair + F.lit(model.mu) * (F.col("cw") + 0.5) / F.lit(model.denominator))
+                  / (F.greatest(F.col("cb"), pair) + F.lit(model.mu)))
+    return (open_pairs.select("row", "p", "b", "w", "tf")
+            .join(distinct.select("p", "b", "w", log.alias("log")), ["p", "b", "w"])
+            .groupBy("row").agg(F.sum(F.col("tf") * F.col("log")).alias("log")))
 
 
 def score(docs: DataFrame, folds: int = 5, fold: int = 1, **options) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    model, words = train(docs, folds, fold, **options)
+    model, words, answers = _train(docs, folds, fold, **options)
     shared = docs.sparkSession.sparkContext.broadcast(model.parts())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -346,19 +460,25 @@ def score(docs: DataFrame, folds: int = 5, fold: int = 1, **options) -> DataFram
                 logs = np.where(exact >= 0, np.log10((np.maximum(exact, 0) + 0.5) / m.denominator), 0.0)[code]
                 rare = (exact < 0)[code]
                 ends = starts + lengths
+                if m.filter is None:
+                    scores, rest = m.without_filter(word, code, code_before, lengths)
+                else:
+                    scores = np.add.reduceat(m.log10_probability(word, code, code_before, places), starts)
+                    rest = pa.array([[]] * len(lengths), pa.list_(pa.struct(OPEN_PAIR)))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids[a:b], batch.column(0).type),
                      pa.array([is_part(i, folds, fold) for i in ids[a:b]]),
                      pa.array(lengths), pa.array(np.add.reduceat((~rare).astype(np.int64), starts)),
                      pa.array(np.add.reduceat(logs, starts)),
-                     pa.array(np.add.reduceat(m.log10_probability(word, code, code_before, places), starts)),
+                     pa.array(scores),
                      pa.array([tokens[s:e][rare[s:e]].view(np.int64) for s, e in zip(starts, ends)],
-                              pa.list_(pa.int64()))],
-                    names=["doc_id", "held_out", "n_tokens", "known", "base", "score", "rare"])
+                              pa.list_(pa.int64())), rest],
+                    names=["doc_id", "held_out", "n_tokens", "known", "base", "score", "rare", "open"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     scored = (docs.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {kind}, held_out boolean, n_tokens long, known long, base double, score double, rare array<long>")
+        run, f"doc_id {kind}, held_out boolean, n_tokens long, known long, base double, score double, rare array<long>, "
+             "open array<struct<p: long, b: long, w: long, cb: double, cw: double, tf: long>>")
         .withColumn("row", F.monotonically_increasing_id()))
     scored = stage(scored, "lm-scored")
     unknown = math.log10(0.5 / model.denominator)
@@ -366,6 +486,9 @@ def score(docs: DataFrame, folds: int = 5, fold: int = 1, **options) -> DataFram
     found = (scored.select("row", F.explode("rare").alias("key")).groupBy("row", "key").agg(F.count(F.lit(1)).alias("tf"))
              .join(words, "key").groupBy("row")
              .agg(F.sum("tf").alias("more"), F.sum(gain).alias("gain")))
+    if answers is not None:
+        scored = (scored.join(_joined_scores(scored, answers, model), "row", "left")
+                  .withColumn("score", F.col("score") + F.coalesce("log", F.lit(0.0))))
     return (scored.join(found, "row", "left")
             .select("doc_id", "held_out", "n_tokens",
                     (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),

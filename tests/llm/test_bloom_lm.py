@@ -87,3 +87,33 @@ def test_empty_and_untrained(spark):
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 5 == 1)
     row = score(spark.createDataFrame([(held, "a")], "doc_id long, text string"), bits=1 << 16).first()
     assert (row["train_tokens"], row["n_known"], row["n_tokens"]) == (0, 0, 2)
+
+
+def test_no_pair_is_dropped_for_size(spark):
+    """A pair seen once is known, however few bits are broadcast, and both ways give the same scores."""
+    rows = corpus() + [(3000, "once seen"), (3001, "never met")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    least = next(1 << k for k in range(14, 24) if bloom_lm.train(docs, bits=1 << k)[0].filter is not None)
+    whole = {r["doc_id"]: r.asDict() for r in score(docs, bits=least).collect()}
+    for frequent in (1 << 20, 300, 0):
+        cut_up = {r["doc_id"]: r.asDict() for r in score(docs, bits=1 << 10, frequent=frequent).collect()}
+        assert cut_up.keys() == whole.keys()
+        for i, row in whole.items():
+            assert {k: v for k, v in cut_up[i].items() if "score" not in k} == {k: v for k, v in row.items() if "score" not in k}
+            assert cut_up[i]["score"] == pytest.approx(row["score"], abs=1e-6)
+            assert cut_up[i]["base_score"] == pytest.approx(row["base_score"], abs=1e-6)
+
+
+def test_pairs_seen_once_count(spark):
+    part = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
+    train = [i for i in range(40) if not part(i)]
+    held = [i for i in range(40, 80) if part(i)][:2]
+    rows = [(i, f"x{i} y{i}") for i in train] + [(held[0], f"x{train[0]} y{train[0]}"), (held[1], f"x{train[0]} y{train[1]}")]
+    got = {r["doc_id"]: r["score"] for r in score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[held[0]] > got[held[1]] + 0.5
+
+
+def test_the_filter_grows_with_the_counts():
+    sizes = [bloom_lm.filter_bits([(WORD, 1, n), (PAIR, 1, 10 * n)]) for n in (10, 10**6, 10**8)]
+    assert sizes[0] < sizes[1] < sizes[2] and all(s >= 11 * n * 8 for s, n in zip(sizes, (10, 10**6, 10**8)))
+    assert bloom_lm.filter_segments(sizes[2]) > bloom_lm.SEGMENTS
