@@ -352,10 +352,8 @@ def q_country_profile(spark, sf):
 
 
 def q_country_rows(spark, sf):
-    """The rows of the countries that are not the profile's first: the reference lists what lies outside one country."""
-    rows = _with_country(spark, sf)
-    return rows.filter((F.col("country_name") != HOME_COUNTRY) & (F.col("agg_level_desc") == "STATE")
-                       & (F.col("year") == LABEL_YEAR))
+    """All rows of the countries that are not the profile's first: the reference lists what lies outside one country."""
+    return _with_country(spark, sf).filter(F.col("country_name") != HOME_COUNTRY)
 
 
 def q_duplicate_parents(spark, sf):
