@@ -7,8 +7,11 @@ by one more coordinate that brings all vectors to the same length (the query's i
 A query descends each tree to the nodes along its own string: the prefix of
 length L names the run of the sorted array that shares L bits with it.  It then
 ascends in all trees at once, from the longest prefix to shorter ones, until the
-nodes of that length together hold ``candidates`` vectors.  Node sizes come from
-one count per tree and longest prefix, summed upward.  The query is compared
+nodes of that length together hold enough vectors.  Node sizes come from
+one count per tree and longest prefix, summed upward.  Enough is at least
+``candidates``, and as many as the data need: ``SAMPLE`` queries are compared with all
+vectors, and the number is the smallest with which their own ascents would hold
+``RECALL`` of their k nearest.  The query is compared
 with all vectors of its nodes: nothing is cut off, and a node with many vectors is
 worked in blocks (``BLOCK`` vectors by ``BLOCK`` queries), so no task holds more.
 
@@ -38,6 +41,8 @@ CANDIDATES = 60_000
 BITS = 24
 BLOCK = 4096
 SEED = 20
+SAMPLE = 64
+RECALL = 0.95
 
 
 def valid_vectors(vectors: DataFrame) -> DataFrame:
@@ -90,6 +95,61 @@ def _prefix(string: Column, level: Column) -> Column:
     return F.expr(f"shiftright({(1 << BITS)} + {string}, {BITS} - {level})")
 
 
+def enough(shared: dict[int, list[int]], sizes: dict[int, dict[int, int]], recall: float) -> int:
+    """The smallest number of candidates with which ascents hold ``recall`` of the sampled queries' neighbours.
+
+    Per query the longest prefix it shares in any tree with each of its neighbours, and by length what its nodes hold.
+    """
+    total = sum(map(len, shared.values()))
+    options = sorted({n for of in sizes.values() for n in of.values()})
+    for number in options:
+        hits = 0
+        for q, lengths in shared.items():
+            stop = max((level for level, n in sizes.get(q, {}).items() if n >= number), default=0)
+            hits += sum(length >= stop for length in lengths)
+        if hits >= recall * total:
+            return number
+    return options[-1] + 1 if options else 0  # no prefix holds as many: the roots
+
+
+def _shared_prefixes(index: DataFrame, sample: list, k: int) -> dict[int, list[int]]:
+    """Of every sampled query (cid, dim, x, asked) the longest common prefixes with its k nearest other classes."""
+    of_dim = {}
+    for dim in {r["dim"] for r in sample}:
+        rows = [r for r in sample if r["dim"] == dim]
+        of_dim[dim] = (np.array([r["cid"] for r in rows]), np.array([r["x"] for r in rows]),
+                       np.array([r["asked"] for r in rows], np.int64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cid, dims = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            for dim, (q_cid, q_x, q_asked) in of_dim.items():
+                of = np.flatnonzero(dims == dim)
+                if not len(of):
+                    continue
+                part = batch.take(pa.array(of))
+                x = part.column(1).flatten().to_numpy().reshape(len(of), dim)
+                strings = part.column(3).flatten().to_numpy().reshape(len(of), -1).astype(np.int64)
+                score = q_x @ x.T
+                score[q_cid[:, None] == cid[of][None, :]] = -np.inf
+                best = np.argsort(-score, axis=1, kind="stable")[:, :k]
+                q, v = np.repeat(np.arange(len(q_cid)), best.shape[1]), best.ravel()
+                keep = np.isfinite(score[q, v])
+                q, v = q[keep], v[keep]
+                # leading bits that agree: what the highest differing bit leaves
+                shared = BITS - np.frexp((q_asked[q] ^ strings[v]).astype(np.float64))[1].min(axis=1)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(q_cid[q]), pa.array(cid[of][v]), pa.array(score[q, v]), pa.array(shared.astype(np.int32))],
+                    names=["q_cid", "cid", "score", "shared"])
+
+    found = index.select("cid", "x", "dim", "strings").mapInArrow(run, "q_cid long, cid long, score double, shared int")
+    best = Window.partitionBy("q_cid").orderBy(F.desc("score"), "cid")
+    out: dict[int, list[int]] = {}
+    for r in found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).collect():
+        out.setdefault(r["q_cid"], []).append(r["shared"])
+    return out
+
+
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, trees: int = TREES,
             candidates: int = CANDIDATES) -> DataFrame:
     """The k nearest of every query row: query_id, rank, vec_id, score (inner product of the original vectors)."""
@@ -117,6 +177,12 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, trees: int = TREE
     paths = (queries.select("cid", "dim", F.posexplode("asked").alias("tree", "s"))
              .select("cid", "dim", "tree", "s", F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("level"))
              .withColumn("node", _prefix("s", "level")))
+    sample = queries.orderBy(F.xxhash64("cid"), "cid").limit(SAMPLE).collect()
+    sizes: dict[int, dict[int, int]] = {}
+    for r in (paths.where(F.col("cid").isin([r["cid"] for r in sample])).join(nodes, ["dim", "tree", "node"])
+              .groupBy("cid", "level").agg(F.sum("size").alias("size")).collect()):
+        sizes.setdefault(r["cid"], {})[r["level"]] = r["size"]
+    candidates = max(candidates, enough(_shared_prefixes(index, sample, k), sizes, RECALL))
     totals = (paths.join(nodes, ["dim", "tree", "node"]).groupBy("cid", "level").agg(F.sum("size").alias("size")))
     stops = totals.groupBy("cid").agg(
         F.coalesce(F.max(F.when(F.col("size") >= candidates, F.col("level"))), F.lit(0)).alias("stop"))

@@ -72,3 +72,23 @@ def test_recall_with_few_candidates(spark):
 def test_empty(spark):
     assert nearest(spark.createDataFrame([], SCHEMA), F.col("vec_id") % 20 == 0).collect() == []
     assert nearest(spark.createDataFrame([(20, [1.0], 1)], SCHEMA), F.col("vec_id") % 20 == 0).collect() == []
+
+
+def test_recall_does_not_hang_on_the_candidates_given(spark):
+    """Unstructured vectors, and far too few candidates asked for: the sampled queries say how many are needed."""
+    x = np.random.default_rng(8).uniform(-1, 1, (2000, 24)).astype(np.float32)
+    rows = [(i, [float(v) for v in x[i]], 1) for i in range(2000)]
+    found = {}
+    for r in nearest(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 20 == 0, candidates=50).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    want = brute(rows)
+    hits = sum(len(found.get(q, set()) & {i for i, _ in near}) for q, near in want.items())
+    assert hits / sum(map(len, want.values())) >= 0.9
+
+
+def test_enough_takes_the_smallest_number():
+    sizes = {1: {0: 100, 1: 50, 2: 10}, 2: {0: 100, 1: 60, 2: 20}}
+    assert hash_forest.enough({1: [2, 2], 2: [2, 2]}, sizes, 1.0) == 10
+    assert hash_forest.enough({1: [2, 2], 2: [1, 2]}, sizes, 1.0) == 50
+    assert hash_forest.enough({1: [2, 0], 2: [1, 2]}, sizes, 1.0) == 60
+    assert hash_forest.enough({}, {}, 0.9) == 0
