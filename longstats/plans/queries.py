@@ -47,6 +47,10 @@ TREND_CROP = "Soybeans"
 CONVERTED_TREND_CROP = "Corn"
 LABEL_YEAR = 1998
 HOME_COUNTRY = "AMERICA"
+#: A raw class that the long view doesn't have.
+SECOND_CLASS = "TRADITIONAL OR INDIAN"
+#: The text columns of the long view: all but the year.
+HEADER_COLUMNS = [f.name for f in LONG_SCHEMA.fields if f.name != "year"]
 SPARSE_STATES = ("NATION_3", "NATION_7")
 PROBE = {
     "class_desc": ("SPRING, (EXCL DURUM)", "WINTER"),
@@ -357,8 +361,14 @@ def q_country_rows(spark, sf):
 
 
 def q_duplicate_parents(spark, sf):
-    """Parent rows that share the residual's keys: each of them has the children's whole sum subtracted."""
-    return duplicate_parents(_job(spark, sf).levels.clean_state)
+    """Parent rows that share the residual's keys: each of them has the children's whole sum subtracted.
+
+    Corn rows in dollars are given a raw class of their own; corn's effective class doesn't follow the raw one, so
+    states that report both have two parent rows for one key.
+    """
+    second = (F.col("commodity_desc") == "CORN") & (F.col("unit_desc") == "$")
+    core = _core(spark, sf).withColumn("class_desc", F.when(second, SECOND_CLASS).otherwise(F.col("class_desc")))
+    return duplicate_parents(lv.rollup_level(core, "STATE"))
 
 
 def q_census_years(spark, sf):
@@ -436,47 +446,28 @@ def q_scan_delimited(spark, sf):
     return read_delimited(spark, _plain_export(_backslashed(_long(spark, sf)), "scan-delimited"), LONG_SCHEMA)
 
 
-def _lines(df: DataFrame, header: str | None, path: str, mode: str = "append") -> None:
-    """Append a one-file text drop: its header line, then the given lines."""
-    lines = df.select(F.lit(1).alias("k"), "value")
-    if header is not None:
-        lines = lines.unionByName(df.sparkSession.createDataFrame([(0, header)], "k int, value string"))
-    lines.coalesce(1).sortWithinPartitions("k").select("value").write.mode(mode).text(path, compression="gzip")
-
-
-HEADER_COLUMNS = ["state_name", "commodity_desc", "value"]
-
-
 def _header_rows(spark, sf) -> DataFrame:
-    """Census rows of one year, all text; corn rows are given the header's own words as their data."""
-    rows = _long(spark, sf).filter((F.col("source_desc") == "CENSUS") & (F.col("year") == LABEL_YEAR))
-    return rows.select(*[F.when(F.col("commodity_desc") == "CORN", F.lit(c)).otherwise(F.col(c)).alias(c)
-                         for c in HEADER_COLUMNS])
+    """All long rows, the text columns only; corn rows are given the header's own words as their data."""
+    return _long(spark, sf).select(*[F.when(F.col("commodity_desc") == "CORN", F.lit(c)).otherwise(F.col(c)).alias(c)
+                                     for c in HEADER_COLUMNS])
 
 
 def _text_schema() -> StructType:
     return StructType([LONG_SCHEMA[c] for c in HEADER_COLUMNS])
 
 
-def _as_lines(rows: DataFrame) -> DataFrame:
-    return rows.select(F.concat_ws("\t", *[F.coalesce(c, F.lit("")) for c in HEADER_COLUMNS]).alias("value"))
-
-
 def q_scan_header_like_rows(spark, sf):
-    """Rows that equal the header survive: only the first line of the file is skipped."""
-    path = scratch_path(spark, "header-like")
-    _lines(_as_lines(_header_rows(spark, sf)), "\t".join(HEADER_COLUMNS), path)
-    return read_escaped(spark, path, _text_schema())
+    """Rows that equal the header survive: only the first line of each file is skipped."""
+    return read_escaped(spark, _plain_export(_header_rows(spark, sf), "header-like"), _text_schema())
 
 
 def q_scan_mixed_headers(spark, sf):
-    """Two files of one folder with differently written headers."""
-    path = scratch_path(spark, "mixed-headers")
+    """Two folders read together, whose files have differently written headers."""
     rows = _header_rows(spark, sf)
     corn = F.col("commodity_desc") == "commodity_desc"
-    _lines(_as_lines(rows.filter(corn)), "\t".join(HEADER_COLUMNS), path)
-    _lines(_as_lines(rows.filter(~corn)), "\t".join(HEADER_COLUMNS).upper(), path)
-    return read_escaped(spark, path, _text_schema())
+    lower = _plain_export(rows.filter(corn), "lower-headers")
+    upper = _plain_export(rows.filter(~corn).toDF(*[c.upper() for c in HEADER_COLUMNS]), "upper-headers")
+    return read_escaped(spark, [lower, upper], _text_schema())
 
 
 def q_scan_trim(spark, sf):
@@ -620,7 +611,7 @@ _COUNTRY = ("SELECT l.*, r_name AS country_name FROM long l LEFT JOIN (SELECT n_
             "JOIN region ON r_regionkey = n_regionkey) p ON p.n_name = l.state_name")
 _BACKSLASHED = "SELECT * REPLACE (replace(short_desc, ' - ', ' \\t ') AS short_desc) FROM long"
 _HEADER_ROWS = ("SELECT " + ", ".join(f"CASE WHEN commodity_desc = 'CORN' THEN '{c}' ELSE {c} END AS {c}" for c in HEADER_COLUMNS)
-                + f" FROM long WHERE source_desc = 'CENSUS' AND year = {LABEL_YEAR}")
+                + " FROM long")
 _PLANTED = "statisticcat_desc = 'AREA PLANTED' AND unit_desc = 'ACRES'"
 _SOURCE_STAT = f"""
 SELECT year, CAST(make_date(year, 1, 1) AS VARCHAR) AS year_date, commodity_desc, class_desc, prodn_practice_desc,
@@ -769,10 +760,11 @@ FROM a FULL JOIN b ON a.year IS NOT DISTINCT FROM b.year AND a.commodity_name IS
                                    "GROUP BY 1"),
     "census_years": o.WITH_LONG + "SELECT year FROM long WHERE source_desc = 'CENSUS' GROUP BY 1",
     "country_profile": o.WITH_LONG + f"SELECT country_name FROM ({_COUNTRY}) c GROUP BY 1",
-    "country_rows": o.WITH_LONG + (f"SELECT * FROM ({_COUNTRY}) c WHERE country_name <> '{HOME_COUNTRY}' "
-                                   f"AND agg_level_desc = 'STATE' AND year = {LABEL_YEAR}"),
-    "duplicate_parents": o.WITH_JOB + (
-        "SELECT year, commodity_desc, commodity_class_desc, state_name, COUNT(*) AS parent_rows FROM clean_state "
+    "country_rows": o.WITH_LONG + f"SELECT * FROM ({_COUNTRY}) c WHERE country_name <> '{HOME_COUNTRY}'",
+    "duplicate_parents": f"WITH {o.LONG},\nraw_{o.CORE},\n" + (
+        f"core AS (SELECT * REPLACE (CASE WHEN commodity_desc = 'CORN' AND unit_desc = '$' THEN '{SECOND_CLASS}' "
+        f"ELSE class_desc END AS class_desc) FROM raw_core),\nlvl AS ({o.level_sql('STATE')})\n"
+        "SELECT year, commodity_desc, commodity_class_desc, state_name, COUNT(*) AS parent_rows FROM lvl "
         "GROUP BY ALL HAVING COUNT(*) > 1"),
     "state_profile": o.WITH_LONG + f""",
 scy AS (SELECT state_name, year, commodity_desc, CAST(year AS VARCHAR) || '-' || commodity_desc AS yc FROM long
