@@ -1,6 +1,6 @@
 """Operators for large training-data pipelines.
 
-Ten operators, one module each, plus their registered queries (``queries``)
+Thirteen operators, one module each, plus their registered queries (``queries``)
 and DuckDB text (``oracles``).  Nothing else in the library imports this
 subpackage.
 """

@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 from .bloom_lm import score
 from .common import read_table
 from .decontaminate import contamination
+from .divergence import divergence
 from .hash_forest import nearest
 from .mixing import mixed
 from .oracles import ORACLES
 from .page_text import main_text
+from .pii import personal_data
 from .quality import judged
+from .resample import resample
 from .simhash import near_duplicates
 from .suffix_dedup import repeats
 from .toxicity import scored
@@ -65,6 +68,18 @@ def op10_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(read_table(spark, sf_dir, "documents"))
 
 
+def op11_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(read_table(spark, sf_dir, "documents"))
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_url_rules": op1_url_rules,
     "op2_mixing": op2_mixing,
@@ -76,6 +91,9 @@ QUERIES: dict[str, Query] = {
     "op8_quality": op8_quality,
     "op9_simhash": op9_simhash,
     "op10_bloom_lm": op10_bloom_lm,
+    "op11_personal": op11_personal,
+    "op12_resampling": op12_resampling,
+    "op13_divergence": op13_divergence,
 }
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import xxhash
@@ -107,3 +108,81 @@ def mix(rows, weights=(1, 2, 3), most=3):
             left -= target[s]
         open_ -= full
     return {s: (size[s], target[s]) for s in order}
+
+
+BASE_KINDS = {
+    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
+    "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
+    "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
+}
+
+
+def luhn(digits):
+    total = 0
+    for k, d in enumerate(reversed(digits)):
+        n = int(d) * (1 + k % 2)
+        total += n - 9 * (n > 9)
+    return total % 10 == 0
+
+
+def base_spans(text):
+    """[kind:start:end] of the base kinds, by kind and then start."""
+    out = []
+    for kind, pattern in BASE_KINDS.items():
+        for m in pattern.finditer(text or ""):
+            digits = re.sub("[^0-9]", "", m.group())
+            good = {"email": True, "ip": kind == "ip" and all(int(p) <= 255 for p in m.group().split(".")),
+                    "card": 13 <= len(digits) <= 19 and luhn(digits), "phone": 9 <= len(digits) <= 15}[kind]
+            if good:
+                out.append(f"{kind}:{m.start()}:{m.end()}")
+    return out
+
+
+def drawn(docs, goal, buckets=10000, seed=2024, least=20, share=(10, 100), ngram=1):
+    """(doc_id, text) rows -> sorted [(doc_id, n_features, weight, score, rank)]."""
+    def features(text):
+        ws = WORDS.findall((text or "").translate(LOWER))
+        return len(ws), [" ".join(ws[i:i + n]) for n in range(1, ngram + 1) for i in range(len(ws) - n + 1)]
+
+    at = lambda f: zlib.crc32(f.encode()) % buckets
+    s, t = (Counter(at(f) for _, text in rows for f in features(text)[1]) for rows in (docs, goal))
+    n_s, n_t = sum(s.values()), sum(t.values())
+    scored = []
+    for i, text in docs:
+        n, fs = features(text)
+        w = sum(math.floor(1000 * math.log((t[b] + 1.0) * (n_s + buckets) / ((s[b] + 1.0) * (n_t + buckets)))) for b in map(at, fs))
+        h = int(hashlib.sha256(f"{seed}:{'' if i is None else i}".encode()).hexdigest()[:8], 16)
+        scored.append((n >= least, i, len(fs), w, w + math.floor(-1000 * math.log(-math.log((h + 0.5) / 2**32)))))
+    order = sorted((r for r in scored if r[0]), key=lambda r: (-r[4], r[1] is None, r[1] or 0))
+    k = share[0] * len(order) // share[1]
+    return sorted([(*r[1:], p if p <= k else None) for p, r in enumerate(order, 1)] + [(*r[1:], None) for r in scored if not r[0]], key=str)
+
+
+TERMS = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def divergence(rows, least=30, top=50):
+    """(text, lang, source) rows -> sorted [(lang, source, part, item, value, rank)]."""
+    counts, docs, groups = defaultdict(Counter), defaultdict(Counter), defaultdict(set)
+    for text, lang, source in ((t or "", la or "", so or "") for t, la, so in rows):
+        terms = TERMS.findall(text.translate(LOWER))
+        counts[lang, source].update(terms)
+        docs[lang].update(set(terms))
+        groups[lang].add(source)
+    out = []
+    for lang, sources in groups.items():
+        kept = sorted(t for t, n in docs[lang].items() if n >= least)
+        whole = Counter({t: sum(counts[lang, s][t] for s in sources) for t in kept})
+
+        def shares(c):
+            n = sum(c[t] for t in kept)
+            return [1 + 10**9 * (c[t] + 5) // (n + 5 * len(kept)) for t in kept]
+
+        p, q = {s: shares(counts[lang, s]) for s in sources}, shares(whole)
+        for s in sources:
+            found = {"pair": [(-sum(abs(x - y) for x, y in zip(p[s], p[o])), o.encode(), o) for o in sources if o != s],
+                     "term": [(b - a, t.encode(), t) for t, a, b in zip(kept, p[s], q) if counts[lang, s][t] and a > b]}
+            for part, items in found.items():
+                out += [(lang, s, part, t, -v, k) for k, (v, _, t) in enumerate(sorted(items), 1) if part == "pair" or k <= top]
+    return sorted(out)
