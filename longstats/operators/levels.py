@@ -130,9 +130,13 @@ class LevelTables:
     known_county: DataFrame
     clean_state: DataFrame
     clean_national: DataFrame
+    #: The class lists that the tables were filtered by (redundant totals, known classes).
+    redundant: DataFrame | None = None
+    known: DataFrame | None = None
 
 
-def clean_levels(core: DataFrame, materialize: bool = True, root: str | None = None) -> LevelTables:
+def clean_levels(core: DataFrame, materialize: bool = True, root: str | None = None,
+                 redundant: DataFrame | None = None, known_elsewhere: DataFrame | None = None) -> LevelTables:
     """known_county, clean_state and clean_national from one roll-up pass.
 
     Commodity and class are group keys, so the class filters keep or drop whole
@@ -148,18 +152,25 @@ def clean_levels(core: DataFrame, materialize: bool = True, root: str | None = N
     filter on a name or a year reaches the files; dates and units are derived on read (and pruned by
     consumers that do not use them).  Without ``materialize`` Catalyst pushes
     each level filter below the aggregate: one scan per level, lists recomputed.
+
+    Where ``core`` holds some years only, both lists still follow all years: give the list of redundant totals,
+    and the (commodity, class) pairs that are known from the other years.
     """
     from longstats.session import materialize as write_back
-    redundant = varied_commodities(core).withColumn("agg_level_desc", F.lit("COUNTY"))
-    if materialize:
-        redundant = write_back(redundant, "redundant_totals", root=root)
-    kept = with_display_names(drop_redundant_totals(rollup(core, LEVELS, decorated=False), redundant,
+    if redundant is None:
+        redundant = varied_commodities(core)
+        if materialize:
+            redundant = write_back(redundant, "redundant_totals", root=root)
+    at_county = redundant.select("commodity_desc", "class_desc", F.lit("COUNTY").alias("agg_level_desc"))
+    kept = with_display_names(drop_redundant_totals(rollup(core, LEVELS, decorated=False), at_county,
                                                     on=("agg_level_desc", "commodity_desc", "class_desc")))
     if materialize:
         # partitioned by level: every consumer's level filter prunes directories
         kept = write_back(kept.sortWithinPartitions("agg_level_desc", "year", "commodity_desc"), "rollup_levels",
                           partition_by=("agg_level_desc",), root=root)
     known = known_classes(kept.filter(F.col("agg_level_desc") == "COUNTY"))
+    if known_elsewhere is not None:
+        known = known.union(known_elsewhere.select(*known.columns)).distinct()
     if materialize:
         known = write_back(known, "known_classes", root=root)
     # derived columns on read: a consumer that does not select them never computes them
@@ -169,6 +180,7 @@ def clean_levels(core: DataFrame, materialize: bool = True, root: str | None = N
         known_county=by_level["COUNTY"],
         clean_state=keep_known_classes(by_level["STATE"], known),
         clean_national=keep_known_classes(by_level["NATIONAL"], known),
+        redundant=redundant, known=known,
     )
 
 

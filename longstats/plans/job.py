@@ -2,32 +2,48 @@
 
     python -m longstats.plans.job --input s3://bucket/drops/ --output s3://bucket/clean/ [--min-year 1990]
 
+    python -m longstats.plans.job --input s3://bucket/drops-2012/ --output s3://bucket/clean/ --years 2012
+
 Steps: load the raw delimited drops under the 39-column schema into a laid-out
 Parquet table (truncate-and-load), scope the core rows, build the level tables
 with one roll-up pass, backfill the residual counties, write the level tables
 and the tidy county table as Parquet, and export the tidy table as escaped,
 gzipped, tab-separated text with a header in every file.  Intermediate tables
 are staged under the output folder and removed at the end.
+
+With ``--years`` the input holds those years only: they are replaced in the raw table, and only their partitions of
+the level tables and the tidy table are built again, unless the reload changes a class list (a commodity's classes in
+any year decide which rows count in every year); then the tables are rebuilt from the raw table.
 """
 
 from __future__ import annotations
 
 import argparse
+from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from longstats.operators.levels import clean_levels, known_classes, varied_commodities
+from longstats.operators.residual import residual_backfill, tidy_table
 from longstats.operators.scope import DEFAULT_MIN_YEAR, core_scope
-from longstats.plans.catalog import build_clean_job
+from longstats.plans.catalog import CleanJob, build_clean_job
 from longstats.schemas import RAW_SCHEMA
 from longstats.sources.export import export_delimited
-from longstats.session import remove_path
+from longstats.session import materialize, remove_path
 from longstats.sources.layout import load_table, write_table
+from longstats.sources.reload import reload_years, replace_partitions
 
 #: Clustering of the tidy table inside its years.
 TIDY_CLUSTER = ("fips_county_code",)
 
 
+#: Clustering of the level tables inside their years.
+LEVEL_CLUSTER = {"known_county": ("state_name", "commodity_desc"), "clean_state": ("state_name", "commodity_desc"),
+                 "clean_national": ("commodity_desc",)}
+
+
 @dataclass
 class JobOutputs:
     raw_table: str
@@ -36,40 +52,107 @@ class JobOutputs:
     clean_national: str
     clean_county: str
     export: str
+    redundant_totals: str
+    known_classes: str
+
+
+def _outputs(output: str) -> JobOutputs:
+    out = output.rstrip("/")
+    return JobOutputs(raw_table=f"{out}/raw", known_county=f"{out}/known_county",
+                      clean_state=f"{out}/clean_state", clean_national=f"{out}/clean_national",
+                      clean_county=f"{out}/clean_county", export=f"{out}/export/clean_county",
+                      redundant_totals=f"{out}/lists/redundant_totals", known_classes=f"{out}/lists/known_classes")
+
+
+def _write_tables(spark: SparkSession, job: CleanJob, paths: JobOutputs) -> None:
+    for name, cluster in LEVEL_CLUSTER.items():
+        write_table(getattr(job.levels, name), getattr(paths, name), cluster_by=cluster)
+    write_table(job.tidy, paths.clean_county, cluster_by=TIDY_CLUSTER)
+    job.levels.redundant.write.mode("overwrite").parquet(paths.redundant_totals)
+    job.levels.known.write.mode("overwrite").parquet(paths.known_classes)
+
+
+def _export(spark: SparkSession, paths: JobOutputs, columns: list[str]) -> None:
+    export_delimited(spark.read.parquet(paths.clean_county).select(*columns), paths.export)
 
 
 def run_job(spark: SparkSession, input_path: str, output: str, min_year: int = DEFAULT_MIN_YEAR,
             escaped: bool = True) -> JobOutputs:
     """Run the whole job; returns the output locations."""
-    out = output.rstrip("/")
-    paths = JobOutputs(raw_table=f"{out}/raw", known_county=f"{out}/known_county",
-                       clean_state=f"{out}/clean_state", clean_national=f"{out}/clean_national",
-                       clean_county=f"{out}/clean_county", export=f"{out}/export/clean_county")
-    staging = f"{out}/_stage"
+    paths, staging = _outputs(output), f"{output.rstrip('/')}/_stage"
     try:
         raw = load_table(spark, input_path, paths.raw_table, RAW_SCHEMA, escaped=escaped)
         job = build_clean_job(core_scope(raw, min_year=min_year), root=staging)
-        write_table(job.levels.known_county, paths.known_county, cluster_by=("state_name", "commodity_desc"))
-        write_table(job.levels.clean_state, paths.clean_state, cluster_by=("state_name", "commodity_desc"))
-        write_table(job.levels.clean_national, paths.clean_national, cluster_by=("commodity_desc",))
-        write_table(job.tidy, paths.clean_county, cluster_by=TIDY_CLUSTER)
-        tidy = spark.read.parquet(paths.clean_county).select(*job.tidy.columns)
-        export_delimited(tidy, paths.export)
+        _write_tables(spark, job, paths)
+        _export(spark, paths, job.tidy.columns)
     finally:
         remove_path(spark, staging)
     return paths
 
 
+def _same_list(a: DataFrame, b: DataFrame) -> bool:
+    """Whether two class lists hold the same pairs (lists of distinct pairs; both stay distributed)."""
+    on = ["commodity_desc", "class_desc"]
+    a, b = a.select(*on), b.select(*on)
+    return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
+@dataclass
+class Refreshed:
+    outputs: JobOutputs
+    #: Whether a class list changed, so that every year was built again.
+    rebuilt: bool
+
+
+def refresh_job(spark: SparkSession, input_path: str, output: str, years: Iterable[int],
+                min_year: int = DEFAULT_MIN_YEAR, escaped: bool = True) -> Refreshed:
+    """Bring the tables of an earlier ``run_job`` up to date with drops of some ``years``.
+
+    The result equals ``run_job`` on all drops.  Roll-up and residual are computed per year; what ties the years
+    together is the two class lists.  The list of redundant totals is taken again over all years (a scan of three
+    columns), the known classes are those of the touched years and of the stored table's other years.  While both
+    equal the stored lists, only the touched years are read and written.
+    """
+    years = sorted(set(years))
+    paths, staging = _outputs(output), f"{output.rstrip('/')}/_stage"
+    touched = F.col("year").isin(years)
+    try:
+        raw = reload_years(spark, input_path, paths.raw_table, RAW_SCHEMA, years, escaped=escaped)
+        core = core_scope(raw, min_year=min_year)
+        redundant = materialize(varied_commodities(core), "redundant_totals", root=staging)
+        others = known_classes(spark.read.parquet(paths.known_county).filter(~touched))
+        levels = clean_levels(core.filter(touched), root=staging, redundant=redundant, known_elsewhere=others)
+        rebuild = not (_same_list(redundant, spark.read.parquet(paths.redundant_totals))
+                       and _same_list(levels.known, spark.read.parquet(paths.known_classes)))
+        if rebuild:
+            job = build_clean_job(core, root=staging)
+            _write_tables(spark, job, paths)
+            columns = job.tidy.columns
+        else:
+            tidy = tidy_table(levels.known_county, residual_backfill(levels.clean_state, levels.known_county))
+            columns = tidy.columns
+            for name, cluster in LEVEL_CLUSTER.items():
+                replace_partitions(getattr(levels, name), getattr(paths, name), years, cluster_by=cluster, stage_root=f"{staging}/{name}")
+            replace_partitions(tidy, paths.clean_county, years, cluster_by=TIDY_CLUSTER, stage_root=f"{staging}/tidy")
+        _export(spark, paths, columns)
+    finally:
+        remove_path(spark, staging)
+    return Refreshed(paths, rebuild)
+
+
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(description=__doc__.split("\n")[0])
     parser.add_argument("--input", required=True, help="raw delimited drops (file, folder or glob)")
     parser.add_argument("--output", required=True, help="output folder")
     parser.add_argument("--min-year", type=int, default=DEFAULT_MIN_YEAR)
+    parser.add_argument("--years", type=int, nargs="+", help="the input holds these years only: replace them in the output")
     parser.add_argument("--unescaped", action="store_true", help="input has no backslash escapes (CSV path)")
     args = parser.parse_args(argv)
     spark = SparkSession.builder.appName("longstats-clean-job").getOrCreate()
-    outputs = run_job(spark, args.input, args.output, args.min_year, escaped=not args.unescaped)
-    print(outputs)
+    if args.years:
+        print(refresh_job(spark, args.input, args.output, args.years, args.min_year, escaped=not args.unescaped))
+    else:
+        print(run_job(spark, args.input, args.output, args.min_year, escaped=not args.unescaped))
 
 
 if __name__ == "__main__":
