@@ -62,7 +62,7 @@ def level_totals(df: DataFrame, levels: Mapping[str, Sequence[str]], sums: Seque
         bits = sum(1 << (len(keys) - 1 - i) for i, k in enumerate(keys) if k not in s)
         name = F.when(F.col("level_id") == bits, F.lit(level)).otherwise(name)
     shown = [F.col(rows), *[F.col(m) for m in sums],
-             *[(F.col(f"_sum_{m}") / F.when(F.col(f"_n_{m}") > 0, F.col(f"_n_{m}"))).alias(f"average_{m}") for m in averages],
+             *[(F.col(f"_sum_{m}").cast("double") / F.when(F.col(f"_n_{m}") > 0, F.col(f"_n_{m}"))).alias(f"average_{m}") for m in averages],
              *[F.col(f"least_{m}") for m in least], *[F.col(f"greatest_{m}") for m in greatest]]
     # a total over nothing isn't a group
     return out.filter(F.col(rows) > 0).select(name.alias("level"), "level_id", *keys, *shown)

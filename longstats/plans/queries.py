@@ -8,11 +8,9 @@ Soybeans; the converted trend uses Corn.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType, DecimalType, StructType
+from pyspark.sql.types import StructType
 
 from longstats.functions.collections import asc_ref
 from longstats.functions.numbers import parse_grouped_decimal, year_date
@@ -28,11 +26,10 @@ from longstats.operators.residual import (
     rollup_measures,
     union_aligned,
 )
-from longstats.operators.scope import core_scope, crop_filter, effective_class, level_scope
+from longstats.operators.scope import crop_filter, effective_class, level_scope
 from longstats.operators.trends import yield_trend
 from longstats.operators.units import classify_units
 from longstats.operators.windows import with_grand_total
-from longstats.plans import catalog
 from longstats.plans.job import TIDY_CLUSTER
 from longstats.schemas import DIMENSION_SCHEMA, LONG_SCHEMA, TIDY_SCHEMA
 from longstats.session import materialize, scratch_path
@@ -40,9 +37,10 @@ from longstats.sources.delimited import read_delimited, read_dimension, read_esc
 from longstats.sources.export import escape, export_check, export_delimited, export_manifest
 from longstats.sources.layout import load_table, write_table
 from longstats.streaming.landing import land_stream
+from longstats.plans import analysis
 from longstats.plans import oracle_sql as o
+from longstats.plans.base import MIN_YEAR, Query, _core, _job, _long, comparable
 
-MIN_YEAR = o.MIN_YEAR
 TREND_CROP = "Soybeans"
 CONVERTED_TREND_CROP = "Corn"
 LABEL_YEAR = 1998
@@ -66,33 +64,6 @@ GRAND_TOTAL_FILTER = {
     "source_desc": "SURVEY", "reference_period_desc": "YEAR",
 }
 
-Query = Callable[[SparkSession, str], DataFrame]
-
-
-def comparable(df: DataFrame) -> DataFrame:
-    """Decimals as double and dates as ISO text, for engine-neutral comparison."""
-    cols = []
-    for f in df.schema.fields:
-        c = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, DecimalType):
-            c = c.cast("double")
-        elif isinstance(f.dataType, DateType):
-            c = c.cast("string")
-        cols.append(c.alias(f.name))
-    return df.select(*cols)
-
-
-def _long(spark: SparkSession, sf: str) -> DataFrame:
-    return catalog.long_table(spark, sf)
-
-
-def _core(spark: SparkSession, sf: str) -> DataFrame:
-    return core_scope(_long(spark, sf), min_year=MIN_YEAR)
-
-
-def _job(spark: SparkSession, sf: str) -> catalog.CleanJob:
-    return catalog.clean_job(spark, sf, MIN_YEAR)
-
 
 def _in_all(spec: dict) -> F.Column:
     cond = F.lit(True)
@@ -602,6 +573,7 @@ def q_stream_landing(spark, sf):
 QUERIES: dict[str, Query] = {
     name[2:]: fn for name, fn in sorted(globals().items()) if name.startswith("q_") and callable(fn)
 }
+QUERIES.update(analysis.QUERIES)
 
 # ----------------------------------------------------------------- oracles
 
@@ -819,3 +791,4 @@ FROM scy GROUP BY state_name""",
         + " FROM long WHERE agg_level_desc = 'COUNTY' GROUP BY 1, 2, 3"),
     "load_table": o.WITH_LONG + "SELECT * FROM long",
 }
+ORACLES.update(analysis.ORACLES)
