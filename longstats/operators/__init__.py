@@ -1,5 +1,15 @@
 """DataFrame -> DataFrame operators of the cleaning job and its profiles."""
 
+from longstats.operators.asof import asof_join
+from longstats.operators.bands import band_join
+from longstats.operators.dimension import (
+    dimension_versions,
+    duplicate_keys,
+    edition_stems,
+    fips_text,
+    join_dimension,
+    match_summary,
+)
 from longstats.operators.levels import (
     LevelTables,
     clean_levels,
@@ -37,6 +47,24 @@ from longstats.operators.residual import (
     union_aligned,
 )
 from longstats.operators.scope import any_present, core_scope, crop_filter, effective_class, level_scope
+from longstats.operators.series import (
+    change_on_previous,
+    moving_ratio,
+    moving_sums,
+    ranked,
+    running_total,
+    top_per_group,
+)
+from longstats.operators.sketches import column_sketches, merge_sketches, sketch_report
+from longstats.operators.snapshot import (
+    changed_groups,
+    except_all,
+    expand,
+    intersect_all,
+    snapshot_diff,
+    snapshot_summary,
+)
+from longstats.operators.totals import at_level, cube_sets, level_totals, rollup_sets
 from longstats.operators.trends import yield_trend
 from longstats.operators.units import classify_units, unit_columns
 from longstats.operators.windows import with_grand_total, with_partition_total

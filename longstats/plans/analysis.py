@@ -1,7 +1,7 @@
 """Registered queries over loads, totals and series: what the survey's scripts do by hand or not at all.
 
-Reload of single years, differences of two loads, totals at every level, ordered figures and tops.  Each reads the
-driver tables through the derived long view and has a DuckDB statement.
+Reload of single years, differences of two loads, totals at every level, ordered figures and tops, lookups in the
+county dimension and in value bands, stored column sketches.  Each reads the driver tables through the derived long view and has a DuckDB statement.
 """
 
 from __future__ import annotations
@@ -9,11 +9,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from longstats.functions.numbers import parse_grouped_decimal
+from longstats.functions.text import county_id
+from longstats.operators.asof import asof_join
+from longstats.operators.bands import band_join
+from longstats.operators.dimension import dimension_versions, join_dimension, match_summary
 from longstats.operators.series import change_on_previous, moving_ratio, ranked, running_total, top_per_group
+from longstats.operators.sketches import column_sketches, merge_sketches, sketch_report
 from longstats.operators.snapshot import changed_groups, except_all, expand, intersect_all, snapshot_diff, snapshot_summary
 from longstats.operators.totals import cube_sets, level_totals
 from longstats.plans import oracle_sql as o
-from longstats.plans.base import MIN_YEAR, Query, _job, _long, comparable
+from longstats.plans.base import MIN_YEAR, Query, _job, _long, comparable, county_dimension
 from longstats.plans.job import refresh_job, run_job
 from longstats.schemas import LONG_COLUMNS, LONG_SCHEMA, RAW_COLUMNS, TIDY_COLUMNS
 from longstats.session import scratch_path
@@ -172,6 +178,63 @@ def q_top_crops(spark, sf):
     return top_per_group(rows, ["state_name", "year"], [F.col("row_count").desc(), F.col("commodity_desc")], 1, ties=False).drop("place")
 
 
+# ----------------------------------------------------------------- lookups
+
+#: The editions of the dimension's codes, and the fixture's years from which they hold.
+EDITIONS = {2003: 1996, 2013: 1999}
+CODES = {"rural_urban": "ruralurbancontinuumcode", "urban_influence": "urbaninfluencecode"}
+
+
+def _located(spark, sf) -> DataFrame:
+    return _long(spark, sf).select(county_id().alias("fipstxt"), "agg_level_desc", "year", "commodity_desc", "statisticcat_desc", "value")
+
+
+def _known_counties(spark, sf) -> DataFrame:
+    """The county dimension without the combined counties."""
+    return county_dimension(_long(spark, sf)).filter(~F.col("fipstxt").endswith("4"))
+
+
+def q_asof_codes(spark, sf):
+    """Every long row with the county codes of the edition that held in its year."""
+    versions = dimension_versions(county_dimension(_long(spark, sf)), "fipstxt", CODES, EDITIONS)
+    return asof_join(_located(spark, sf), versions, ["fipstxt"], "year", "code_year", list(CODES))
+
+
+def q_dimension_join(spark, sf):
+    return join_dimension(_located(spark, sf).withColumnRenamed("fipstxt", "fips"), _known_counties(spark, sf), "fips", "fipstxt", ["metro2013"])
+
+
+def q_dimension_match(spark, sf):
+    return match_summary(_located(spark, sf).withColumnRenamed("fipstxt", "fips"), _known_counties(spark, sf), "fips", "fipstxt",
+                         by=["agg_level_desc"])
+
+
+def q_value_bands(spark, sf):
+    """Rows per crop whose value lies in the suppliers' bands, whose widths are 1 to 2401."""
+    rows = _long(spark, sf).select("commodity_desc", parse_grouped_decimal("value").cast("double").alias("number"))
+    bands = spark.read.parquet(f"{sf}/supplier.parquet").select(
+        "s_suppkey", F.col("s_acctbal").cast("double").alias("low"),
+        (F.col("s_acctbal").cast("double") + F.pow(F.col("s_suppkey") % 7 + 1, F.lit(4))).alias("high"))
+    return (band_join(rows, bands, "number", "low", "high").groupBy("s_suppkey", "commodity_desc")
+            .agg(F.count(F.lit(1)).alias("row_count"), F.min("number").alias("least"), F.max("number").alias("greatest")))
+
+
+# ----------------------------------------------------------------- stored sketches
+
+SKETCHED = ["state_name", "county_name", "commodity_desc", "unit_desc", "value"]
+
+
+def q_column_profile(spark, sf):
+    """The profile of all years merged from one per year; distinct counts within 5 % of the exact ones."""
+    long = _long(spark, sf)
+    merged = sketch_report(merge_sketches(column_sketches(long, SKETCHED, by=["year"])))
+    exact = long.agg(*[F.count_distinct(c).alias(c) for c in SKETCHED]).select(F.inline(F.array(
+        *[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("exact")) for c in SKETCHED])))
+    return merged.join(exact, "column_name").select(
+        "column_name", "row_count", "null_count", "least", "greatest",
+        (F.abs(F.col("distinct_estimate") - F.col("exact")) <= 0.05 * F.col("exact")).alias("distinct_close"))
+
+
 QUERIES: dict[str, Query] = {
     name[2:]: fn for name, fn in sorted(globals().items()) if name.startswith("q_") and callable(fn)
 }
@@ -193,6 +256,12 @@ counted AS (
 _SETS = ", ".join(f"({', '.join(s)})" for s in TOTAL_LEVELS.values())
 _AREAS = "areas AS (SELECT year, commodity_name, fips_county_code, SUM(area_harvested) AS area FROM known_county GROUP BY 1, 2, 3)"
 
+_LOCATED = ("SELECT state_fips_code || county_code AS fipstxt, agg_level_desc, year, commodity_desc, statisticcat_desc, value "
+            "FROM long")
+_DIMENSION = ("dim AS (SELECT state_fips_code || county_code AS fipstxt, COUNT(*) AS n, COUNT(DISTINCT year) AS y FROM long "
+              "WHERE agg_level_desc = 'COUNTY' GROUP BY 1)")
+_MATCH = "CASE WHEN l.fipstxt IS NULL THEN 'null_key' WHEN d.fipstxt IS NULL THEN 'unmatched' ELSE 'matched' END"
+
 ORACLES: dict[str, str] = {
     "reload_year": o.WITH_LONG + "SELECT * FROM long",
     "reload_withdrawn": o.WITH_LONG + f"SELECT * FROM long WHERE year <> {WITHDRAWN}",
@@ -251,4 +320,24 @@ FROM areas QUALIFY place <= 3""",
     "top_crops": o.WITH_LONG + """
 SELECT * FROM (SELECT state_name, year, commodity_desc, COUNT(*) AS row_count FROM long GROUP BY ALL) c
 QUALIFY ROW_NUMBER() OVER (PARTITION BY state_name, year ORDER BY row_count DESC, commodity_desc) = 1""",
+    "asof_codes": o.WITH_LONG + f""", {_DIMENSION},
+versions AS (SELECT fipstxt, 1996 AS code_year, n * 2 + y AS rural_urban, n * 3 + y AS urban_influence FROM dim
+             UNION ALL SELECT fipstxt, 1999, n, y FROM dim)
+SELECT l.*, v.code_year, CAST(v.rural_urban AS DOUBLE) AS rural_urban, CAST(v.urban_influence AS DOUBLE) AS urban_influence
+FROM ({_LOCATED}) l ASOF LEFT JOIN versions v ON l.fipstxt = v.fipstxt AND l.year >= v.code_year""",
+    "dimension_join": o.WITH_LONG + f""", {_DIMENSION}
+SELECT l.fipstxt AS fips, agg_level_desc, year, commodity_desc, statisticcat_desc, value, CAST(d.n * 4 + d.y AS DOUBLE) AS metro2013,
+       {_MATCH} AS match
+FROM ({_LOCATED}) l LEFT JOIN (SELECT * FROM dim WHERE NOT ends_with(fipstxt, '4')) d ON l.fipstxt = d.fipstxt""",
+    "dimension_match": o.WITH_LONG + f""", {_DIMENSION}
+SELECT agg_level_desc, {_MATCH} AS match, COUNT(*) AS row_count, COUNT(DISTINCT l.fipstxt) AS key_count
+FROM ({_LOCATED}) l LEFT JOIN (SELECT * FROM dim WHERE NOT ends_with(fipstxt, '4')) d ON l.fipstxt = d.fipstxt GROUP BY 1, 2""",
+    "value_bands": o.WITH_LONG + f"""
+SELECT s_suppkey, commodity_desc, COUNT(*) AS row_count, MIN(number) AS least, MAX(number) AS greatest
+FROM (SELECT commodity_desc, CAST({o.num('value')} AS DOUBLE) AS number FROM long) l
+JOIN (SELECT s_suppkey, CAST(s_acctbal AS DOUBLE) AS low, CAST(s_acctbal AS DOUBLE) + pow(s_suppkey % 7 + 1, 4) AS high FROM supplier) b
+  ON low <= number AND number < high GROUP BY 1, 2""",
+    "column_profile": o.WITH_LONG + " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, COUNT(*) AS row_count, COUNT(*) - COUNT({c}) AS null_count, MIN({c}) AS least, "
+        f"MAX({c}) AS greatest, TRUE AS distinct_close FROM long" for c in SKETCHED),
 }

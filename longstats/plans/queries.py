@@ -39,7 +39,7 @@ from longstats.sources.layout import load_table, write_table
 from longstats.streaming.landing import land_stream
 from longstats.plans import analysis
 from longstats.plans import oracle_sql as o
-from longstats.plans.base import MIN_YEAR, Query, _core, _job, _long, comparable
+from longstats.plans.base import MIN_YEAR, Query, _core, _job, _long, comparable, county_dimension
 
 TREND_CROP = "Soybeans"
 CONVERTED_TREND_CROP = "Corn"
@@ -522,21 +522,8 @@ def q_export_check(spark, sf):
     return export_check(read_escaped(spark, path, TIDY_SCHEMA), tidy)
 
 
-def _county_dimension(long: DataFrame) -> DataFrame:
-    """A 45-column county dimension derived from the county rows: keys, row count,
-    distinct years, and 40 measures computed from those two."""
-    counties = (long.filter(F.col("agg_level_desc") == "COUNTY")
-                .groupBy(county_id().alias("fipstxt"), F.col("state_alpha").alias("state"),
-                         F.col("county_name").alias("county"))
-                .agg(F.count(F.lit(1)).cast("double").alias("n"),
-                     F.count_distinct("year").cast("double").alias("y")))
-    names = [f.name for f in DIMENSION_SCHEMA.fields]
-    measures = [F.col("n"), F.col("y")] + [F.col("n") * k + F.col("y") for k in range(2, len(names) - 3)]
-    return counties.select("fipstxt", "state", "county", *[m.alias(n) for m, n in zip(measures, names[3:])])
-
-
 def q_scan_dimension(spark, sf):
-    path = _export(_county_dimension(_long(spark, sf)), "dimension")
+    path = _export(county_dimension(_long(spark, sf)), "dimension")
     return read_dimension(spark, path)
 
 
