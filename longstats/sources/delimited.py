@@ -135,7 +135,10 @@ def _parse(lines: DataFrame, schema: StructType, sep: str, trim: bool, null_toke
     # The split goes through a one-element generator: filters cannot be pushed
     # below a Generate, so the split regex runs once per line instead of being
     # inlined into the row checks once per field.
-    split = F.struct(split_escaped(F.regexp_replace(line, "\r$", ""), sep).alias("_fields"))
+    body = F.when(line.endswith("\r"), F.substr(line, F.lit(1), F.length(line) - 1)).otherwise(line)
+    # a line without a backslash is cut at every separator, for which no regular expression is needed
+    plain = F.split(body, re.escape(sep), -1)
+    split = F.struct(F.when(line.contains("\\"), split_escaped(body, sep)).otherwise(plain).alias("_fields"))
     parsed = lines.select(line, "_valid", F.inline(F.array(split)))
     cols, bad_type = [], F.lit(False)
     for i, f in enumerate(schema.fields):
