@@ -40,6 +40,7 @@ from longstats.operators.profile import (
 )
 from longstats.operators.residual import (
     duplicate_parents,
+    reconcile_gate,
     reconcile_levels,
     residual_backfill,
     rollup_measures,
@@ -65,7 +66,7 @@ from longstats.operators.snapshot import (
     snapshot_summary,
 )
 from longstats.operators.totals import at_level, cube_sets, level_totals, rollup_sets
-from longstats.operators.trends import yield_trend
+from longstats.operators.trends import unit_yield_trend, yield_trend
 from longstats.operators.units import classify_units, unit_columns
 from longstats.operators.windows import with_grand_total, with_partition_total
 

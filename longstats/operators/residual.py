@@ -116,3 +116,21 @@ def reconcile_levels(a: DataFrame, b: DataFrame, keys: Sequence[str], measures:
         out += [F.col(f"l.{m}").alias(f"{m}_{la}"), F.col(f"r.{m}").alias(f"{m}_{rb}"),
                 (F.col(f"l.{m}") - F.col(f"r.{m}")).alias(f"{m}_diff")]
     return joined.select(*out)
+
+
+def reconcile_gate(report: DataFrame, keys: Sequence[str], measures: Sequence[str], names: tuple[str, str] = ("a", "b"),
+                   tolerance: float = 0.0) -> DataFrame:
+    """The failing figures of a ``reconcile_levels`` report, one row each: keys, ``measure``, both totals, ``diff``, ``reason``.
+
+    A figure fails if one side lacks it (``missing_a`` or ``missing_b``, by the sides' names), or if the sides differ by
+    more than ``tolerance`` times the second side (``over`` or ``under`` it).  A figure that both sides lack is none.
+    """
+    la, rb = names
+    figures = F.inline(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(f"{m}_{la}").cast("decimal(38,3)").alias(la),
+                                          F.col(f"{m}_{rb}").cast("decimal(38,3)").alias(rb)) for m in measures]))
+    a, b = F.col(la), F.col(rb)
+    allowed = F.abs(b).cast("double") * F.lit(float(tolerance))
+    reason = (F.when(a.isNull() & b.isNotNull(), f"missing_{la}").when(a.isNotNull() & b.isNull(), f"missing_{rb}")
+              .when((a - b).cast("double") > allowed, "over").when((b - a).cast("double") > allowed, "under"))
+    return (report.select(*keys, figures).withColumns({"diff": a - b, "reason": reason})
+            .filter(F.col("reason").isNotNull()))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,3 +35,17 @@ def yield_trend(df: DataFrame, crop: str, variety: str | None = None,
         out = out.withColumn("production_converted",
                              F.col("production") * F.lit(BUSHELS_PER_TON).cast("decimal(5,3)"))
     return out.orderBy(F.col("year").asc_nulls_last())
+
+
+def unit_yield_trend(df: DataFrame, by: Sequence[str] = ("year", "commodity_name")) -> DataFrame:
+    """Yields in the crops' own yield units: production x ``production_to_yield_multiplier`` / harvested area.
+
+    One row per ``by`` and yield unit, so bushels and tons of one crop are never added.  Production is reported in
+    bales of cotton and hundredweights of rice, yields in pounds; the multiplier turns one into the other.  Sums are
+    exact; only the last product and ratio are doubles.
+    """
+    units = ["yield_unit", "production_to_yield_multiplier"]
+    out = df.groupBy(*by, *units).agg(F.sum("area_harvested").alias("harvested"), F.sum("crop_production").alias("production"))
+    in_yield_unit = F.col("production").cast("double") * F.col("production_to_yield_multiplier")
+    return (out.withColumn("production_in_yield_unit", in_yield_unit)
+            .withColumn("yield", safe_ratio("production_in_yield_unit", "harvested")).drop("production_to_yield_multiplier"))

@@ -14,10 +14,12 @@ from longstats.functions.text import county_id
 from longstats.operators.asof import asof_join
 from longstats.operators.bands import band_join
 from longstats.operators.dimension import dimension_versions, join_dimension, match_summary
+from longstats.operators.residual import reconcile_gate, reconcile_levels
 from longstats.operators.series import change_on_previous, moving_ratio, ranked, running_total, top_per_group
 from longstats.operators.sketches import column_sketches, merge_sketches, sketch_report
 from longstats.operators.snapshot import changed_groups, except_all, expand, intersect_all, snapshot_diff, snapshot_summary
 from longstats.operators.totals import cube_sets, level_totals
+from longstats.operators.trends import unit_yield_trend
 from longstats.plans import oracle_sql as o
 from longstats.plans.base import MIN_YEAR, Query, _job, _long, comparable, county_dimension
 from longstats.plans.job import refresh_job, run_job
@@ -178,6 +180,25 @@ def q_top_crops(spark, sf):
     return top_per_group(rows, ["state_name", "year"], [F.col("row_count").desc(), F.col("commodity_desc")], 1, ties=False).drop("place")
 
 
+def q_unit_yield(spark, sf):
+    """Yields of all crops in their own units."""
+    return comparable(unit_yield_trend(_job(spark, sf).tidy))
+
+
+# ----------------------------------------------------------------- reconciliation as a gate
+
+GATE_KEYS = ["year", "commodity_name", "commodity_class_variety"]
+GATE_MEASURES = ["area_planted", "area_harvested", "crop_production"]
+TOLERANCE = 0.5
+
+
+def q_reconcile_failures(spark, sf):
+    """Figures of counties and nation that differ by more than half of the nation's, or that one side lacks."""
+    job, names = _job(spark, sf), ("county", "national")
+    report = reconcile_levels(job.tidy, job.levels.clean_national, GATE_KEYS, GATE_MEASURES, names)
+    return comparable(reconcile_gate(report, GATE_KEYS, GATE_MEASURES, names, TOLERANCE))
+
+
 # ----------------------------------------------------------------- lookups
 
 #: The editions of the dimension's codes, and the fixture's years from which they hold.
@@ -317,6 +338,25 @@ FROM areas WINDOW w AS (PARTITION BY year, commodity_name ORDER BY area DESC NUL
 SELECT year, commodity_name, fips_county_code, CAST(area AS DOUBLE) AS area_harvested,
        CAST(RANK() OVER (PARTITION BY year, commodity_name ORDER BY area DESC NULLS LAST) AS INTEGER) AS place
 FROM areas QUALIFY place <= 3""",
+    "unit_yield": o.WITH_JOB + """
+SELECT year, commodity_name, yield_unit, CAST(h AS DOUBLE) AS harvested, CAST(p AS DOUBLE) AS production,
+       CAST(p AS DOUBLE) * production_to_yield_multiplier AS production_in_yield_unit,
+       CAST(p AS DOUBLE) * production_to_yield_multiplier / NULLIF(CAST(h AS DOUBLE), 0) AS yield
+FROM (SELECT year, commodity_name, yield_unit, production_to_yield_multiplier, SUM(area_harvested) AS h, SUM(crop_production) AS p
+      FROM clean_county GROUP BY ALL) u""",
+    "reconcile_failures": o.WITH_JOB + """,
+sides AS (
+  SELECT year, commodity_name, commodity_class_variety, measure, SUM(c) AS c, SUM(n) AS n
+  FROM (SELECT year, commodity_name, commodity_class_variety, unnest(['area_planted', 'area_harvested', 'crop_production']) AS measure,
+               unnest([area_planted, area_harvested, crop_production]) AS c, NULL::DECIMAL(38,3) AS n FROM clean_county
+        UNION ALL
+        SELECT year, commodity_name, commodity_class_variety, unnest(['area_planted', 'area_harvested', 'crop_production']),
+               NULL, unnest([area_planted, area_harvested, crop_production]) FROM clean_national) x
+  GROUP BY ALL)
+SELECT year, commodity_name, commodity_class_variety, measure, CAST(c AS DOUBLE) AS county, CAST(n AS DOUBLE) AS national,
+       CAST(c - n AS DOUBLE) AS diff,
+       CASE WHEN c IS NULL THEN 'missing_county' WHEN n IS NULL THEN 'missing_national' WHEN c > n THEN 'over' ELSE 'under' END AS reason
+FROM sides WHERE (c IS NULL) <> (n IS NULL) OR abs(CAST(c - n AS DOUBLE)) > abs(CAST(n AS DOUBLE)) * 0.5""",
     "top_crops": o.WITH_LONG + """
 SELECT * FROM (SELECT state_name, year, commodity_desc, COUNT(*) AS row_count FROM long GROUP BY ALL) c
 QUALIFY ROW_NUMBER() OVER (PARTITION BY state_name, year ORDER BY row_count DESC, commodity_desc) = 1""",

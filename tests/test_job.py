@@ -127,3 +127,39 @@ def test_duplicate_parents(spark):
     rows = [(2000, "WHEAT", "W", "A"), (2000, "WHEAT", "W", "A"), (2001, "WHEAT", "W", "A")]
     df = spark.createDataFrame(rows, "year int, commodity_desc string, commodity_class_desc string, state_name string")
     assert [(r.year, r.parent_rows) for r in duplicate_parents(df).collect()] == [(2000, 2)]
+
+
+def test_reconciliation_as_a_gate(spark):
+    import pytest
+
+    from longstats.operators.residual import reconcile_gate, reconcile_levels
+    from longstats.plans.job import ReconciliationFailed, run_job
+    schema = "k int, n decimal(38,3), y decimal(38,3)"
+    dec = lambda x: None if x is None else Decimal(x)
+    counties = [(1, dec(100), dec(5)), (2, dec(100), None), (3, None, dec(1)), (4, dec(7), dec(0)), (None, dec(9), dec(9))]
+    nation = [(1, dec(100), dec(6)), (2, dec(111), None), (3, dec(5), None), (4, dec(0), dec(0)), (None, dec(10), dec(9))]
+    report = reconcile_levels(spark.createDataFrame(counties, schema), spark.createDataFrame(nation, schema), ["k"], ["n", "y"], ("c", "p"))
+
+    def failing(tolerance):
+        return {(r.k, r.measure): (r.diff, r.reason) for r in reconcile_gate(report, ["k"], ["n", "y"], ("c", "p"), tolerance).collect()}
+
+    always = {(3, "n"): (None, "missing_c"), (3, "y"): (None, "missing_p"), (4, "n"): (Decimal(7), "over")}
+    assert failing(0.2) == always
+    assert failing(0.0) == {**always, (1, "y"): (Decimal(-1), "under"), (2, "n"): (Decimal(-11), "under"), (None, "n"): (Decimal(-1), "under")}
+    # the job's drops have no national rows
+    target = scratch_path(spark, "gated").replace("file:", "")
+    with pytest.raises(ReconciliationFailed, match="1 figures"):
+        run_job(spark, _raw_drops(spark), target, tolerance=0.1)
+    assert os.path.isdir(f"{target}/clean_county") and not os.path.exists(f"{target}/export")
+    assert [(r.measure, r.reason) for r in spark.read.parquet(f"{target}/reconciliation").collect()] == [("area_harvested", "missing_national")]
+
+
+def test_yields_in_their_own_units(spark):
+    from longstats.operators.trends import unit_yield_trend
+    rows = [(2000, "Cotton", "LB / ACRE", 480.0, Decimal(10), Decimal(15)), (2000, "Cotton", "LB / ACRE", 480.0, Decimal(5), None),
+            (2000, "Corn", "BU / ACRE", 1.0, Decimal(2), Decimal(300)), (2000, "Corn", "TONS / ACRE", 1.0, Decimal(4), Decimal(80)),
+            (2000, "Rice", "LB / ACRE", 100.0, Decimal(0), Decimal(7)), (2000, "Oats", None, None, Decimal(1), Decimal(7))]
+    df = spark.createDataFrame(rows, "year int, commodity_name string, yield_unit string, production_to_yield_multiplier double, "
+                                     "area_harvested decimal(38,3), crop_production decimal(38,3)")
+    got = {(r.commodity_name, r.yield_unit): r["yield"] for r in unit_yield_trend(df).collect()}
+    assert got == {("Cotton", "LB / ACRE"): 480.0, ("Corn", "BU / ACRE"): 150.0, ("Corn", "TONS / ACRE"): 20.0, ("Rice", "LB / ACRE"): None, ("Oats", None): None}
