@@ -28,6 +28,7 @@ from longstats.session import scratch_path
 from longstats.sources.export import export_delimited
 from longstats.sources.layout import write_table
 from longstats.sources.reload import reload_years, table_files
+from longstats.streaming.rollup import StreamReport, rollup_stream
 
 #: The year that a later drop brings again, and one that a drop withdraws.
 RELOADED, WITHDRAWN = 1998, 1999
@@ -256,6 +257,43 @@ def q_column_profile(spark, sf):
         (F.abs(F.col("distinct_estimate") - F.col("exact")) <= 0.05 * F.col("exact")).alias("distinct_close"))
 
 
+# ----------------------------------------------------------------- the streamed roll-up
+
+STREAM_KEYS = ["year", "agg_level_desc", "state_name", "commodity_desc", "statisticcat_desc"]
+STREAM_DELAY = "1000 days"
+
+
+def _append_drop(df: DataFrame, path: str) -> None:
+    (df.write.mode("append").option("sep", "\t").option("header", True).option("quote", "").option("emptyValue", "")
+     .option("compression", "gzip").csv(path))
+
+
+def _streamed(spark, sf) -> tuple[DataFrame, list[StreamReport]]:
+    """The table and the reports of three runs: all rows from MIN_YEAR on, the same drop again, and the years before."""
+    long, base = _long(spark, sf), scratch_path(spark, "stream-rollup")
+    current = long.filter(F.col("year") >= MIN_YEAR)
+    totals = {"row_count": F.count(F.lit(1)), "total": F.sum(parse_grouped_decimal("value"))}
+    time = F.make_timestamp(F.col("year"), F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0))
+    reports = []
+    for drop in (current, current, long.filter(F.col("year") < MIN_YEAR)):
+        _append_drop(drop, f"{base}/drops")
+        reports.append(rollup_stream(spark, f"{base}/drops", LONG_SCHEMA, f"{base}/table", f"{base}/checkpoint", STREAM_KEYS,
+                                     totals, time, STREAM_DELAY))
+    return spark.read.parquet(f"{base}/table").select(*STREAM_KEYS, *totals), reports
+
+
+def q_stream_rollup(spark, sf):
+    """Totals of the distinct rows, however often their drop came; years that came too late are not in it."""
+    return comparable(_streamed(spark, sf)[0])
+
+
+def q_stream_report(spark, sf):
+    """What the three runs left out."""
+    reports = _streamed(spark, sf)[1]
+    return spark.createDataFrame([(i, r.input_rows, r.late_rows, r.repeated_rows) for i, r in enumerate(reports, 1)],
+                                 "run int, input_rows long, late_rows long, repeated_rows long")
+
+
 QUERIES: dict[str, Query] = {
     name[2:]: fn for name, fn in sorted(globals().items()) if name.startswith("q_") and callable(fn)
 }
@@ -360,6 +398,16 @@ FROM sides WHERE (c IS NULL) <> (n IS NULL) OR abs(CAST(c - n AS DOUBLE)) > abs(
     "top_crops": o.WITH_LONG + """
 SELECT * FROM (SELECT state_name, year, commodity_desc, COUNT(*) AS row_count FROM long GROUP BY ALL) c
 QUALIFY ROW_NUMBER() OVER (PARTITION BY state_name, year ORDER BY row_count DESC, commodity_desc) = 1""",
+    "stream_rollup": o.WITH_LONG + f"""
+SELECT {', '.join(STREAM_KEYS)}, COUNT(*) AS row_count, CAST(SUM({o.num('value')}) AS DOUBLE) AS total
+FROM (SELECT DISTINCT * FROM long WHERE year >= {MIN_YEAR}) d GROUP BY ALL""",
+    "stream_report": o.WITH_LONG + f""",
+now AS (SELECT *, make_date(year, 1, 1) <= (SELECT make_date(MAX(year), 1, 1) - INTERVAL 1000 DAY FROM long) AS late
+        FROM long WHERE year >= {MIN_YEAR})
+SELECT 1 AS run, COUNT(*) AS input_rows, CAST(0 AS BIGINT) AS late_rows,
+       COUNT(*) - (SELECT COUNT(*) FROM (SELECT DISTINCT * FROM now)) AS repeated_rows FROM now
+UNION ALL SELECT 2, COUNT(*), COUNT(*) FILTER (WHERE late), COUNT(*) FILTER (WHERE NOT late) FROM now
+UNION ALL SELECT 3, COUNT(*), COUNT(*), 0 FROM long WHERE year < {MIN_YEAR}""",
     "asof_codes": o.WITH_LONG + f""", {_DIMENSION},
 versions AS (SELECT fipstxt, 1996 AS code_year, n * 2 + y AS rural_urban, n * 3 + y AS urban_influence FROM dim
              UNION ALL SELECT fipstxt, 1999, n, y FROM dim)

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
@@ -19,6 +19,19 @@ from longstats.functions.text import NULL_TOKENS, normalise_nulls
 from longstats.session import scratch_path
 
 
+def drop_stream(spark: SparkSession, source_dir: str, schema: StructType, sep: str = "\t", header: bool = True,
+                trim: bool = True, null_tokens: Iterable[str] = NULL_TOKENS,
+                max_files_per_trigger: int | None = None) -> DataFrame:
+    """The rows of delimited files as they land in ``source_dir``, parsed as ``read_delimited`` does."""
+    reader = (spark.readStream.schema(schema)
+              .option("sep", sep).option("header", header).option("quote", "")
+              .option("mode", "FAILFAST").option("nullValue", "")
+              .option("ignoreLeadingWhiteSpace", trim).option("ignoreTrailingWhiteSpace", trim))
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    return normalise_nulls(reader.csv(source_dir), null_tokens)
+
+
 def land_stream(spark: SparkSession, source_dir: str, schema: StructType, target: str,
                 checkpoint: str | None = None, sep: str = "\t", header: bool = True, trim: bool = True,
                 null_tokens: Iterable[str] = NULL_TOKENS, partition_by: Sequence[str] = ("year",),
@@ -29,13 +42,7 @@ def land_stream(spark: SparkSession, source_dir: str, schema: StructType, target
     NULLs).  ``checkpoint`` defaults to a fresh folder under the session's
     shared checkpoint directory; pass a stable one to make reruns incremental.
     """
-    reader = (spark.readStream.schema(schema)
-              .option("sep", sep).option("header", header).option("quote", "")
-              .option("mode", "FAILFAST").option("nullValue", "")
-              .option("ignoreLeadingWhiteSpace", trim).option("ignoreTrailingWhiteSpace", trim))
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    rows = normalise_nulls(reader.csv(source_dir), null_tokens)
+    rows = drop_stream(spark, source_dir, schema, sep, header, trim, null_tokens, max_files_per_trigger)
     writer = (rows.writeStream.format("parquet")
               .option("checkpointLocation", checkpoint or scratch_path(spark, "landing-checkpoint"))
               .trigger(availableNow=True))
