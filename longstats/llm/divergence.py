@@ -24,8 +24,8 @@ shares and their running sums.  All numbers are integers.
 
 Distribution: a task counts its texts in one dictionary of bounded size; the
 counts are shuffled by (language, source, term) and then, one row per source,
-by (language, term).  A block holds about ``block`` entries, so a language with
-a third of all rows is many blocks.  A language's sources are held as one array
+by (language, term).  A block holds about ``block`` entries (or the square of the
+sources' number, if that is more), so a language with a third of all rows is many blocks.  A language's sources are held as one array
 (the pair part of the result has their number squared in rows).
 
 Defined results: NULL text, language and source are ''; a group without kept
@@ -54,8 +54,8 @@ SCALE = 1_000_000_000
 SMOOTHING = 5
 #: Different (group, term) pairs that a task remembers before it passes them on.
 REMEMBERED = 300_000
-#: Entries of a block of the term-major index.
-ENTRIES = 500_000
+#: Entries of a block of the term-major index; at least as many as a block can give out (pairs of sources).
+ENTRIES = 50_000
 #: Postings that a task scatters at a time.
 SCATTERED = 1 << 20
 
@@ -225,7 +225,8 @@ def divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP_TERMS,
     entries = stage(entries.select("lang", "term", "in_lang", "source", "g", "p", "base", "terms", "lang_total"), "divergence-entries")
 
     # a language's terms are dealt to as many blocks as its entries ask for
-    sizes = groups.groupBy("lang").agg(F.ceil(F.sum("own_terms") / F.lit(block)).alias("blocks"))
+    pairs_of = F.count(F.lit(1)) * F.count(F.lit(1))
+    sizes = groups.groupBy("lang").agg(F.ceil(F.sum("own_terms") / F.greatest(F.lit(block), pairs_of)).alias("blocks"))
     term = F.xxhash64("term")
     blocks = (entries.join(sizes, "lang").select("lang", F.pmod(term, F.greatest("blocks", F.lit(1))).alias("part"),
                                                  "term", "g", "p", "base"))
