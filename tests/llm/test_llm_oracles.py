@@ -1,0 +1,19 @@
+"""The operators' queries against their DuckDB statements, whole tables of sf0.001."""
+
+import pytest
+
+from check_oracles import compare, duck
+from longstats.llm.queries import ORACLES, QUERIES
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def con():
+    return duck(SF)
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query_matches_its_statement(spark, con, name):
+    ok, message = compare(QUERIES[name](spark, SF), ORACLES[name], con)
+    assert ok, message
