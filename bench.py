@@ -11,6 +11,8 @@ query over the job is timed too (``queries``; their sum with the script is
 same core table.
 Before timing, the same pipeline runs once on sf0.01 to warm the JVM (JIT,
 generated code); that time is reported as ``warmup_sec``.
+
+With $BENCH_COPIES above 1 only the clean script runs, on that many copies of the rows (counties of their own).
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+from pyspark.sql import functions as F  # noqa: E402
+
 from longstats.operators.levels import clean_levels, clean_levels_per_level  # noqa: E402
 from longstats.operators.residual import residual_backfill, tidy_table  # noqa: E402
 from longstats.operators.scope import core_scope  # noqa: E402
@@ -30,7 +34,7 @@ from longstats.plans.queries import MIN_YEAR, QUERIES  # noqa: E402
 from longstats.session import build_session, scratch_path  # noqa: E402
 from longstats.schemas import LONG_SCHEMA  # noqa: E402
 from longstats.sources.export import export_delimited  # noqa: E402
-from longstats.plans.job import TIDY_CLUSTER  # noqa: E402
+from longstats.plans.job import LEVEL_CLUSTER, TIDY_CLUSTER  # noqa: E402
 from longstats.sources.layout import load_table, write_table  # noqa: E402
 
 # what the reference's script does: import the text drops, clean, write the four tables, export
@@ -50,6 +54,34 @@ def timed(fn) -> float:
     return round(time.perf_counter() - t0, 3)
 
 
+def more_counties(long, copies: int):
+    """The long rows ``copies`` times, the county rows of each copy with county codes of their own."""
+    if copies == 1:
+        return long
+    code = F.lpad((F.col("county_code").cast("int") + F.col("_copy") * 5).cast("string"), 3, "0")
+    return (long.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+            .withColumn("county_code", code).select(*long.columns))
+
+
+def script_at_volume(spark, sf_dir: str, copies: int) -> None:
+    """BENCH_COPIES: the clean script alone on many copies of the rows, one JSON line (no warm-up, no headline queries)."""
+    drops, out = scratch_path(spark, "volume-drops"), scratch_path(spark, "volume-out")
+    export_delimited(more_counties(catalog.long_table(spark, sf_dir), copies), drops)
+    q: dict[str, float] = {}
+    q["load_tsv_to_table"] = timed(lambda: load_table(spark, drops, f"{out}/raw", LONG_SCHEMA))
+    raw = spark.read.parquet(f"{out}/raw").select(*LONG_SCHEMA.fieldNames())
+    jobs = []
+    q["clean_job"] = timed(lambda: jobs.append(catalog.build_clean_job(core_scope(raw, min_year=MIN_YEAR))))
+    for name, cluster in LEVEL_CLUSTER.items():
+        q[f"write_{name}"] = timed(lambda n=name, c=cluster: write_table(getattr(jobs[0].levels, n), f"{out}/{n}", cluster_by=c))
+    q["write_tidy"] = timed(lambda: write_table(jobs[0].tidy, f"{out}/clean_county", cluster_by=TIDY_CLUSTER))
+    tidy = spark.read.parquet(f"{out}/clean_county").select(*jobs[0].tidy.columns)
+    q["export_tsv"] = timed(lambda: export_delimited(tidy, f"{out}/export"))
+    rows, script = raw.count(), round(sum(q.values()), 3)
+    print(json.dumps({"metric": "clean_script_at_volume", "value": script, "unit": "sec", "queries": q, "rows": rows,
+                      "tidy_rows": tidy.count(), "rows_per_sec": round(rows / script, 1), "copies": copies}))
+
+
 def pipeline(spark, sf_dir: str) -> dict[str, float]:
     """Import, clean, write and export as the job does, then the headline queries; per-step seconds.
 
@@ -84,6 +116,10 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     warm_dir = os.environ.get("BENCH_WARMUP_DIR", "/root/testdata/sf0.01")
     spark = build_session()
+    if int(os.environ.get("BENCH_COPIES", "1")) > 1:
+        script_at_volume(spark, sf_dir, int(os.environ["BENCH_COPIES"]))
+        spark.stop()
+        return
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
 
     # JVM start, JIT and code generation: the same pipeline once on the smallest
