@@ -22,6 +22,11 @@ HEADLINE = {
     "grand_total": "grand total as a scalar subquery (no join, no unpartitioned window)",
     "partition_total": "partition totals as aggregate + join back (no hot-key window)",
     "state_profile": "coverage arrays over distinct (state, year, commodity) triples",
+    "level_totals": "grouping sets over the finest sums: Expand repeats groups, not rows",
+    "snapshot_summary": "two loads compared by hash and count: one shuffle of hashes, no row fetched",
+    "top_counties": "window group limit in every task before the shuffle",
+    "running_area": "running totals over ranges: windows by series and range, offsets per series and range",
+    "dimension_join": "rows without a key set apart, the others a left join by the text code",
 }
 
 
