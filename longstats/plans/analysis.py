@@ -24,7 +24,7 @@ from longstats.plans import oracle_sql as o
 from longstats.plans.base import MIN_YEAR, Query, _job, _long, comparable, county_dimension
 from longstats.plans.job import refresh_job, run_job
 from longstats.schemas import LONG_COLUMNS, LONG_SCHEMA, RAW_COLUMNS, TIDY_COLUMNS
-from longstats.session import scratch_path
+from longstats.session import materialize, scratch_path
 from longstats.sources.export import export_delimited
 from longstats.sources.layout import write_table
 from longstats.sources.reload import reload_years, table_files
@@ -70,9 +70,8 @@ def q_reload_withdrawn(spark, sf):
 def q_reload_files(spark, sf):
     """Per year whether a reload of one year kept all its files."""
     long, target = _outdated_table(spark, sf)
-    before = table_files(spark, target).collect()  # file names of one table
+    old = materialize(table_files(spark, target), "files-before").alias("b")
     reload_years(spark, _drop(long.filter(F.col("year") == RELOADED), "reload-drop"), target, LONG_SCHEMA, [RELOADED])
-    old = spark.createDataFrame(before, "path string, year string").alias("b")
     new = table_files(spark, target).alias("a")
     return (old.join(new, ["path"], "left").groupBy(F.col("b.year").cast("int").alias("year"))
             .agg(F.bool_and(F.col("a.year").isNotNull()).alias("kept")))
