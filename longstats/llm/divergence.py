@@ -24,9 +24,10 @@ shares and their running sums.  All numbers are integers.
 
 Distribution: a task counts its texts in one dictionary of bounded size; the
 counts are shuffled by (language, source, term) and then, one row per source,
-by (language, term).  A block holds about ``block`` entries (or the square of the
-sources' number, if that is more), so a language with a third of all rows is many blocks.  A language's sources are held as one array
-(the pair part of the result has their number squared in rows).
+by (language, term).  A block holds about ``block`` entries (or the square of
+the sources' number, if that is more), so a language with a third of all rows
+is many blocks.  A language's sources are held as one array (the pair part of
+the result has their number squared in rows).
 
 Defined results: NULL text, language and source are ''; a group without kept
 terms has count 0 for all of them, and 0 to every other if its language keeps
