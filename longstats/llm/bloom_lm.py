@@ -7,14 +7,19 @@ quantised to a level, the number of thresholds 1, 2, 3, ... (growing by
 filter L times, once for each level.  A reader probes level after level until a
 probe misses, and takes the middle of the last level's counts.
 
-The filter holds every word and every pair.  It has ``bits`` bits, or more if a
-histogram of all counts says so (``BITS_PER_ENTRY`` for every entry, up to a power
-of two), and is cut into segments by key, built by separate tasks.  One of
-``bits`` bits is broadcast.  A larger one stays cut up: each segment is built and
-asked by one task, for the distinct words and pairs of all documents, and the
-answers are joined to the documents' pairs.  Only answers for words and pairs at
-or above a count that at most ``frequent`` of them reach are broadcast then.  Both
-ways ask the same bits and give the same score.
+The filter holds every word and every pair.  It is cut into segments by key: the
+documents are written as chunks of ``CHUNK_BYTES``, every chunk sends its distinct
+words and pairs, packed with their counts in training documents, to their
+segments, and one task per segment adds them up and fills the segment's bits
+(``BITS_PER_ENTRY`` for every entry, up to a power of two).  There is a segment for
+every ``SEGMENT_BYTES`` of text.
+
+A filter that can't have more than ``bits`` bits, whatever the texts say, is
+broadcast, and every task probes it.  A larger one is asked where it lies: the
+same tasks probe their segment for the words and pairs that each chunk sent, and
+send back one byte for each, in the order in which they were asked, so that a chunk
+finds its answers by their place.  No n-gram is shuffled twice and none becomes a
+row.  Both ways ask the same bits and give the same score.
 
 The score of a text is the sum of log10 P(w | u) with Dirichlet smoothing:
 
@@ -23,8 +28,9 @@ The score of a text is the sum of log10 P(w | u) with Dirichlet smoothing:
 
 Every token stands before exactly one other, so u's pairs add up to word(u).
 
-The base score needs exact counts: the words at or above a count that at most
-``FREQUENT`` words reach are broadcast (16 bytes each), the others are joined.
+The base score needs exact counts: beside a broadcast filter the words at or above a
+count that at most ``FREQUENT`` words reach are broadcast (16 bytes each) and the
+others joined; else they come with the answers.
 Words are identified by 64-bit XXH3 hashes.
 
 Defined results: NULL text counts as empty (one token, the end); a NULL doc_id
@@ -42,25 +48,27 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stage, text_chunks
 
-BITS = 1 << 28  # of the filter that is broadcast; a larger one is not
+BITS = 1 << 28  # of a filter that is broadcast, at most
 SEGMENTS = 64
 PROBES = 4
 BITS_PER_ENTRY = 8
 GROWTH = 1.25
 FREQUENT = 1 << 20
 MU = 16.0
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 4 << 20
+SEGMENT_BYTES = 8 << 20
 WORD, PAIR = 1, 2
-#: A pair that a task could not score: its key, its words, their counts if frequent, its number in the text.
-OPEN_PAIR = [("p", pa.int64()), ("b", pa.int64()), ("w", pa.int64()), ("cb", pa.float64()), ("cw", pa.float64()),
-             ("tf", pa.int64())]
 END = np.uint64(0x9E3779B97F4A7C15)
+SETTLED = pa.schema([("segment", pa.int32()), ("chunk", pa.int64()), ("words", pa.binary()), ("word_n", pa.binary()),
+                     ("pairs", pa.binary()), ("bits", pa.binary()), ("tokens", pa.int64()), ("distinct", pa.int64())])
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -111,40 +119,62 @@ def tokens_of(texts: list) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
 
 
-def bit_positions(kind: int, keys: np.ndarray, level: np.ndarray, bits: int, segments: int) -> tuple:
-    """(segment, positions in it) of entries; the segment depends on the key alone.  Sizes are powers of two."""
+def _base(kind: int, keys: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix(keys + np.uint64(kind) * np.uint64(0x632BE59BD9B4E019))
+
+
+def segment_of(kind: int, keys: np.ndarray, segments: int) -> np.ndarray:
+    """It depends on the key alone; ``segments`` is a power of two."""
+    return (_base(kind, keys) & np.uint64(segments - 1)).astype(np.int64)
+
+
+def bit_hashes(kind: int, keys: np.ndarray, level: np.ndarray, segments: int) -> tuple:
+    """(segment, first hash, step) of entries."""
+    base = _base(kind, keys)
     with np.errstate(over="ignore"):
-        base = mix(keys + np.uint64(kind) * np.uint64(0x632BE59BD9B4E019))
         h = mix(base + level.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-        step = mix(h) | np.uint64(1)
+    return (base & np.uint64(segments - 1)).astype(np.int64), h, mix(h) | np.uint64(1)
+
+
+def bit_positions(kind: int, keys: np.ndarray, level: np.ndarray, bits: int, segments: int) -> tuple:
+    """(segment, positions in it) of entries in a filter of equal segments.  Sizes are powers of two."""
+    segment, h, step = bit_hashes(kind, keys, level, segments)
+    with np.errstate(over="ignore"):
         size = np.uint64(bits // segments - 1)
-        places = [(h + np.uint64(i) * step) & size for i in range(PROBES)]
-    return (base & np.uint64(segments - 1)).astype(np.int64), places
+        return segment, [(h + np.uint64(i) * step) & size for i in range(PROBES)]
 
 
 class Filter:
-    """Read access to the filter's bits."""
+    """Read access to the filter's bits.  The segments have the same size if no ``sizes`` (bits, powers of two) are given."""
 
-    def __init__(self, data: np.ndarray, segments: int = SEGMENTS):
-        self.data, self.bits, self.segments = data, len(data) * 8, segments
+    def __init__(self, data: np.ndarray, segments: int = SEGMENTS, sizes: np.ndarray | None = None):
+        self.data, self.segments = data, segments
+        self.sizes = np.full(segments, len(data) * 8 // segments, np.int64) if sizes is None else sizes
+        self.begin = np.cumsum(self.sizes) - self.sizes
 
     def has(self, kind: int, keys: np.ndarray, level: np.ndarray) -> np.ndarray:
-        segment, places = bit_positions(kind, keys, level, self.bits, self.segments)
-        begin = segment * (self.bits // self.segments)
+        segment, h, step = bit_hashes(kind, keys, level, self.segments)
+        begin, mask = self.begin[segment], (self.sizes[segment] - 1).astype(np.uint64)
         out, live = np.zeros(len(keys), bool), np.arange(len(keys))
-        for p in places:  # most absent keys go at the first bit
-            at = begin[live] + p[live].astype(np.int64)
+        for i in range(PROBES):  # most absent keys go at the first bit
+            with np.errstate(over="ignore"):
+                at = begin[live] + ((h[live] + np.uint64(i) * step[live]) & mask[live]).astype(np.int64)
             live = live[(self.data[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)]
         out[live] = True
         return out
 
-    def count(self, kind: int, keys: np.ndarray) -> np.ndarray:
-        """Quantised counts by repeated probes."""
+    def levels(self, kind: int, keys: np.ndarray) -> np.ndarray:
+        """Levels by repeated probes."""
         level, live = np.zeros(len(keys), np.int64), np.arange(len(keys))
         while len(live) and level[live[0]] < len(LEVELS):
             live = live[self.has(kind, keys[live], level[live] + 1)]
             level[live] += 1
-        return LEVEL_COUNT[level]
+        return level
+
+    def count(self, kind: int, keys: np.ndarray) -> np.ndarray:
+        """Quantised counts."""
+        return LEVEL_COUNT[self.levels(kind, keys)]
 
 
 def fill_segment(entries: list[tuple[int, np.ndarray, np.ndarray]], bits: int, segments: int) -> bytes:
@@ -160,13 +190,6 @@ def fill_segment(entries: list[tuple[int, np.ndarray, np.ndarray]], bits: int, s
     return np.packbits(data, bitorder="little").tobytes()
 
 
-def segment_counts(asked: list[tuple[int, np.ndarray]], data: bytes, bits: int, segments: int) -> list[np.ndarray]:
-    """What one segment says of its (kind, keys): the counts that a Filter of all segments would give."""
-    # a filter of this segment alone: the positions in it are the same
-    one = Filter(np.frombuffer(data, np.uint8), 1)
-    return [one.count(kind, keys) for kind, keys in asked]
-
-
 def _segmented(rows: DataFrame, bits: int, segments: int) -> DataFrame:
     """``(kind tinyint, key long, n long)`` with the segment of the key."""
 
@@ -201,83 +224,145 @@ def build_filter(entries: DataFrame, bits: int, segments: int = SEGMENTS) -> np.
     return data.reshape(-1)
 
 
-def filter_answers(entries: DataFrame, probes: DataFrame, bits: int, segments: int) -> DataFrame:
-    """(kind, key, c): the filter's counts of all entries, and of the probes where not 0; no task holds more than a segment."""
+def is_part(doc_id, folds: int, fold: int) -> bool:
+    return zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % folds == fold
 
-    def ask(entries: pa.Table, probes: pa.Table) -> pa.Table:
-        held, more = _by_kind(entries), {kind: keys for kind, keys, _ in _by_kind(probes)}
-        data = fill_segment(held, bits, segments)
-        held = {kind: keys for kind, keys, _ in held}
-        none = np.zeros(0, np.uint64)
-        asked = [(kind, np.union1d(held.get(kind, none), more.get(kind, none))) for kind in (WORD, PAIR)]
-        found = segment_counts(asked, data, bits, segments)
-        kinds = [np.full(len(keys), kind, np.int8) for kind, keys in asked]
-        out = pa.table({"kind": np.concatenate([np.zeros(0, np.int8), *kinds]),
-                        "key": np.concatenate([np.zeros(0, np.uint64), *(k for _, k in asked)]).view(np.int64),
-                        "c": np.concatenate([np.zeros(0), *found])})
-        return out.filter(pa.array(out.column("c").to_numpy() > 0))
 
-    return (_segmented(entries, bits, segments).groupBy("segment")
-            .cogroup(_segmented(probes, bits, segments).groupBy("segment"))
-            .applyInArrow(ask, "kind tinyint, key long, c double"))
+def filter_segments(text_bytes: int) -> int:
+    """A power of two that grows with the texts, so that a segment doesn't."""
+    return max(SEGMENTS, 1 << (-(-text_bytes // SEGMENT_BYTES) - 1).bit_length() if text_bytes else 0)
 
 
-def is_part(doc_id, folds: int, fold: int) -> bool:
-    return zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % folds == fold
+def segment_bits(entries: int) -> int:
+    """Bits of a segment of so many entries."""
+    return max(64, 1 << (entries * BITS_PER_ENTRY - 1).bit_length() if entries else 0)
 
 
-def count_rows(docs: DataFrame, folds: int, fold: int, held_out: bool = False) -> DataFrame:
-    """(kind, key, n): counts of words and pairs in training (or held-out) documents, summed within a chunk of text."""
+def most_bits(text_bytes: int, texts: int, segments: int) -> int:
+    """What a filter can't exceed: a text has at most half as many words as bytes (and one more), and the end; every
+    token adds at most one entry as a word and one as a pair."""
+    tokens = text_bytes // 2 + 2 * texts
+    return 2 * BITS_PER_ENTRY * 2 * tokens + 64 * segments
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0).to_pylist()
-            for a, b in text_chunks(batch.column(1), CHUNK_BYTES):
-                texts = batch.column(1).slice(a, b - a).to_pylist()
-                train = [t for i, t in zip(ids[a:b], texts) if is_part(i, folds, fold) == held_out]
-                if not train:
-                    continue
-                words, lengths = tokens_of(train)
-                before = np.concatenate([words[-1:], words[:-1]])  # the end stands before the first word
-                before[np.concatenate([[0], np.cumsum(lengths)[:-1]])] = END
-                for kind, keys in ((WORD, words), (PAIR, pair_keys(before, words))):
-                    keys, n = np.unique(keys, return_counts=True)
-                    for at in range(0, len(keys), 1 << 17):
-                        part = slice(at, at + (1 << 17))
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(len(keys[part]), kind, np.int8)), pa.array(keys[part].view(np.int64)),
-                             pa.array(n[part])], names=["kind", "key", "n"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "kind tinyint, key long, n long")
+class Ngrams:
+    """The tokens of a chunk of texts, its distinct words and pairs, and their segments' order.
+
+    The distinct ones stand in the order of their first places, so that two readings of a chunk agree.
+    """
+
+    def __init__(self, texts: list):
+        tokens, self.lengths = tokens_of(texts)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        before = np.concatenate([tokens[-1:], tokens[:-1]])  # the end stands before the first word
+        before[self.starts] = END
+        self.code, self.words = pd.factorize(tokens)
+        self.pair_code, self.pairs = pd.factorize(pair_keys(before, tokens))
+        self.code_before = np.concatenate([self.code[-1:], self.code[:-1]])
+        self.code_before[self.starts] = self.code[-1]  # the last token is an end
+
+    def by_segment(self, segments: int) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(kind, keys, segments in rising order, the order that sorts the keys like this)."""
+        out = []
+        for kind, keys in ((WORD, self.words), (PAIR, self.pairs)):
+            segment = segment_of(kind, keys, segments)
+            order = np.argsort(segment, kind="stable")
+            out.append((kind, keys, segment[order], order))
+        return out
 
 
-def filter_bits(histogram: list[tuple[int, int, int]]) -> int:
-    """Bits of a filter that holds all of (kind, count of its level, number)."""
-    entries = sum(number * int(level_of(np.array([count]))[0]) for _, count, number in histogram)
-    return 1 << (entries * BITS_PER_ENTRY - 1).bit_length() if entries else 0
+def packed(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """The values between bounds, as bytes."""
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1,
+                                 [None, pa.py_buffer((bounds * values.itemsize).astype(np.int32)),
+                                  pa.py_buffer(np.ascontiguousarray(values))])
 
 
-def filter_segments(bits: int) -> int:
-    """As many as keep a segment at the size that those of the largest broadcast filter have."""
-    return max(SEGMENTS, bits // (BITS // SEGMENTS))
+def unpacked(column: pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a packed column, and their bounds."""
+    rows = column.to_pylist()
+    width = np.dtype(kind).itemsize
+    bounds = np.concatenate([[0], np.cumsum([len(r) // width for r in rows])]).astype(np.int64)
+    return np.frombuffer(b"".join(rows), kind), bounds
 
 
-def smallest_counts(histogram: list[tuple[int, int, int]], entries: int) -> dict[int, int]:
-    """Per kind the smallest count from which words and pairs are broadcast beside a filter that is not.
+def text_table(docs: DataFrame) -> DataFrame:
+    """The documents as written chunks: ``chunk, ids, texts, size`` (bytes).  A longer text is a chunk of its own."""
 
-    (kind, count of its level, number) -> {kind: count}, such that their entries fit.  Words come first and take at
-    most half; pairs get the rest, from a count of 2 up.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy()
+            for a, b in text_chunks(batch.column(1), CHUNK_BYTES):
+                whole = pa.array([0, b - a], pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([at], pa.int64()), *(pa.ListArray.from_arrays(whole, batch.column(i).slice(a, b - a)) for i in (0, 1)),
+                     pa.array([int(sizes[a:b].sum())], pa.int64())], names=["chunk", "ids", "texts", "size"])
+                at += 1
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select("doc_id", "text").mapInArrow(run, f"chunk long, ids array<{kind}>, texts array<string>, size long")
+    return stage(rows, "lm-chunks")
+
+
+def sent_ngrams(chunks: DataFrame, segments: int, folds: int, fold: int) -> DataFrame:
+    """One row per chunk and segment: its distinct words and pairs there and their counts in training documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ids, texts = batch.column(1)[i].as_py(), batch.column(2)[i].as_py()
+                grams = Ngrams(texts)
+                train = np.repeat(np.array([not is_part(d, folds, fold) for d in ids]), grams.lengths)
+                kinds = grams.by_segment(segments)
+                found = np.unique(np.concatenate([np.unique(segment) for _, _, segment, _ in kinds]))
+                columns = [pa.array(found.astype(np.int32)), pa.array(np.full(len(found), batch.column(0)[i].as_py()))]
+                for (_, keys, segment, order), code in zip(kinds, (grams.code, grams.pair_code)):
+                    n = np.bincount(code[train], minlength=len(keys)).astype(np.uint32)
+                    bounds = np.append(np.searchsorted(segment, found), len(keys))
+                    columns += [packed(keys[order], bounds), packed(n[order], bounds)]
+                yield pa.RecordBatch.from_arrays(columns, names=["segment", "chunk", "words", "word_n", "pairs", "pair_n"])
+
+    return chunks.select("chunk", "ids", "texts").mapInArrow(
+        run, "segment int, chunk long, words binary, word_n binary, pairs binary, pair_n binary")
+
+
+def settled_segments(sent: DataFrame, answer: bool) -> DataFrame:
+    """Every segment's sums, filled and kept, or asked for what was sent.
+
+    A row without chunk has a segment's ``tokens`` and ``distinct`` words, and without ``answer`` its ``bits`` and its
+    words with their counts.  With ``answer`` a row for each chunk has the levels that the filter's bits give for the
+    words and pairs it sent, in their order, and the words' exact counts.
     """
-    out, room = {}, entries
-    for kind, share, least in ((WORD, entries // 2, 1), (PAIR, None, 2)):
-        most, used, out[kind] = (share if share is not None else room), 0, 1 << 62
-        for count, number in sorted(((c, n) for k, c, n in histogram if k == kind), reverse=True):
-            cost = number * int(level_of(np.array([count]))[0]) * (2 if kind == PAIR else 1)
-            if count < least or used + cost > most:
-                break
-            used, out[kind] = used + cost, count
-        room -= used
-    return out
+
+    def settle(key, table):
+        held = []
+        for kind, name in ((WORD, "word"), (PAIR, "pair")):
+            keys, bounds = unpacked(table.column(name + "s"), np.uint64)
+            code, keys = pd.factorize(keys)
+            n = unpacked(table.column(name + "_n"), np.uint32)[0]
+            held.append((kind, keys, np.bincount(code, n, len(keys)).astype(np.int64), code, bounds))
+        entries = [(kind, keys[n > 0], n[n > 0]) for kind, keys, n, _, _ in held]
+        size = segment_bits(sum(int(level_of(n).sum()) for _, _, n in entries))
+        data = fill_segment(entries, size, 1)
+        _, words, counts = entries[0]
+        row = {"segment": key[0].as_py(), "tokens": int(counts.sum()), "distinct": len(words)}
+        if not answer:
+            row |= {"bits": data, "words": words.tobytes(), "word_n": counts.tobytes()}
+        out = [pa.Table.from_pylist([row], SETTLED)]
+        if answer:
+            one = Filter(np.frombuffer(data, np.uint8), 1)  # of this segment alone: the positions in it are the same
+            said = {kind: packed(one.levels(kind, keys).astype(np.uint8)[code], bounds) for kind, keys, _, code, bounds in held}
+            _, _, n, code, bounds = held[0]
+            rows = {"segment": table.column("segment"), "chunk": table.column("chunk"), "words": said[WORD],
+                    "word_n": packed(n[code], bounds), "pairs": said[PAIR]}
+            none = lambda f: pa.nulls(table.num_rows, f.type)
+            out.append(pa.table([rows.get(f.name, none(f)) for f in SETTLED], SETTLED))
+        return pa.concat_tables(out)
+
+    return stage(sent.groupBy("segment").applyInArrow(
+        settle, "segment int, chunk long, words binary, word_n binary, pairs binary, bits binary, tokens long, distinct long"),
+        "lm-segments")
 
 
 def _sorted_places(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -291,28 +376,19 @@ def _sorted_places(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """Everything a scoring task needs; its size is bounded by ``bits`` and ``frequent``.
+    """What a scoring task needs of the counts; its size is bounded by ``bits`` and ``frequent``.
 
     ``memo`` holds what the filter said of the frequent words so far (NaN: not asked yet): a worker probes each of
-    them once, not once per chunk of text.  Without bits, ``common`` holds per kind the sorted keys of frequent words
-    and pairs and what the filter says of them.
+    them once, not once per chunk of text.  Without ``filter`` the answers come with the chunks.
     """
 
-    def __init__(self, bits: np.ndarray | None, segments: int, tokens: int, distinct: int, keys: np.ndarray,
-                 counts: np.ndarray, mu: float = MU, memo: np.ndarray | None = None,
-                 common: dict[int, tuple[np.ndarray, np.ndarray]] | None = None):
-        self.filter = None if bits is None else Filter(bits, segments)
-        self.segments, self.common = segments, common
-        self.tokens, self.distinct, self.mu = tokens, distinct, mu
+    def __init__(self, filter: Filter | None, tokens: int, distinct: int, keys: np.ndarray, counts: np.ndarray,
+                 mu: float = MU):
+        self.filter, self.tokens, self.distinct, self.mu = filter, tokens, distinct, mu
         self.keys, self.counts = keys, counts
-        self.memo = np.full(len(keys), np.nan) if memo is None else memo
+        self.memo = np.full(len(keys), np.nan)
         self.denominator = tokens + 0.5 * (distinct + 1)
 
-    def parts(self) -> tuple:
-        """Plain arrays and numbers to build it again from."""
-        return (None if self.filter is None else self.filter.data, self.segments, self.tokens, self.distinct,
-                self.keys, self.counts, self.mu, self.memo, self.common)
-
     def places(self, words: np.ndarray) -> np.ndarray:
         """Where the words stand among the frequent ones; -1 for others."""
         return _sorted_places(self.keys, words)
@@ -348,137 +424,122 @@ class Model:
         with_pair = self.filter.count(PAIR, pair)[of]
         return self.log10_of(with_pair, known[code_before], known[code])
 
-    def commonly(self, kind: int, keys: np.ndarray) -> np.ndarray:
-        """The filter's counts of frequent words or pairs, NaN for others."""
-        known, counts = self.common[kind]
-        at = _sorted_places(known, keys)
-        return np.where(at >= 0, counts[at], np.nan) if len(known) else np.full(len(keys), np.nan)
-
-    def without_filter(self, word: np.ndarray, code: np.ndarray, code_before: np.ndarray,
-                       lengths: np.ndarray) -> tuple[np.ndarray, pa.Array]:
-        """Per text the sum over pairs that are frequent in all parts, and its other distinct pairs."""
-        n, v = len(lengths), len(word)
-        distinct, tf = np.unique((np.repeat(np.arange(n), lengths) * v + code_before) * v + code, return_counts=True)
-        text, before, after = distinct // (v * v), distinct // v % v, distinct % v
-        known = self.commonly(WORD, word)
-        pair = pair_keys(word[before], word[after])
-        logs = self.log10_of(self.commonly(PAIR, pair), known[before], known[after])
-        rest = np.flatnonzero(np.isnan(logs))
-        fields = {"p": pa.array(pair[rest].view(np.int64)), "b": pa.array(word[before[rest]].view(np.int64)),
-                  "w": pa.array(word[after[rest]].view(np.int64)), "cb": pa.array(known[before[rest]], from_pandas=True),
-                  "cw": pa.array(known[after[rest]], from_pandas=True), "tf": pa.array(tf[rest])}
-        offsets = np.concatenate([[0], np.cumsum(np.bincount(text[rest], minlength=n))])
-        return (np.bincount(text, weights=np.where(np.isnan(logs), 0.0, tf * logs), minlength=n),
-                pa.ListArray.from_arrays(pa.array(offsets, pa.int32()),
-                                         pa.StructArray.from_arrays(list(fields.values()), list(fields))))
-
 
 def train(docs: DataFrame, folds: int = 5, fold: int = 1, bits: int = BITS, frequent: int = FREQUENT,
           mu: float = MU) -> tuple[Model, DataFrame]:
-    """The model, and the table of all word counts (key, n)."""
-    model, words, _ = _train(docs, folds, fold, bits, frequent, mu)
-    return model, words
+    """The model, and the table of all word counts (key, n), which is empty if the filter isn't broadcast."""
+    model, settled, _, _ = _train(docs, folds, fold, bits, frequent, mu)
+    return model, word_counts(settled)
+
+
+def word_counts(settled: DataFrame) -> DataFrame:
+    """(key, n) of the words that the segments keep."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for keys, n in zip(*(c.to_pylist() for c in batch.columns)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(keys, np.int64)), pa.array(np.frombuffer(n, np.int64))],
+                                                 names=["key", "n"])
+
+    return settled.where(F.col("bits").isNotNull()).select("words", "word_n").mapInArrow(run, "key long, n long")
 
 
 def _train(docs: DataFrame, folds: int, fold: int, bits: int = BITS, frequent: int = FREQUENT,
-           mu: float = MU) -> tuple[Model, DataFrame, DataFrame | None]:
-    """Also the filter's answers, if the filter is larger than ``bits``."""
-    counts = stage(count_rows(docs, folds, fold).groupBy("kind", "key").agg(F.sum("n").alias("n")), "ngram-counts")
-    words = counts.where(F.col("kind") == WORD).select("key", "n")
-    tokens, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    # first by exact count, then by level: few rows reach the array expression, kinds x levels the driver
-    level = F.expr("array_max(filter(array(%s), x -> x <= n))" % ", ".join(f"{x}L" for x in LEVELS))
-    rows = (counts.groupBy("kind", "n").agg(F.count(F.lit(1)).alias("m"))
-            .groupBy("kind", level.alias("c")).agg(F.sum("m").alias("m")).collect())
-    histogram = [(r["kind"], r["c"], r["m"]) for r in rows]
-    size = max(bits, filter_bits(histogram))
-    segments = filter_segments(size)
-    data = answers = common = None
-    if size <= bits:
-        data = build_filter(counts, size, segments)
-    else:
-        probes = count_rows(docs, folds, fold, held_out=True).groupBy("kind", "key").agg(F.sum("n").alias("n"))
-        answers = stage(filter_answers(counts, probes, size, segments), "lm-answers")
-        common = {}
-        for kind, least in smallest_counts(histogram, frequent).items():
-            of = counts.where((F.col("kind") == kind) & (F.col("n") >= least)).select("kind", "key")
-            found = answers.join(of, ["kind", "key"]).select("key", "c").toArrow()
-            keys = found.column("key").to_numpy().view(np.uint64)
-            order = np.argsort(keys)
-            common[kind] = keys[order], found.column("c").to_numpy()[order]
+           mu: float = MU) -> tuple[Model, DataFrame, DataFrame, int]:
+    """Also the settled segments, the documents' chunks and the number of segments."""
+    chunks = text_table(docs)
+    text_bytes, texts = chunks.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum(F.size("ids")), F.lit(0))).first()
+    segments = filter_segments(text_bytes)
+    broadcast = most_bits(text_bytes, texts, segments) <= bits
+    settled = settled_segments(sent_ngrams(chunks, segments, folds, fold), not broadcast)
+    tokens, distinct = settled.where(F.col("chunk").isNull()).agg(
+        F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
+    none = np.zeros(0, np.int64)
+    if not broadcast:
+        return Model(None, tokens, distinct, none.view(np.uint64), none, mu), settled, chunks, segments
+    parts, sizes = [b"\0" * 8] * segments, np.full(segments, 64, np.int64)
+    for row in settled.where(F.col("bits").isNotNull()).select("segment", "bits").toLocalIterator():
+        parts[row["segment"]], sizes[row["segment"]] = row["bits"], 8 * len(row["bits"])
+    data = np.frombuffer(b"".join(parts), np.uint8)
 
     # the words that the most tokens have: as many whole levels as fit
+    words = word_counts(settled)
+    level = F.expr("array_max(filter(array(%s), x -> x <= n))" % ", ".join(f"{x}L" for x in LEVELS))
+    histogram = words.groupBy(level.alias("c")).agg(F.count(F.lit(1)).alias("m")).collect()
     cut, number = 1 << 62, 0
-    for c, m in sorted(((c, m) for k, c, m in histogram if k == WORD), reverse=True):
+    for c, m in sorted(((r["c"], r["m"]) for r in histogram), reverse=True):
         if number + m > frequent:
             break
         cut, number = c, number + m
     often = words.where(F.col("n") >= cut).toArrow() if number else None
-    keys = often.column("key").to_numpy().view(np.uint64) if number else np.zeros(0, np.uint64)
+    keys = often.column("key").to_numpy().view(np.uint64) if number else none.view(np.uint64)
     order = np.argsort(keys)
-    n = often.column("n").to_numpy()[order] if number else np.zeros(0, np.int64)
-    return Model(data, segments, int(tokens), int(distinct), keys[order], n, mu, common=common), words, answers
-
-
-def _joined_scores(scored: DataFrame, answers: DataFrame, model: Model) -> DataFrame:
-    """(row, log): what the pairs that no task could score add to their texts."""
-    open_pairs = scored.select("row", F.inline("open"))
-    distinct = open_pairs.groupBy("p", "b", "w").agg(F.max("cb").alias("cb"), F.max("cw").alias("cw"))
-    of = {kind: answers.where(F.col("kind") == kind) for kind in (WORD, PAIR)}
-    distinct = distinct.join(of[PAIR].select(F.col("key").alias("p"), F.col("c").alias("c_p")), "p", "left")
-    for side, known in (("b", "cb"), ("w", "cw")):
-        # a frequent word's count is known: its many pairs are dealt by the pair, and what they meet is not used
-        dealt = F.when(F.col(known).isNull(), F.col(side)).otherwise(F.col("p"))
-        distinct = (distinct.withColumn("dealt", dealt)
-                    .join(of[WORD].select(F.col("key").alias("dealt"), F.col("c").alias("found")), "dealt", "left")
-                    .withColumn(known, F.coalesce(known, "found", F.lit(0.0))).drop("dealt", "found"))
-    pair = F.coalesce("c_p", F.lit(0.0))
-    log = F.log10((pair + F.lit(model.mu) * (F.col("cw") + 0.5) / F.lit(model.denominator))
-                  / (F.greatest(F.col("cb"), pair) + F.lit(model.mu)))
-    return (open_pairs.select("row", "p", "b", "w", "tf")
-            .join(distinct.select("p", "b", "w", log.alias("log")), ["p", "b", "w"])
-            .groupBy("row").agg(F.sum(F.col("tf") * F.col("log")).alias("log")))
+    n = often.column("n").to_numpy()[order] if number else none
+    return Model(Filter(data, segments, sizes), tokens, distinct, keys[order], n, mu), settled, chunks, segments
 
 
 def score(docs: DataFrame, folds: int = 5, fold: int = 1, **options) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    model, words, answers = _train(docs, folds, fold, **options)
-    shared = docs.sparkSession.sparkContext.broadcast(model.parts())
+    model, settled, chunks, segments = _train(docs, folds, fold, **options)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    if model.filter is None:
+        return _answered_scores(chunks, settled.where(F.col("chunk").isNotNull()), model, segments, kind, folds, fold)
+    return _broadcast_scores(chunks, word_counts(settled), model, kind, folds, fold)
+
+
+def _answered_scores(chunks: DataFrame, answers: DataFrame, model: Model, segments: int, kind: str, folds: int,
+                     fold: int) -> DataFrame:
+    """Every chunk meets the answers to what it sent."""
+
+    def run(chunk: pa.Table, answers: pa.Table) -> pa.Table:
+        ids, texts = chunk.column("ids").combine_chunks()[0], chunk.column("texts")[0].as_py()
+        grams = Ngrams(texts)
+        answers = answers.sort_by("segment")
+        (_, _, _, of_words), (_, _, _, of_pairs) = grams.by_segment(segments)
+        words, pairs = np.empty(len(of_words)), np.empty(len(of_pairs))
+        exact = np.empty(len(of_words), np.int64)
+        words[of_words] = LEVEL_COUNT[unpacked(answers.column("words"), np.uint8)[0]]
+        pairs[of_pairs] = LEVEL_COUNT[unpacked(answers.column("pairs"), np.uint8)[0]]
+        exact[of_words] = unpacked(answers.column("word_n"), np.int64)[0]
+        logs = model.log10_of(pairs[grams.pair_code], words[grams.code_before], words[grams.code])
+        base = np.log10((exact + 0.5) / model.denominator)[grams.code]
+        sums = lambda x: pa.array(np.add.reduceat(x, grams.starts))
+        return pa.table({"doc_id": ids.values, "held_out": pa.array([is_part(i, folds, fold) for i in ids.as_py()]),
+                         "n_tokens": pa.array(grams.lengths), "n_known": sums((exact > 0)[grams.code].astype(np.int64)),
+                         "train_tokens": pa.array(np.full(len(texts), model.tokens, np.int64)),
+                         "base_score": sums(base), "score": sums(logs)})
+
+    return (chunks.select("chunk", "ids", "texts").groupBy("chunk")
+            .cogroup(answers.select("chunk", "segment", "words", "word_n", "pairs").groupBy("chunk"))
+            .applyInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, "
+                               "base_score double, score double"))
+
+
+def _broadcast_scores(chunks: DataFrame, words: DataFrame, model: Model, kind: str, folds: int, fold: int) -> DataFrame:
+    shared = chunks.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Model(*shared.value)
+        m = shared.value
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            for a, b in text_chunks(batch.column(1), CHUNK_BYTES):
-                tokens, lengths = tokens_of(batch.column(1).slice(a, b - a).to_pylist())
-                starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-                code, word = pd.factorize(tokens)
-                code_before = np.concatenate([code[-1:], code[:-1]])  # the end stands before the first word
-                code_before[starts] = code[-1]
-                places = m.places(word)
+            for i in range(batch.num_rows):
+                ids = batch.column(0)[i]
+                grams = Ngrams(batch.column(1)[i].as_py())
+                places = m.places(grams.words)
                 exact = m.exact(places)
-                logs = np.where(exact >= 0, np.log10((np.maximum(exact, 0) + 0.5) / m.denominator), 0.0)[code]
-                rare = (exact < 0)[code]
-                ends = starts + lengths
-                if m.filter is None:
-                    scores, rest = m.without_filter(word, code, code_before, lengths)
-                else:
-                    scores = np.add.reduceat(m.log10_probability(word, code, code_before, places), starts)
-                    rest = pa.array([[]] * len(lengths), pa.list_(pa.struct(OPEN_PAIR)))
+                logs = np.where(exact >= 0, np.log10((np.maximum(exact, 0) + 0.5) / m.denominator), 0.0)[grams.code]
+                rare = (exact < 0)[grams.code]
+                starts, tokens = grams.starts, grams.words[grams.code]
+                scores = np.add.reduceat(m.log10_probability(grams.words, grams.code, grams.code_before, places), starts)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[a:b], batch.column(0).type),
-                     pa.array([is_part(i, folds, fold) for i in ids[a:b]]),
-                     pa.array(lengths), pa.array(np.add.reduceat((~rare).astype(np.int64), starts)),
-                     pa.array(np.add.reduceat(logs, starts)),
-                     pa.array(scores),
-                     pa.array([tokens[s:e][rare[s:e]].view(np.int64) for s, e in zip(starts, ends)],
-                              pa.list_(pa.int64())), rest],
-                    names=["doc_id", "held_out", "n_tokens", "known", "base", "score", "rare", "open"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = (docs.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {kind}, held_out boolean, n_tokens long, known long, base double, score double, rare array<long>, "
-             "open array<struct<p: long, b: long, w: long, cb: double, cw: double, tf: long>>")
+                    [ids.values, pa.array([is_part(d, folds, fold) for d in ids.as_py()]),
+                     pa.array(grams.lengths), pa.array(np.add.reduceat((~rare).astype(np.int64), starts)),
+                     pa.array(np.add.reduceat(logs, starts)), pa.array(scores),
+                     pa.array([tokens[s:e][rare[s:e]].view(np.int64) for s, e in zip(starts, starts + grams.lengths)],
+                              pa.list_(pa.int64()))],
+                    names=["doc_id", "held_out", "n_tokens", "known", "base", "score", "rare"])
+
+    scored = (chunks.select("ids", "texts").mapInArrow(
+        run, f"doc_id {kind}, held_out boolean, n_tokens long, known long, base double, score double, rare array<long>")
         .withColumn("row", F.monotonically_increasing_id()))
     scored = stage(scored, "lm-scored")
     unknown = math.log10(0.5 / model.denominator)
@@ -486,9 +547,6 @@ def score(docs: DataFrame, folds: int = 5, fold: int = 1, **options) -> DataFram
     found = (scored.select("row", F.explode("rare").alias("key")).groupBy("row", "key").agg(F.count(F.lit(1)).alias("tf"))
              .join(words, "key").groupBy("row")
              .agg(F.sum("tf").alias("more"), F.sum(gain).alias("gain")))
-    if answers is not None:
-        scored = (scored.join(_joined_scores(scored, answers, model), "row", "left")
-                  .withColumn("score", F.col("score") + F.coalesce("log", F.lit(0.0))))
     return (scored.join(found, "row", "left")
             .select("doc_id", "held_out", "n_tokens",
                     (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),

@@ -1,12 +1,14 @@
 import math
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 
 from longstats.llm import bloom_lm
-from longstats.llm.bloom_lm import LEVEL_COUNT, LEVELS, PAIR, WORD, Filter, fill_segment, level_of, score, smallest_counts
+from longstats.llm.bloom_lm import LEVEL_COUNT, LEVELS, PAIR, WORD, Filter, fill_segment, level_of, score
 
 from .helpers import base_scores
 
@@ -30,13 +32,6 @@ def test_filter_never_misses_and_rarely_adds():
     assert (found.count(PAIR, keys) == 0).mean() > 0.98
 
 
-def test_smallest_counts_fit():
-    histogram = [(WORD, 1, 1000), (WORD, 2, 100), (WORD, 8, 10), (PAIR, 1, 5000), (PAIR, 2, 300), (PAIR, 3, 10)]
-    assert smallest_counts(histogram, 100_000) == {WORD: 1, PAIR: 2}
-    least = smallest_counts(histogram, 700)
-    assert least[WORD] == 2 and least[PAIR] == 3
-
-
 def corpus():
     random.seed(9)
     words = [f"w{i}" for i in range(200)]
@@ -114,6 +109,52 @@ def test_pairs_seen_once_count(spark):
 
 
 def test_the_filter_grows_with_the_counts():
-    sizes = [bloom_lm.filter_bits([(WORD, 1, n), (PAIR, 1, 10 * n)]) for n in (10, 10**6, 10**8)]
-    assert sizes[0] < sizes[1] < sizes[2] and all(s >= 11 * n * 8 for s, n in zip(sizes, (10, 10**6, 10**8)))
-    assert bloom_lm.filter_segments(sizes[2]) > bloom_lm.SEGMENTS
+    sizes = [bloom_lm.segment_bits(n) for n in (0, 10, 10**6)]
+    assert sizes[0] < sizes[1] < sizes[2] and all(8 * n <= s for s, n in zip(sizes, (0, 10, 10**6)))
+    assert bloom_lm.filter_segments(0) == bloom_lm.SEGMENTS < bloom_lm.filter_segments(10**10) < bloom_lm.filter_segments(10**11)
+
+
+def test_no_filter_exceeds_its_bound(spark):
+    """Short words seen once fill the filter most."""
+    rows = [(i, " ".join(chr(0x61 + (i + k) % 26) for k in range(400))) for i in range(60)] + [(100 + i, "") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model, _ = bloom_lm.train(docs)
+    assert 8 * len(model.filter.data) <= bloom_lm.most_bits(sum(len(t) for _, t in rows), len(rows), model.filter.segments)
+
+
+def exact_scores(rows, mu=bloom_lm.MU):
+    """(doc_id, text) -> {id: score} of the same model with whole counts instead of levels."""
+    part = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tokens = {i: re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(lower)) + ["\n"] for i, t in rows}
+    words = Counter(w for i, ws in tokens.items() if not part(i) for w in ws)
+    pairs = Counter(p for i, ws in tokens.items() if not part(i) for p in zip(["\n", *ws], ws))
+    n, v = sum(words.values()), len(words)
+    p1 = lambda w: (words[w] + 0.5) / (n + 0.5 * (v + 1))
+    return {i: sum(math.log10((pairs[a, b] + mu * p1(b)) / (words[a] + mu)) for a, b in zip(["\n", *ws], ws))
+            for i, ws in tokens.items()}
+
+
+@pytest.mark.parametrize("bits", [1 << 28, 1 << 10])
+def test_scores_against_whole_counts(spark, bits):
+    """Levels stand for counts within a fifth, and few absent n-grams are found: scores differ by little a token."""
+    rows = corpus()
+    want = exact_scores(rows)
+    got = score(spark.createDataFrame(rows, "doc_id long, text string"), bits=bits).collect()
+    off = [abs(r["score"] - want[r["doc_id"]]) / r["n_tokens"] for r in got]
+    assert max(off) < 0.3 and np.mean(off) < 0.03
+
+
+def test_very_long_and_hot_texts(spark):
+    """A text longer than a chunk, and one text in a third of all rows."""
+    long = " ".join(f"word{i % 90_000}" for i in range(600_000))
+    rows = [(0, long), *((i, f"a{i} b{i % 7}") for i in range(1, 200)), *((i, "the same words") for i in range(200, 300))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    part = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
+    want = base_scores(rows, lambda i: not part(i))
+    got = score(docs, bits=1 << 10).collect()
+    assert len(long) > bloom_lm.CHUNK_BYTES and len(got) == len(rows)
+    for r in got:
+        n, known, total, base = want[r["doc_id"]]
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (n, known, total)
+        assert r["base_score"] == pytest.approx(base, rel=1e-9)
