@@ -59,12 +59,12 @@ from .common import stage, text_chunks
 BITS = 1 << 28  # of a filter that is broadcast, at most
 SEGMENTS = 64
 PROBES = 4
-BITS_PER_ENTRY = 8
+BITS_PER_ENTRY = 16  # at least: with 4 probes at most one absent n-gram in 400 is found
 GROWTH = 1.25
 FREQUENT = 1 << 20
 MU = 16.0
 CHUNK_BYTES = 4 << 20
-SEGMENT_BYTES = 8 << 20
+SEGMENT_BYTES = 4 << 20
 WORD, PAIR = 1, 2
 END = np.uint64(0x9E3779B97F4A7C15)
 SETTLED = pa.schema([("segment", pa.int32()), ("chunk", pa.int64()), ("words", pa.binary()), ("word_n", pa.binary()),
@@ -287,22 +287,33 @@ def unpacked(column: pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarra
 
 
 def text_table(docs: DataFrame) -> DataFrame:
-    """The documents as written chunks: ``chunk, ids, texts, size`` (bytes).  A longer text is a chunk of its own."""
+    """The documents as written chunks: ``chunk, body`` (ids and texts, packed), ``n`` (rows), ``size`` (bytes of text).
+
+    A longer text is a chunk of its own.  Packed, a chunk stays small wherever it is moved or held.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = TaskContext.get().partitionId() << 32
+        options = pa.ipc.IpcWriteOptions(compression="zstd")
         for batch in batches:
             sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy()
             for a, b in text_chunks(batch.column(1), CHUNK_BYTES):
-                whole = pa.array([0, b - a], pa.int32())
+                body = pa.BufferOutputStream()
+                with pa.ipc.new_stream(body, batch.schema, options=options) as out:
+                    out.write_batch(batch.slice(a, b - a))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([at], pa.int64()), *(pa.ListArray.from_arrays(whole, batch.column(i).slice(a, b - a)) for i in (0, 1)),
-                     pa.array([int(sizes[a:b].sum())], pa.int64())], names=["chunk", "ids", "texts", "size"])
+                    [pa.array([at], pa.int64()), pa.array([body.getvalue().to_pybytes()], pa.binary()),
+                     pa.array([b - a], pa.int64()), pa.array([int(sizes[a:b].sum())], pa.int64())],
+                    names=["chunk", "body", "n", "size"])
                 at += 1
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", "text").mapInArrow(run, f"chunk long, ids array<{kind}>, texts array<string>, size long")
-    return stage(rows, "lm-chunks")
+    return stage(docs.select("doc_id", "text").mapInArrow(run, "chunk long, body binary, n long, size long"), "lm-chunks")
+
+
+def chunk_rows(body: pa.BinaryScalar) -> tuple[pa.Array, list]:
+    """(ids, texts) of a chunk."""
+    rows = pa.ipc.open_stream(body.as_buffer()).read_next_batch()
+    return rows.column(0), rows.column(1).to_pylist()
 
 
 def sent_ngrams(chunks: DataFrame, segments: int, folds: int, fold: int) -> DataFrame:
@@ -311,9 +322,9 @@ def sent_ngrams(chunks: DataFrame, segments: int, folds: int, fold: int) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                ids, texts = batch.column(1)[i].as_py(), batch.column(2)[i].as_py()
+                ids, texts = chunk_rows(batch.column(1)[i])
                 grams = Ngrams(texts)
-                train = np.repeat(np.array([not is_part(d, folds, fold) for d in ids]), grams.lengths)
+                train = np.repeat(np.array([not is_part(d, folds, fold) for d in ids.to_pylist()]), grams.lengths)
                 kinds = grams.by_segment(segments)
                 found = np.unique(np.concatenate([np.unique(segment) for _, _, segment, _ in kinds]))
                 columns = [pa.array(found.astype(np.int32)), pa.array(np.full(len(found), batch.column(0)[i].as_py()))]
@@ -323,7 +334,7 @@ def sent_ngrams(chunks: DataFrame, segments: int, folds: int, fold: int) -> Data
                     columns += [packed(keys[order], bounds), packed(n[order], bounds)]
                 yield pa.RecordBatch.from_arrays(columns, names=["segment", "chunk", "words", "word_n", "pairs", "pair_n"])
 
-    return chunks.select("chunk", "ids", "texts").mapInArrow(
+    return chunks.select("chunk", "body").mapInArrow(
         run, "segment int, chunk long, words binary, word_n binary, pairs binary, pair_n binary")
 
 
@@ -448,7 +459,7 @@ def _train(docs: DataFrame, folds: int, fold: int, bits: int = BITS, frequent: i
            mu: float = MU) -> tuple[Model, DataFrame, DataFrame, int]:
     """Also the settled segments, the documents' chunks and the number of segments."""
     chunks = text_table(docs)
-    text_bytes, texts = chunks.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum(F.size("ids")), F.lit(0))).first()
+    text_bytes, texts = chunks.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
     segments = filter_segments(text_bytes)
     broadcast = most_bits(text_bytes, texts, segments) <= bits
     settled = settled_segments(sent_ngrams(chunks, segments, folds, fold), not broadcast)
@@ -492,7 +503,7 @@ def _answered_scores(chunks: DataFrame, answers: DataFrame, model: Model, segmen
     """Every chunk meets the answers to what it sent."""
 
     def run(chunk: pa.Table, answers: pa.Table) -> pa.Table:
-        ids, texts = chunk.column("ids").combine_chunks()[0], chunk.column("texts")[0].as_py()
+        ids, texts = chunk_rows(chunk.column("body")[0])
         grams = Ngrams(texts)
         answers = answers.sort_by("segment")
         (_, _, _, of_words), (_, _, _, of_pairs) = grams.by_segment(segments)
@@ -504,12 +515,12 @@ def _answered_scores(chunks: DataFrame, answers: DataFrame, model: Model, segmen
         logs = model.log10_of(pairs[grams.pair_code], words[grams.code_before], words[grams.code])
         base = np.log10((exact + 0.5) / model.denominator)[grams.code]
         sums = lambda x: pa.array(np.add.reduceat(x, grams.starts))
-        return pa.table({"doc_id": ids.values, "held_out": pa.array([is_part(i, folds, fold) for i in ids.as_py()]),
+        return pa.table({"doc_id": ids, "held_out": pa.array([is_part(i, folds, fold) for i in ids.to_pylist()]),
                          "n_tokens": pa.array(grams.lengths), "n_known": sums((exact > 0)[grams.code].astype(np.int64)),
                          "train_tokens": pa.array(np.full(len(texts), model.tokens, np.int64)),
                          "base_score": sums(base), "score": sums(logs)})
 
-    return (chunks.select("chunk", "ids", "texts").groupBy("chunk")
+    return (chunks.select("chunk", "body").groupBy("chunk")
             .cogroup(answers.select("chunk", "segment", "words", "word_n", "pairs").groupBy("chunk"))
             .applyInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, "
                                "base_score double, score double"))
@@ -522,8 +533,8 @@ def _broadcast_scores(chunks: DataFrame, words: DataFrame, model: Model, kind: s
         m = shared.value
         for batch in batches:
             for i in range(batch.num_rows):
-                ids = batch.column(0)[i]
-                grams = Ngrams(batch.column(1)[i].as_py())
+                ids, texts = chunk_rows(batch.column(0)[i])
+                grams = Ngrams(texts)
                 places = m.places(grams.words)
                 exact = m.exact(places)
                 logs = np.where(exact >= 0, np.log10((np.maximum(exact, 0) + 0.5) / m.denominator), 0.0)[grams.code]
@@ -531,14 +542,14 @@ def _broadcast_scores(chunks: DataFrame, words: DataFrame, model: Model, kind: s
                 starts, tokens = grams.starts, grams.words[grams.code]
                 scores = np.add.reduceat(m.log10_probability(grams.words, grams.code, grams.code_before, places), starts)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.values, pa.array([is_part(d, folds, fold) for d in ids.as_py()]),
+                    [ids, pa.array([is_part(d, folds, fold) for d in ids.to_pylist()]),
                      pa.array(grams.lengths), pa.array(np.add.reduceat((~rare).astype(np.int64), starts)),
                      pa.array(np.add.reduceat(logs, starts)), pa.array(scores),
                      pa.array([tokens[s:e][rare[s:e]].view(np.int64) for s, e in zip(starts, starts + grams.lengths)],
                               pa.list_(pa.int64()))],
                     names=["doc_id", "held_out", "n_tokens", "known", "base", "score", "rare"])
 
-    scored = (chunks.select("ids", "texts").mapInArrow(
+    scored = (chunks.select("body").mapInArrow(
         run, f"doc_id {kind}, held_out boolean, n_tokens long, known long, base double, score double, rare array<long>")
         .withColumn("row", F.monotonically_increasing_id()))
     scored = stage(scored, "lm-scored")
