@@ -14,12 +14,12 @@ positions.  All phrases are searched backward together, one rank query per word;
 occurrences are located by walking to the next sampled position, and their spans
 are merged per document.
 
-The phrase set is sent to the tasks in blocks of at most ``BLOCK_BYTES`` of
-item text; each block is one pass, so its memory is bounded however large the
-benchmark is.  The documents never move: there is no shuffle.
+The phrase set is sent to the tasks in blocks of about ``BLOCK_BYTES`` of
+item text, written to the shared folder; each block is one pass, so its memory is
+bounded in tasks and driver however large the benchmark is.  The documents never move: there is no shuffle.
 
 Defined results: NULL or wordless texts have 0 words and no hit; a NULL or
-wordless item has no phrase; an empty benchmark marks nothing; repeated
+wordless item has no phrase; the phrases of items without an id hit words, but add no item; an empty benchmark marks nothing; repeated
 documents each get a row; repeated item ids count once; columns of the input
 that the operator does not read are kept by ``remove_contamination`` and ignored
 by ``contamination``.
@@ -28,7 +28,7 @@ by ``contamination``.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +36,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from longstats.session import checkpoint_root, materialize
+
 from .common import stage, text_chunks
 
 SHARD_BYTES = 4 << 20
@@ -162,12 +164,12 @@ class Phrases:
         numbers: dict[str, int] = {}
         for item_id, text in items:
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)]
-            if not ids or item_id is None:
+            if not ids:
                 continue
-            item = numbers.setdefault(str(item_id), len(numbers))
+            item = None if item_id is None else numbers.setdefault(str(item_id), len(numbers))
             for i in range(max(1, len(ids) - window + 1)):
                 owned = owners.setdefault(tuple(ids[i: i + window]), [])
-                if item not in owned:
+                if item is not None and item not in owned:
                     owned.append(item)
         self.items = list(numbers)
         self.owners = list(owners.values())
@@ -226,20 +228,20 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def benchmark_blocks(benchmark: DataFrame, limit: int = BLOCK_BYTES) -> list[list[tuple[object, str | None]]]:
-    """The items in blocks of at most ``limit`` bytes of text (one larger item makes a block of its own)."""
-    blocks: list[list] = [[]]
-    room = limit
-    for row in benchmark.select("item_id", "text").toLocalIterator():
-        n = len((row["text"] or "").encode("utf-8", "surrogatepass"))
-        if n > room and blocks[-1]:
-            blocks.append([])
-            room = limit
-        blocks[-1].append((row["item_id"], row["text"]))
-        room -= n
-    return blocks
-
+def benchmark_blocks(benchmark: DataFrame, limit: int = BLOCK_BYTES) -> tuple[int, Callable[[int], list]]:
+    """The number of blocks, and what reads one: its items, about ``limit`` bytes of text.
 
+    The blocks are dealt by a hash and written to the shared folder, so the driver holds one at a time.
+    """
+    items = benchmark.select("item_id", "text").where(F.col("text").isNotNull()).distinct()
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(1, -(-total // limit))
+    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(n)).alias("block")
+    checkpoint_root(benchmark.sparkSession)
+    items = items.select("item_id", "text", block)
+    # an empty partitioned table would have no schema
+    written = materialize(items.repartition("block"), "benchmark-blocks", ("block",) if n > 1 else ())
+    return n, lambda i: [(r["item_id"], r["text"]) for r in written.where(F.col("block") == i).collect()]
 
 
 def _search_block(docs: DataFrame, items: list, window: int, text: str, first: bool,
@@ -293,10 +295,9 @@ def _search_block(docs: DataFrame, items: list, window: int, text: str, first: b
 def search_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "text",
                      block_bytes: int = BLOCK_BYTES, cut: T.StructType | None = None) -> DataFrame:
     """The documents with ``__n_words``, ``__spans`` (word ranges [from, to)) and ``__items`` (sorted ids)."""
-    out, blocks = docs, benchmark_blocks(benchmark, block_bytes)
-    for i, items in enumerate(blocks):
-        last = i == len(blocks) - 1
-        out = _search_block(stage(out, "decontaminate") if i else out, items, window, text, i == 0, cut if last else None)
+    out, (n, block) = docs, benchmark_blocks(benchmark, block_bytes)
+    for i in range(n):
+        out = _search_block(stage(out, "decontaminate") if i else out, block(i), window, text, i == 0, cut if i == n - 1 else None)
     return out
 
 

@@ -54,7 +54,7 @@ item AS (
   SELECT CAST(item_id AS VARCHAR) AS item,
          regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
-  FROM benchmark WHERE item_id IS NOT NULL),
+  FROM benchmark),
 phrase AS (
   SELECT DISTINCT item, least(len(ws), 10) AS n, array_to_string(ws[i : i + least(len(ws), 10) - 1], ' ') AS p
   FROM (SELECT item, ws, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) AS i FROM item WHERE len(ws) > 0)),
@@ -65,7 +65,7 @@ place AS (
 hit AS (SELECT k, i, place.n, item FROM place JOIN phrase USING (n, p)),
 words AS (SELECT k, count(DISTINCT w) AS n_hit FROM (SELECT k, unnest(range(i, i + n)) AS w FROM hit) GROUP BY k),
 items AS (SELECT k, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
-          FROM (SELECT DISTINCT k, item FROM hit) GROUP BY k)
+          FROM (SELECT DISTINCT k, item FROM hit WHERE item IS NOT NULL) GROUP BY k)
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
        CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
        coalesce(n_hit, 0) > 0 AS contaminated

@@ -34,9 +34,9 @@ def contamination(docs, items, window=10):
     phrases = defaultdict(set)
     for i, text in items:
         words = WORDS.findall((text or "").translate(LOWER))
-        if words and i is not None:
+        if words:
             for k in range(max(1, len(words) - window + 1)):
-                phrases[tuple(words[k:k + window])].add(str(i))
+                phrases[tuple(words[k:k + window])].update([] if i is None else [str(i)])
     out = []
     for i, text in docs:
         words = WORDS.findall((text or "").translate(LOWER))
