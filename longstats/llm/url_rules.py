@@ -3,8 +3,10 @@
 URLs become sets of tokens (parts of the host by their place from the right,
 path segments by their place from the left, query keys, file endings).  Spark's
 FP-growth mines token combinations that go with a label; rules of enough
-support and confidence stay, unless a shorter rule is at least as sure.  An
-inverted index lists every rule under its rarest token; a URL looks up its own
+support and confidence stay, unless a shorter rule is at least as sure.  Tokens
+that occur in exactly the same examples are mined as one and written out again
+afterwards: no rule is lost, and a deep URL that many examples share doesn't
+square the number of sets at every segment.  An inverted index lists every rule under its rarest token; a URL looks up its own
 tokens and a rule fires when all its tokens are there.  The surest rule decides.
 
 The list of fixed rules (host and path prefix) comes first.  It is matched by
@@ -17,6 +19,7 @@ labels no rule is mined; repeated rows each get a row; other columns are ignored
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
 
 from pyspark.ml.fpm import FPGrowth
@@ -47,18 +50,16 @@ def host_suffixes(host: Column) -> Column:
                        lambda i: F.array_join(F.slice(labels, i, F.size(labels) - i + 1), "."))
 
 
-def url_tokens(url: Column, host: Column, path: Column, places: int = 4) -> Column:
-    """Distinct tokens of a URL.  Only the first ``places`` host labels from the right and path segments from the
-    left become tokens (the features of the model); runs of digits count as one token."""
+def url_tokens(url: Column, host: Column, path: Column) -> Column:
+    """Distinct tokens of a URL, at any depth: host labels by their place from the right, path segments by their place
+    from the left (runs of digits count as one token), query keys and the file ending."""
     labels = F.reverse(F.filter(F.split(host, r"\."), lambda x: x != ""))
     segments = F.filter(F.split(F.regexp_replace(path, r"[0-9]+", "#"), "/"), lambda x: x != "")
     keys = F.transform(F.filter(F.split(F.regexp_extract(url, r"(?s)\?([^#]*)", 1), "&"), lambda x: x != ""),
                        lambda x: F.concat(F.lit("q:"), F.split(x, "=")[0]))
     ending = F.regexp_extract(path, r"\.([A-Za-z0-9]{1,8})$", 1)
     name = lambda kind: lambda x, i: F.concat(F.lit(kind), i.cast("string"), F.lit(":"), x)
-    tokens = F.concat(F.transform(F.slice(labels, 1, places), name("h")),
-                      F.transform(F.slice(segments, 1, places), name("p")),
-                      F.slice(keys, 1, places),
+    tokens = F.concat(F.transform(labels, name("h")), F.transform(segments, name("p")), keys,
                       F.when(ending != "", F.array(F.concat(F.lit("e:"), ending))).otherwise(F.array().cast("array<string>")))
     return F.array_distinct(F.when(host == "", F.array().cast("array<string>")).otherwise(tokens))
 
@@ -90,6 +91,33 @@ def listed_rule(host: Column, path: Column, rules: Iterable[tuple[str, str]] = L
     return F.when(F.size(fits) > 0, F.struct(best["rule"].alias("rule"), best["verdict"].alias("verdict")))
 
 
+def token_classes(baskets: DataFrame, least: int) -> DataFrame:
+    """``(items, verdict)`` -> ``(token, rep)`` of the tokens in ``least`` examples or more.
+
+    Tokens of the same examples share their smallest token as ``rep``: they have equal numbers of examples and equal
+    sums of two 64-bit hashes of them.
+    """
+    whole = F.array_join("items", "\u0001")
+    seen = (baskets.select(F.explode("items").alias("token"), F.xxhash64(whole, "verdict").cast("decimal(38,0)").alias("a"),
+                           F.xxhash64("verdict", whole, F.lit(1)).cast("decimal(38,0)").alias("b"))
+            .groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.sum("a").alias("a"), F.sum("b").alias("b"))
+            .where(F.col("n") >= least))
+    # sums are exact decimals, so that examples read in another order give the same classes
+    reps = seen.groupBy("n", "a", "b").agg(F.collect_list("token").alias("tokens"))
+    return reps.select(F.array_min("tokens").alias("rep"), F.explode("tokens").alias("token"))
+
+
+def _subsets(tokens: Column) -> Column:
+    """All proper, not empty subsets of a sorted array, each in its order."""
+    start = F.array(F.array().cast("array<string>"))
+    every = F.aggregate(tokens, start, lambda acc, x: F.concat(acc, F.transform(acc, lambda s: F.concat(s, F.array(x)))))
+    return F.filter(every, lambda s: (F.size(s) > 0) & (F.size(s) < F.size(tokens)))
+
+
+def _rule_id(tokens: Column, verdict: Column) -> Column:
+    return F.xxhash64(F.array_join(tokens, "\u0001"), verdict)
+
+
 def mine_rules(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.7) -> DataFrame:
     """``(tokens, verdict)`` -> rules ``(rule_id, antecedent, verdict, confidence, support)``.
 
@@ -98,29 +126,40 @@ def mine_rules(labelled: DataFrame, min_support: float = 0.002, min_confidence:
     is at least as sure.  Their number is bounded by the support, not by the input.
     """
     label = F.concat(F.lit("label="), F.col("verdict"))
-    baskets = labelled.where(F.size("tokens") > 0).select(F.concat("tokens", F.array(label)).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
+    baskets = stage(labelled.where(F.size("tokens") > 0).select(F.col("tokens").alias("items"), "verdict"), "url-examples")
+    classes = stage(token_classes(baskets, max(1, math.ceil(min_support * baskets.count()))), "url-tokens")
+    # one item per class and basket; baskets without a frequent token still count towards the support
+    spread = (baskets.withColumn("row", F.monotonically_increasing_id())
+              .select("row", label.alias("label"), F.explode("items").alias("token"))
+              .join(classes, "token", "left").groupBy("row", "label").agg(F.collect_set("rep").alias("reps")))
+    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(
+        spread.select(F.concat("reps", F.array("label")).alias("items")))
     rules = (model.associationRules
              .where(F.col("consequent")[0].startswith("label="))
              .where(~F.exists("antecedent", lambda x: x.startswith("label=")))
-             .select(F.array_sort("antecedent").alias("antecedent"),
+             .select(F.array_sort("antecedent").alias("reps"),
                      F.substring(F.col("consequent")[0], 7, 100).alias("verdict"),
                      F.round("confidence", 9).alias("confidence"), F.round("support", 9).alias("support"))
-             .withColumn("rule_id", F.xxhash64(F.array_join("antecedent", "\u0001"), "verdict")))
+             .withColumn("class_rule", _rule_id(F.col("reps"), F.col("verdict"))))
     rules = stage(rules, "url-rules")
-    # shorter rules are found through their tokens, so only rules that share one meet
-    shorter = (rules.select(F.explode("antecedent").alias("token"), F.col("rule_id").alias("short_id"),
-                            F.size("antecedent").alias("short_n"), F.col("verdict").alias("short_verdict"),
-                            F.col("confidence").alias("short_confidence")))
-    longer = rules.select(F.explode("antecedent").alias("token"), "rule_id", F.size("antecedent").alias("n"),
-                          "verdict", "confidence")
-    needless = (longer.join(shorter, "token")
-                .where((F.col("short_n") < F.col("n")) & (F.col("short_verdict") == F.col("verdict"))
-                       & (F.col("short_confidence") >= F.col("confidence")))
-                .groupBy("rule_id", "short_id", "short_n").count()
-                .where(F.col("count") == F.col("short_n"))
-                .select("rule_id").distinct())
-    return rules.join(needless, "rule_id", "left_anti")
+    # a rule looks its own subsets up by their ids: rules that merely share a token never meet
+    longer = rules.select("class_rule", "verdict", F.col("confidence").alias("own"), F.explode(_subsets(F.col("reps"))).alias("part"))
+    needless = (longer.select("class_rule", "own", _rule_id(F.col("part"), F.col("verdict")).alias("short"))
+                .join(rules.select(F.col("class_rule").alias("short"), "confidence"), "short")
+                .where(F.col("confidence") >= F.col("own")).select("class_rule").distinct())
+    kept = rules.join(needless, "class_rule", "left_anti")
+    # back to tokens: one rule for every choice of one token per class
+    members = classes.groupBy("rep").agg(F.array_sort(F.collect_list("token")).alias("tokens"))
+    choices = (kept.select("class_rule", F.explode("reps").alias("rep")).join(members, "rep")
+               .groupBy("class_rule").agg(F.collect_list("tokens").alias("choices")))
+    start = F.array(F.array().cast("array<string>"))
+    product = F.aggregate("choices", start, lambda acc, one: F.flatten(
+        F.transform(acc, lambda s: F.transform(one, lambda x: F.concat(s, F.array(x))))))
+    written = (kept.join(choices, "class_rule")
+               .select(F.explode(product).alias("antecedent"), "verdict", "confidence", "support")
+               .withColumn("antecedent", F.array_sort("antecedent")))
+    return written.select(_rule_id(F.col("antecedent"), F.col("verdict")).alias("rule_id"), "antecedent", "verdict",
+                          "confidence", "support")
 
 
 def rule_index(rules: DataFrame) -> DataFrame:

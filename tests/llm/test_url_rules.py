@@ -1,3 +1,4 @@
+import random
 from itertools import combinations
 
 import pytest
@@ -70,6 +71,41 @@ def test_mined_rules_equal_brute_force(spark):
     assert ("z",) not in found
 
 
+def test_tokens_of_the_same_examples_lose_no_rule(spark):
+    """Three tokens always together, two others as well, ties between rules; the brute force counts every subset."""
+    examples = [(["a", "b", "c", "x", "y"], "block")] * 6 + [(["a", "b", "c"], "allow")] * 3 + [(["x", "y", "z"], "allow")] * 4
+    rules = mine_rules(spark.createDataFrame(examples, "tokens array<string>, verdict string"), 0.1, 0.5)
+    got = {(tuple(r["antecedent"]), r["verdict"]): r["confidence"] for r in rules.collect()}
+    want = brute_rules(examples, 0.1, 0.5)
+    assert got.keys() == want.keys() and (("a", "x"), "block") in want and (("c", "y"), "block") in want
+    assert all(got[k] == pytest.approx(want[k], abs=1e-6) for k in want)
+
+
+def test_random_examples_equal_brute_force(spark):
+    rng = random.Random(11)
+    examples = []
+    for _ in range(60):
+        tokens = [t for t in "abcdef" if rng.random() < 0.5] or ["a"]
+        examples.append((tokens + ["a2"] * ("a" in tokens), "block" if "b" in tokens and rng.random() < 0.8 else "allow"))
+    rules = mine_rules(spark.createDataFrame(examples, "tokens array<string>, verdict string"), 0.05, 0.7)
+    got = {(tuple(r["antecedent"]), r["verdict"]) for r in rules.collect()}
+    assert got == brute_rules(examples, 0.05, 0.7).keys()
+
+
+def test_deep_urls(spark):
+    """What decides stands in the ninth segment and the sixth query key; the shared depth above it costs no rules."""
+    deep = "/".join(f"s{i}" for i in range(8))
+    keys = "&".join(f"k{i}=1" for i in range(5))
+    url = "http://h.com/{}/{}/p?{}&{}=1"
+    labels = [(url.format(deep, "bad" if i % 2 else "good", keys, "z" if i % 2 else "y"), "block" if i % 2 else "allow") for i in range(20)]
+    pages = [(1, f"http://h.com/{deep}/bad/q"), (2, f"http://h.com/{deep}/good/q"), (3, f"http://o.com/q?{keys}&z=3"),
+             (4, "http://o.com/" + "x/" * 5000), (5, "http://h.com/p?" + "&".join(f"u{i}" for i in range(3000)))]
+    got = {r["page_id"]: (r["verdict"], r["mined_rule"]) for r in url_filter(
+        spark.createDataFrame(pages, "page_id int, url string"), listed=[("none.invalid/", "block")],
+        labels=spark.createDataFrame(labels, "url string, verdict string")).collect()}
+    assert got == {1: ("block", "p8:bad"), 2: ("allow", "p8:good"), 3: ("block", "q:z"), 4: ("allow", None), 5: ("allow", None)}
+
+
 def test_filter_over_all_rows(spark):
     pages = [(i, f"http://s{i % 3}.{'example.net' if i % 2 else 'other.com'}/{'en' if i % 5 else 'de'}/{i}", "x", "y") for i in range(80)]
     pages += [(5, pages[5][1], "x", "y"), (None, None, None, None), (900, "junk", None, None)]
