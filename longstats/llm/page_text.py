@@ -3,19 +3,28 @@
 A page becomes lines, one per block of text, each marked by where it stands:
 inside an article (or main) element, inside something that is never main text
 (menus, headers, footers, sidebars, notices, adverts, forms, reader comments;
-by element name or by a word of its class or id), or neither: open.
+by element or by class), or neither: open.
 
 Pages are ordered by host and URL path; each is paired with the neighbour on
 the same host that shares more leading path segments (ties: the one before).
 The two pages' lines are aligned by their longest common subsequence, and
-shared lines are deleted: they belong to the site, not to the page.  Lines in
-an article are the article, shared or not (copies of an article must keep their
-text), so the alignment decides on open lines.  A page whose open lines equal
-its neighbour's throughout is a copy of it and keeps them.
+shared lines are deleted: they belong to the site, not to the page.  A page whose
+lines equal its neighbour's throughout is a copy of it and keeps them.  Lines in
+an article are the article, shared or not (a passage that two articles quote
+is text of both), so by default the alignment decides on open lines;
+``articles=True`` puts article lines through it as well.
+
+Class names count as evidence of small blocks only.  A name counts whole: it is one of
+``MARKS``, or a compound that begins or ends in one (``cookie-notice``); names of
+a page's state (``has-sidebar``, ``no-comments``) don't count, nor does anything on
+main, body or html.  An article element is marked by a reader comment's name alone.
+Inside running text only adverts and share links go by their name.  Marked blocks
+of several lines that would leave the page without any text were containers: their
+lines are open.
 
 The order is a range partition of narrow rows (ids and paths), so a hot host is
 spread over many tasks; only the rows at partition edges are looked up across.
-Pages without open lines need no neighbour and their text never moves.
+Pages without lines to decide need no neighbour and their text never moves.
 
 Defined results: NULL, empty or textless html gives an empty text; a NULL URL or one
 without host forms a site of its own; unclosed or cut-off markup ends with its
@@ -26,6 +35,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,20 +51,23 @@ from .url_rules import url_host, url_path
 RAW = frozenset("script style textarea title xmp iframe noembed noframes plaintext".split())
 #: Never main text: as blocks of their own, and inside a block (which goes on after them).
 GONE_BLOCK = frozenset("head nav footer aside form dialog menu".split())
-GONE_INLINE = frozenset("noscript template object svg math canvas audio video button select option datalist".split())
+GONE_INLINE = frozenset("noscript template object svg annotation annotation-xml canvas audio video button select option datalist".split())
 SITE_ONLY = frozenset(["header"])  # a header inside the article is the article's own
 MAIN = frozenset(["article", "main"])
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dir div dl dt fieldset figcaption "
                   "figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option "
                   "p pre search section summary table tbody td tfoot th thead tr ul".split())
-#: Words of a class or id that mark something other than main text.
-MARKS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments "
-                  "commentlist consent cookie cookies disqus footer gdpr masthead menu modal navbar nav navigation "
-                  "newsletter notice notices pagination pager popup promo promoted promotion recommended related reply "
-                  "replies respond share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar "
-                  "widget".split())
-NEUTRAL = frozenset(["html", "body", "article", "main"])
+# fixed values: names of classes, ids and roles that stand for something other than main text
+ADVERTS = frozenset("ad ads advert adverts advertisement advertising banner promo promoted promotion share sharing sponsor "
+                    "sponsored".split())
+COMMENTS = frozenset("comment comments commentlist disqus replies reply respond".split())
+MARKS = ADVERTS | COMMENTS | frozenset(
+    "breadcrumb breadcrumbs consent cookie cookies footer gdpr masthead menu modal navbar nav navigation newsletter notice "
+    "notices pagination pager popup recommended related sidebar signup social subscribe subscription toolbar widget".split())
+#: First or last words of names that tell a state of the page, not what a block holds.
+STATES = frozenset("has no not is with without hide show open closed enabled disabled".split())
+NEVER_MARKED = frozenset(["html", "body", "main"])
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)",
                     re.S)
@@ -64,11 +77,21 @@ _SPLIT = re.compile(r"[^a-z0-9]+")
 OPEN, ARTICLE, SITE = 0, 1, 2
 
 
-def _marked(attributes: str) -> bool:
+def marks(attributes: str) -> frozenset[str]:
+    """The ``MARKS`` that an element's class, id and role names stand for."""
     if not attributes or "=" not in attributes:
-        return False
-    return any(not MARKS.isdisjoint(_SPLIT.split(re.sub(r"([a-z])([A-Z])", r"\1-\2", "".join(m)).lower()))
-               for m in _NAMES.findall(attributes))
+        return frozenset()
+    found = set()
+    for m in _NAMES.findall(attributes):
+        for name in "".join(m).split():
+            words = [w for w in _SPLIT.split(re.sub(r"([a-z])([A-Z])", r"\1-\2", name).lower()) if w]
+            if words and STATES.isdisjoint((words[0], words[-1])):
+                found.update(w for w in (words[0], words[-1]) if w in MARKS)
+    return frozenset(found)
+
+
+def whole_names(attributes: str) -> frozenset[str]:
+    return frozenset(name.lower() for m in _NAMES.findall(attributes or "") for name in "".join(m).split())
 
 
 def page_lines(html: str | None) -> list[tuple[str, int]]:
@@ -79,25 +102,28 @@ def page_lines(html: str | None) -> list[tuple[str, int]]:
     if not html:
         return []
     lines: list[tuple[str, int]] = []
+    by_class: list[int] = []  # of every line the marked block that holds it; 0: none
     text: list[str] = []
-    stack: list[tuple[str, int, bool]] = []  # (element, where its text stands, whether it is left out of its block)
-    where, muted, at, n = OPEN, 0, 0, len(html)
+    # (element, where its text stands, whether it is left out of its block, number of the marked block, reader comments)
+    stack: list[tuple[str, int, bool, int, bool]] = []
+    where, muted, marked, at, n, block_no = OPEN, 0, 0, 0, len(html), 0
 
     def flush() -> None:
         if text:
             line = " ".join(entities.unescape("".join(text)).split())
             if line:
                 lines.append((line, where))
+                by_class.append(marked)
             text.clear()
 
     def close(down_to: int) -> None:
-        nonlocal where, muted
-        muted -= sum(quiet for _, _, quiet in stack[down_to:])
+        nonlocal where, muted, marked
+        muted -= sum(e[2] for e in stack[down_to:])
         del stack[down_to:]
-        outer = stack[-1][1] if stack else OPEN
-        if outer != where:
+        outer, block = (stack[-1][1], stack[-1][3]) if stack else (OPEN, 0)
+        if (outer, block) != (where, marked):
             flush()
-            where = outer
+            where, marked = outer, block
 
     while at < n:
         m = _TOKEN.search(html, at)
@@ -135,22 +161,37 @@ def page_lines(html: str | None) -> list[tuple[str, int]]:
                     break
         if name in VOID or m.group(3).endswith("/"):
             continue
-        if name in MAIN:  # whatever is still open outside
-            new, quiet = SITE if _marked(m.group(3)) else ARTICLE, False
-            stack = [(tag, place, False) for tag, place, _ in stack]
-            muted = 0
+        inside, talk = marked, bool(stack) and stack[-1][4]
+        if name in MAIN:
+            comment = name == "article" and not COMMENTS.isdisjoint(whole_names(m.group(3)))
+            quiet = False
+            if comment or talk:  # a reader's comment, or an article element among them
+                new, talk = SITE, True
+            else:  # whatever is still open outside
+                new, inside = ARTICLE, 0
+                stack = [(tag, place, False, k, t) for tag, place, _, k, t in stack]
+                muted = 0
         else:
-            left_out = name in GONE_BLOCK or name in GONE_INLINE or name not in NEUTRAL and _marked(m.group(3))
-            if name in SITE_ONLY and where != ARTICLE:
-                left_out = True
-            quiet = left_out and not block
-            new = SITE if left_out and block else where
-        if new != where:
+            names = frozenset() if name in NEVER_MARKED else marks(m.group(3))
+            gone = name in GONE_BLOCK or name in GONE_INLINE or name in SITE_ONLY and where != ARTICLE
+            if block:
+                new = SITE if gone or names else where
+                quiet = False
+                talk = talk or not COMMENTS.isdisjoint(names)
+                if names and not gone and where == OPEN:
+                    block_no += 1
+                    inside = block_no
+            else:
+                new, quiet = where, gone or not ADVERTS.isdisjoint(names)
+        if (new, inside) != (where, marked):
             flush()
-            where = new
+            where, marked = new, inside
         muted += quiet
-        stack.append((name, new, quiet))
+        stack.append((name, new, quiet, inside, talk))
     flush()
+    if all(w == SITE for _, w in lines):  # containers, not blocks: what their classes say is no evidence
+        held = Counter(by_class)
+        lines = [(x, OPEN if k and held[k] > 1 else w) for (x, w), k in zip(lines, by_class)]
     return lines
 
 
@@ -223,7 +264,7 @@ def neighbours(sites: DataFrame) -> DataFrame:
             .where(F.col("near").isNotNull()))
 
 
-def _parse(pages: DataFrame) -> DataFrame:
+def _parse(pages: DataFrame, articles: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
@@ -231,7 +272,7 @@ def _parse(pages: DataFrame) -> DataFrame:
                 pages = [page_lines(h.as_py()) for h in part.column(2)]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1),
-                     pa.array([any(w == OPEN for _, w in p) for p in pages]),
+                     pa.array([any(w == OPEN or articles and w == ARTICLE for _, w in p) for p in pages]),
                      pa.array([[x for x, _ in p if _ != SITE] for p in pages], pa.list_(pa.string())),
                      pa.array([bytes(w for _, w in p) for p in pages], pa.binary()),
                      pa.array([[xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) - (1 << 63) for x, _ in p]
@@ -244,7 +285,7 @@ def _parse(pages: DataFrame) -> DataFrame:
              "hashes array<long>")
 
 
-def _difference(pairs: DataFrame, kind: str) -> DataFrame:
+def _difference(pairs: DataFrame, kind: str, articles: bool) -> DataFrame:
     """Open pages with their neighbour's lines -> the text left after the shared lines are deleted."""
 
     def text(lines: list, places: bytes, own: list, other: list | None, other_places: bytes | None) -> str:
@@ -253,9 +294,11 @@ def _difference(pairs: DataFrame, kind: str) -> DataFrame:
         gone = np.zeros(len(own), bool)
         if other is not None:
             other = np.array(other, np.int64)
-            theirs = other[np.frombuffer(other_places, np.uint8) == OPEN]
-            if not np.array_equal(own[where == OPEN], theirs):
-                gone = common_lines(own, other) & (where == OPEN)
+            theirs = np.frombuffer(other_places, np.uint8)
+            decides = where != SITE if articles else where == OPEN
+            others = theirs != SITE if articles else theirs == OPEN
+            if not np.array_equal(own[decides], other[others]):
+                gone = common_lines(own, other) & decides
         return "\n".join(x for x, g in zip(lines, gone[where != SITE]) if not g)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,10 +311,10 @@ def _difference(pairs: DataFrame, kind: str) -> DataFrame:
     return pairs.mapInArrow(run, kind)
 
 
-def main_text(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars."""
+def main_text(pages: DataFrame, articles: bool = False) -> DataFrame:
+    """page_id, url, text, n_chars.  ``articles``: the alignment decides on lines inside article elements, too."""
     kinds = {f.name: f.dataType.simpleString() for f in pages.schema.fields}
-    parsed = stage(_parse(pages).withColumn("uid", F.monotonically_increasing_id()), "page-lines")
+    parsed = stage(_parse(pages, articles).withColumn("uid", F.monotonically_increasing_id()), "page-lines")
     closed = (parsed.where(~F.col("open")).select("page_id", "url", F.array_join("lines", "\n").alias("text")))
     near = neighbours(parsed.select("uid", url_host(F.coalesce("url", F.lit(""))).alias("host"),
                                     url_path(F.coalesce("url", F.lit(""))).alias("path")))
@@ -282,7 +325,7 @@ def main_text(pages: DataFrame) -> DataFrame:
              .join(others, F.col("near") == F.col("n_uid")).select("p_uid", "n_hashes", "n_places"))
     opened = (parsed.where("open").join(pairs, F.col("uid") == F.col("p_uid"), "left")
               .select("page_id", "url", "lines", "places", "hashes", "n_hashes", "n_places"))
-    texts = closed.unionByName(_difference(opened, f"page_id {kinds['page_id']}, url {kinds['url']}, text string"))
+    texts = closed.unionByName(_difference(opened, f"page_id {kinds['page_id']}, url {kinds['url']}, text string", articles))
     return texts.withColumn("n_chars", F.length("text").cast("long"))
 
 
