@@ -1,7 +1,7 @@
 import random
 
 from longstats.llm.toxicity import (AIMED, DENIED, INSULT, MENACE, NOT, OTHER, QUOTED, SAID, WEIGHTS, WHOM, Scorer, Transducer,
-                                    grammar, scored)
+                                    grammar, learn_lexicon, scored, word_features)
 
 
 def test_composition_is_the_two_in_a_row():
@@ -61,6 +61,30 @@ def test_held_out_accuracy(spark):
     assert sorted(map(str, scored(d.repartition(3), la).collect())) == sorted(map(str, got))
 
 
+def test_long_words_and_many_rounds(spark):
+    """Whole words of 60 characters that only their endings tell apart, and five kinds of words, each rarer than the last."""
+    stem = "quiet" + "q" * 50
+    assert f"{stem}bad$" in word_features(f"a {stem}bad")
+    docs, labels, n = [], [], 0
+    for kind, copies in enumerate((200, 90, 40, 18, 8)):
+        for k in range(copies):
+            docs.append((n, f"plain words {stem}{'abcde'[kind]} go on {k}"))
+            labels.append((n, 1))
+            n += 1
+    for k in range(600):
+        docs.append((n, f"plain words {stem}z go on {k}"))
+        labels.append((n, 0))
+        n += 1
+    got = scored(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    told = dict(labels)
+    assert all(r["predicted"] == told[r["doc_id"]] for r in got)
+
+
+def test_lexicon_is_not_cut():
+    counts = [(f"w{i}$", 50, 0) for i in range(7000)]
+    assert len(learn_lexicon(counts, 100, 5000, 4)) == 7000
+
+
 def test_held_out_labels_are_not_used(spark):
     _, labels, d, la = tables(spark)
     import zlib
