@@ -49,7 +49,7 @@ def features(text: Column) -> dict[str, Column]:
     n, words = F.length(t).cast("double"), word_count(t)
     share = lambda x: x / F.greatest(n, F.lit(1.0))
     per_word = lambda x: x / F.greatest(words.cast("double"), F.lit(1.0))
-    again = _removed(t, rf"(?<![^{SPACE_CLASS}])([^{SPACE_CLASS}]{{1,64}})(?=[{SPACE_CLASS}]+\1(?![^{SPACE_CLASS}]))")
+    again = _removed(t, rf"(?<![^{SPACE_CLASS}])([^{SPACE_CLASS}]++)(?=[{SPACE_CLASS}]+\1(?![^{SPACE_CLASS}]))")
     return {
         "f_symbols": share(_removed(t, r"[^\p{L}\p{N}\x20\x09-\x0D.,;:!?'\"()-]")),
         "f_symbol_words": per_word(_removed(t, r"(?<=[^\x20\x09-\x0D\p{S}\p{P}])[.,]?([%#$&*@^~=+<>|_\\/])\1*")),

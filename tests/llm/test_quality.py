@@ -70,6 +70,13 @@ def test_features_are_bounded(spark):
     assert all(v is not None and 0 <= v < 1001 for r in rows for v in r)
 
 
+def test_repeats_count_at_any_length(spark):
+    word = "a" * 100
+    texts = [(f"{word} {word}",), (f"{word} {word}a",), (f"x{word} {word}",), ("b" * 300_000 + " " + "b" * 300_000,)]
+    got = [r[0] for r in spark.createDataFrame(texts, "text string").select(features(F.col("text"))["f_repeats"]).collect()]
+    assert got == [100 / 201, 0.0, 0.0, 300_000 / 600_001]
+
+
 def test_no_labels_and_empty(spark):
     docs, d, la = tables(spark, 20)
     assert judged(d, la.limit(0), F.col("source"), F.col("lang")).where("kept").count() == len(docs)
