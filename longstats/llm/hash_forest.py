@@ -8,10 +8,10 @@ A query descends each tree to the nodes along its own string: the prefix of
 length L names the run of the sorted array that shares L bits with it.  It then
 ascends in all trees at once, from the longest prefix to shorter ones, until the
 nodes of that length together hold enough vectors.  Node sizes come from
-one count per tree and longest prefix, summed upward.  Enough is at least
-``candidates``, and as many as the data need: ``SAMPLE`` queries are compared with all
-vectors, and the number is the smallest with which their own ascents would hold
-``RECALL`` of their k nearest.  The query is compared
+one count per tree and longest prefix, summed upward.  Enough is what the data
+need: ``SAMPLE`` queries are compared with all vectors, and the number is the
+smallest with which their own ascents would hold ``RECALL`` of their k nearest
+(``candidates``, which also sets how deep the trees go, is only its lower end).  The query is compared
 with all vectors of its nodes: nothing is cut off, and a node with many vectors is
 worked in blocks (``BLOCK`` vectors by ``BLOCK`` queries), so no task holds more.
 
@@ -19,8 +19,8 @@ Equal vectors are one class in the index; at the end a class stands for its
 members with the smallest ids, of which k + 1 are enough.
 
 Defined results: vectors that are NULL, empty or zero, or that hold NULL or
-non-finite components, and rows with a NULL id take no part; of rows with the
-same id the one with the smallest vector counts; vectors are compared only with
+non-finite components, and rows with a NULL id take no part; rows with the same id are
+rows of their own, each with its list, and candidates for each other; vectors are compared only with
 vectors of as many components; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -37,23 +37,23 @@ from pyspark.sql import functions as F
 from .common import stage
 
 TREES = 12
-CANDIDATES = 60_000
+CANDIDATES = 2_000
 BITS = 24
 BLOCK = 4096
 SEED = 20
-SAMPLE = 64
-RECALL = 0.95
+SAMPLE = 128
+RECALL = 0.97
 
 
 def valid_vectors(vectors: DataFrame) -> DataFrame:
-    """(vec_id, x array<double>) of the rows that take part, one per id."""
+    """(row, vec_id, x array<double>) of the rows that take part."""
     x = F.col("embedding").cast("array<double>")
     ok = (F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()
           & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
           & F.exists(x, lambda v: v != 0.0))
     # -0.0 and 0.0 are the same component
-    rows = vectors.where(ok).select("vec_id", F.transform(x, lambda v: v + F.lit(0.0)).alias("x"))
-    return rows.groupBy("vec_id").agg(F.min("x").alias("x"))
+    return (vectors.where(ok).select("vec_id", F.transform(x, lambda v: v + F.lit(0.0)).alias("x"))
+            .withColumn("row", F.monotonically_increasing_id()))
 
 
 def planes(dim: int, trees: int) -> np.ndarray:
@@ -154,11 +154,11 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, trees: int = TREE
             candidates: int = CANDIDATES) -> DataFrame:
     """The k nearest of every query row: query_id, rank, vec_id, score (inner product of the original vectors)."""
     rows = stage(valid_vectors(vectors), "vectors")
-    classes = rows.groupBy("x").agg(F.min("vec_id").alias("cid"))
+    classes = rows.groupBy("x").agg(F.min("row").alias("cid"))
     bound = rows.agg(F.sqrt(F.max(F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v))), F.count(F.lit(1))).first()
     longest, n = float(bound[0] or 1.0), int(bound[1])
     index = stage(with_strings(classes.select("cid", "x"), longest, trees), "forest")
-    named = rows.join(index.select("cid", F.col("x").alias("c_x")), F.col("x") == F.col("c_x")).select("vec_id", "cid")
+    named = rows.join(index.select("cid", F.col("x").alias("c_x")), F.col("x") == F.col("c_x")).select("row", "vec_id", "cid")
     named = stage(named, "members")
 
     # node sizes: counted at the longest prefix in use, then summed upward
@@ -235,15 +235,16 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, trees: int = TREE
 
     found = (held.unionByName(asks).groupBy("dim", "tree", "node", "part", "asker")
              .applyInArrow(compare, "q_cid long, cid long, score double"))
-    best = Window.partitionBy("q_cid").orderBy(F.desc("score"), "cid")
-    found = (found.groupBy("q_cid", "cid").agg(F.max("score").alias("score"))
+    first = named.groupBy("cid").agg(F.min("vec_id").alias("first_id"))
+    best = Window.partitionBy("q_cid").orderBy(F.desc("score"), "first_id", "cid")
+    found = (found.groupBy("q_cid", "cid").agg(F.max("score").alias("score")).join(first, "cid")
              .withColumn("r", F.row_number().over(best)).where(F.col("r") <= most).select("q_cid", "cid", "score"))
     # back to rows: of every class the members with the smallest ids, of every query class its k + 1 nearest rows
-    member = Window.partitionBy("cid").orderBy("vec_id")
-    members = named.withColumn("r", F.row_number().over(member)).where(F.col("r") <= most).select("cid", "vec_id")
-    nearest_row = Window.partitionBy("q_cid").orderBy(F.desc("score"), "vec_id")
+    member = Window.partitionBy("cid").orderBy("vec_id", "row")
+    members = named.withColumn("r", F.row_number().over(member)).where(F.col("r") <= most).select("cid", "vec_id", "row")
+    nearest_row = Window.partitionBy("q_cid").orderBy(F.desc("score"), "vec_id", "row")
     near = (found.join(members, "cid").withColumn("r", F.row_number().over(nearest_row))
-            .where(F.col("r") <= most).select("q_cid", "vec_id", "score", "r"))
+            .where(F.col("r") <= most).select("q_cid", "vec_id", "row", "score", "r"))
     return _for_rows(near, named.where(is_query), k)
 
 
@@ -253,12 +254,12 @@ def _for_rows(near: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     A class's k + 1 nearest rows hold at most one row of the query itself, so the place among the others follows
     from the place in the list.
     """
-    rows = queries.select(F.col("vec_id").alias("query_id"), F.col("cid").alias("of"))
-    own = (near.join(rows, (F.col("q_cid") == F.col("of")) & (F.col("vec_id") == F.col("query_id")))
-           .select(F.col("query_id").alias("own_id"), F.col("r").alias("own_r")))
+    rows = queries.select(F.col("vec_id").alias("query_id"), F.col("row").alias("q_row"), F.col("cid").alias("of"))
+    own = (near.join(rows, (F.col("q_cid") == F.col("of")) & (F.col("row") == F.col("q_row")))
+           .select(F.col("q_row").alias("own_row"), F.col("r").alias("own_r")))
     return (near.join(rows, F.col("q_cid") == F.col("of"))
-            .join(own, F.col("query_id") == F.col("own_id"), "left")
-            .where(F.col("vec_id") != F.col("query_id"))
+            .join(own, F.col("q_row") == F.col("own_row"), "left")
+            .where(F.col("row") != F.col("q_row"))
             .withColumn("rank", (F.col("r") - (F.coalesce("own_r", F.lit(1 << 30)) < F.col("r")).cast("int")).cast("int"))
             .where(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))
