@@ -8,6 +8,12 @@ adds nothing, so a micro-batch that is run again after a failure leaves the same
 table, and it replaces the touched periods' partitions only (staged commit of
 ``replace_partitions``).
 
+What is kept of a row for that is a 128-bit hash of its identity and a time, not its
+columns, and the state lies in RocksDB (on the executors' disks, with a bounded
+cache), not on the heap: it grows with the rows within the watermark, by some tens
+of bytes each.  At 2^40 such rows the chance that any two that differ have equal
+hashes is below 2^-48.  A checkpoint of an older form of this state can't be resumed.
+
 Rows older than the watermark can't be told from repeated ones any more, so they
 are left out; ``StreamReport`` counts them, as it counts the repeated ones.  The
 report covers the run that returns it.
@@ -16,6 +22,7 @@ report covers the run that returns it.
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,12 +30,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from longstats.functions.text import NULL_TOKENS
+from longstats.operators.snapshot import row_hash
 from longstats.sources.reload import replace_partitions
 from longstats.streaming.landing import drop_stream
 
 #: Progress reports kept of one run; one per micro-batch.
 KEPT_REPORTS = 100_000
 
+#: Settings of a run: all its reports are kept, and its state lies in RocksDB with bounded memory.
+RUN_SETTINGS = {
+    "spark.sql.streaming.numRecentProgressUpdates": str(KEPT_REPORTS),
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    # no look-up before every write, just to count the state's rows
+    "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false",
+}
+
 
 @dataclass(frozen=True)
 class StreamReport:
@@ -70,6 +87,19 @@ def _reported(query) -> StreamReport:
     return StreamReport(read, late, repeated)
 
 
+@contextmanager
+def _settings(spark: SparkSession, wanted: dict[str, str]):
+    """The session's settings as ``wanted``, and as they were afterwards."""
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def rollup_stream(spark: SparkSession, source_dir: str, schema: StructType, target: str, checkpoint: str,
                   keys: Sequence[str], totals: dict[str, Column], event_time: Column, delay: str,
                   identity: Sequence[str] | None = None, period: str = "year", sep: str = "\t", header: bool = True,
@@ -83,8 +113,9 @@ def rollup_stream(spark: SparkSession, source_dir: str, schema: StructType, targ
     if period not in keys:
         raise ValueError(f"{period} must be one of the keys")
     rows = drop_stream(spark, source_dir, schema, sep, header, True, null_tokens, max_files_per_trigger)
-    once = (rows.withColumn("_time", event_time).withWatermark("_time", delay)
-            .dropDuplicatesWithinWatermark(list(identity or schema.fieldNames())))
+    h1, h2 = row_hash(list(identity or schema.fieldNames()))
+    once = (rows.withColumns({"_time": event_time, "_h1": h1, "_h2": h2}).withWatermark("_time", delay)
+            .dropDuplicatesWithinWatermark(["_h1", "_h2"]))
     # the time is a function of the period, so it adds no group; it lets Spark forget periods that are closed
     grouped = once.groupBy("_time", *keys).agg(*[c.alias(n) for n, c in totals.items()])
 
@@ -95,13 +126,8 @@ def rollup_stream(spark: SparkSession, source_dir: str, schema: StructType, targ
         finally:
             held.unpersist()
 
-    name = "spark.sql.streaming.numRecentProgressUpdates"
-    before = spark.conf.get(name)
-    spark.conf.set(name, KEPT_REPORTS)
-    try:
+    with _settings(spark, RUN_SETTINGS):
         query = (grouped.writeStream.outputMode("update").foreachBatch(merge)
                  .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
         query.awaitTermination()
-    finally:
-        spark.conf.set(name, before)
     return _reported(query)

@@ -86,3 +86,18 @@ def test_a_merge_run_twice_leaves_the_same_table(spark):
 def test_period_must_be_a_key(spark):
     with pytest.raises(ValueError, match="year"):
         rollup_stream(spark, "x", SCHEMA, "y", "z", ["state"], _totals(), _time(), "1 day")
+
+
+def test_the_state_keeps_hashes_of_rows_and_lies_in_rocksdb(spark):
+    """Before: whole rows, on the heap."""
+    import json
+    source, base = scratch_path(spark, "drops"), scratch_path(spark, "rollup")
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    _drop(spark, [("A", "CORN", 2000, "1"), ("A", None, 2000, "1"), ("A", "CORN", 2000, "1"), (None, "A", 2000, "1")], source)
+    assert _run(spark, source, base).repeated_rows == 1
+    assert spark.conf.get(name) == before
+    metadata = json.loads(spark.read.text(f"{base}/checkpoint/offsets/0").collect()[1][0])
+    assert metadata["conf"][name].endswith("RocksDBStateStoreProvider")
+    assert spark.read.format("statestore").option("operatorId", 1).load(f"{base}/checkpoint").selectExpr("key.*").columns == ["_h1", "_h2"] \
+        or spark.read.format("statestore").option("operatorId", 0).load(f"{base}/checkpoint").selectExpr("key.*").columns == ["_h1", "_h2"]
