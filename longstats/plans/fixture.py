@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 
 from longstats.schemas import LONG_COLUMNS
 
+#: Rows of lineitem in a task of the landing, which sorts them in memory at their full width (some 450 bytes each).
+ROWS_PER_TASK = 500_000
+
 
 def _case(col: Column, mapping: list[tuple[object, str]], default: str) -> Column:
     expr = None
@@ -31,10 +34,16 @@ def long_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The derived long statistics table over ``sf_dir``'s parquet tables."""
     # Hash-partition lineitem on the order key: the partitioning the sort-merge
     # join with orders needs anyway at scale (no extra exchange is planned), and
-    # it spreads the per-row mapping when a file has few row groups.
-    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_shipdate"
-    ).repartition("l_orderkey")
+    # it spreads the per-row mapping when a file has few row groups.  The number
+    # of partitions follows the rows (counted from the files' footers), not the
+    # shuffled bytes: a row is some twenty times wider once it is mapped.
+    lineitem = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    rows = lineitem.count()
+    li = lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_shipdate")
+    if rows > ROWS_PER_TASK * spark.sparkContext.defaultParallelism:
+        li = li.repartition(-(-rows // ROWS_PER_TASK), "l_orderkey")
+    else:
+        li = li.repartition("l_orderkey")
     od = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
     cu = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_nationkey")
     na = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_name")

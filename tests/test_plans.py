@@ -102,3 +102,16 @@ def test_fixture_shuffles_lineitem_once_on_the_order_key(spark):
         spark.conf.set(key, before)
     # lineitem meets orders in a join that spills; no hash table is forced
     assert "ShuffledHashJoin" not in tree and tree.count("Exchange hashpartitioning(l_orderkey") == 1
+
+
+def test_landing_tasks_follow_the_rows(spark, tmp_path, monkeypatch):
+    """Before: the number followed the shuffled bytes or the setting, so a task's sort grew with the table."""
+    from longstats.plans import fixture
+    spark.range(2000).selectExpr("id AS l_orderkey", "id AS l_partkey", "id AS l_suppkey", "1 AS l_linenumber", "CAST(id AS double) AS l_extendedprice",
+                                 "CURRENT_TIMESTAMP() AS l_shipdate").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.range(2000).selectExpr("id AS o_orderkey", "id AS o_custkey").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.range(2000).selectExpr("id AS c_custkey", "1 AS c_nationkey").write.parquet(str(tmp_path / "customer.parquet"))
+    spark.range(2).selectExpr("CAST(id AS int) AS n_nationkey", "'X' AS n_name").write.parquet(str(tmp_path / "nation.parquet"))
+    monkeypatch.setattr(fixture, "ROWS_PER_TASK", 10)
+    view = fixture.long_view(spark, str(tmp_path))
+    assert view.count() == 2000 and view.rdd.getNumPartitions() == 200
