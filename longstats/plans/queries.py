@@ -34,7 +34,7 @@ from longstats.plans.job import TIDY_CLUSTER
 from longstats.schemas import DIMENSION_SCHEMA, LONG_SCHEMA, TIDY_SCHEMA
 from longstats.session import materialize, scratch_path
 from longstats.sources.delimited import read_delimited, read_dimension, read_escaped, read_with_quarantine
-from longstats.sources.export import escape, export_check, export_delimited, export_manifest
+from longstats.sources.export import ROWS_PER_FILE, escaped_fields, export_check, export_delimited, export_manifest
 from longstats.sources.layout import load_table, write_table
 from longstats.streaming.landing import land_stream
 from longstats.plans import analysis
@@ -404,7 +404,7 @@ def _plain_export(df: DataFrame, name: str) -> str:
     (df.select(*[F.col(c).cast("string").alias(c) for c in df.columns]).write.mode("overwrite")
      .option("sep", "\t").option("header", True).option("quote", "").option("escapeQuotes", False)
      .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option("emptyValue", "")
-     .option("compression", "gzip").csv(path))
+     .option("compression", "gzip").option("maxRecordsPerFile", ROWS_PER_FILE).csv(path))
     return path
 
 
@@ -453,8 +453,7 @@ def q_scan_escaped(spark, sf):
 
 def _raw_line() -> F.Column:
     """The escaped line of a long row."""
-    fields = [F.coalesce(escape(F.col(c).cast("string")), F.lit("")) for c in LONG_SCHEMA.fieldNames()]
-    return F.concat_ws("\t", *fields)
+    return F.concat_ws("\t", escaped_fields([F.coalesce(F.col(c).cast("string"), F.lit("")) for c in LONG_SCHEMA.fieldNames()]))
 
 
 def _broken(line: F.Column) -> F.Column:
@@ -468,7 +467,7 @@ def q_scan_utf8(spark, sf):
     line = _raw_line()
     path = scratch_path(spark, "scan-utf8")
     long.select(F.when(F.col("agg_level_desc") == "NATIONAL", _broken(line)).otherwise(line).alias("value")
-                ).write.mode("overwrite").text(path, compression="gzip")
+                ).write.mode("overwrite").option("maxRecordsPerFile", ROWS_PER_FILE).text(path, compression="gzip")
     return read_escaped(spark, path, LONG_SCHEMA, header=False, validate_utf8=True, mode="DROPMALFORMED")
 
 
@@ -482,7 +481,7 @@ def _quarantine_input(spark, sf) -> str:
     text = (F.when(level == "WATERSHED", F.concat(line, F.lit("\textra"))).when(level == "NATIONAL", _broken(line))
             .when(F.col("prodn_practice_desc") == "IRRIGATED", bad_year).otherwise(line))
     path = scratch_path(spark, "scan-quarantine")
-    long.select(text.alias("value")).write.mode("overwrite").text(path, compression="gzip")
+    long.select(text.alias("value")).write.mode("overwrite").option("maxRecordsPerFile", ROWS_PER_FILE).text(path, compression="gzip")
     return path
 
 

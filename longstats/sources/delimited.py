@@ -20,7 +20,8 @@ value and are skipped by both paths.
 
 gzip input is not splittable (one task per file), so the lines of gz files, given
 by name or found in a folder, are spread over the cluster before they are parsed
-(``read_escaped``) or right after the scan that parses them (``read_delimited``).
+(``read_escaped``) or right after the scan that parses them (``read_delimited``),
+unless the files are as many as the cores and none is large.
 """
 
 from __future__ import annotations
@@ -37,6 +38,9 @@ from longstats.functions.text import NULL_TOKENS, normalise_nulls
 MODES = ("FAILFAST", "DROPMALFORMED")
 
 
+#: Bytes of the largest gz file that one task may take in whole (Spark's default for a task's share of files).
+WHOLE_FILE = 128 * 2 ** 20
+
 # A byte that no UTF-8 text holds, as the separator of a reader that must not split lines.
 _NO_SPLIT = "\u00ff"
 
@@ -45,14 +49,19 @@ def _paths(path: str | Sequence[str]) -> list[str]:
     return [path] if isinstance(path, str) else list(path)
 
 
-def _spread_gzip(df: DataFrame, partitions: int | None) -> DataFrame:
+def _spread_gzip(df: DataFrame, paths: Sequence[str], partitions: int | None) -> DataFrame:
     """Spread rows that come out of gz files (one task per file): to ``partitions`` tasks, or else
-    to as many as their size asks for."""
+    to as many as their size asks for.  Files that are as many as the cluster's cores, none larger
+    than a task's share of a splittable file, are shared out already and aren't shuffled."""
     if partitions is not None:
         return df.repartition(partitions)
-    if any(f.endswith(".gz") for f in df.inputFiles()):
-        return df.hint("rebalance")
-    return df
+    if not any(f.endswith(".gz") for f in df.inputFiles()):
+        return df
+    spark = df.sparkSession
+    files = spark.read.format("binaryFile").load(list(paths))
+    n, largest = files.agg(F.count(F.lit(1)), F.max("length")).first()
+    whole = largest is not None and largest <= WHOLE_FILE and n >= spark.sparkContext.defaultParallelism
+    return df if whole else df.hint("rebalance")
 
 
 def read_delimited(spark: SparkSession, path: str | Sequence[str], schema: StructType, sep: str = "\t",
@@ -81,7 +90,7 @@ def read_delimited(spark: SparkSession, path: str | Sequence[str], schema: Struc
           .option("ignoreLeadingWhiteSpace", trim).option("ignoreTrailingWhiteSpace", trim)
           .csv(paths))
     names = [f.name for f in schema.fields]
-    return normalise_nulls(_checked(_spread_gzip(df, partitions), corrupt, names, mode).select(*names), null_tokens)
+    return normalise_nulls(_checked(_spread_gzip(df, paths, partitions), corrupt, names, mode).select(*names), null_tokens)
 
 
 def _checked(df: DataFrame, reason: str, others: Sequence[str], mode: str) -> DataFrame:
@@ -172,7 +181,7 @@ def read_lines(spark: SparkSession, path: str | Sequence[str], header: bool = Fa
            .option("encoding", "ISO-8859-1").option("mode", "PERMISSIVE").option("maxCharsPerColumn", -1)
            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
            .option("enforceSchema", True).csv(_paths(path)))
-    raw = _spread_gzip(raw, partitions)
+    raw = _spread_gzip(raw, _paths(path), partitions)
     # a line with that byte comes in two pieces; it is not UTF-8
     data = F.encode(F.concat_ws(_NO_SPLIT, "line", "rest"), "ISO-8859-1").cast("string")
     return raw.select(F.make_valid_utf8(data).alias("value"), F.is_valid_utf8(data).alias("valid"))
