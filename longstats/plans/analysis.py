@@ -25,7 +25,7 @@ from longstats.plans.base import MIN_YEAR, Query, _job, _long, comparable, count
 from longstats.plans.job import refresh_job, run_job
 from longstats.schemas import LONG_COLUMNS, LONG_SCHEMA, RAW_COLUMNS, TIDY_COLUMNS
 from longstats.session import materialize, scratch_path
-from longstats.sources.export import export_delimited
+from longstats.sources.export import ROWS_PER_FILE, export_delimited
 from longstats.sources.layout import write_table
 from longstats.sources.reload import reload_years, table_files
 from longstats.streaming.rollup import StreamReport, rollup_stream
@@ -236,8 +236,8 @@ def q_value_bands(spark, sf):
     bands = spark.read.parquet(f"{sf}/supplier.parquet").select(
         "s_suppkey", F.col("s_acctbal").cast("double").alias("low"),
         (F.col("s_acctbal").cast("double") + F.pow(F.col("s_suppkey") % 7 + 1, F.lit(4))).alias("high"))
-    return (band_join(rows, bands, "number", "low", "high").groupBy("s_suppkey", "commodity_desc")
-            .agg(F.count(F.lit(1)).alias("row_count"), F.min("number").alias("least"), F.max("number").alias("greatest")))
+    return (band_join(rows, bands, "number", "low", "high", by=["commodity_desc"]).groupBy("s_suppkey", "commodity_desc")
+            .agg(F.sum("row_count").alias("row_count"), F.min("least").alias("least"), F.max("greatest").alias("greatest")))
 
 
 # ----------------------------------------------------------------- stored sketches
@@ -264,7 +264,7 @@ STREAM_DELAY = "1000 days"
 
 def _append_drop(df: DataFrame, path: str) -> None:
     (df.write.mode("append").option("sep", "\t").option("header", True).option("quote", "").option("emptyValue", "")
-     .option("compression", "gzip").csv(path))
+     .option("compression", "gzip").option("maxRecordsPerFile", ROWS_PER_FILE).csv(path))
 
 
 def _streamed(spark, sf) -> tuple[DataFrame, list[StreamReport]]:

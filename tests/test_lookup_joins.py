@@ -177,3 +177,28 @@ def test_no_band_and_no_row(spark):
     assert band_join(r.limit(0), b, "v", "low", "high").count() == 0
     assert band_join(r, b.limit(0), "v", "low", "high").count() == 0
     assert band_join(r, b.limit(0), "v", "low", "high", "left").count() == len(rows)
+
+
+@pytest.mark.parametrize("kind", ["decimal(20,3)", "double"])
+def test_totals_per_band_equal_those_of_the_pairs(spark, kind):
+    rows, bands = _bands_case(6)
+    rows = spark.createDataFrame([(("a", "b", None)[i % 3], v) for i, v in rows], "g string, v decimal(20,3)").selectExpr("g", f"CAST(v AS {kind}) AS v")
+    if kind == "double":
+        rows = rows.unionByName(spark.createDataFrame([("a", float("nan")), ("b", float("inf")), (None, -float("inf"))], "g string, v double"))
+    bands = spark.createDataFrame([*bands, bands[3]], "band int, low decimal(20,3), high decimal(20,3)")
+    pairs = (band_join(rows, bands, "v", "low", "high").groupBy("band", "g")
+             .agg(F.count(F.lit(1)).alias("row_count"), F.min("v").alias("least"), F.max("v").alias("greatest")))
+    totals = (band_join(rows, bands, "v", "low", "high", by=["g"]).groupBy("band", "g")
+              .agg(F.sum("row_count").alias("row_count"), F.min("least").alias("least"), F.max("greatest").alias("greatest")))
+    assert _told(totals) == _told(pairs)
+    assert band_join(rows, bands.limit(0), "v", "low", "high", by=["g"]).count() == 0
+    assert band_join(rows.limit(0), bands, "v", "low", "high", by=["g"]).count() == 0
+
+
+def test_totals_make_no_pairs(spark):
+    """Before: 400 rows in each of 300 bands were 120,000 pairs."""
+    rows = spark.range(400).selectExpr("'a' AS g", "CAST(id AS double) AS v")
+    bands = spark.range(300).selectExpr("id AS band", "CAST(-1 AS double) AS low", "CAST(1000 + id AS double) AS high")
+    got = band_join(rows, bands, "v", "low", "high", by=["g"])
+    assert {tuple(r)[3:] for r in got.collect()} == {("a", 400, 0.0, 399.0)} and got.count() == 300
+    assert "_bin" not in got._jdf.queryExecution().optimizedPlan().toString()
