@@ -5,7 +5,9 @@ values, and counted: each side is combined map-side to (hash, count), one
 shuffle brings the two counts of a hash together.  Only the hashes whose counts
 differ go back to the tables to fetch their rows, so what is moved of the rows
 themselves is the difference, not the tables (the list of differing hashes is
-broadcast if its measured size allows, else joined by hash).
+broadcast if its measured size allows, else joined by hash).  ``snapshot_diff``
+first drops the rows whose hash can't be in the list by a bitmap of it (16 MB at
+most), so that a long list doesn't make it shuffle both tables whole.
 
 Repeated rows count: a row that the old load has three times and the new one
 once is removed twice (EXCEPT ALL); what both have, as often as the rarer, is
@@ -27,6 +29,10 @@ from pyspark.sql import functions as F
 ADDED, REMOVED, BEFORE, AFTER = "added", "removed", "before", "after"
 
 
+#: Places of the bitmap of differing hashes, and those of one of its rows (``bitmap_construct_agg`` makes 4 KB).
+BITMAP, BITMAP_ROW = 2 ** 27, 2 ** 15
+
+
 def row_hash(columns: Sequence[str]) -> tuple[Column, Column]:
     """Two independent 64-bit hashes of a row.
 
@@ -66,9 +72,22 @@ def row_counts(old: DataFrame, new: DataFrame, columns: Sequence[str] | None = N
             .agg(F.sum("o").alias("n_old"), F.sum("n").alias("n_new")))
 
 
-def _fetched(df: DataFrame, names: Sequence[str], counts: DataFrame) -> DataFrame:
-    """One row of ``df`` per hash of ``counts``, with the columns of ``counts``."""
-    rows = _hashed(df, names, *names).join(counts, ["_h1", "_h2"])
+def _maybe_in(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """The rows whose hash may be one of ``counts``: all that are, and few others."""
+    place = F.pmod(F.col("_h1"), F.lit(BITMAP))
+    bit = F.pmod(place, F.lit(BITMAP_ROW))
+    bitmaps = counts.groupBy(F.floor(place / BITMAP_ROW).alias("_part")).agg(F.bitmap_construct_agg(bit).alias("_bits"))
+    byte = F.conv(F.hex(F.substr(F.col("_bits"), (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    found = byte.bitwiseAND(F.pow(F.lit(2), F.pmod(bit, F.lit(8))).cast("int")) != 0
+    names = rows.columns
+    return (rows.withColumn("_part", F.floor(place / BITMAP_ROW)).join(F.broadcast(bitmaps), "_part")
+            .filter(found).select(*[f"`{c}`" for c in names]))
+
+
+def _fetched(df: DataFrame, names: Sequence[str], counts: DataFrame, sift: bool = False) -> DataFrame:
+    """One row of ``df`` per hash of ``counts``, with the columns of ``counts`` (``sift``: by a bitmap first; ``counts`` are read twice)."""
+    rows = _hashed(df, names, *names)
+    rows = (_maybe_in(rows, counts) if sift else rows).join(counts, ["_h1", "_h2"])
     # equal hashes are equal rows: any of them stands for all
     others = [c for c in counts.columns if c not in ("_h1", "_h2")]
     picked = rows.groupBy("_h1", "_h2").agg(F.any_value(F.struct(*[f"`{c}`" for c in names], *others)).alias("r"))
@@ -111,8 +130,8 @@ def snapshot_diff(old: DataFrame, new: DataFrame, keys: Sequence[str] = (), colu
         from longstats.session import materialize as write_back
         counts = write_back(counts, "snapshot-counts")
     gap = F.col("n_new") - F.col("n_old")
-    more = _fetched(new, names, counts.filter(gap > 0).select("_h1", "_h2", gap.alias("copies")))
-    less = _fetched(old, names, counts.filter(gap < 0).select("_h1", "_h2", (-gap).alias("copies")))
+    more = _fetched(new, names, counts.filter(gap > 0).select("_h1", "_h2", gap.alias("copies")), materialize)
+    less = _fetched(old, names, counts.filter(gap < 0).select("_h1", "_h2", (-gap).alias("copies")), materialize)
     diff = more.withColumn("change", F.lit(ADDED)).unionByName(less.withColumn("change", F.lit(REMOVED)))
     out = ["change", "copies", *[f"`{c}`" for c in names]]
     if not keys:

@@ -115,3 +115,14 @@ def test_one_row_a_third_of_both_loads(spark):
     same = [(1, "hot", "hot", 0.5)]
     o, n = _frames(spark, same * 900 + [(2, "a", None, None)] * 900, same * 300 + [(2, "a", None, None)] * 900)
     assert sorted(map(tuple, snapshot_diff(o, n, keys=["k"]).collect())) == [("removed", 600, 1, "hot", "hot", 0.5)]
+
+
+def test_rows_are_sifted_by_a_bitmap_before_they_are_joined(spark):
+    """Before: with a long list of differences both tables were shuffled whole."""
+    from longstats.operators.snapshot import _hashed, _maybe_in
+    rows = _hashed(spark.range(20_000).withColumn("s", F.col("id").cast("string")), ["id", "s"], "id", "s")
+    wanted = rows.filter(F.col("id") % 97 == 0).select("_h1", "_h2")
+    got = {r["id"] for r in _maybe_in(rows, wanted).select("id").collect()}
+    want = set(range(0, 20_000, 97))
+    assert want <= got and len(got - want) < 20
+    assert _maybe_in(rows, wanted.limit(0)).count() == 0
