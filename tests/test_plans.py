@@ -113,5 +113,14 @@ def test_landing_tasks_follow_the_rows(spark, tmp_path, monkeypatch):
     spark.range(2000).selectExpr("id AS c_custkey", "1 AS c_nationkey").write.parquet(str(tmp_path / "customer.parquet"))
     spark.range(2).selectExpr("CAST(id AS int) AS n_nationkey", "'X' AS n_name").write.parquet(str(tmp_path / "nation.parquet"))
     monkeypatch.setattr(fixture, "ROWS_PER_TASK", 10)
-    view = fixture.long_view(spark, str(tmp_path))
-    assert view.count() == 2000 and view.rdd.getNumPartitions() == 200
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    spark.conf.set(threshold, "-1")  # as at size, where lineitem is shuffled
+    try:
+        view = fixture.long_view(spark, str(tmp_path))
+        assert view.count() == 2000
+        # the driver's plan asks for more tasks than the setting's, one per ten rows
+        assert "REPARTITION_BY_NUM" in view._jdf.queryExecution().executedPlan().toString()
+        assert view.rdd.getNumPartitions() == max(200, spark.sparkContext.defaultParallelism)
+    finally:
+        spark.conf.set(threshold, before)
