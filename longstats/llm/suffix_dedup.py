@@ -9,24 +9,29 @@ corpus (smaller doc_id, or the same document and an earlier start) is removed.
    equal anchors at equal places, so windows need comparing only within an
    anchor's hash.
 2. Runs with equal bytes (by 64-bit hash of the run's bytes, beside the
-   anchor's) are one class; within a chunk of text they are merged before the
-   shuffle.  All but the first run of a class are repeats as a whole.
-3. First runs whose anchor has other classes too may share some windows.  A
-   window holds, beside the anchor, at least half of the other bytes on its left
-   or on its right, so its run is filed under the anchor with that half.  The
-   bytes of runs filed under one key meet in a task that builds a suffix array in
-   two stages: suffixes smaller than their successor are sorted directly, the
-   others are induced by a scan over the buckets of first bytes.  Adjacent common
-   prefixes of at least ``length`` bytes mark equal windows; all but the earliest
-   are repeats.  A key with more than ``BIG`` runs (a very common phrase in many
-   surroundings) is split instead: its windows go by their own 128-bit hash, so
-   no task gets all of them.
+   anchor's) are one class; all but the first run of a class are repeats as a
+   whole.  Those that follow an equal run in their chunk of text go into the
+   shuffle as merged byte ranges, the others as one row each, and an anchor's task
+   decides them as they come, sorted.
+3. First runs whose anchor has other classes too may share some windows.  They
+   go back to their documents, which cut their bytes out.  A window holds, beside
+   the anchor, at least half of the other bytes on its left or on its right, so its
+   run is filed under the anchor with that half.  The bytes of runs filed under
+   one key meet in a task that builds a suffix array in two stages: suffixes
+   smaller than their successor are sorted directly, the others are induced by a
+   scan over the buckets of first bytes.  Adjacent common prefixes of at least
+   ``length`` bytes mark equal windows; all but the earliest are repeats.  A key
+   with more than ``BIG`` runs (a very common phrase in many surroundings) is split
+   instead: its windows go by their own 128-bit hash, so no task gets all of them.
 4. The repeats' spans go to their documents and are merged there.
 
-The texts are read twice before step 4.  The second reading must know which runs
-matter; it asks a Bloom filter of ``FILTER_BITS`` bits (that is the size of what is
-broadcast).  A false hit costs a row and changes nothing: whole repeats are
-joined exactly, and a suffix array only ever marks windows that do repeat.
+Each run is one narrow row in one shuffle, and the texts are shuffled twice (steps
+3 and 4); every step's shuffle files go when its result is written, so disk follows
+the input whatever share of it repeats.  Bytes filed under a key of their own are
+kept out of the shuffle by a Bloom filter of ``FILTER_BITS`` bits over the other
+keys (that is the size of what is broadcast).  A false hit costs a row and changes
+nothing, as a run alone equals nothing; a full filter costs the shuffle of all bytes
+that are filed.
 
 Defined results: NULL texts have 0 bytes; texts shorter than ``length`` keep
 everything; documents with a NULL id come after all others; rows with the same
@@ -40,13 +45,16 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from longstats.session import materialize, remove_path, scratch_path
+
 from .bloom_lm import SEGMENTS, Filter, build_filter
 from .common import stage
 
@@ -57,7 +65,8 @@ CHUNK_BYTES = 1 << 20
 CACHE_BYTES = 1 << 16
 BATCH_BYTES = 1 << 19
 FILTER_BITS = 1 << 27
-CLASS, FIRST = 1, 2
+CONTEXT_ROWS = 1 << 14
+KEY = 1
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 #: A random-looking 64-bit value per byte.
 with np.errstate(over="ignore"):
@@ -298,88 +307,126 @@ def _pieces(column: pa.Array, overlap: int) -> Iterator[tuple[np.ndarray, np.nda
         yield out()
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """A write in here removes its shuffle files at its end; else they stay until the driver happens to collect garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def class_rows(texts: DataFrame, length: int) -> DataFrame:
-    """``(uid, text)`` -> (anchor, content, uid, at, n): of each class in a chunk of text the first run and their number.
+    """``(uid, text)`` -> (anchor, content, uid, at, b): of each class in a chunk of text the first run, ``b`` NULL.
 
-    ``at`` is the run's first byte and, in the last 8 bits, its length beyond ``length``.
+    ``at`` is the run's first byte, then (16 bits each) how far behind it the anchor stands and the run's length beyond
+    ``length``.  What a chunk's other runs cover comes as merged ranges from ``at`` to ``b``, dealt out by document.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             uid = batch.column(0).to_numpy(zero_copy_only=False)
             for data, starts, rows, offsets in _pieces(batch.column(1), length - 1):
-                piece, first, last, _, anchor, content = chunk_runs(data, starts, length)
+                piece, first, last, place, anchor, content = chunk_runs(data, starts, length)
                 if not len(piece):
                     continue
                 doc, a = uid[rows[piece]], first - starts[piece] + offsets[piece]
                 # in the order of documents and places, so that a class's first run is the one that stays
                 order = np.lexsort((a, doc, content, anchor))
                 anchor, content = anchor[order], content[order]
-                keep = np.flatnonzero(np.concatenate(
-                    [[True], (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1])]))
-                at = (a << 8 | last - first)[order][keep]
+                kept = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1])])
+                keep, rest = order[kept], order[~kept]
+                rest = rest[np.lexsort((a[rest], doc[rest]))]
+                end = a + (last - first) + length
+                begins = np.flatnonzero(np.concatenate(
+                    [[True], (doc[rest][1:] != doc[rest][:-1]) | (a[rest][1:] > end[rest][:-1])])[: len(rest)])
+                range_doc, range_a = doc[rest[begins]], a[rest[begins]]
+                range_b = end[rest[np.append(begins[1:], len(rest)) - 1]] if len(rest) else end[rest]
+                at = a << 32 | (place - first) << 16 | (last - first)
+                none = np.arange(len(keep) + len(begins)) < len(keep)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor[keep].view(np.int64)), pa.array(content[keep].view(np.int64)),
-                     pa.array(doc[order][keep]), pa.array(at),
-                     pa.array(np.diff(np.concatenate([keep, [len(order)]])).astype(np.int32))],
-                    names=["anchor", "content", "uid", "at", "n"])
-
-    return texts.select("uid", "text").mapInArrow(run, "anchor long, content long, uid long, at long, n int")
-
-
-def class_keys(anchor: np.ndarray, content: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return _mix(anchor * np.uint64(0x9E3779B97F4A7C15) + content)
+                    [pa.array(np.concatenate([anchor[kept], _mix(range_doc.astype(np.uint64))]).view(np.int64)),
+                     pa.array(np.concatenate([content[kept], np.zeros(len(begins), np.uint64)]).view(np.int64)),
+                     pa.array(np.concatenate([doc[keep], range_doc])), pa.array(np.concatenate([at[keep], range_a])),
+                     pa.array(np.concatenate([np.zeros(len(keep), np.int64), range_b]).astype(np.int32), mask=none)],
+                    names=["anchor", "content", "uid", "at", "b"])
 
+    return texts.select("uid", "text").mapInArrow(run, "anchor long, content long, uid long, at long, b int")
 
-def place_keys(anchor: np.ndarray, uid: np.ndarray, at: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return _mix(_mix(anchor + uid.astype(np.uint64)) + at.astype(np.uint64))
 
+def settled_runs(rows: DataFrame, length: int) -> DataFrame:
+    """``class_rows``, sorted, an anchor in one task -> (uid, at, b, anchor).
 
-def _filter_entries(known: DataFrame) -> DataFrame:
-    """Filter keys: the classes of several runs, and the first runs of anchors with several classes."""
+    Repeats are ranges from ``at`` to ``b``; the first runs of anchors with several classes keep ``at`` and have no ``b``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = None  # the last run's anchor and content
+        held = [np.zeros(0, np.int64)] * 3  # (anchor, uid, at) of its anchor's first run, as long as there is one class
         for batch in batches:
-            anchor, content, uid, at, n, classes = (batch.column(i).to_numpy() for i in range(6))
-            anchor, content = anchor.view(np.uint64), content.view(np.uint64)
-            several, first = n > 1, classes > 1
-            keys = np.concatenate([class_keys(anchor, content)[several], place_keys(anchor, uid, at)[first]])
-            kinds = np.repeat(np.array([CLASS, FIRST], np.int8), [several.sum(), first.sum()])
-            yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(keys.view(np.int64)),
-                                              pa.array(np.ones(len(keys), np.int64))], names=["kind", "key", "n"])
-
-    return known.select("anchor", "content", "uid", "at", "n", "classes").mapInArrow(
-        run, "kind tinyint, key long, n long")
+            ready = batch.column(4).is_valid().to_numpy(zero_copy_only=False)
+            anchor, content, uid, at = (batch.column(i).to_numpy()[~ready] for i in range(4))
+            n = len(anchor)
+            other = np.ones(n, bool)  # than the run before
+            other[1:] = anchor[1:] != anchor[:-1]
+            new = other.copy()
+            new[1:] |= content[1:] != content[:-1]
+            if n and before is not None:
+                other[0] = anchor[0] != before[0]
+                new[0] = other[0] or content[0] != before[1]
+            if n:
+                before = anchor[-1], content[-1]
+            # classes of the same anchor follow each other: an anchor's first class needs a second one
+            alone = np.concatenate([np.ones(len(held[0]), bool), other[new]])
+            classes = [np.concatenate([x, y[new]]) for x, y in zip(held, (anchor, uid, at))]
+            needed = ~alone
+            needed[:-1] |= ~alone[1:]
+            held = [x[-1:][alone[-1:]] for x in classes]
+            anchors, first_uid, first_at = (x[needed] for x in classes)
+            a = at[~new] >> 32
+            b = a + (at[~new] & 0xFFFF) + length
+            spans, firsts = int(ready.sum()) + len(a), len(anchors)
+            is_first = np.arange(spans + firsts) >= spans
+            fill = np.zeros(firsts, np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([batch.column(2).to_numpy()[ready], uid[~new], first_uid])),
+                 pa.array(np.concatenate([batch.column(3).to_numpy()[ready], a, first_at])),
+                 pa.array(np.concatenate([batch.column(4).fill_null(0).to_numpy()[ready], b, fill]).astype(np.int32),
+                          mask=is_first),
+                 pa.array(np.concatenate([np.zeros(spans, np.int64), anchors]), mask=~is_first)],
+                names=["uid", "at", "b", "anchor"])
 
+    return rows.mapInArrow(run, "uid long, at long, b int, anchor long")
 
-def _candidates(texts: DataFrame, length: int, bits, gram: int = GRAM) -> DataFrame:
-    """The second reading: runs of classes that the filter holds (``bytes`` NULL), and the bytes of first runs.
 
-    Rows are (k1, k2, uid, a, b, bytes): anchor and content for a run, the filing key for bytes.
-    """
+def _contexts(found: DataFrame, length: int, gram: int = GRAM) -> DataFrame:
+    """``(uid, text, firsts)`` -> (k1, uid, a, bytes): the first runs' bytes under their filing keys."""
     half = (length - gram) // 2
+    with np.errstate(over="ignore"):
+        powers = np.cumprod(np.full(half, _ODD))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = Filter(bits.value, SEGMENTS)
+        import pyarrow.compute as pc
+
         for batch in batches:
-            uid = batch.column(0).to_numpy(zero_copy_only=False)
-            for data, starts, rows, offsets in _pieces(batch.column(1), length - 1):
-                piece, first, last, place, anchor, content = chunk_runs(data, starts, length)
-                if not len(piece):
-                    continue
-                doc, moved = uid[rows[piece]], offsets[piece] - starts[piece]
-                a, one = first + moved, np.ones(len(piece), np.int64)
-                some = np.flatnonzero(found.has(CLASS, class_keys(anchor, content), one))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor[some].view(np.int64)), pa.array(content[some].view(np.int64)),
-                     pa.array(doc[some]), pa.array(a[some].astype(np.int32)),
-                     pa.array((last + length + moved)[some].astype(np.int32)), pa.nulls(len(some), pa.binary())],
-                    names=["k1", "k2", "uid", "a", "b", "bytes"])
-                some = np.flatnonzero(found.has(FIRST, place_keys(anchor, doc, a << 8 | last - first), one))
-                doc, first, last, place, anchor, moved = (v[some] for v in (doc, first, last, place, anchor, moved))
-                raw = data.tobytes()
+            text = pc.cast(batch.column(1), pa.large_binary())
+            data = np.frombuffer(text.buffers()[2], np.uint8)
+            offsets = np.frombuffer(text.buffers()[1], np.int64)[text.offset:]
+            halves = np.lib.stride_tricks.sliding_window_view(data, half)
+            sizes = pc.list_value_length(batch.column(2)).to_numpy()
+            all_at, all_anchor = (x.to_numpy() for x in batch.column(2).flatten().flatten())
+            all_rows = np.repeat(np.arange(batch.num_rows), sizes)
+            for i in range(0, len(all_at), CONTEXT_ROWS):
+                row, at = all_rows[i: i + CONTEXT_ROWS], all_at[i: i + CONTEXT_ROWS]
+                anchor = all_anchor[i: i + CONTEXT_ROWS].view(np.uint64)
+                first = offsets[row] + (at >> 32)
+                place, last = first + (at >> 16 & 0xFFFF), first + (at & 0xFFFF)
                 for side in (0, 1):
                     # windows with at least half of the other bytes to the anchor's left; then the others
                     lo = first if side == 0 else np.maximum(first, place - half + 1)
@@ -387,18 +434,37 @@ def _candidates(texts: DataFrame, length: int, bits, gram: int = GRAM) -> DataFr
                     of = np.flatnonzero(lo <= hi)
                     if not len(of):
                         continue
-                    lo, hi, p = lo[of], hi[of], place[of]
-                    begin = p - half if side == 0 else p + gram
+                    lo, size, p = lo[of], (hi - lo)[of] + length, place[of]
                     with np.errstate(over="ignore"):
-                        key = _mix(anchor[of] * np.uint64(2 * side + 3) + range_hashes(data, begin, begin + half))
+                        beside = (BYTE_VALUE[halves[p - half if side == 0 else p + gram]] * powers).sum(axis=1, dtype=np.uint64)
+                        key = _mix(anchor[of] * np.uint64(2 * side + 3) + _mix(beside))
+                    ends = np.cumsum(size)
+                    cut = data[np.repeat(lo - ends + size, size) + np.arange(ends[-1])]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(key.view(np.int64)), pa.array(np.zeros(len(of), np.int64)), pa.array(doc[of]),
-                         pa.array((lo + moved[of]).astype(np.int32)),
-                         pa.array((hi + length + moved[of]).astype(np.int32)),
-                         pa.array([raw[x: y + length] for x, y in zip(lo.tolist(), hi.tolist())], pa.binary())],
-                        names=["k1", "k2", "uid", "a", "b", "bytes"])
+                        [pa.array(key.view(np.int64)), pa.array(batch.column(0).to_numpy()[row[of]]),
+                         pa.array((lo - offsets[row[of]]).astype(np.int32)),
+                         pa.Array.from_buffers(pa.binary(), len(of), [
+                             None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32)), pa.py_buffer(cut)])],
+                        names=["k1", "uid", "a", "bytes"])
+
+    return found.select("uid", "text", "firsts").mapInArrow(run, "k1 long, uid long, a int, bytes binary")
+
+
+def _key_filter(keys: DataFrame) -> np.ndarray:
+    return build_filter(keys.select(F.lit(KEY).cast("tinyint").alias("kind"), F.col("k1").alias("key"),
+                                    F.lit(1).cast("long").alias("n")), FILTER_BITS)
+
+
+def _sharing(contexts: DataFrame, bits) -> DataFrame:
+    """The rows whose key the filter holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = Filter(bits.value, SEGMENTS)
+        for batch in batches:
+            keys = batch.column(0).to_numpy().view(np.uint64)
+            yield batch.filter(pa.array(found.has(KEY, keys, np.ones(len(keys), np.int64))))
 
-    return texts.select("uid", "text").mapInArrow(run, "k1 long, k2 long, uid long, a int, b int, bytes binary")
+    return contexts.mapInArrow(run, contexts.schema)
 
 
 def _sorted_repeats(contexts: DataFrame, length: int) -> DataFrame:
@@ -469,33 +535,29 @@ def numbered(docs: DataFrame) -> DataFrame:
     ordered = (docs.withColumn("__sha", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
                .repartitionByRange(F.col("doc_id").asc_nulls_last(), "__sha")
                .sortWithinPartitions(F.col("doc_id").asc_nulls_last(), "__sha").drop("__sha"))
-    return stage(ordered.withColumn("uid", F.monotonically_increasing_id()), "numbered")
+    with shuffles_removed(docs.sparkSession):
+        return stage(ordered.withColumn("uid", F.monotonically_increasing_id()), "numbered")
 
 
 def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``(uid, text, ...)`` -> also ``ranges``: the byte ranges to remove, in no order, possibly overlapping (NULL: none)."""
     spark, texts = docs.sparkSession, docs.select("uid", "text")
-    # classes of runs: the first place of each, and how many runs and classes its anchor has
-    classes = (class_rows(texts, length).repartition("anchor").groupBy("anchor", "content")
-               .agg(F.min(F.struct("uid", "at")).alias("first"), F.sum("n").alias("n")))
-    anchors = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("classes"), F.sum("n").alias("all"))
-    known = stage(classes.join(anchors.where(F.col("all") > 1).drop("all"), "anchor")
-                  .select("anchor", "content", "first.*", "n", "classes"), "repeat-classes")
-    bits = spark.sparkContext.broadcast(build_filter(_filter_entries(known), FILTER_BITS))
-    candidates = stage(_candidates(texts, length, bits), "repeat-candidates")
-    # whole runs that repeat
-    firsts = known.where("n > 1").select("anchor", "content", F.col("uid").alias("f_uid"),
-                                         F.shiftright("at", 8).alias("f_a"))
-    whole = (candidates.where("bytes is null")
-             .join(firsts, (F.col("k1") == F.col("anchor")) & (F.col("k2") == F.col("content")))
-             .where((F.col("uid") != F.col("f_uid")) | (F.col("a") != F.col("f_a")))
-             .select("uid", "a", "b"))
-    # parts of first runs
-    contexts = candidates.where("bytes is not null").select("k1", "uid", "a", "bytes")
-    big = stage(contexts.groupBy("k1").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BIG).select("k1"), "big-keys")
-    some = (_sorted_repeats(contexts.join(big, "k1", "left_anti"), length)
-            .unionByName(_hashed_repeats(contexts.join(big, "k1", "left_semi"), length)))
-    found = (whole.unionByName(some).groupBy("uid").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
+    with shuffles_removed(spark):
+        rows = class_rows(texts, length).repartition("anchor").sortWithinPartitions("anchor", "content", "uid", "at")
+        runs = stage(settled_runs(rows, length), "repeat-runs")
+        firsts = runs.where("b is null").groupBy("uid").agg(F.collect_list(F.struct("at", "anchor")).alias("firsts"))
+        filed = scratch_path(spark, "repeat-contexts")
+        contexts = materialize(_contexts(texts.join(firsts, "uid"), length), "rows", root=filed)
+        keys = stage(contexts.groupBy("k1").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "repeat-keys")
+        big = stage(keys.where(F.col("n") > BIG).select("k1"), "big-keys")
+        bits = spark.sparkContext.broadcast(_key_filter(keys))
+        some = (_sorted_repeats(_sharing(contexts, bits).join(big, "k1", "left_anti"), length)
+                .unionByName(_hashed_repeats(contexts.join(big, "k1", "left_semi"), length)))
+        parts = stage(some, "repeat-parts")
+    remove_path(spark, filed)
+    bits.unpersist()
+    whole = runs.where("b is not null").select("uid", F.col("at").cast("int").alias("a"), "b")
+    found = (whole.unionByName(parts).groupBy("uid").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
              .withColumnRenamed("uid", "r_uid"))
     return docs.join(found, F.col("uid") == F.col("r_uid"), "left").drop("r_uid")
 

@@ -1,9 +1,12 @@
 import random
+import time
+from pathlib import Path
 
 import numpy as np
 import pytest
 
 from longstats.llm import suffix_dedup
+from longstats.session import checkpoint_root
 from longstats.llm.suffix_dedup import common_prefixes, remove_repeats, repeated_windows, repeats, two_stage_suffix_array, window_runs
 
 from .helpers import repeats as brute
@@ -91,6 +94,63 @@ def test_saturated_filter(spark, monkeypatch):
     check(spark, corpus())
 
 
+def files(spark, shuffled=False):
+    """What the session has on disk: {path: bytes} of its staged tables, or of its shuffles."""
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    roots = list(manager.localDirsString()) if shuffled else [checkpoint_root(spark).removeprefix("file:")]
+    found = {}
+    for path in (p for root in roots for p in Path(root).rglob("shuffle_*" if shuffled else "*")):
+        try:
+            found[path] = path.stat().st_size if path.is_file() else 0
+        except FileNotFoundError:  # removed meanwhile
+            pass
+    return found
+
+
+def half_copied(spark):
+    """Random words; one text in four comes twice."""
+    random.seed(4)
+    texts = [" ".join("".join(random.choices("abcdefghij", k=6)) for _ in range(300)) for _ in range(400)]
+    docs = spark.createDataFrame([*enumerate(texts), *enumerate(texts[:100], 1000)], "uid long, text string").repartition(4)
+    return docs, texts
+
+
+def test_a_full_filter_stages_no_more_than_the_texts(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "FILTER_BITS", 1 << 12)
+    monkeypatch.setattr(suffix_dedup, "remove_path", lambda *_: True, raising=False)
+    docs, texts = half_copied(spark)
+    before = files(spark)
+    got = {r["uid"]: r["ranges"] for r in suffix_dedup.spans(docs).select("uid", "ranges").collect()}
+    assert all(suffix_dedup.spans_of(got[1000 + i]) == [(0, len(texts[i]))] for i in range(100))
+    assert not any(got[i] for i in range(400))
+    staged = sum(n for path, n in files(spark).items() if path not in before)
+    assert staged < sum(map(len, texts)) / 2
+
+
+def test_shuffle_files_go_with_their_step(spark):
+    docs, texts = half_copied(spark)
+    before = files(spark, shuffled=True)
+    suffix_dedup.spans(docs)  # all but the last join
+    for _ in range(50):
+        left = sum(n for path, n in files(spark, shuffled=True).items() if path not in before)
+        if left < sum(map(len, texts)) / 10:
+            break
+        time.sleep(0.2)
+    assert left < sum(map(len, texts)) / 10
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_classes_across_batches(spark, monkeypatch):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    monkeypatch.setattr(suffix_dedup, "CONTEXT_ROWS", 3)
+    spark.conf.set(key, "2")
+    try:
+        check(spark, corpus())
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_repeated_and_missing_ids(spark):
     a, b = "a long text " * 20, "another text " * 20
     rows = [(1, a), (1, a), (1, b), (None, b), (None, None)]
